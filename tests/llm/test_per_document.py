@@ -1,0 +1,213 @@
+"""Operators whose result is a function of each text, against the libraries or plain code."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from shelfspark.llm import media, packing, quality, secrets, token_counts
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+
+
+def rows_of(df, *names):
+    return Counter(tuple(r[n] for n in names) for r in df.select(*names).collect())
+
+
+def both(docs, odd):
+    return [(docs, docs.collect()), (odd, odd.collect())]
+
+
+def test_token_counts(docs, odd, nothing):
+    library = Tokenizer.from_file(BYTE)
+    for df, rows in both(docs, odd):
+        want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
+        assert rows_of(token_counts.count_tokens(df, BYTE), "doc_id", "n_bytes", "n_tokens") == want
+    assert token_counts.count_tokens(nothing, BYTE).count() == 0
+
+
+def test_token_counts_count_each_pretoken_once(odd):
+    rows = token_counts.with_row_id(odd)
+    freq = token_counts.frequencies(rows, BYTE).groupBy("pretoken").agg(F.count("*").cast("bigint").alias("n_rows"))
+    counted = token_counts.count_pieces(freq, BYTE)
+    assert counted.count() == counted.select("pretoken").distinct().count()
+
+
+ODD_CHARACTERS = " \t\n\r\x0b\x1c\x85  　aZé1²Ⅷ٣'s.,!?-_$…“”ßİſΣσς中あ́­\U0001f600<|>"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_splitting_is_the_librarys(seed):
+    rng, byte, word = random.Random(seed), Tokenizer.from_file(BYTE), packing.Encoder(WORD)
+    found = ["".join(rng.choice(ODD_CHARACTERS) for _ in range(rng.randrange(40))) for _ in range(400)]
+    for text in found:
+        assert sum(len(byte.encode(w).ids) for w in token_counts.pretokens(text, BYTE)) == len(byte.encode(text, add_special_tokens=False).ids), repr(text)
+    assert word.encode(found) == [np.array(word.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in found]
+
+
+def test_packing_pieces_and_places(docs, odd, nothing):
+    library = Tokenizer.from_file(WORD)
+    for df, rows in both(docs, odd):
+        want, total = Counter(), 0
+        for r in rows:
+            ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+            total += len(ids)
+            for i in range(0, len(ids), 2048):
+                part = ids[i : i + 2048]
+                want[(r.doc_id, i // 2048, i, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+        got = packing.pack(df, WORD)
+        found = got.collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+        bins = {}
+        for r in found:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in bins.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(bins) <= -(-total // 2048) * 1.02 + 2
+    assert packing.pack(nothing, WORD).count() == 0
+
+
+def test_packing_many_runs(docs):
+    a = packing.pack(docs, WORD, rows_per_run=7)
+    assert a.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n <> m or n > 2048").count() == 0
+
+
+def test_fullest_is_exhaustive():
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = {rng.randrange(1, 30): rng.randrange(1, 4) for _ in range(rng.randrange(1, 6))}
+        room = rng.randrange(1, 60)
+        totals = {0}
+        for k, n in counts.items():
+            totals = {t + i * k for t in totals for i in range(n + 1) if t + i * k <= room}
+        chosen = packing.fullest(counts, room)
+        assert all(n <= counts[k] for k, n in chosen.items())
+        assert sum(k * n for k, n in chosen.items()) == max(totals)
+
+
+def plain_spans(text):
+    out = []
+    for k, (pattern, least, group) in enumerate(((secrets.ASSIGN, 12, 2), (re.compile("AKIA[A-Z0-9]+"), 18, 0), (re.compile("[0-9a-f]+"), 16, 0))):
+        at = 0
+        while m := pattern.search(text, at):
+            if len(m[group]) >= least:
+                out.append((m.start(), k, m.end()))
+            at = m.end()
+    return sorted(out)
+
+
+def test_secret_scan(docs, odd, nothing):
+    names = ("assign", "access", "hex")
+    for df, rows in both(docs, odd):
+        got = secrets.digest(secrets.scan(df, F.concat_ws("/", "source", "lang"), F.col("source")))
+        want = Counter()
+        for r in rows:
+            spans = plain_spans(r.text or "")
+            listed = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
+            want[(r.doc_id, *(sum(k == x[1] for x in spans) for k in range(3)), hashlib.sha256(listed.encode()).hexdigest())] += 1
+        assert rows_of(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+        for r in got.collect():
+            base = ",".join(x for x in r.spans.split(",") if x and not x.startswith("opaque"))
+            assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256
+    assert secrets.digest(secrets.scan(nothing, F.col("lang"), F.col("source"))).count() == 0
+
+
+def test_ownership_separates_examples_from_live(spark, tmp_path):
+    copied, own = "password=changemechangeme1", "Kq7Zp2Lm9Xv4Bn8Tr3Wd6"
+    rows = [(i, f"see {copied} here", f"o{i}") for i in range(5)] + [(9, f"key {own} and password=OnlyMine12345678 end", "o9")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(docs, F.col("source"), F.col("source"))).collect()}
+    assert got[0].n_example == 1 and got[0].n_live == 0
+    assert got[9].n_live == 2 and got[9].n_opaque == 1 and got[9].spans == "opaque:4:25,assign:30:55"
+    text = {r.doc_id: r.text for r in secrets.redact(docs, F.col("source"), F.col("source")).collect()}
+    assert text[0] == rows[0][1] and text[9] == "key [secret] and [secret] end"
+
+
+def test_redact_keeps_rows_and_columns(odd):
+    got = secrets.redact(odd, F.col("lang"), F.col("source"))
+    assert got.columns == odd.columns and got.count() == odd.count()
+    assert got.where("text is null").count() == odd.where("text is null").count()
+
+
+def test_quality_measures(docs, odd, nothing):
+    for df, rows in both(docs, odd):
+        want = Counter()
+        for r in rows:
+            text = r.text or ""
+            words = re.findall(r"[^\x20\x09-\x0D]+", text)
+            lines, windows = text.split("\n"), Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+            marked = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+            dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines)) if len(lines) < 3000 else None
+            n = len(words)
+            want[(r.doc_id, n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(marked), n < 10 or 100 * len(marked) > 20 * n)] += 1
+        got = quality.assess(df, F.col("source"))
+        assert rows_of(got, "doc_id", *quality.STATS, "base_failed") == want
+        assert got.where("kept and base_failed").count() == 0
+    assert quality.assess(nothing, F.col("source")).count() == 0
+    kept = quality.keep(odd, F.col("source"))
+    assert kept.columns == odd.columns and kept.count() == quality.assess(odd, F.col("source")).where("kept").count()
+
+
+def test_hosts_are_shrunk(spark):
+    rows = [(f"good{i}", 100, 10) for i in range(30)] + [("bad", 1000, 990), ("small", 2, 2)]
+    stats = spark.createDataFrame([(h, k < f) for h, n, f in rows for k in range(n)], "host string, base_failed boolean")
+    got = {r.host: r for r in quality.host_verdicts(stats).collect()}
+    assert got["bad"].host_rejected and not got["small"].host_rejected and not got["good3"].host_rejected
+    assert 0.1 < got["small"].host_rate < 1.0
+
+
+def test_png_round_trip_and_checksums():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40):
+        payload = rng.integers(0, 256, n * 192, dtype=np.uint8).tobytes()
+        png = media.encode_png(payload)
+        assert media.decode_png(png).tobytes() == payload
+        assert re.fullmatch("[0-9a-f]{16}", media.cosine_hash(media.decode_png(png)))
+        with pytest.raises(ValueError):
+            media.decode_png(png[:60] + bytes([png[60] ^ 1]) + png[61:])
+        with pytest.raises(ValueError):
+            media.decode_png(png[:-12])
+
+
+def test_png_reads_all_filters():
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (5, 192), dtype=np.uint8)
+    raw = []
+    for kind, y in zip(range(5), range(5), strict=True):
+        line = []
+        for i in range(192):
+            a, b, c = (int(image[y, i - 3]) if i >= 3 else 0), (int(image[y - 1, i]) if y else 0), (int(image[y - 1, i - 3]) if y and i >= 3 else 0)
+            p = a + b - c
+            near = min((abs(p - x), k, x) for k, x in enumerate((a, b, c)))[2]
+            line.append((int(image[y, i]) - (0, a, b, (a + b) // 2, near)[kind]) & 255)
+        raw.append(bytes([kind, *line]))
+    png = media.encode_png(image.tobytes())
+    body = zlib.compress(b"".join(raw))
+    start = png.index(b"IDAT") - 4
+    assert media.decode_png(png[:start] + media._chunk(b"IDAT", body) + media._chunk(b"IEND", b"")).tobytes() == image.tobytes()
+
+
+def test_media_table(docs, odd, nothing):
+    for df, rows in both(docs, odd):
+        want = Counter()
+        for r in rows:
+            data = (r.text or "").encode()
+            payload = data + b" " * (-len(data) % 192 if data else 192)
+            want[(r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))] += 1
+        got = media.store_media(df)
+        assert rows_of(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
+        assert got.where("media_bytes <> octet_length(png) or media_sha256 <> sha2(png, 256)").count() == 0
+        assert got.groupBy("payload_sha256").agg(F.count_distinct("feature", "media_sha256").alias("n")).where("n > 1").count() == 0
+    assert media.store_media(nothing).count() == 0
