@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality, secrets, simhash, token_counts
+from . import html_extraction, licenses, line_dedup, media, packing, quality, secrets, sentencepiece_fst, simhash, token_counts
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 #: A document of more tokens is over the limit of a context.
 TOKEN_LIMIT = 512
 
@@ -24,11 +24,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return encoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    deleted = F.aggregate(F.coalesce("runs", F.array().cast(done.schema["runs"].dataType)), F.lit(0), lambda a, r: a + r["to_line"] - r["from_line"])
+    text = F.coalesce("kept", F.lit(""))
+    return done.select(
+        F.col("input.doc_id").alias("doc_id"),
+        F.coalesce(F.size(F.col("runs")), F.lit(0)).cast("bigint").alias("n_runs"),
+        deleted.cast("bigint").alias("n_deleted_lines"),
+        F.length(text).cast("bigint").alias("n_chars_kept"),
+        F.sha2(text, 256).alias("text_sha256"),
+    )
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, F.concat_ws("/", "source", "lang"), F.col("source")))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents"), F.col("source"))
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "host", F.round("host_rate", 6).alias("host_rate"))
@@ -42,13 +64,57 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_media(table(spark, sf_dir, "documents")).drop("png")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop(simhash.ROW_ID)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_secret_scans, op6_quality_rules, op7_best_fit_packing, op8_media_columns, op10_simhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_sentencepiece,
+        op3_line_dedup,
+        op4_secret_scans,
+        op5_license_scans,
+        op6_quality_rules,
+        op7_best_fit_packing,
+        op8_media_columns,
+        op9_html_extraction,
+        op10_simhash_near_dedup,
+    )
 }
 
-#: Words, symbols and repeated lines and windows as the contract defines them; no host of these tables is rejected by SQL's own count.
-SQL: dict[str, str] = {}
+#: Windows of two lines, their first places, and what is left without their repeats.
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+  FROM documents),
+filled AS (
+  SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13)) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k
+  FROM lines WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
+windows AS (
+  SELECT * FROM (
+    SELECT doc_id, k, pos AS from_line, lead(pos) OVER w + 1 AS to_line, line || chr(10) || lead(line) OVER w AS both_lines
+    FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+  WHERE to_line IS NOT NULL),
+first AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(k) OVER w AS first_k
+  FROM windows WINDOW w AS (PARTITION BY both_lines ORDER BY doc_id, k)),
+repeats AS (SELECT * FROM first WHERE first_doc <> doc_id OR first_k + 2 <= k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(from_line, to_line)) AS pos FROM repeats),
+marked AS (
+  SELECT l.doc_id, l.pos, l.raw, g.pos IS NOT NULL AS deleted
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos),
+runs AS (SELECT *, deleted AND NOT coalesce(lag(deleted) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM marked),
+done AS (
+  SELECT doc_id, count(*) FILTER (starts) AS n_runs, count(*) FILTER (deleted) AS n_deleted_lines,
+    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT deleted), '') AS kept
+  FROM runs GROUP BY doc_id)
+SELECT doc_id, n_runs, n_deleted_lines, length(kept) AS n_chars_kept, sha256(kept) AS text_sha256 FROM done
+"""
+
+SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
