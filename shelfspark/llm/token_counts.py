@@ -1,8 +1,10 @@
 """Token counts without token ids.
 
 Pieces are counted once for each distinct pre-token of the corpus, joined to the frequencies
-of pre-tokens by document, and summed. Frequencies travel as one row per pre-token and block
-of documents, so a pre-token of every document costs a row a block, not a row a document.
+of pre-tokens by document, and summed. Pre-tokens are dealt into buckets by hash. Frequencies
+travel in blocks of documents: a row has all pre-tokens of one block and bucket, each with the
+places of its documents in the block and how often they have it, so a pre-token of every
+document is one entry a block. A bucket's sums go back to the blocks the same way.
 
 Defined results: a null text counts as empty; an empty text has no bytes and no tokens; long
 texts are counted whole; repeated rows are counted each; an empty table gives no rows; other
@@ -12,6 +14,7 @@ does by default.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,10 +32,8 @@ from .support import ROW_ID, arrow_map, slices, texts, with_row_id
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts of these characters alone are split here; the library splits all others, whose classes may depend on the version of Unicode.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f\u0370-\u0373\u0386-\u03ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
-#: Characters of text in a block of documents; bounds a task's memory, and entries hold a row's place in its block.
-BLOCK_CHARS = 8_000_000
-#: Greatest frequency in one entry; a greater one takes several.
-MOST = 127
+#: Characters and rows of a block of documents; they bound a task's memory, and places in a block fit 15 bits.
+BLOCK_CHARS, BLOCK_ROWS = 8_000_000, 30_000
 
 
 @cache
@@ -59,62 +60,104 @@ def pretokens(text: str, path: str) -> list[str]:
     return [text[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(text)]
 
 
-def _block(rows: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pre-tokens of a block, where each one's entries begin, and the entries: place * (MOST + 1) + frequency."""
-    tokens = [pretokens(x, path) for x in rows]
-    codes, distinct = pd.factorize(np.array([w for t in tokens for w in t], dtype=object))
-    place = np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
-    pairs, n = np.unique(codes.astype(np.int64) * len(rows) + place, return_counts=True)
-    times = (n + MOST - 1) // MOST
-    pairs, left = np.repeat(pairs, times), np.repeat(n, times)
-    last = np.cumsum(times) - 1
-    each = np.full(len(pairs), MOST)
-    each[last] = left[last] - (times - 1) * MOST
-    begins = np.searchsorted(pairs // max(len(rows), 1), np.arange(len(distinct) + 1))
-    return distinct, begins, pairs % max(len(rows), 1) * (MOST + 1) + each
+FREQUENCIES = "bucket int, first bigint, joined string, sizes array<int>, n_rows array<int>, places array<smallint>, counts array<int>"
 
 
-FREQUENCIES = "pretoken string, entries array<bigint>"
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype()), kind))
 
 
-def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """A row per pre-token and block of ``docs`` (__row_id, text); the first entry is the block's first row id."""
+def _block(rows: list[str], first: int, path: str, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that has pre-tokens of the block: these, joined, and their places and counts."""
+    tokens = [pretokens(x, path) for x in rows]
+    codes, distinct = pd.factorize(np.array([w for t in tokens for w in t], dtype=object))
+    place = np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
+    bucket = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in distinct], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    pairs, counts = np.unique(rank[codes] * len(rows) + place, return_counts=True)
+    n_rows = np.bincount(pairs // max(len(rows), 1), minlength=len(order))
+    bucket, words = bucket[order], distinct[order].tolist()
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts, len(words))
+    entries = np.append(0, np.cumsum(n_rows))[ends]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[starts].astype(np.int32)),
+            pa.array(np.full(len(starts), first, np.int64)),
+            pa.array(["".join(words[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()),
+            _lists(np.array([len(w) for w in words], np.int64), ends, pa.int32()),
+            _lists(n_rows, ends, pa.int32()),
+            _lists(pairs % max(len(rows), 1), entries, pa.int16()),
+            _lists(counts, entries, pa.int32()),
+        ],
+        names=["bucket", "first", "joined", "sizes", "n_rows", "places", "counts"],
+    )
+
+
+def frequencies(docs: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Frequencies of pre-tokens in ``docs`` (__row_id, text), a row per block and bucket; ``first`` is the block's first row id."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found, ids = texts(batch), batch.column(ROW_ID).to_numpy()
-        for start, end in slices([len(x) for x in found], BLOCK_CHARS):
-            distinct, begins, entries = _block(found[start:end], path)
-            if not len(distinct):
-                continue
+        for start, end in slices([max(len(x), BLOCK_CHARS // BLOCK_ROWS) for x in found], BLOCK_CHARS):
             # ids of a batch are consecutive: they count the rows of a partition
-            values = np.insert(entries, begins[:-1], ids[start])
-            offsets = (begins + np.arange(len(begins))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))], names=["pretoken", "entries"])
+            yield _block(found[start:end], int(ids[start]), path, buckets)
 
     return arrow_map(docs.select(ROW_ID, "text"), run, FREQUENCIES)
 
 
-def count_pieces(pretokens_: DataFrame, path: str) -> DataFrame:
-    """``n_pieces`` of each distinct ``pretoken``."""
+SUMS = "first bigint, places array<smallint>, sums array<bigint>"
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words = batch.column("pretoken").to_pylist()
-        pieces = [len(x.ids) for x in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
-        yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n_rows"), pa.array(pieces, pa.int64())], names=["pretoken", "n_rows", "n_pieces"])
 
-    return arrow_map(pretokens_, run, "pretoken string, n_rows bigint, n_pieces bigint")
+def _cut(joined: str, sizes: np.ndarray) -> list[str]:
+    ends = np.cumsum(sizes).tolist()
+    return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
 
+def bucket_sums(freq: DataFrame, path: str) -> DataFrame:
+    """Per block and bucket: the tokens that each document has from the bucket's pre-tokens.
 
-def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): ``n_bytes`` and ``n_tokens``. The table has to be read alike each time (see ``with_row_id``)."""
+    A bucket holds all that the corpus has of its pre-tokens, so each distinct one is
+    encoded once.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        words = [_cut(j, s.values.to_numpy()) for j, s in zip(group.column("joined").to_pylist(), group.column("sizes"), strict=True)]
+        known = dict.fromkeys(w for x in words for w in x)
+        known = dict(zip(known, (len(e.ids) for e in tokenizer(path).encode_batch_fast(list(known), add_special_tokens=False)), strict=True))
+        places, sums = [], []
+        for x, n, p, c in zip(words, group.column("n_rows"), group.column("places"), group.column("counts"), strict=True):
+            pieces = np.repeat(np.array([known[w] for w in x], np.int64), n.values.to_numpy())
+            at = p.values.to_numpy()
+            total = np.zeros(int(at.max()) + 1, np.int64)
+            np.add.at(total, at, pieces * c.values.to_numpy())
+            places.append(np.flatnonzero(total).astype(np.int16))
+            sums.append(total[total > 0])
+        ends = np.append(0, np.cumsum([len(x) for x in places]))
+        return pa.table({"first": group.column("first"), "places": _lists(np.concatenate(places), ends, pa.int16()), "sums": _lists(np.concatenate(sums), ends, pa.int64())})
+
+    return freq.groupBy("bucket").applyInArrow(run, SUMS)
+
+
+def count_tokens(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): ``n_bytes`` and ``n_tokens``.
+
+    The table has to be read alike each time (see ``with_row_id``). The buckets, two for each
+    of the table's partitions if not given, bound what one task holds.
+    """
     rows = with_row_id(docs)
-    # One shuffle by pre-token serves both sides of the join.
-    freq = frequencies(rows, path).repartition("pretoken")
-    pieces = count_pieces(freq.groupBy("pretoken").agg(F.sum(F.size("entries") - 1).cast("bigint").alias("n_rows")), path)
-    joined = freq.join(pieces.select(F.col("pretoken"), "n_pieces"), "pretoken")
-    entry = joined.select(F.element_at("entries", 1).alias("first"), "n_pieces", F.explode(F.slice("entries", 2, F.size("entries"))).alias("entry"))
-    row = F.col("first") + F.shiftright("entry", 7)
-    sums = entry.groupBy(row.alias(ROW_ID)).agg(F.sum(F.col("entry").bitwiseAND(MOST) * F.col("n_pieces")).alias("n_tokens"))
+    freq = frequencies(rows, path, buckets or max(32, 2 * docs.rdd.getNumPartitions()))
+
+    def add(group: pa.Table) -> pa.Table:
+        at = group.column("places").combine_chunks().flatten().to_numpy()
+        total = np.zeros(int(at.max()) + 1, np.int64)
+        np.add.at(total, at, group.column("sums").combine_chunks().flatten().to_numpy())
+        found = np.flatnonzero(total)
+        return pa.table({ROW_ID: found + group.column("first")[0].as_py(), "n_tokens": total[found]})
+
+    sums = bucket_sums(freq, path).groupBy("first").applyInArrow(add, f"{ROW_ID} bigint, n_tokens bigint")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     sizes = rows.select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("n_bytes"))
     return sizes.join(sums, ROW_ID, "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))

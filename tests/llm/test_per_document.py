@@ -33,11 +33,20 @@ def test_token_counts(docs, odd, nothing):
     assert token_counts.count_tokens(nothing, BYTE).count() == 0
 
 
-def test_token_counts_count_each_pretoken_once(odd):
-    rows = token_counts.with_row_id(odd)
-    freq = token_counts.frequencies(rows, BYTE).groupBy("pretoken").agg(F.count("*").cast("bigint").alias("n_rows"))
-    counted = token_counts.count_pieces(freq, BYTE)
-    assert counted.count() == counted.select("pretoken").distinct().count()
+def test_token_counts_hold_each_pretoken_in_one_bucket(odd):
+    rows = token_counts.frequencies(token_counts.with_row_id(odd), BYTE, 5).collect()
+    buckets = {}
+    for r in rows:
+        for w in token_counts._cut(r.joined, np.array(r.sizes)):
+            buckets.setdefault(w, set()).add(r.bucket)
+    assert buckets and all(len(x) == 1 for x in buckets.values())
+    assert all(sum(r.n_rows) == len(r.places) == len(r.counts) for r in rows)
+
+
+def test_token_counts_in_small_blocks(docs, monkeypatch):
+    whole = token_counts.count_tokens(docs, BYTE).collect()
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 5_000)
+    assert sorted(whole) == sorted(token_counts.count_tokens(docs, BYTE, 3).collect())
 
 
 ODD_CHARACTERS = " \t\n\r\x0b\x1c\x85  　aZé1²Ⅷ٣'s.,!?-_$…“”ßİſΣσς中あ́­\U0001f600<|>"
