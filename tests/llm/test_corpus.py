@@ -52,11 +52,13 @@ def test_line_dedup_repeats_inside_and_across(spark, tmp_path):
     assert got == {0: "a\nb\nc", 1: "x\n\ny\nz", 2: "r\nr", 3: None, 4: "c\nb\na"}
 
 
-def test_line_dedup_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    got = queries.op3_line_dedup(spark, sf_dir)
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.LINE_DEDUP_SQL})").fetchall()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
@@ -94,9 +96,10 @@ def test_licences_held_out(spark):
     model = licenses.Classifier(spark)
     held = licenses._table(spark, licenses._examples(600, 99), "paragraph string, truth string")
     got = model.predict(held).select("truth", "family", "confirmed").collect()
-    assert sum(r.truth == r.family for r in got) >= 0.98 * len(got)
+    known = held.where(F.col("truth") != licenses.UNKNOWN).count()
+    assert sum(r.truth == r.family for r in got) >= 0.98 * max(len(got), known)
     assert sum(r.confirmed for r in got if r.truth == licenses.UNKNOWN) == 0
-    assert sum(r.confirmed for r in got if r.truth != licenses.UNKNOWN) >= 0.97 * sum(r.truth != licenses.UNKNOWN for r in got)
+    assert sum(r.confirmed for r in got if r.truth != licenses.UNKNOWN) >= 0.97 * known
 
 
 def test_licences_of_documents(spark, docs, odd, nothing):
