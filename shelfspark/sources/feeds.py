@@ -124,3 +124,41 @@ def unwrap_envelope(pages: DataFrame, body: str = "body") -> DataFrame:
     data = lambda *names: F.coalesce(*(F.get_json_object(body, f"$.{n}") for n in names))
     wrapped = F.trim(body).startswith("{")
     return pages.withColumn("html", F.when(wrapped, F.coalesce(data("d", "data"), F.lit(""))).otherwise(F.col(body))).withColumn("total", F.when(wrapped, data("cantArticulos", "number_register", "last").try_cast("bigint")))
+
+
+def script_objects(scripts: DataFrame, marker: str) -> DataFrame:
+    """(url, place, object): the outermost JSON objects inside script source (``scripts``: url, body) whose text holds ``marker``."""
+
+    def balanced(text: str) -> Iterator[str]:
+        decoder, at = json.JSONDecoder(), text.find("{")
+        while at >= 0:
+            try:
+                _, end = decoder.raw_decode(text, at)
+            except ValueError:
+                at = text.find("{", at + 1)
+                continue
+            yield text[at:end]
+            at = text.find("{", end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u, text in zip(batch.column("url").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                found = [x for x in balanced(text or "") if marker in x]
+                yield pa.RecordBatch.from_arrays([pa.array([u] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["url", "place", "object"])
+
+    return scripts.select("url", "body").mapInArrow(run, OBJECTS)
+
+
+def raw_record(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with the first price, its currency and the first vehicle brand that a text names."""
+    from ..operators.brands import aliases_in
+
+    priced = F.regexp_extract(F.col(text), r"(?i)((?:US\$|\$U|\$|UYU|USD)\s*[0-9][0-9.,]*)", 1)
+    return texts.withColumns({"price": price.normalize_price(F.nullif(priced, F.lit(""))), "currency": price.infer_currency(F.lit(None).cast("string"), priced), "brand": F.get(aliases_in(F.col(text)), F.lit(0))["label"]})
+
+
+def part_record(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with the part number and the price that labels in a container's text announce."""
+    code = clean_text(F.regexp_extract(text, r"(?i)(?:n[º°o]\.?\s*(?:de\s*)?pieza|c[oó]digo|sku)\s*:?\s*([\w./-]+)", 1))
+    amount = F.regexp_extract(text, r"(?i)precio\s*:?\s*((?:US\$|\$U|\$)?\s*[0-9][0-9.,]*)", 1)
+    return texts.withColumns({"sku": code, "price": price.normalize_price(F.nullif(amount, F.lit("")))})
