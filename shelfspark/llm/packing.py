@@ -33,7 +33,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 #: Composed, caseless-safe characters: for texts of these alone, lower case and white space here are the library's.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
 #: Words with known ids that a worker keeps; it forgets them all beyond that.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
 CAPACITY = 2048
 END = 0
 
