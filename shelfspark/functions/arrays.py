@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, fold
+from .text import clean_text, fold, let
 
 OTHER_BRANDS = "otros"
 
@@ -15,15 +15,16 @@ OTHER_BRANDS = "otros"
 def merge_texts(values: Column, key: Callable[[Column], Column] = fold) -> Column:
     """Texts with equal keys become one: at the first one's place, as the last one is written; blanks go; null if none is left."""
     clean = F.filter(F.transform(values, clean_text), lambda x: x.isNotNull())
-    keys = F.array_distinct(F.transform(clean, key))
-    merged = F.transform(keys, lambda k: F.element_at(F.filter(clean, lambda x: key(x) == k), -1))
-    return F.when(F.size(merged) > 0, merged)
+    pairs = F.transform(clean, lambda x: F.struct(key(x).alias("key"), x.alias("text")))
+    last = lambda found, k: F.element_at(F.filter(found, lambda p: p["key"] == k), -1)["text"]
+    merged = let(pairs, lambda found: F.transform(F.array_distinct(F.transform(found, lambda p: p["key"])), lambda k: last(found, k)))
+    return let(merged, lambda m: F.when(F.size(m) > 0, m))
 
 
 def merge_brands(values: Column) -> Column:
     """``merge_texts`` without the entry for other brands, if there are others."""
-    merged = merge_texts(values)
-    return F.when(F.size(merged) > 1, F.filter(merged, lambda x: fold(x) != OTHER_BRANDS)).otherwise(merged)
+    real = lambda m: F.filter(m, lambda x: fold(x) != OTHER_BRANDS)
+    return let(merge_texts(values), lambda m: F.when(F.size(m) > 1, real(m)).otherwise(m))
 
 
 def merge_lower(values: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 SPACES = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: functions of arrays would compute it again for each of their entries."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _accents() -> tuple[str, str]:
     """Letters of the Latin blocks that decompose to one ASCII letter and marks, and these letters."""
     pairs = {}
@@ -46,6 +52,11 @@ def fold(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(unaccent(F.lower(repair_mojibake(text))), SPACES, " ")), F.lit(""))
 
 
+def plain(text: str) -> str:
+    """``fold`` of a constant. Runs on the driver."""
+    return " ".join("".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower().split())
+
+
 def search_text(*fields: Column) -> Column:
     """What searches look in: non-empty fields in lower case, all but a-z and 0-9 as a space, doubled letters once."""
     joined = F.concat_ws(" ", *(F.nullif(f, F.lit("")) for f in fields))

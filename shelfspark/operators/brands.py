@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.text import clean_text, has_phrase, plain_key
+from ..functions.text import clean_text, has_phrase, let, plain_key
 from ..schema import ORDER
 
 OTHER = "otros"
@@ -50,8 +50,7 @@ def _dictionary() -> Column:
 
 def aliases_in(text: Column) -> Column:
     """(id, label) of the brands that a text names as whole words, by label."""
-    key = plain_key(text)
-    found = F.filter(_dictionary(), lambda a: has_phrase(key, a["key"]))
+    found = let(plain_key(text), lambda key: F.filter(_dictionary(), lambda a: has_phrase(key, a["key"])))
     return F.array_sort(F.array_distinct(F.transform(found, lambda a: F.struct(a["label"].alias("label"), a["id"].alias("id")))))
 
 
@@ -68,15 +67,16 @@ def infer() -> Column:
     listed = F.filter(F.transform("compatible_brands", clean_text), lambda x: x.isNotNull())
 
     def explicit(value: Column) -> Column:
-        known = F.get(F.filter(_dictionary(), lambda a: has_phrase(plain_key(value), a["key"])), F.lit(0))
+        known = let(plain_key(value), lambda key: F.get(F.filter(_dictionary(), lambda a: has_phrase(key, a["key"])), F.lit(0)))
         unknown = F.struct(value.alias("label"), F.replace(plain_key(value), F.lit(" "), F.lit("-")).alias("id"), F.lit("explicit").alias("confidence"), value.alias("evidence"))
         return F.when(known.isNotNull(), F.struct(known["label"].alias("label"), known["id"].alias("id"), F.lit("alias").alias("confidence"), value.alias("evidence"))).otherwise(unknown)
 
-    given = F.transform(listed, explicit)
-    once = F.filter(given, lambda x, i: F.array_position(F.transform(given, lambda y: y["id"]), x["id"]) == i + 1)
+    first = lambda given, x: F.get(F.filter(given, lambda y: y["id"] == x["id"]), F.lit(0))
+    once = let(F.transform(listed, explicit), lambda given: F.array_distinct(F.transform(given, lambda x: first(given, x))))
     named = F.transform(aliases_in(evidence()), lambda x: F.struct(x["label"].alias("label"), x["id"].alias("id"), F.lit("alias").alias("confidence"), F.lit(None).cast("string").alias("evidence")))
     other = F.array(F.struct(F.lit("Otros").alias("label"), F.lit(OTHER).alias("id"), F.lit("fallback").alias("confidence"), F.lit(None).cast("string").alias("evidence")))
-    return F.when(F.size(listed) > 0, F.array_sort(once)).when(F.size(named) > 0, named).otherwise(other).cast(MATCH)
+    by_text = let(named, lambda found: F.when(F.size(found) > 0, found).otherwise(other))
+    return F.when(F.size(listed) > 0, F.array_sort(once)).otherwise(by_text).cast(MATCH)
 
 
 def brand_links(products: DataFrame, id_column: str = "id") -> DataFrame:

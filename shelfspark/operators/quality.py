@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, price, urls
-from ..functions.text import clean_text, fold
+from ..functions.text import clean_text, fold, let, plain
 from .rules import SiteRule, any_match
 
 # Texts, names, patterns and codes that results depend on.
@@ -30,11 +30,11 @@ LONGEST_DESCRIPTION = 1200
 
 def availability(text: Column, rule: SiteRule | None = None) -> Column:
     """``out_of_stock``, ``in_stock`` or ``unknown``; negative texts are looked for first."""
-    folded = fold(text)
-    has = lambda texts: F.exists(F.array(*(F.lit(t) for t in texts)), lambda t: F.contains(folded, fold(t)))
+    # The texts are folded here, in Python, as ``fold`` would.
+    has = lambda folded, texts: F.exists(F.array(*(F.lit(plain(t)) for t in texts)), lambda t: F.contains(folded, t))
     negative = (*NEGATIVE_TEXTS, *(rule.negative_texts if rule else ()))
     positive = (*POSITIVE_TEXTS, *(rule.positive_texts if rule else ()))
-    return F.when(has(negative), "out_of_stock").when(has(positive), "in_stock").otherwise("unknown")
+    return let(fold(text), lambda t: F.when(has(t, negative), "out_of_stock").when(has(t, positive), "in_stock").otherwise("unknown"))
 
 
 def sellable(rule: SiteRule | None = None) -> Column:
