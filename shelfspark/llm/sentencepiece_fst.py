@@ -6,8 +6,9 @@ that no piece has is read by a path of its byte pieces. For the merge-based mode
 part accepts a sequence of pieces if each two neighbours are what merging their joined text
 gives: a sequence of pieces is the model's own exactly if all its neighbours are. All arcs
 weigh one and what is not accepted weighs infinity, the zero of the tropical semiring; the
-states of the composition with an input are its positions together with the last piece,
-and the shortest path through them is the encoding.
+states of the composition with an input are its positions together with the last piece, and
+the shortest path through them is the encoding. A beginning of a word has one encoding, so at
+most one last piece leads to each position: one weight a position is the whole front.
 
 No piece has a space mark after another character, so the composition falls apart where a
 word begins; each distinct word's path is found once and kept.
@@ -21,6 +22,7 @@ that U+2581 comes back as a space.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -87,12 +89,17 @@ class Transducer:
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         if len(self.byte_id) != 256 or any(SPACE in x.lstrip(SPACE) for x in self.ids):
             raise ValueError("the model needs byte pieces, and no piece may have a space mark inside")
-        self.longest = max(map(len, self.ids))
-        #: The arcs of the piece transducer, as a tree of the prefixes of all pieces.
-        self.prefixes = {x[:n] for x in self.ids for n in range(1, len(x) + 1)}
-        self.sound: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.piece = {i: x for x, i in self.ids.items()}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        #: The arcs of the piece transducer as a tree of characters; a node's piece is under the empty key. Pieces that merging cannot make have no arc.
+        self.arcs: dict = {}
+        for x, i in self.ids.items():
+            if self.merged(x) == [x]:
+                node = self.arcs
+                for c in x:
+                    node = node.setdefault(c, {})
+                node[""] = i
 
     def merged(self, text: str) -> list[str]:
         """What merging the best neighbours again and again leaves; of equal scores the leftmost goes first."""
@@ -108,56 +115,55 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether the acceptor has an arc for this neighbourhood."""
-        key = (left, right)
+    def follows(self, left: int, right: int) -> bool:
+        """Whether the acceptor has an arc for this neighbourhood of pieces."""
+        key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+            a, b = self.piece[left], self.piece[right]
+            known = self.pairs[key] = self.merged(a + b) == [a, b]
         return known
 
-    def _arcs(self, word: str) -> list[list[str]]:
-        """Per position: the pieces that begin there and come whole out of merging; else the character alone."""
-        out, n = [], len(word)
+    def shortest(self, word: str) -> list[int]:
+        """The ids on the shortest path of the composition with ``word``; characters without a piece are byte pieces."""
+        n, pairs, arcs, ids = len(word), self.pairs, self.arcs, self.ids
+        far = n + 1
+        weight, last, before = [far] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        weight[0] = 0
         for i in range(n):
-            found, j = [], i + 1
-            while j <= n and (part := word[i:j]) in self.prefixes:
-                if part in self.ids:
-                    sound = self.sound.get(part)
-                    if sound is None:
-                        sound = self.sound[part] = self.merged(part) == [part]
-                    if sound:
-                        found.append(part)
-                j += 1
-            out.append(found if word[i] in self.ids else [*found, word[i]])
-        return out
-
-    def shortest(self, word: str) -> list[str]:
-        """The shortest path through the states (position, last piece) of the composition with ``word``."""
-        arcs, n = self._arcs(word), len(word)
-        states: list[dict[str, tuple[int, str | None]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0, None)
-        follows, ids = self.follows, self.ids
-        for i in range(n):
-            for left, (weight, _) in states[i].items():
-                for piece in arcs[i]:
-                    if not left or left not in ids or piece not in ids or follows(left, piece):
-                        here = states[i + len(piece)]
-                        if piece not in here or weight + 1 < here[piece][0]:
-                            here[piece] = (weight + 1, left)
-        if not states[n]:
+            here = weight[i] + 1
+            if here > far:
+                continue
+            left, node, at = last[i], arcs, i
+            while at < n:
+                node = node.get(word[at])
+                if node is None:
+                    break
+                at += 1
+                piece = node.get("")
+                if piece is not None and here < weight[at]:
+                    if left >= 0:
+                        joined = pairs.get(left << 20 | piece)
+                        if joined is None:
+                            joined = self.follows(left, piece)
+                        if not joined:
+                            continue
+                    weight[at], last[at], before[at] = here, piece, i
+            if word[i] not in ids and here < weight[i + 1]:
+                weight[i + 1], last[i + 1], before[i + 1] = here, -1, i
+        if weight[n] > n:
             raise ValueError("no path reads the whole word")
-        out, at, piece = [], n, min(states[n], key=lambda x: states[n][x][0])
+        out, at = [], n
         while at:
-            out.append(piece)
-            at, piece = at - len(piece), states[at][piece][1]
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out += [self.byte_id[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass"))]
+            at = before[at]
         return out[::-1]
 
     def _word(self, word: str) -> bytes:
-        ids = []
-        for piece in self.shortest(word):
-            ids += [self.ids[piece]] if piece in self.ids else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return np.array(ids, "<u4").tobytes()
+        return array("I", self.shortest(word)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
