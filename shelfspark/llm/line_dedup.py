@@ -55,10 +55,11 @@ def matches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each window that an earlier place repeats: its place and that of the first."""
     found = write_table(windows(docs, window), "line-windows")
     places = found.select("fingerprint", ROW_ID, "place").distinct()
-    shared = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    # Both are tables of their own, so that a join with a very common fingerprint or window can be split.
+    shared = write_table(places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-fingerprints")
     candidates = write_table(found.join(shared, "fingerprint", "left_semi").select(ROW_ID, "doc", "line", "from_line", "to_line", "digest"), "line-candidates")
     place = F.struct("doc", F.col(ROW_ID).alias("row"), "line", "from_line")
-    first = candidates.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = write_table(candidates.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "line-firsts")
     joined = candidates.join(first, "digest")
     other = F.col("first.row") != F.col(ROW_ID)
     return joined.where(other | (F.col("first.line") + window <= F.col("line"))).select(ROW_ID, "line", "from_line", "to_line", "first")
