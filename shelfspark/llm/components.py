@@ -1,7 +1,8 @@
 """Connected components of a graph given as an edge table, by rounds of large and small stars.
 
 Each round links nodes to the smallest neighbour known; minima are aggregated before the
-shuffle, so a hub with very many neighbours costs a row a task. Every round's edges are
+shuffle, so a hub with very many neighbours costs a row a task, and are tables of their own,
+so that adaptive execution can split their join with a hub's edges. Every round's edges are
 written to the shared folder. The number of rounds grows with the logarithm of the nodes.
 """
 
@@ -15,13 +16,13 @@ from .support import write_table
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    least = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = write_table(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     rest = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return rest.union(least.select("a", F.col("least").alias("b")))
 
@@ -31,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = write_table(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
     while True:
-        now = write_table(_small_star(_large_star(now)).distinct(), "edges")
+        now = write_table(_large_star(now).distinct(), "edges")
+        now = write_table(_small_star(now).distinct(), "edges")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break

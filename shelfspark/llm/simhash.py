@@ -30,8 +30,9 @@ from .support import ROW_ID, arrow_map, texts, with_row_id, write_table
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower case for A-Z only.
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: Fingerprints in a tile of one population count, and in the small tiles inside.
-TILE, SMALL = 32_768, 256
+#: A tile of one population count has a share of all fingerprints within these bounds; so each meets some 45 others up
+#: to 64 million fingerprints, and what is shuffled grows with their number. Small tiles are cut inside of tiles.
+SHARE, TILE, SMALL = 64, (2_048, 1_000_000), 256
 
 
 def fingerprint(text: str, words: int, seed: int) -> int:
@@ -119,10 +120,11 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tup
                     yield int(a[u]), int(b[v])
 
 
-def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
     """(a, b): edges that connect what the links of ``distinct`` (fp) connect."""
     tiled = distinct.withColumn("ones", F.bit_count("fp").cast("int"))
     counts = {x["ones"]: x["n"] for x in tiled.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    tile = tile or min(max(sum(counts.values()) // SHARE, TILE[0]), TILE[1])
     parts = [max(1, -(-counts.get(k, 0) // tile)) for k in range(65)]
     first = np.cumsum([0, *parts]).tolist()
     # Tile t meets the tiles after it up to the last one of count + radius: the pair (t, u) has one task.
