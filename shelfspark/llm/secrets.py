@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,8 +53,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def opaque_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Random-looking runs that no fixed pattern touches."""
-    return [(m.start(), 3, m.end(), m[0]) for m in OPAQUE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base) and looks_random(m[0])]
+    """Random-looking runs that no fixed pattern touches; ``base`` is sorted."""
+    starts = [s for s, _, _, _ in base]
+    # Base spans may overlap, so the furthest end up to each one tells whether any reaches a run.
+    reach = [0, *accumulate((e for _, _, e, _ in base), max)]
+    return [(m.start(), 3, m.end(), m[0]) for m in OPAQUE.finditer(text) if reach[bisect_left(starts, m.end())] <= m.start() and looks_random(m[0])]
 
 
 SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
