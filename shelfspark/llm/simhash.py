@@ -10,7 +10,9 @@ Defined results: a null text counts as empty; a text without words has the finge
 which is linked as any other; a row of null doc_id is compared, and its component is the
 smallest id known; repeated rows share a component; very long texts are hashed whole; an
 empty table gives no rows; other columns are ignored by ``near_duplicates`` and kept by
-``representatives``.
+``representatives`` and ``verified_representatives``. The latter takes fingerprints of a wide
+radius as candidates only and links two texts if their shingle sets are similar enough; texts
+without words have equal sets.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .support import ROW_ID, arrow_map, texts, with_row_id, write_table
+from .support import ROW_ID, arrow_map, stored_rows, texts, with_row_id, write_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower case for A-Z only.
@@ -33,17 +35,31 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 #: A tile of one population count has a share of all fingerprints within these bounds; so each meets some 45 others up
 #: to 64 million fingerprints, and what is shuffled grows with their number. Small tiles are cut inside of tiles.
 SHARE, TILE, SMALL = 64, (2_048, 1_000_000), 256
+#: Candidates within WIDE bits are linked if their shingle sets share SIMILAR (a fraction) of their union.
+WIDE, SIMILAR = 14, (4, 5)
+#: Share of all texts in a tile of candidates, which meets nearly all others; candidates of a text in the first round, and their growth.
+WIDE_SHARE, ALLOWANCE, MORE = 16, 4, 8
 
 
-def fingerprint(text: str, words: int, seed: int) -> int:
-    """Bit by bit the majority of the hashes of the shingles, repeats included; zero without words."""
+def shingle_hashes(text: str, words: int, seed: int) -> bytes:
+    """The 8-byte hashes of the shingles, repeats included; empty without words."""
     found = WORD.findall(text.translate(LOWER) if not text.islower() else text)
     if not found:
-        return 0
+        return b""
     n = len(found) - words + 1
     shingles = [" ".join(found)] if n < 1 else map(" ".join, zip(*(found[k : k + n] for k in range(words)), strict=True))
     digest = xxhash.xxh64_digest
-    data = b"".join([digest(s.encode("utf-8", "surrogatepass"), seed) for s in shingles])
+    return b"".join([digest(s.encode("utf-8", "surrogatepass"), seed) for s in shingles])
+
+
+def fingerprint(text: str, words: int, seed: int) -> int:
+    """Bit by bit the majority of the hashes of the shingles, repeats included; zero without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(data: bytes) -> int:
+    if not data:
+        return 0
     bits, total = np.zeros(64, np.int64), len(data) // 8
     rows = np.frombuffer(data, np.uint8).reshape(-1, 8)
     for start in range(0, total, 65_536):
@@ -96,12 +112,11 @@ def _small_tiles(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return fps, np.minimum.reduceat(q, starts, axis=0), np.maximum.reduceat(q, starts, axis=0)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
-    """A forest of the links within the radius between two tiles (b None: within one)."""
+def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y), in the orders of ``_small_tiles``, of all pairs within the radius between two tiles (b None: within one)."""
     a, low_a, high_a = _small_tiles(a)
     same = b is None
     b, low_b, high_b = (a, low_a, high_a) if same else _small_tiles(b)
-    forest = Forest(len(a) + (0 if same else len(b)))
     for i in range(len(low_a)):
         # the least sum of differences of the quarters' counts that two members can have
         gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
@@ -115,16 +130,62 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tup
             x, y = x + i * SMALL, at[y]
             if same:
                 x, y = x[x < y], y[x < y]
-            for u, v in zip(x.tolist(), y.tolist(), strict=True):
-                if forest.add(u, v if same else len(a) + v):
-                    yield int(a[u]), int(b[v])
+            yield x, y
 
 
-def links(distinct: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
-    """(a, b): edges that connect what the links of ``distinct`` (fp) connect."""
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
+    """A forest of the links within the radius between two tiles (b None: within one)."""
+    same = b is None
+    in_a = _small_tiles(a)[0]
+    in_b = in_a if same else _small_tiles(b)[0]
+    forest = Forest(len(in_a) + (0 if same else len(in_b)))
+    for x, y in _near(a, b, radius):
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            if forest.add(u, v if same else len(in_a) + v):
+                yield int(in_a[u]), int(in_b[v])
+
+
+def _least_of_each(high: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The ``most`` least partners of each node, and whether there were more."""
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(high) else np.zeros(0, np.int64)
+    rank = np.arange(len(high)) - np.repeat(starts, np.diff(np.r_[starts, len(high)]))
+    return high[rank < most], low[rank < most], bool((rank >= most).any())
+
+
+def tile_candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, withheld): of each node, its ``most`` least partners of smaller key within the radius that have another label and may be similar.
+
+    ``a`` and ``b`` (None: one tile) hold key, fp, n (the set's size) and label.
+    """
+    sort = lambda t: {k: v[np.lexsort(_quarters(t["fp"]).T)] for k, v in t.items()}
+    fa, fb = a["fp"], None if b is None else b["fp"]
+    a = sort(a)
+    b = a if b is None else sort(b)
+    high, low, size, withheld = [], [], 0, False
+    for x, y in _near(fa, fb, radius):
+        less, more = np.minimum(a["n"][x], b["n"][y]), np.maximum(a["n"][x], b["n"][y])
+        good = (a["label"][x] != b["label"][y]) & (SIMILAR[1] * less >= SIMILAR[0] * more)
+        u, v = a["key"][x[good]], b["key"][y[good]]
+        high.append(np.maximum(u, v))
+        low.append(np.minimum(u, v))
+        size += len(u)
+        if size > 2_000_000:
+            h, w, cut = _least_of_each(np.concatenate(high), np.concatenate(low), most)
+            high, low, size, withheld = [h], [w], 0, withheld or cut
+    if not high:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    h, w, cut = _least_of_each(np.concatenate(high), np.concatenate(low), most)
+    return h, w, withheld or cut
+
+
+def _tile_pairs(distinct: DataFrame, radius: int, tile: int | None = None, share: int = SHARE, bounds: tuple[int, int] = TILE) -> DataFrame:
+    """``distinct`` (fp and others) once for each pair of tiles (t, u) that its tile is in; ``second`` if it is u."""
+    names = distinct.columns
     tiled = distinct.withColumn("ones", F.bit_count("fp").cast("int"))
     counts = {x["ones"]: x["n"] for x in tiled.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    tile = tile or min(max(sum(counts.values()) // SHARE, TILE[0]), TILE[1])
+    tile = tile or min(max(sum(counts.values()) // share, bounds[0]), bounds[1])
     parts = [max(1, -(-counts.get(k, 0) // tile)) for k in range(65)]
     first = np.cumsum([0, *parts]).tolist()
     # Tile t meets the tiles after it up to the last one of count + radius: the pair (t, u) has one task.
@@ -132,8 +193,12 @@ def links(distinct: DataFrame, radius: int, tile: int | None = None) -> DataFram
     ones_to = lambda k: F.element_at(F.array(*map(F.lit, [first[max(0, min(65, x + k))] for x in range(66)])), F.col("ones") + 1)
     placed = tiled.withColumn("tile", tile_of)
     others = F.sequence(ones_to(-radius), ones_to(radius + 1) - 1)
-    pairs = placed.select("fp", "tile", F.explode(others).alias("other"))
-    pairs = pairs.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).alias("second"), "fp")
+    pairs = placed.select(*names, "tile", F.explode(others).alias("other"))
+    return pairs.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).alias("second"), *names)
+
+
+def links(distinct: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
+    """(a, b): edges that connect what the links of ``distinct`` (fp) connect."""
 
     def run(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy().view(np.uint64)
@@ -144,7 +209,25 @@ def links(distinct: DataFrame, radius: int, tile: int | None = None) -> DataFram
         x = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
-    return pairs.groupBy("t", "u").applyInArrow(run, "a bigint, b bigint")
+    return _tile_pairs(distinct, radius, tile).groupBy("t", "u").applyInArrow(run, "a bigint, b bigint")
+
+
+def candidates(nodes: DataFrame, radius: int, most: int) -> DataFrame:
+    """(a, b, withheld): pairs of ``nodes`` (key, fp, n, label) that ``tile_candidates`` finds."""
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = {x: group.column(x).to_numpy() for x in ("key", "fp", "n", "label")}
+        columns["fp"] = columns["fp"].view(np.uint64)
+        second = group.column("second").to_numpy()
+        same = group.column("t")[0].as_py() == group.column("u")[0].as_py()
+        a, b = (columns, None) if same else ({k: v[~second] for k, v in columns.items()}, {k: v[second] for k, v in columns.items()})
+        if len(a["fp"]) and (same or len(b["fp"])):
+            high, low, withheld = tile_candidates(a, b, radius, most)
+        else:
+            high, low, withheld = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        return pa.table({"a": high, "b": low, "withheld": np.full(len(high), withheld)})
+
+    return _tile_pairs(nodes, radius, share=WIDE_SHARE, bounds=(1, TILE[1])).groupBy("t", "u").applyInArrow(run, "a bigint, b bigint, withheld boolean")
 
 
 def classes(rows: DataFrame, radius: int) -> DataFrame:
@@ -171,3 +254,74 @@ def representatives(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     own = joined.select(ROW_ID, "component_id", "doc_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed"))
     kept = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "unnamed").agg(F.min(ROW_ID).alias(ROW_ID))
     return with_row_id(docs).join(kept.select(ROW_ID), ROW_ID, "left_semi").select(*docs.columns)
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """Per row of ``docs`` (__row_id, doc_id, text): its fingerprint, the key and size of its shingle set; in a table of the shared folder."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps, keys, sizes = [], [], []
+        for text in texts(batch):
+            data = shingle_hashes(text, words, seed)
+            distinct = np.unique(np.frombuffer(data, np.int64))
+            fps.append(majority(data))
+            keys.append(xxhash.xxh64_intdigest(distinct.tobytes(), seed))
+            sizes.append(len(distinct))
+        columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, keys)] + [pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(ROW_ID), batch.column("doc_id"), *columns], names=[ROW_ID, "doc_id", "fp", "key", "n"])
+
+    wanted = docs.select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return write_table(arrow_map(wanted, run, f"{ROW_ID} bigint, doc_id bigint, fp bigint, key bigint, n bigint"), "shingle-sets")
+
+
+def similar(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, seed: int) -> DataFrame:
+    """The ``edges`` (a, b: keys of ``nodes``) whose shingle sets are similar; only texts at their ends are read again."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [np.unique(np.frombuffer(shingle_hashes(x, words, seed), np.int64)) for x in texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    ends = edges.select(F.col("a").alias("key")).union(edges.select(F.col("b").alias("key"))).distinct()
+    wanted = nodes.join(ends, "key", "left_semi").select("key", F.col("row").alias(ROW_ID))
+    sets = write_table(arrow_map(docs.select(ROW_ID, "text").join(wanted, ROW_ID).select("key", "text"), run, "key bigint, shingles array<bigint>"), "shingles")
+    joined = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return joined.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+
+def verified_classes(docs: DataFrame, nodes: DataFrame, words: int, radius: int, seed: int) -> DataFrame:
+    """(key, component) of ``nodes`` (key, fp, n, row): connected by candidate pairs whose sets are similar.
+
+    A round checks a bounded number of candidates for each text. If it left any out, another
+    round, of a higher bound, looks at the candidates that are not connected yet. So a dense
+    group costs few pairs a text, and no candidate pair of two components is left unchecked.
+    """
+    labelled, edges, most = nodes.withColumn("component", F.col("key")), None, ALLOWANCE
+    while True:
+        found = write_table(candidates(labelled.select("key", "fp", "n", F.col("component").alias("label")), radius, most), "candidates")
+        ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("b")))
+        state = ranked.agg(F.count("*").alias("n"), F.max(F.col("withheld") | (F.col("place") > most)).alias("withheld")).first()
+        if not state["n"]:
+            return labelled.select("key", "component")
+        checked = write_table(similar(docs, nodes, ranked.where(F.col("place") <= most).select("a", "b"), words, seed), "similar")
+        edges = checked if edges is None else edges.union(checked)
+        of = components(edges)
+        labelled = write_table(nodes.join(of, nodes["key"] == of["node"], "left").select(*nodes.columns, F.coalesce("component", "key").alias("component")), "labelled")
+        if not state["withheld"]:
+            return labelled.select("key", "component")
+        most *= MORE
+
+
+def verified_representatives(docs: DataFrame, words: int = 5, radius: int = WIDE, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each group connected by similar shingle sets: of the smallest doc_id, the first row that has it."""
+    stored = stored_rows(docs)
+    rows = shingle_sets(stored, words, seed)
+    nodes = write_table(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(ROW_ID).alias("row"), F.min("doc_id").alias("first")), "distinct-sets")
+    of = verified_classes(stored, nodes.drop("first"), words, radius, seed)
+    placed = write_table(nodes.select("key", "first").join(of, "key"), "components-of-sets")
+    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    joined = rows.join(placed.join(least, "component").select("key", "component_id"), "key")
+    # As in representatives: in a group of null doc_ids alone, each distinct set stays.
+    own = joined.select(ROW_ID, "component_id", "doc_id", F.when(F.col("component_id").isNull(), F.col("key")).alias("unnamed"))
+    kept = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "unnamed").agg(F.min(ROW_ID).alias(ROW_ID))
+    return stored.join(kept.select(ROW_ID), ROW_ID, "left_semi").select(*docs.columns)

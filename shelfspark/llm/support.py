@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shared import write_table
 
-__all__ = ["ROW_ID", "arrow_map", "slices", "texts", "with_row_id", "write_table"]
+__all__ = ["ROW_ID", "arrow_map", "slices", "stored_rows", "texts", "with_row_id", "write_table"]
 
 ROW_ID = "__row_id"
 
@@ -24,6 +24,11 @@ def with_row_id(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def stored_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row_id`` as a table of the shared folder, so that every later read has the same ids."""
+    return write_table(with_row_id(docs), "rows")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 

@@ -92,3 +92,45 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(301)} == {0} and {got[i] for i in range(1000, 1400)} == {1000} and got[2000] == 1999
     assert len(got) == 301 + 400 + 2
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])
+
+
+def test_verified_representatives_remove_similar_texts(spark, tmp_path, odd, nothing):
+    """Near copies more than 4 bits apart go; texts that only their fingerprints link stay; a dense group goes whole."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(120)]
+        texts += [" ".join(base), " ".join(base[:60] + [word()] + base[61:]), " ".join(base[:40] + [word()] + base[41:80] + [word()] + base[81:])]
+    base = [word() for _ in range(300)]
+    texts += [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(60)]
+    sets = [shingle_set(x) for x in texts]
+    fps = [simhash.fingerprint(x, 5, 42) for x in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    wide = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = (fps[i] ^ fps[j]).bit_count()
+            if apart <= simhash.WIDE and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                wide += apart > 4
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    assert wide > 20
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = simhash.verified_representatives(spark.read.parquet(str(tmp_path / "d")))
+    assert sorted(r.doc_id for r in got.collect()) == sorted({root(i) for i in range(len(texts))})
+    assert simhash.verified_representatives(nothing).count() == 0
+    kept = simhash.verified_representatives(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({min(r.doc_id for r in odd.collect() if r.doc_id is not None and shingle_set(r.text) == s) for s in {shingle_set(r.text) for r in odd.where("doc_id is not null").collect()}})
