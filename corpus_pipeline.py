@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that an earlier place has too are deleted; a document stays even if it becomes empty."""
-    return line_dedup.delete_repeats(docs)
+    """Runs of lines, and long lines, that an earlier place has too are deleted; a document stays even if it becomes empty."""
+    return line_dedup.delete_repeats(docs, long_line=line_dedup.LONG_LINE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ hash is its fingerprint, so two runs of that many equal lines anywhere share a f
 Windows whose fingerprint the corpus has in one place only cannot repeat and go first. Around
 the other fingerprints the match is extended both ways: every window that holds one is
 looked up by a digest of all its lines, and is a repeat if an earlier place has the same
-lines. Earlier means by doc_id, then by row, then by line; in one document the two places may
+lines. Where ``long_line`` is given, each line of at least so many words is a window of its
+own besides, with its own fingerprint and digest. Earlier means by doc_id, then by row, then by line; in one document the two places may
 not overlap. The lines of repeats are deleted, so the first place of every run stays.
 
 Minima are aggregated before they are shuffled, and each place is joined to the first one
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from .support import ROW_ID, with_row_id, write_table
 
 WINDOW = 2
+#: Words from which a line is a passage that is matched alone, where that is asked for.
+LONG_LINE = 50
+#: What ``regexp_count`` takes for a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _sequence(text: Column) -> Column:
@@ -34,35 +39,45 @@ def _sequence(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(" \t\r")).alias("line"))), lambda s: s["line"] != "")
 
 
-def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each window's place, its fingerprint, and a digest of its lines."""
+def windows(docs: DataFrame, window: int = WINDOW, long_line: int | None = None) -> DataFrame:
+    """Each window's place, its number of lines, its fingerprint, and a digest of its lines."""
     rows = with_row_id(docs).select(ROW_ID, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("doc"), _sequence(F.col("text")).alias("seq"))
-    rows = rows.where(F.size("seq") >= window).withColumn("hashes", F.transform("seq", lambda s: F.xxhash64(s["line"])))
+    rows = rows.where(F.size("seq") >= (window if long_line is None else 1)).withColumn("hashes", F.transform("seq", lambda s: F.xxhash64(s["line"])))
     # The rightmost least: of equal hashes, the one with the greatest place.
-    least = lambda j: F.array_min(F.transform(F.slice("hashes", j + 1, window), lambda h, k: F.struct(h.alias("hash"), (-k - j).alias("place"))))
-    one = lambda j: F.struct(
+    least = lambda j, n: F.array_min(F.transform(F.slice("hashes", j + 1, n), lambda h, k: F.struct(h.alias("hash"), (-k - j).alias("place"))))
+    one = lambda j, n: F.struct(
         j.alias("line"),
+        F.lit(n).alias("n_lines"),
         F.get("seq", j)["at"].alias("from_line"),
-        (F.get("seq", j + (window - 1))["at"] + 1).alias("to_line"),
-        least(j)["hash"].alias("fingerprint"),
-        (-least(j)["place"]).alias("place"),
-        F.unhex(F.md5(F.array_join(F.transform(F.slice("seq", j + 1, window), lambda s: s["line"]), "\n").cast("binary"))).alias("digest"),
+        (F.get("seq", j + (n - 1))["at"] + 1).alias("to_line"),
+        least(j, n)["hash"].alias("fingerprint"),
+        (-least(j, n)["place"]).alias("place"),
+        F.unhex(F.md5(F.array_join(F.transform(F.slice("seq", j + 1, n), lambda s: s["line"]), "\n").cast("binary"))).alias("digest"),
     )
-    return rows.select(ROW_ID, "doc", F.inline(F.transform(F.sequence(F.lit(0), F.size("seq") - window), one)))
-
-
-def matches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    places = F.sequence(F.lit(0), F.size("seq") - window)
+    if long_line is None:
+        return rows.select(ROW_ID, "doc", F.inline(F.transform(places, lambda j: one(j, window))))
+    # A line of no window of several lines can be a long one.
+    places = F.when(F.size("seq") >= window, places).otherwise(F.array().cast("array<int>"))
+    found = rows.select(ROW_ID, "doc", F.inline(F.transform(places, lambda j: one(j, window))))
+    if window == 1:
+        return found
+    long = F.filter(F.sequence(F.lit(0), F.size("seq") - 1), lambda j: F.regexp_count(F.get("seq", j)["line"], F.lit(WORD)) >= long_line)
+    return found.union(rows.select(ROW_ID, "doc", F.inline(F.transform(long, lambda j: one(j, 1)))))
+
+
+def matches(docs: DataFrame, window: int = WINDOW, long_line: int | None = None) -> DataFrame:
     """Each window that an earlier place repeats: its place and that of the first."""
-    found = write_table(windows(docs, window), "line-windows")
+    found = write_table(windows(docs, window, long_line), "line-windows")
     places = found.select("fingerprint", ROW_ID, "place").distinct()
     # Both are tables of their own, so that a join with a very common fingerprint or window can be split.
     shared = write_table(places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-fingerprints")
-    candidates = write_table(found.join(shared, "fingerprint", "left_semi").select(ROW_ID, "doc", "line", "from_line", "to_line", "digest"), "line-candidates")
+    candidates = write_table(found.join(shared, "fingerprint", "left_semi").select(ROW_ID, "doc", "line", "n_lines", "from_line", "to_line", "digest"), "line-candidates")
     place = F.struct("doc", F.col(ROW_ID).alias("row"), "line", "from_line")
     first = write_table(candidates.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "line-firsts")
     joined = candidates.join(first, "digest")
     other = F.col("first.row") != F.col(ROW_ID)
-    return joined.where(other | (F.col("first.line") + window <= F.col("line"))).select(ROW_ID, "line", "from_line", "to_line", "first")
+    return joined.where(other | (F.col("first.line") + F.col("n_lines") <= F.col("line"))).select(ROW_ID, "line", "from_line", "to_line", "first")
 
 
 def runs(found: DataFrame) -> DataFrame:
@@ -76,16 +91,16 @@ def runs(found: DataFrame) -> DataFrame:
     return each.groupBy(ROW_ID).agg(F.array_sort(F.collect_list(one)).alias("runs"))
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, long_line: int | None = None) -> DataFrame:
     """``docs`` as ``input``, with ``runs`` (null if none), and the ``kept`` text."""
     named = with_row_id(docs).select(ROW_ID, F.struct(*docs.columns).alias("input"))
-    joined = named.join(runs(matches(docs, window)), ROW_ID, "left")
+    joined = named.join(runs(matches(docs, window, long_line)), ROW_ID, "left")
     lines = F.split("input.text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (r["from_line"] <= i) & (i < r["to_line"])))
     return joined.withColumn("kept", F.when(F.col("runs").isNull(), F.col("input.text")).otherwise(F.array_join(kept, "\n")))
 
 
-def delete_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def delete_repeats(docs: DataFrame, window: int = WINDOW, long_line: int | None = None) -> DataFrame:
     """``docs`` without the lines that an earlier place repeats."""
-    done = deduplicate(docs, window)
+    done = deduplicate(docs, window, long_line)
     return done.select(*(F.col("kept").alias("text") if c == "text" else F.col("input")[c].alias(c) for c in docs.columns))

@@ -52,6 +52,16 @@ def test_line_dedup_repeats_inside_and_across(spark, tmp_path):
     assert got == {0: "a\nb\nc", 1: "x\n\ny\nz", 2: "r\nr", 3: None, 4: "c\nb\na"}
 
 
+def test_pipeline_deletes_long_lines_that_stand_alone(spark, sf_dir, tmp_path):
+    """Against plain code: what windows of two lines delete, and each later line of 50 words or more."""
+    passage, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"s{i}" for i in range(49))
+    texts = ["a\n" + passage + "\nb", passage, "c\n " + passage + "\t\nd\n" + passage, short, "e\n" + short + "\nf", "p\nq", "p\nq\nr", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf_dir).collect()}
+    assert got == {0: texts[0], 1: "", 2: "c\nd", 3: short, 4: texts[4], 5: "p\nq", 6: "r", 7: None}
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
