@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import ROW_ID, with_row_id, write_table
+from .support import ROW_ID, stored_rows, with_row_id, write_table
 
 #: Training and held-out examples, distinct n-grams kept, and the precision asked for on the held-out ones.
 EXAMPLES, VOCABULARY, PRECISION = 2_400, 6_000, 0.995
@@ -206,11 +206,12 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
 
 def documents(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): paragraphs, confirmed licence paragraphs, their families and places."""
-    found = scan(docs, classifier).where("confirmed")
+    stored = stored_rows(docs.select("doc_id", "text"))
+    found = scan(stored, classifier).where("confirmed")
     one = F.struct("position", "family")
     lists = found.groupBy(ROW_ID).agg(F.array_sort(F.collect_list(one)).alias("found"), F.min("probability").alias("least_probability"))
     filled = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")) != "")
-    rows = with_row_id(docs).select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), F.size(filled).cast("bigint").alias("n_paragraphs"))
+    rows = stored.select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), F.size(filled).cast("bigint").alias("n_paragraphs"))
     joined = rows.join(lists, ROW_ID, "left")
     return joined.select(
         "doc_id",

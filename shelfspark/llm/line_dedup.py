@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import ROW_ID, with_row_id, write_table
+from .support import ROW_ID, stored_rows, with_row_id, write_table
 
 WINDOW = 2
 #: Words from which a line is a passage that is matched alone, where that is asked for.
@@ -93,8 +93,9 @@ def runs(found: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, long_line: int | None = None) -> DataFrame:
     """``docs`` as ``input``, with ``runs`` (null if none), and the ``kept`` text."""
-    named = with_row_id(docs).select(ROW_ID, F.struct(*docs.columns).alias("input"))
-    joined = named.join(runs(matches(docs, window, long_line)), ROW_ID, "left")
+    stored = stored_rows(docs)
+    named = stored.select(ROW_ID, F.struct(*docs.columns).alias("input"))
+    joined = named.join(runs(matches(stored, window, long_line)), ROW_ID, "left")
     lines = F.split("input.text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (r["from_line"] <= i) & (i < r["to_line"])))
     return joined.withColumn("kept", F.when(F.col("runs").isNull(), F.col("input.text")).otherwise(F.array_join(kept, "\n")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import ROW_ID, arrow_map, texts, with_row_id, write_table
+from .support import ROW_ID, arrow_map, stored_rows, texts, with_row_id, write_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -106,5 +106,6 @@ def assess(docs: DataFrame, host: Column) -> DataFrame:
 
 def keep(docs: DataFrame, host: Column) -> DataFrame:
     """The rows of ``docs`` that neither their own rules nor their host's verdict reject."""
-    kept = assess(docs, host).where("kept").select(ROW_ID)
-    return with_row_id(docs).join(kept, ROW_ID, "left_semi").select(*docs.columns)
+    stored = stored_rows(docs)
+    kept = assess(stored, host).where("kept").select(ROW_ID)
+    return stored.join(kept, ROW_ID, "left_semi").select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import ROW_ID, arrow_map, texts, with_row_id, write_table
+from .support import ROW_ID, arrow_map, stored_rows, texts, with_row_id, write_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -128,7 +128,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each live-looking span replaced by ``mark``; copied examples and all else stay."""
     live = F.filter("found", lambda x: ~x["example"])
-    lists = scan(docs, repository, owner).select(ROW_ID, live.alias("__live")).where(F.size("__live") > 0)
+    stored = stored_rows(docs)
+    lists = scan(stored, repository, owner).select(ROW_ID, live.alias("__live")).where(F.size("__live") > 0)
     # Spans may overlap (a hex value after "password="): text is copied from the furthest end so far.
     step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
         F.struct(
@@ -137,5 +138,5 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[sec
         )
     )
     whole = F.aggregate("__live", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step, lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"))))
-    joined = with_row_id(docs).join(lists, ROW_ID, "left")
+    joined = stored.join(lists, ROW_ID, "left")
     return joined.withColumn("text", F.when(F.col("__live").isNull(), F.col("text")).otherwise(whole)).select(*docs.columns)

@@ -248,12 +248,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
 
 def representatives(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: of the smallest doc_id, the first row that has it."""
-    rows = fingerprints(docs, words, seed)
+    stored = stored_rows(docs)
+    rows = fingerprints(stored, words, seed)
     joined = rows.join(classes(rows, radius), "fp")
     # Rows of null doc_id come last; a component of such rows alone is known by its fingerprints only, and each one stays.
     own = joined.select(ROW_ID, "component_id", "doc_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed"))
     kept = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "unnamed").agg(F.min(ROW_ID).alias(ROW_ID))
-    return with_row_id(docs).join(kept.select(ROW_ID), ROW_ID, "left_semi").select(*docs.columns)
+    return stored.join(kept.select(ROW_ID), ROW_ID, "left_semi").select(*docs.columns)
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:

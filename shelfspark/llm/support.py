@@ -16,11 +16,13 @@ ROW_ID = "__row_id"
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Adds ``__row_id``, unique for each row (ids of documents may be null or repeated).
+    """Adds ``__row_id``, unique for each row (ids of documents may be null or repeated), if ``docs`` has none.
 
-    The id is a row's place in its partition, so ``docs`` has to be a table that is
-    read alike each time, as Parquet is. Pass other frames through ``write_table`` first.
+    The id is a row's place in its partition of this read; another read may be split
+    otherwise. What joins ids to rows again takes ``stored_rows`` for both sides.
     """
+    if ROW_ID in docs.columns:
+        return docs
     return docs.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 

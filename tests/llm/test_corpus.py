@@ -195,3 +195,41 @@ def plain_hex(rows):
         shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or ([" ".join(words)] if words else [])
         hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
         yield f"{sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64)):016x}"
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, docs, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("files") / "documents.parquet")
+    docs.orderBy(F.xxhash64("doc_id")).repartition(12).write.parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "quality", "simhash", "verified", "secrets", "licenses"])
+def test_rows_keep_their_ids_when_a_later_read_is_split_otherwise(spark, many_files, monkeypatch, name):
+    """After the first table is written, files are no more packed into common partitions."""
+    from shelfspark.llm import quality, secrets, simhash, support
+
+    model = licenses.Classifier(spark) if name == "licenses" else None
+    run = {
+        "line_dedup": lambda d: line_dedup.delete_repeats(d),
+        "quality": lambda d: quality.keep(d, F.col("source")),
+        "simhash": lambda d: simhash.representatives(d),
+        "verified": lambda d: simhash.verified_representatives(d),
+        "secrets": lambda d: secrets.redact(d, F.concat_ws("/", "source", "lang"), F.col("source")),
+        "licenses": lambda d: licenses.documents(d, model),
+    }[name]
+    want = Counter(map(tuple, run(spark.read.parquet(many_files)).collect()))
+    write = support.write_table
+
+    def split_otherwise(df, table):
+        done = write(df, table)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return done
+
+    for module in (support, line_dedup, quality, secrets, simhash, licenses):
+        monkeypatch.setattr(module, "write_table", split_otherwise)
+    try:
+        got = Counter(map(tuple, run(spark.read.parquet(many_files)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
