@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, urls
 from ..functions.text import clean_text, fold
 from ..schema import ORDER
+from ..shared import write_table
 
 
 def product_key() -> Column:
@@ -115,22 +116,13 @@ def keep_newest(df: DataFrame, key: str, updated: str, tie: str) -> DataFrame:
 def resolve_two_keys(df: DataFrame, site: str, url: str, sku: str) -> DataFrame:
     """Adds ``_entity``: the address under which a record is kept if its code was seen under an earlier address of the site.
 
-    In order of arrival a record belongs to the address that its code was last filed under,
-    else to its own; codes and addresses of a site are few, and sites are shared out by key.
+    In order of arrival a code is filed under the first address known with it, and all its
+    records from then on belong to that one; others keep their own. The first addresses are
+    aggregated by site and code, and are a table of their own, so that a large site or code
+    can be split.
     """
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        filed, entity = {}, []
-        group = group.sort_values(ORDER)
-        for u, s in zip(group[url], group["_sku"], strict=True):
-            s = s if isinstance(s, str) and s else None
-            key = filed.get(s) if s else None
-            key = key or (u if isinstance(u, str) else None)
-            if s and key:
-                filed[s] = key
-            entity.append(key)
-        return group.assign(_entity=entity).drop(columns="_sku")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _entity string"
-    return df.withColumn("_sku", F.lower(clean_text(F.col(sku)))).groupBy(site).applyInPandas(run, schema)
+    rows = df.withColumn("_sku", F.nullif(F.lower(clean_text(F.col(sku))), F.lit("")))
+    known = rows.where(F.col("_sku").isNotNull() & (F.col(url) != ""))
+    first = write_table(known.groupBy(F.col(site).alias("_site"), F.col("_sku").alias("_code")).agg(F.min_by(url, ORDER).alias("_filed"), F.min(ORDER).alias("_from")), "filed-codes")
+    joined = rows.join(first, F.col(site).eqNullSafe(F.col("_site")) & (F.col("_sku") == F.col("_code")), "left")
+    return joined.select(*df.columns, F.when(F.col(ORDER) >= F.col("_from"), F.col("_filed")).otherwise(F.col(url)).alias("_entity"))

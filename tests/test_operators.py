@@ -163,6 +163,26 @@ def test_two_keys(spark):
     assert [r._entity for r in dedupe.resolve_two_keys(rows, "site", "url", "sku").orderBy(ORDER).collect()] == ["u1", "u1", "u3", "u1", None]
 
 
+def test_two_keys_of_one_large_site_need_no_python_group(spark):
+    """Against the loop in order of arrival; no site is gathered in Python."""
+    import random
+
+    rng, filed, data, want = random.Random(5), {}, [], []
+    for i in range(600):
+        site, url, sku = rng.choice(["big", "big", "s", None]), rng.choice([None, "", "u1", "u2", f"v{i}"]), rng.choice([None, "", " ", "A", "a ", "B", f"C{i // 7}"])
+        code = (sku or "").strip().lower()
+        key = (filed.get((site, code)) if code else None) or url
+        if code and key:
+            filed[site, code] = key
+        data.append((site, url, sku, i))
+        want.append((i, key))
+    rows = spark.createDataFrame(data, f"site string, url string, sku string, {ORDER} bigint").repartition(5)
+    got = dedupe.resolve_two_keys(rows, "site", "url", "sku")
+    assert got.columns == [*rows.columns, "_entity"]
+    assert sorted((r[ORDER], r._entity) for r in got.collect()) == want
+    assert "Pandas" not in got._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("product,want", [({"product_name": "BOMBA ACEITE CITROEN-PEUGEOT 1.6"}, ["citroen", "peugeot"]), ({"product_name": "ALFOMBRA UNIVERSAL NEGRA"}, ["otros"]), ({"product_name": "SOPORTE POWERFLOW UNIVERSAL"}, ["otros"]), ({"compatible_brands": ["AEOLUS", "Ford Camion"]}, ["aeolus", "ford"]), ({"product_name": "Faro V.W. Gol"}, ["volkswagen"]), ({"product_name": "x", "compatible_brands": ["Otros"]}, ["otros"])])
 def test_brand_inference(spark, product, want):
     assert [b.id for b in records(spark, [product]).select(brands.infer().alias("b")).first().b] == want
