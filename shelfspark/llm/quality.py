@@ -5,8 +5,10 @@ towards the corpus with an empirical beta prior, so that a host of few documents
 judged by them alone; and the verdicts are joined back to the documents.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; an
-empty text fails; repeated rows count and are judged each; an empty table gives no rows and
-a flat prior; other columns are ignored by ``assess`` and kept by ``keep``.
+empty text fails; very long texts are measured whole; a repeated line or window counts every
+time but the first, or every time; repeated rows count and are judged each; an empty table
+gives no rows and a flat prior; other columns, whatever their names, are ignored by ``assess``
+and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .support import ROW_ID, arrow_map, stored_rows, texts, with_row_id, write_table
+from .support import arrow_map, drop_tables, unpacked, write_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -54,20 +57,27 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def document_stats(docs: DataFrame, host: Column) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): its id, host and measures, in a table of the shared folder."""
+def _measured(docs: DataFrame, host: Column, whole: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): its id, host, measures, ``base_failed``, and if ``whole`` all its columns as ``input``."""
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns) if whole else ["text"]).alias("input")
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), host.cast("string").alias("host"), given)
+    kept = wanted if whole else wanted.drop("input")
+    names = kept.columns
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [measures(x) for x in texts(batch)]
-        keep = [ROW_ID, "doc_id", "host"]
-        columns = [batch.column(x) for x in keep] + [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(STATS))]
-        yield pa.RecordBatch.from_arrays(columns, names=[*keep, *STATS])
+        rows = [measures(x or "") for x in batch.column("input").field("text").to_pylist()]
+        columns = [batch.column(x) for x in names] + [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(STATS))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, *STATS])
 
-    wanted = with_row_id(docs).select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), host.cast("string").alias("host"), "text")
-    stats = arrow_map(wanted, run, f"{ROW_ID} bigint, doc_id bigint, host string, " + ", ".join(f"{x} bigint" for x in STATS))
+    stats = arrow_map(wanted, run, StructType([*kept.schema.fields, *(StructField(x, LongType()) for x in STATS)]))
     short = F.col("n_words") < MIN_WORDS
     repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    return write_table(stats.withColumn("base_failed", short | repeats), "quality-stats")
+    return stats.withColumn("base_failed", short | repeats)
+
+
+def document_stats(docs: DataFrame, host: Column) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): its id, host, measures and ``base_failed``, in a table of the shared folder."""
+    return write_table(_measured(docs, host), "quality-stats")
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -96,16 +106,25 @@ def host_verdicts(stats: DataFrame) -> DataFrame:
     return hosts.withColumn("host_rate", mean).withColumn("host_rejected", mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (total + 1)) > HOST_LIMIT)
 
 
+def _judged(stats: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``stats`` with its host's verdict; hosts are few beside documents, and the join is left to adaptive execution."""
+    hosts = verdicts.select(F.col("host").alias("of_host"), "host_rate", "host_rejected")
+    joined = stats.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("of_host")
+
+
 def assess(docs: DataFrame, host: Column) -> DataFrame:
     """Per row of ``docs``: measures, ``base_failed``, its host's shrunk rate, and ``kept``."""
     stats = document_stats(docs, host)
-    hosts = host_verdicts(stats).select(F.col("host").alias("of_host"), "host_rate", "host_rejected")
-    judged = stats.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("of_host")
+    return _judged(stats, host_verdicts(stats))
 
 
 def keep(docs: DataFrame, host: Column) -> DataFrame:
-    """The rows of ``docs`` that neither their own rules nor their host's verdict reject."""
-    stored = stored_rows(docs)
-    kept = assess(stored, host).where("kept").select(ROW_ID)
-    return stored.join(kept, ROW_ID, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that neither their own rules nor their host's verdict reject.
+
+    Rows are measured again beside their verdict instead of being stored or shuffled for it.
+    """
+    stats = document_stats(docs, host)
+    verdicts = write_table(host_verdicts(stats), "quality-hosts")
+    drop_tables(stats)
+    return unpacked(_judged(_measured(docs, host, whole=True).where("not base_failed"), verdicts).where("kept"), docs.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extraction, licenses, line_dedup, media, packing, quality, secrets, sentencepiece_fst, simhash, token_counts
+from .support import place_in_file
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 #: A document of more tokens is over the limit of a context.
@@ -30,7 +31,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    done = line_dedup.deduplicate(table(spark, sf_dir, "documents"), row=place_in_file())
     deleted = F.aggregate(F.coalesce("runs", F.array().cast(done.schema["runs"].dataType)), F.lit(0), lambda a, r: a + r["to_line"] - r["from_line"])
     text = F.coalesce("kept", F.lit(""))
     return done.select(
@@ -48,7 +49,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.documents(table(spark, sf_dir, "documents")).drop("least_probability")
+    return licenses.documents(table(spark, sf_dir, "documents"), row=place_in_file()).drop("least_probability")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_media(table(spark, sf_dir, "documents")).drop("png")
+    return media.read(media.store(table(spark, sf_dir, "documents"))).drop("cosine_hash")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,24 +89,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Windows of two lines, their first places, and what is left without their repeats.
+#: Fingerprints of windows of three lines and of long lines, their first places, both sides of each match, and what is left.
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
   FROM documents),
 filled AS (
-  SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13)) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k
-  FROM lines WHERE trim(raw, ' ' || chr(9) || chr(13)) <> ''),
-windows AS (
+  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines) WHERE line <> ''),
+grams AS (
   SELECT * FROM (
-    SELECT doc_id, k, pos AS from_line, lead(pos) OVER w + 1 AS to_line, line || chr(10) || lead(line) OVER w AS both_lines
+    SELECT doc_id, k, md5(line || chr(10) || lead(line) OVER w) AS fp, words + lead(words) OVER w AS together, greatest(words, lead(words) OVER w) AS most
     FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY k))
-  WHERE to_line IS NOT NULL),
-first AS (
-  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(k) OVER w AS first_k
-  FROM windows WINDOW w AS (PARTITION BY both_lines ORDER BY doc_id, k)),
-repeats AS (SELECT * FROM first WHERE first_doc <> doc_id OR first_k + 2 <= k),
-gone AS (SELECT DISTINCT doc_id, unnest(range(from_line, to_line)) AS pos FROM repeats),
+  WHERE fp IS NOT NULL),
+minima AS (
+  SELECT doc_id, CASE WHEN next_fp IS NULL OR fp < next_fp THEN k ELSE k + 1 END AS k
+  FROM (SELECT *, lead(fp) OVER w AS next_fp, count(*) OVER (PARTITION BY doc_id) AS n FROM grams WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+  WHERE next_fp IS NOT NULL OR n = 1),
+selected AS (SELECT doc_id, k FROM minima UNION SELECT doc_id, k FROM grams WHERE together >= 50 AND most < 50),
+places AS (
+  SELECT doc_id, k, 2 AS size, fp FROM selected JOIN grams USING (doc_id, k)
+  UNION ALL SELECT doc_id, k, 1, md5(line) FROM filled WHERE words >= 50),
+pairs AS (
+  SELECT * FROM (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(k) OVER w AS first_k FROM places WINDOW w AS (PARTITION BY fp ORDER BY doc_id, k))
+  WHERE first_doc <> doc_id OR first_k + size <= k),
+sides AS (
+  SELECT p.*, o, CASE WHEN o < 0 THEN p.k + o ELSE p.k + size - 1 + o END AS here, CASE WHEN o < 0 THEN first_k + o ELSE first_k + size - 1 + o END AS there
+  FROM pairs p, (VALUES (-3), (-2), (-1), (1), (2), (3)) AS t(o)),
+alike AS (
+  SELECT s.doc_id, s.k, s.size, s.o, bool_and(coalesce(a.line = b.line, false)) OVER (PARTITION BY s.doc_id, s.k, s.size, s.o > 0 ORDER BY abs(s.o)) AS all_alike
+  FROM sides s LEFT JOIN filled a ON a.doc_id = s.doc_id AND a.k = s.here LEFT JOIN filled b ON b.doc_id = s.first_doc AND b.k = s.there),
+reach AS (
+  SELECT p.doc_id, p.k - count(*) FILTER (all_alike AND o < 0) AS from_k, p.k + p.size - 1 + count(*) FILTER (all_alike AND o > 0) AS to_k
+  FROM pairs p JOIN alike a ON a.doc_id = p.doc_id AND a.k = p.k AND a.size = p.size GROUP BY p.doc_id, p.k, p.size),
+gone AS (
+  SELECT DISTINCT r.doc_id, unnest(range(a.pos, b.pos + 1)) AS pos
+  FROM reach r JOIN filled a ON a.doc_id = r.doc_id AND a.k = r.from_k JOIN filled b ON b.doc_id = r.doc_id AND b.k = r.to_k),
 marked AS (
   SELECT l.doc_id, l.pos, l.raw, g.pos IS NOT NULL AS deleted
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos),

@@ -6,7 +6,8 @@ task in plain text, and the hashes are aggregated by distinct repositories and o
 
 Defined results: a null text counts as empty; an empty text has no spans; null repositories and
 owners count as one unnamed repository or owner; repeated rows give repeated results and do not
-raise a value's number of owners; an empty table gives no rows; other columns are ignored by
+raise a value's number of owners; very long texts are searched whole; spans of one start come
+by kind; an empty table gives no rows; other columns, whatever their names, are ignored by
 ``scan`` and kept by ``redact``. Positions are code points, ends are exclusive.
 """
 
@@ -23,8 +24,9 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .support import ROW_ID, arrow_map, stored_rows, texts, with_row_id, write_table
+from .support import ROW_ID, arrow_map, write_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -63,20 +65,23 @@ def opaque_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple
 SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
 
 
-def _candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """Per row: its id, and the spans with hashed values, in a table of the shared folder."""
+def _candidates(docs: DataFrame, repository: Column, owner: Column, whole: bool = False) -> DataFrame:
+    """Per row: a new id, the spans with hashed values, and if ``whole`` all columns of ``docs`` as ``input``; in a table of the shared folder."""
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns) if whole else ["text"]).alias("input")
+    wanted = docs.select(F.monotonically_increasing_id().alias(ROW_ID), F.col("doc_id").cast("bigint").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), given)
+    kept = wanted if whole else wanted.drop("input")
+    names, kind = kept.columns, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.string())]))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.string())]))
         rows = []
-        for text in texts(batch):
-            base = base_spans(text)
-            rows.append([{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()} for s, k, e, v in sorted(base + opaque_spans(text, base))])
-        keep = [ROW_ID, "doc_id", "repository", "owner"]
-        yield pa.RecordBatch.from_arrays([batch.column(x) for x in keep] + [pa.array(rows, kind)], names=[*keep, "found"])
+        for text in batch.column("input").field("text").to_pylist():
+            base = base_spans(text or "")
+            spans = sorted(base + opaque_spans(text or "", base))
+            rows.append([{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()} for s, k, e, v in spans])
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(rows, kind)], names=[*names, "found"])
 
-    wanted = with_row_id(docs).select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), "text")
-    return write_table(arrow_map(wanted, run, f"{ROW_ID} bigint, doc_id bigint, repository string, owner string, found array<{SPAN}>"), "secret-candidates")
+    found = StructField("found", wanted.select(F.from_json(F.lit("[]"), f"array<{SPAN}>").alias("found")).schema["found"].dataType)
+    return write_table(arrow_map(wanted, run, StructType([*kept.schema.fields, found])), "secret-candidates")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -90,17 +95,21 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.withColumn("example", (F.col("n_owners") > MAX_OWNERS) | (F.col("n_repositories") > MAX_REPOSITORIES))
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """(__row_id, found) of the candidate rows that have spans: these by start, with owners, repositories and ``example``; random-looking runs only if they are owner-specific."""
+    spans = rows.where(F.size("found") > 0).select(ROW_ID, "repository", "owner", F.inline("found"))
+    judged = spans.join(ownership(spans), "hash")
+    kept = judged.where((F.col("kind") < 3) | ~F.col("example"))
+    return kept.groupBy(ROW_ID).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "hash", "n_owners", "n_repositories", "example"))).alias("found"))
+
+
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): ``found``, its spans by start with ``owned`` and ``example``.
+    """Per row of ``docs`` (doc_id, text): __row_id, doc_id and ``found``, its spans by start with ``n_owners`` and ``example``; null if none.
 
     Spans of the fixed patterns always stay; random-looking runs stay if their value is owner-specific.
     """
     rows = _candidates(docs, repository, owner)
-    spans = rows.where(F.size("found") > 0).select(ROW_ID, "repository", "owner", F.inline("found"))
-    judged = spans.join(ownership(spans), "hash")
-    kept = judged.where((F.col("kind") < 3) | ~F.col("example"))
-    lists = kept.groupBy(ROW_ID).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "hash", "n_owners", "n_repositories", "example"))).alias("found"))
-    return rows.select(ROW_ID, "doc_id").join(lists, ROW_ID, "left")
+    return rows.select(ROW_ID, "doc_id").join(_judged(rows), ROW_ID, "left")
 
 
 def _listed(spans: Column) -> Column:
@@ -111,7 +120,7 @@ def _listed(spans: Column) -> Column:
 
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts and digests of what ``scan`` returns."""
-    found = F.coalesce("found", F.expr("filter(found, x -> true)"), F.from_json(F.lit("[]"), scanned.schema["found"].dataType))
+    found = F.coalesce("found", F.from_json(F.lit("[]"), scanned.schema["found"].dataType))
     rows = scanned.withColumn("found", found)
     of = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("bigint")
     return rows.select(
@@ -126,17 +135,20 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each live-looking span replaced by ``mark``; copied examples and all else stay."""
-    live = F.filter("found", lambda x: ~x["example"])
-    stored = stored_rows(docs)
-    lists = scan(stored, repository, owner).select(ROW_ID, live.alias("__live")).where(F.size("__live") > 0)
+    """``docs`` with each live-looking span replaced by ``mark``; copied examples and all else stay.
+
+    Only rows that have spans are joined to the verdicts; all others pass as they are.
+    """
+    rows = _candidates(docs, repository, owner, whole=True)
+    live = _judged(rows).select(ROW_ID, F.filter("found", lambda x: ~x["example"]).alias("live")).where(F.size("live") > 0)
+    text = F.col("input.text")
     # Spans may overlap (a hex value after "password="): text is copied from the furthest end so far.
+    between = lambda acc, x: F.substr(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
     step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
-        F.struct(
-            F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
-            x["end"].alias("at"),
-        )
+        F.struct(F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.concat(between(acc, x), F.lit(mark))))).alias("out"), x["end"].alias("at"))
     )
-    whole = F.aggregate("__live", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step, lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"))))
-    joined = stored.join(lists, ROW_ID, "left")
-    return joined.withColumn("text", F.when(F.col("__live").isNull(), F.col("text")).otherwise(whole)).select(*docs.columns)
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    whole = F.aggregate("live", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
+    joined = rows.where(F.size("found") > 0).join(live, ROW_ID, "left").select("input", F.when(F.col("live").isNull(), text).otherwise(whole).alias("text"))
+    both = joined.union(rows.where(F.size("found") == 0).select("input", text.alias("text")))
+    return both.select(*(F.col("text") if c == "text" else F.col("input")[c].alias(c) for c in docs.columns))

@@ -5,33 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..shared import write_table
+from ..shared import drop_tables, write_table
 
-__all__ = ["ROW_ID", "arrow_map", "slices", "stored_rows", "texts", "with_row_id", "write_table"]
+__all__ = ["ROW_ID", "arrow_map", "drop_tables", "known_rows", "place_in_file", "slices", "texts", "unpacked", "with_row_id", "write_table"]
 
 ROW_ID = "__row_id"
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Adds ``__row_id``, unique for each row (ids of documents may be null or repeated), if ``docs`` has none.
+    """``docs`` with ``__row_id``, unique for each row (ids of documents may be null or repeated), in place of any column so named.
 
     The id is a row's place in its partition of this read; another read may be split
-    otherwise. What joins ids to rows again takes ``stored_rows`` for both sides.
+    otherwise. What joins ids to rows again takes ``known_rows`` for both sides.
     """
-    if ROW_ID in docs.columns:
-        return docs
     return docs.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def stored_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row_id`` as a table of the shared folder, so that every later read has the same ids."""
-    return write_table(with_row_id(docs), "rows")
+def place_in_file() -> Column:
+    """Names each row of a table that is read straight from files by its file and its place there, alike in every read."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def known_rows(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(__row_id, input), with the same ids in every read; ``input`` has all columns of ``docs``.
+
+    ``row`` names each row, as ``place_in_file`` does for tables of files. Without it the rows
+    are numbered and stored in a table of the shared folder first.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("input")
+    if row is not None:
+        return docs.select(row.alias(ROW_ID), whole)
+    return write_table(docs.select(F.monotonically_increasing_id().alias(ROW_ID), whole), "rows")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``known_rows`` as they came."""
+    return rows.select(*(F.col("input")[c].alias(c) for c in columns))
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Line dedup, SentencePiece, licences, pages and the pipeline."""
 
+import hashlib
 import html
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -19,47 +22,95 @@ from shelfspark.llm.html_pages import labelled_page
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def plain_dedup(rows, window):
+def plain_dedup(rows, window=3, gram=2, long=50):
     """(text left) per row, in order of doc_id (null last) and place in the list."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0, i))
     seqs = {i: [(k, x.strip(" \t\r")) for k, x in enumerate((rows[i].text or "").split("\n")) if x.strip(" \t\r")] for i in order}
     first, gone = {}, {i: set() for i in order}
     for i in order:
-        seq = seqs[i]
-        for j in range(len(seq) - window + 1):
-            key = tuple(x for _, x in seq[j : j + window])
-            doc, line = first.setdefault(key, (i, j))
-            if doc != i or line + window <= j:
-                gone[i] |= set(range(seq[j][0], seq[j + window - 1][0] + 1))
+        seq = [x for _, x in seqs[i]]
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in seq]
+        digests = [hashlib.md5("\n".join(seq[j : j + gram]).encode()).hexdigest() for j in range(len(seq) - gram + 1)]
+        inside = min(window - gram + 1, len(digests))
+        places = {(min(range(a, a + inside), key=lambda j: (digests[j], -j)), gram) for a in range(len(digests) - inside + 1) if inside}
+        places |= {(j, gram) for j in range(len(digests)) if sum(words[j : j + gram]) >= long > max(words[j : j + gram])}
+        places |= {(j, 1) for j in range(len(seq)) if words[j] >= long}
+        for j, n in sorted(places):
+            doc, line = first.setdefault(tuple(seq[j : j + n]), (i, j))
+            if doc == i and line + n > j:
+                continue
+            there, a, b = [x for _, x in seqs[doc]], 0, 0
+            while a < window and j - a > 0 and line - a > 0 and seq[j - a - 1] == there[line - a - 1]:
+                a += 1
+            while b < window and j + n + b < len(seq) and line + n + b < len(there) and seq[j + n + b] == there[line + n + b]:
+                b += 1
+            gone[i] |= set(range(seqs[i][j - a][0], seqs[i][j + n + b - 1][0] + 1))
     return [None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[i]) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("window", [1, 2, 3])
+@pytest.mark.parametrize("window", [(2, 2), (3, 2), (4, 2), (3, 1), (1, 1)])
 def test_line_dedup(docs, odd, nothing, window):
     for df in (docs, odd):
         rows = df.withColumn("id_", F.monotonically_increasing_id()).orderBy("id_").collect()
-        want = Counter((r.doc_id, t) for r, t in zip(rows, plain_dedup(rows, window), strict=True))
-        got = line_dedup.delete_repeats(df, window)
+        want = Counter((r.doc_id, t) for r, t in zip(rows, plain_dedup(rows, *window), strict=True))
+        got = line_dedup.delete_repeats(df, *window)
         assert got.columns == df.columns
         assert Counter((r.doc_id, r.text) for r in got.collect()) == want
-    assert line_dedup.delete_repeats(nothing, window).count() == 0
+    assert line_dedup.delete_repeats(nothing, *window).count() == 0
+
+
+def stored(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(path / "d"))
+    return spark.read.parquet(str(path / "d"))
+
+
+def test_line_dedup_of_invented_runs(spark, tmp_path):
+    """Planted runs of three lines and more go, up to a line at an end; a copy of every line stays; lines that repeat alone stay."""
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 9)))
+    passages = [[line() for _ in range(rng.randrange(3, 9))] for _ in range(8)]
+    texts, planted = [], []
+    for i in range(60):
+        parts, where, n = [], [], 0
+        for _ in range(rng.randrange(1, 6)):
+            part = [f"own {i} {n} {line()}"] if rng.random() < 0.5 else ["very common line"] if rng.random() < 0.4 else rng.choice(passages)
+            where.append((n, len(part), tuple(part)))
+            parts += part
+            n += len(part)
+        texts.append("\n".join(parts))
+        planted.append(where)
+    got = {r.doc_id: r for r in line_dedup.deduplicate(stored(spark, tmp_path, texts)).select("input.doc_id", "runs", "kept").collect()}
+    seen, left = set(), Counter(x for r in got.values() for x in r.kept.split("\n"))
+    assert all(left[x] for t in texts for x in t.split("\n"))
+    for i, where in enumerate(planted):
+        gone = {k for r in got[i].runs or [] for k in range(r.from_line, r.to_line)}
+        for at, n, part in where:
+            if n >= 3 and part in seen:
+                assert set(range(at + 1, at + n - 1)) <= gone
+            if n == 1 and part[0].startswith("own"):
+                assert at not in gone
+            seen.add(part)
+    assert [t for t in plain_dedup([got_row(i, t) for i, t in enumerate(texts)])] == [got[i].kept for i in range(60)]
+
+
+def got_row(doc_id, text):
+    return Row(doc_id=doc_id, text=text)
 
 
 def test_line_dedup_repeats_inside_and_across(spark, tmp_path):
-    texts = ["a\nb\nc", "x\na\nb\n\ny\nb\nc\nz", "r\nr\nr\nr\nr", None, "c\nb\na"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
-    got = {r.doc_id: r.text for r in line_dedup.delete_repeats(spark.read.parquet(str(tmp_path / "d"))).collect()}
-    assert got == {0: "a\nb\nc", 1: "x\n\ny\nz", 2: "r\nr", 3: None, 4: "c\nb\na"}
+    texts = ["a\nb\nc\nd", "x\na\nb\n\nc\nd\ny", "r\nr\nr\nr\nr", None, "c\nb\na", "z\na\nz2"]
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeats(stored(spark, tmp_path, texts)).collect()}
+    assert got == {0: texts[0], 1: "x\ny", 2: "r\nr", 3: None, 4: "c\nb\na", 5: texts[5]}
 
 
-def test_pipeline_deletes_long_lines_that_stand_alone(spark, sf_dir, tmp_path):
-    """Against plain code: what windows of two lines delete, and each later line of 50 words or more."""
+def test_line_dedup_deletes_long_lines_that_stand_alone(spark, sf_dir, tmp_path):
+    """A later line of 50 words goes, and two lines that have so many together; shorter ones stay."""
     passage, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"s{i}" for i in range(49))
-    texts = ["a\n" + passage + "\nb", passage, "c\n " + passage + "\t\nd\n" + passage, short, "e\n" + short + "\nf", "p\nq", "p\nq\nr", None]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf_dir).collect()}
-    assert got == {0: texts[0], 1: "", 2: "c\nd", 3: short, 4: texts[4], 5: "p\nq", 6: "r", 7: None}
+    half = [" ".join(f"{x}{i}" for i in range(25)) for x in "hk"]
+    texts = ["a\n" + passage + "\nb", passage, "c\n " + passage + "\t\nd\n" + passage, short, "e\n" + short + "\nf", "g\n" + "\n".join(half) + "\nh", "\n".join(half), None]
+    docs = stored(spark, tmp_path, texts)
+    for got in (line_dedup.delete_repeats(docs), corpus_pipeline.lines(spark, docs, sf_dir)):
+        assert {r.doc_id: r.text for r in got.collect()} == {0: texts[0], 1: "", 2: "c\nd", 3: short, 4: texts[4], 5: texts[5], 6: "", 7: None}
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -170,7 +221,7 @@ def test_pipeline(spark, sf_dir, docs, odd, nothing):
         assert after.columns == docs.columns
         rows, left = now.collect(), {r.doc_id: r for r in after.collect()}
         if name == "line_dedup":
-            assert [left[r.doc_id].text for r in rows] == plain_dedup(rows, line_dedup.WINDOW)
+            assert [left[r.doc_id].text for r in rows] == plain_dedup(rows)
         elif name == "simhash_near_dedup":
             fps = [(r.doc_id, int(x, 16)) for r, x in zip(rows, plain_hex(rows), strict=True)]
             assert set(left) == {c for _, _, c in plain_components(fps)}

@@ -1,6 +1,7 @@
 """Operators whose result is a function of each text, against the libraries or plain code."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -34,7 +35,7 @@ def test_token_counts(docs, odd, nothing):
 
 
 def test_token_counts_hold_each_pretoken_in_one_bucket(odd):
-    rows = token_counts.frequencies(token_counts.with_row_id(odd), BYTE, 5).collect()
+    rows = token_counts.frequencies(odd, BYTE, 5).where("bucket is not null").collect()
     buckets = {}
     for r in rows:
         for w in token_counts._cut(r.joined, np.array(r.sizes)):
@@ -43,6 +44,20 @@ def test_token_counts_hold_each_pretoken_in_one_bucket(odd):
     assert all(sum(r.n_rows) == len(r.places) == len(r.counts) for r in rows)
 
 
+def test_a_pretoken_of_all_documents_is_one_entry_a_block(spark, tmp_path, monkeypatch):
+    """What its bucket receives grows with blocks, not with documents, and each distinct pre-token is encoded once."""
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 2_000)
+    spark.createDataFrame([(i, f"the own{i} the") for i in range(3_000)], "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    freq = token_counts.frequencies(docs, BYTE, 4).where("bucket is not null")
+    words = [w for r in freq.collect() for w in token_counts._cut(r.joined, np.array(r.sizes))]
+    blocks = freq.select("block").distinct().count()
+    assert 10 < blocks < 500 and Counter(words)[" the"] == Counter(words)["the"] == blocks
+    library = Tokenizer.from_file(BYTE)
+    want = {(i, len(library.encode(f"the own{i} the").ids)) for i in range(3_000)}
+    assert {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, BYTE).collect()} == want
+
+
 def test_token_counts_in_small_blocks(docs, monkeypatch):
     whole = token_counts.count_tokens(docs, BYTE).collect()
     monkeypatch.setattr(token_counts, "BLOCK_CHARS", 5_000)
@@ -187,35 +202,65 @@ def test_hosts_are_shrunk(spark):
     assert 0.1 < got["small"].host_rate < 1.0
 
 
+def with_body(png, body):
+    start = png.index(b"IDAT") - 4
+    return png[:start] + media._chunk(b"IDAT", body) + media._chunk(b"IEND", b"")
+
+
 def test_png_round_trip_and_checksums():
     rng = np.random.default_rng(3)
     for n in (1, 2, 40):
         payload = rng.integers(0, 256, n * 192, dtype=np.uint8).tobytes()
         png = media.encode_png(payload)
         assert media.decode_png(png).tobytes() == payload
-        assert re.fullmatch("[0-9a-f]{16}", media.cosine_hash(media.decode_png(png)))
+        assert len(media.cosine_hash(media.decode_png(png))) == 8
         with pytest.raises(ValueError):
             media.decode_png(png[:60] + bytes([png[60] ^ 1]) + png[61:])
+    for end in range(len(png)):
         with pytest.raises(ValueError):
-            media.decode_png(png[:-12])
+            media.decode_png(png[:end])
+    for body in (zlib.compress(bytes(10**7)), zlib.compress(b"x"), b"not packed", zlib.compress(bytes(40 * 193))[:-4], zlib.compress(bytes([9]) * 40 * 193)):
+        with pytest.raises(ValueError):
+            media.decode_png(with_body(png, body))
 
 
-def test_png_reads_all_filters():
-    rng = np.random.default_rng(4)
-    image = rng.integers(0, 256, (5, 192), dtype=np.uint8)
+@pytest.mark.parametrize("height", [1, 5, 90])
+def test_png_reads_all_filters(height):
+    rng = np.random.default_rng(height)
+    image = rng.integers(0, 256, (height, 192), dtype=np.uint8)
     raw = []
-    for kind, y in zip(range(5), range(5), strict=True):
-        line = []
+    for y in range(height):
+        line, kind = [], y % 5 if height == 5 else int(rng.integers(5))
         for i in range(192):
             a, b, c = (int(image[y, i - 3]) if i >= 3 else 0), (int(image[y - 1, i]) if y else 0), (int(image[y - 1, i - 3]) if y and i >= 3 else 0)
             p = a + b - c
             near = min((abs(p - x), k, x) for k, x in enumerate((a, b, c)))[2]
             line.append((int(image[y, i]) - (0, a, b, (a + b) // 2, near)[kind]) & 255)
         raw.append(bytes([kind, *line]))
-    png = media.encode_png(image.tobytes())
-    body = zlib.compress(b"".join(raw))
-    start = png.index(b"IDAT") - 4
-    assert media.decode_png(png[:start] + media._chunk(b"IDAT", body) + media._chunk(b"IEND", b"")).tobytes() == image.tobytes()
+    png = with_body(media.encode_png(image.tobytes()), zlib.compress(b"".join(raw)))
+    assert media.decode_png(png).tobytes() == image.tobytes()
+
+
+def plain_hash(samples):
+    """The transform written out as sums, on the image reduced to 32 by 32 means (or repeated rows)."""
+    grey = samples.astype(int).sum(axis=2).tolist()
+    span = lambda n, k: range(k * n // 32, max((k + 1) * n // 32, k * n // 32 + 1))
+    small = [[sum(grey[y][x] for y in span(len(grey), i) for x in span(64, j)) / (len(span(len(grey), i)) * len(span(64, j))) for j in range(32)] for i in range(32)]
+    low = []
+    for u in range(8):
+        for v in range(8):
+            total = sum(small[i][j] * math.cos(math.pi * (2 * i + 1) * u / 64) * math.cos(math.pi * (2 * j + 1) * v / 64) for i in range(32) for j in range(32))
+            low.append(round(total, 4) if u or v else 0.0)
+    middle = sorted(low)[31] / 2 + sorted(low)[32] / 2
+    bits = "".join("1" if x > middle else "0" for x in low)
+    return int(bits, 2).to_bytes(8, "big")
+
+
+def test_cosine_hash_is_the_sums():
+    rng = np.random.default_rng(8)
+    for height in (1, 7, 32, 50, 333):
+        samples = rng.integers(32, 127, (height, 64, 3), dtype=np.uint8)
+        assert media.cosine_hash(samples) == plain_hash(samples)
 
 
 def test_media_table(docs, odd, nothing):
@@ -225,8 +270,11 @@ def test_media_table(docs, odd, nothing):
             data = (r.text or "").encode()
             payload = data + b" " * (-len(data) % 192 if data else 192)
             want[(r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))] += 1
-        got = media.store_media(df)
+        stored = media.store(df)
+        got = media.read(stored)
         assert rows_of(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
-        assert got.where("media_bytes <> octet_length(png) or media_sha256 <> sha2(png, 256)").count() == 0
+        files = Counter((r.doc_id, len(r.png), hashlib.sha256(r.png).hexdigest(), plain_hash(media.decode_png(bytes(r.png))).hex() if len(r.png) < 9_000 else None) for r in stored.collect())
+        found = Counter((r.doc_id, r.media_bytes, r.media_sha256, r.feature if r.media_bytes < 9_000 else None) for r in got.collect())
+        assert found == files and got.where("feature <> lower(hex(cosine_hash))").count() == 0
         assert got.groupBy("payload_sha256").agg(F.count_distinct("feature", "media_sha256").alias("n")).where("n > 1").count() == 0
-    assert media.store_media(nothing).count() == 0
+    assert media.read(media.store(nothing)).count() == 0
