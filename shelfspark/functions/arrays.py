@@ -15,10 +15,11 @@ OTHER_BRANDS = "otros"
 def merge_texts(values: Column, key: Callable[[Column], Column] = fold) -> Column:
     """Texts with equal keys become one: at the first one's place, as the last one is written; blanks go; null if none is left."""
     clean = F.filter(F.transform(values, clean_text), lambda x: x.isNotNull())
-    pairs = F.transform(clean, lambda x: F.struct(key(x).alias("key"), x.alias("text")))
-    last = lambda found, k: F.element_at(F.filter(found, lambda p: p["key"] == k), -1)["text"]
-    merged = let(pairs, lambda found: F.transform(F.array_distinct(F.transform(found, lambda p: p["key"])), lambda k: last(found, k)))
-    return let(merged, lambda m: F.when(F.size(m) > 0, m))
+    # In order of keys and places, each key's first and last entries stand at the ends of its run.
+    pairs = F.array_sort(F.transform(clean, lambda x, i: F.struct(key(x).alias("key"), i.alias("place"), x.alias("text"))))
+    ends = lambda found, step: F.filter(found, lambda p, i: ~F.get(found, i + step)["key"].eqNullSafe(p["key"]))
+    placed = let(pairs, lambda found: F.array_sort(F.zip_with(ends(found, -1), ends(found, 1), lambda a, b: F.struct(a["place"].alias("place"), b["text"].alias("text")))))
+    return let(F.transform(placed, lambda x: x["text"]), lambda m: F.when(F.size(m) > 0, m))
 
 
 def merge_brands(values: Column) -> Column:
@@ -37,10 +38,14 @@ def union_warnings(before: Column, after: Column) -> Column:
     return F.when(F.coalesce(F.size(before), F.lit(0)) <= 0, after).when(F.coalesce(F.size(after), F.lit(0)) <= 0, before).otherwise(F.array_union(before, after))
 
 
+# Entries that are a control's or a label's text.
+NO_VEHICLE = "(?i)^(?:modelo\\.{0,3}|buscar|todos los modelos|seleccione la marca|ver modelos)$|^(?:compatibilidad|veh[ií]culos?|aplicaci[oó]n|modelos?|versiones?)\\s*:?[\\s-]*$"
+
+
 def split_compatibility(text: Column) -> Column:
-    """Entries of a compatibility cell: cut at line ends, semicolons, commas, bars and bullets, of 2 to 240 characters."""
-    parts = F.transform(F.split(text, "[\\n;,|•]"), clean_text)
-    return F.array_distinct(F.filter(parts, lambda x: x.isNotNull() & F.length(x).between(2, 240)))
+    """Entries of a compatibility cell: cut at line ends, semicolons, commas, bars and bullets, of 2 to 240 characters, without what is no vehicle."""
+    parts = F.transform(F.split(text, "[\\n;,|•]+"), clean_text)
+    return F.array_distinct(F.filter(parts, lambda x: x.isNotNull() & F.length(x).between(2, 240) & ~x.rlike(NO_VEHICLE)))
 
 
 def compact_map(values: Column) -> Column:

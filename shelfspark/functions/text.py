@@ -81,9 +81,9 @@ def slug(text: Column) -> Column:
     return F.replace(plain_key(text), F.lit(" "), F.lit("-"))
 
 
-def has_phrase(text: Column, phrase: Column) -> Column:
-    """Whether ``text`` has ``phrase`` as whole words; both are plain keys."""
-    return (phrase != "") & F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
+def padded(key: Column) -> Column:
+    """A plain key with a space at either end, so that a padded phrase is found as whole words."""
+    return F.concat(F.lit(" "), key, F.lit(" "))
 
 
 def brand_from_text(text: Column) -> Column:

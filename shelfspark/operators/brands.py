@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.text import clean_text, has_phrase, let, plain_key
+from ..functions.text import clean_text, fold, let, padded, plain, plain_key
 from ..schema import ORDER
 
 OTHER = "otros"
@@ -37,20 +37,20 @@ def alias_table(spark: SparkSession) -> DataFrame:
 
 
 def _dictionary() -> Column:
-    """The aliases as a constant array: finding them is an expression, no join."""
+    """The aliases as a constant array, their keys padded: finding them is an expression, no join."""
     import unicodedata
 
     def key(x: str) -> str:
         x = "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower()
         return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in x).split())
 
-    rows = [(i, label, key(a)) for i, label, a, _ in alias_rows() if i != OTHER]
+    rows = [(i, label, f" {key(a)} ") for i, label, a, _ in alias_rows() if i != OTHER]
     return F.array(*(F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(k).alias("key")) for i, label, k in rows))
 
 
 def aliases_in(text: Column) -> Column:
     """(id, label) of the brands that a text names as whole words, by label."""
-    found = let(plain_key(text), lambda key: F.filter(_dictionary(), lambda a: has_phrase(key, a["key"])))
+    found = let(padded(plain_key(text)), lambda key: F.filter(_dictionary(), lambda a: F.contains(key, a["key"])))
     return F.array_sort(F.array_distinct(F.transform(found, lambda a: F.struct(a["label"].alias("label"), a["id"].alias("id")))))
 
 
@@ -67,7 +67,7 @@ def infer() -> Column:
     listed = F.filter(F.transform("compatible_brands", clean_text), lambda x: x.isNotNull())
 
     def explicit(value: Column) -> Column:
-        known = let(plain_key(value), lambda key: F.get(F.filter(_dictionary(), lambda a: has_phrase(key, a["key"])), F.lit(0)))
+        known = let(padded(plain_key(value)), lambda key: F.get(F.filter(_dictionary(), lambda a: F.contains(key, a["key"])), F.lit(0)))
         unknown = F.struct(value.alias("label"), F.replace(plain_key(value), F.lit(" "), F.lit("-")).alias("id"), F.lit("explicit").alias("confidence"), value.alias("evidence"))
         return F.when(known.isNotNull(), F.struct(known["label"].alias("label"), known["id"].alias("id"), F.lit("alias").alias("confidence"), value.alias("evidence"))).otherwise(unknown)
 
@@ -113,3 +113,17 @@ def prefer_listing_brand(products: DataFrame, listings: DataFrame) -> DataFrame:
     joined = products.join(listings, "listing_url", "left")
     merged = F.concat(F.coalesce("compatible_brands", F.array().cast("array<string>")), F.array_compact(F.array("listing_brand")))
     return joined.withColumn("compatible_brands", arrays.merge_brands(merged)).drop("listing_brand").orderBy(ORDER)
+
+
+def lexicon_matches(text: Column, names: list[str], extra: dict[str, str] | None = None) -> Column:
+    """The names that a text has anywhere, inside of words too, in the lexicon's order; ``extra`` are patterns that add a name."""
+    listed = F.array(*(F.struct(F.lit(x).alias("name"), F.lit(plain(x)).alias("key")) for x in names))
+    found = lambda t: F.transform(F.filter(listed, lambda x: F.contains(t, x["key"])), lambda x: x["name"])
+    more = lambda t: F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(x)) for x, p in (extra or {}).items()))) if extra else F.array().cast("array<string>")
+    return let(fold(text), lambda t: F.array_union(found(t), more(t)))
+
+
+def references(text: Column, code: str = "[A-Z0-9][A-Z0-9./-]{4,}", longest: int = 240) -> Column:
+    """Codes of a reference text joined by slashes; a text without codes as it is; null if it is long."""
+    codes = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"({code})"), F.lit(1)))
+    return let(clean_text(text), lambda t: F.when(F.length(t) <= longest, F.when(F.size(codes(t)) > 0, F.array_join(codes(t), " / ")).otherwise(t)))

@@ -108,9 +108,11 @@ def last_wins(df: DataFrame, key: Column, order: str = ORDER) -> DataFrame:
 
 
 def keep_newest(df: DataFrame, key: str, updated: str, tie: str) -> DataFrame:
-    """The row of each key that was updated last; of equal times the one of the smallest ``tie``."""
-    order = Window.partitionBy(key).orderBy(F.col(updated).desc(), F.col(tie).asc())
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """The row of each key that was updated last; of equal times the one of the smallest ``tie``. Aggregates before each shuffle."""
+    row = F.struct(*df.columns)
+    # Orders are structs, as rows whose time or tie is null count too: null is the earliest.
+    each = df.groupBy(F.col(key).alias("_key"), F.col(updated).alias("_updated")).agg(F.min_by(row, F.struct(tie)).alias("row"))
+    return each.groupBy("_key").agg(F.max_by("row", F.struct("_updated")).alias("row")).select("row.*")
 
 
 def resolve_two_keys(df: DataFrame, site: str, url: str, sku: str) -> DataFrame:
@@ -126,3 +128,19 @@ def resolve_two_keys(df: DataFrame, site: str, url: str, sku: str) -> DataFrame:
     first = write_table(known.groupBy(F.col(site).alias("_site"), F.col("_sku").alias("_code")).agg(F.min_by(url, ORDER).alias("_filed"), F.min(ORDER).alias("_from")), "filed-codes")
     joined = rows.join(first, F.col(site).eqNullSafe(F.col("_site")) & (F.col("_sku") == F.col("_code")), "left")
     return joined.select(*df.columns, F.when(F.col(ORDER) >= F.col("_from"), F.col("_filed")).otherwise(F.col(url)).alias("_entity"))
+
+
+def merge_two_keys(df: DataFrame, site: str, url: str = "source_url", sku: str = "sku") -> tuple[DataFrame, DataFrame]:
+    """(products, counts): the records of a site that are one product by address or by code, merged in order of arrival.
+
+    A product's address is the one it is filed under; records that have neither go. Counts
+    are (site, n_records, n_duplicates), of records that were kept.
+    """
+    filed = resolve_two_keys(df, site, url, sku).where(F.coalesce("_entity", F.lit("")) != "")
+    named = filed.withColumn(url, F.col("_entity")).drop("_entity")
+    key = F.to_json(F.struct(F.col(site).alias("site"), F.col(url).alias("url")))
+    lists = {c: fold for c in MERGED_LISTS if c in df.columns}
+    merged = merge_records(named, key, lists, tuple(c for c in ("quality_warnings",) if c in df.columns))
+    each = named.groupBy(site, url).agg(F.count("*").alias("n"))
+    counts = each.groupBy(site).agg(F.sum("n").alias("n_records"), (F.sum("n") - F.count("*")).alias("n_duplicates"))
+    return merged, counts

@@ -120,9 +120,9 @@ def brand_stats(inventory: DataFrame, links: DataFrame, brand_rows: DataFrame, f
     counts = links.join(kept, "inventory_id").groupBy("brand_id").agg(F.count("*").alias("n"))
     linked = links.select("brand_id").distinct().withColumn("linked", F.lit(True))
     empty = inventory.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in inventory.schema))
-    accepts_missing = bool(empty.select(F.coalesce(keep, F.lit(False)).alias("k")).first()["k"])
+    accepts_missing = empty.select(F.coalesce(keep, F.lit(False)).alias("k")).scalar()
     joined = brand_rows.join(counts, "brand_id", "left").join(linked, "brand_id", "left")
-    stays = F.col("n").isNotNull() | (F.col("linked").isNull() if accepts_missing else F.lit(False))
+    stays = F.col("n").isNotNull() | (F.col("linked").isNull() & accepts_missing)
     return joined.where(stays).select("brand_id", "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("label")
 
 

@@ -37,8 +37,11 @@ def availability(text: Column, rule: SiteRule | None = None) -> Column:
     return let(fold(text), lambda t: F.when(has(t, negative), "out_of_stock").when(has(t, positive), "in_stock").otherwise("unknown"))
 
 
-def sellable(rule: SiteRule | None = None) -> Column:
-    """A name, a page, a positive price; then a numeric stock decides, then the availability, then all texts."""
+def sellable(rule: SiteRule | None = None, amount: Column | None = None) -> Column:
+    """A name, a page, a positive price; then a numeric stock decides, then the availability, then all texts.
+
+    ``amount`` is the parsed price, where it is known already.
+    """
     known = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     stock = F.replace(F.col("stock"), F.lit(","), F.lit(".")).try_cast("double")
     state = F.lower(F.coalesce("availability", F.lit("")))
@@ -49,7 +52,8 @@ def sellable(rule: SiteRule | None = None) -> Column:
         .when(F.contains(state, F.lit("in_stock")), True)
         .otherwise(availability(texts, rule) == "in_stock")
     )
-    return known("product_name") & known("source_url") & (F.coalesce(price.parse_price(F.col("price")), F.lit(0.0)) > 0) & decided
+    positive = F.coalesce(price.parse_price(F.col("price")) if amount is None else amount, F.lit(0.0)) > 0
+    return known("product_name") & known("source_url") & positive & decided
 
 
 def blocked(url: Column) -> Column:
@@ -80,17 +84,20 @@ def product_like(url: Column, rule: SiteRule) -> Column:
 
 def specific_product(url: Column, rule: SiteRule | None = None) -> Column:
     """Whether the address by its shape is one product's page."""
-    parts = F.filter(F.split(urls.path_of(url), "/"), lambda x: x != "")
-    n, first, last = F.size(parts), F.get(parts, F.lit(0)), F.element_at(F.concat(F.array(F.lit("")), parts), -1)
-    shaped = (
-        F.when(n == 0, False)
-        .when(first.rlike("product|producto|productos|articulo|articulos|detalle|mostrar|item|sku"), n >= 2)
-        .when(first.rlike("catalogo|repuestos?"), n >= 3)
-        .when(first.rlike("product-category|categoria|category|shop|ofertas|outlet"), False)
-        .when(urls.query_of(url).rlike("[?&](?:codigo|sku|id|producto)(?:=|&|$)"), True)
-        .otherwise((n >= 2) & last.rlike("[-\\d]"))
-    )
-    return any_match(url, rule.product_patterns if rule else ()) | F.coalesce(urls.is_http(url) & shaped, F.lit(False))
+
+    def shaped(parts: Column) -> Column:
+        n, first, last = F.size(parts), F.get(parts, F.lit(0)), F.element_at(F.concat(F.array(F.lit("")), parts), -1)
+        return (
+            F.when(n == 0, False)
+            .when(first.rlike("product|producto|productos|articulo|articulos|detalle|mostrar|item|sku"), n >= 2)
+            .when(first.rlike("catalogo|repuestos?"), n >= 3)
+            .when(first.rlike("product-category|categoria|category|shop|ofertas|outlet"), False)
+            .when(urls.query_of(url).rlike("[?&](?:codigo|sku|id|producto)(?:=|&|$)"), True)
+            .otherwise((n >= 2) & last.rlike("[-\\d]"))
+        )
+
+    found = let(F.filter(F.split(urls.path_of(url), "/"), lambda x: x != ""), shaped)
+    return any_match(url, rule.product_patterns if rule else ()) | F.coalesce(urls.is_http(url) & found, F.lit(False))
 
 
 def automotive(rule: SiteRule | None = None) -> Column:
@@ -104,29 +111,40 @@ def automotive(rule: SiteRule | None = None) -> Column:
 
 
 def warnings(rule: SiteRule | None = None) -> Column:
-    """Codes in their fixed order; at most one of the three on the address."""
-    name, amount = clean_text(F.col("product_name")), price.normalize_price(F.col("price"))
-    wrong_name = F.lower(name).isin(list(INVALID_NAMES)) | fold(name).isin(list(INVALID_NAMES)) | any_match(name, INVALID_NAME_PATTERNS)
+    """Codes in their fixed order; at most one of the three on the address. What several codes use is computed once."""
+    code = lambda test, text: F.when(F.coalesce(test, F.lit(False)), F.lit(text))
     url = F.col("source_url")
-    no_url = url.isNull() | (url == "")
     shape = ~product_like(url, rule) if rule and rule.product_patterns else F.lit(False)
-    code = lambda test, text: F.when(F.coalesce(test, F.lit(False)), F.lit(text))
-    return F.array_compact(
-        F.array(
-            code(name.isNull(), "missing_name"),
-            code(amount.isNull(), "missing_price"),
-            code(wrong_name, "invalid_name"),
-            code(amount.isNotNull() & (F.coalesce(price.parse_price(amount), F.lit(0.0)) <= 0), "invalid_price"),
-            F.when(no_url, "missing_url").when(external(url, rule) | blocked(url), "external_url").when(shape, "invalid_product_url"),
-            code(~automotive(rule), "non_automotive"),
-            code(F.length("description") > LONGEST_DESCRIPTION, "noisy_description"),
-            code(~sellable(rule), "not_sellable"),
+    wrong = lambda name: F.lower(name).isin(list(INVALID_NAMES)) | fold(name).isin(list(INVALID_NAMES)) | name.rlike("(?i)" + "|".join(INVALID_NAME_PATTERNS))
+
+    def codes(of: Column) -> Column:
+        name, amount, number = of["name"], of["amount"], of["number"]
+        return F.array_compact(
+            F.array(
+                code(name.isNull(), "missing_name"),
+                code(amount.isNull(), "missing_price"),
+                code(wrong(name), "invalid_name"),
+                code(amount.isNotNull() & (F.coalesce(number, F.lit(0.0)) <= 0), "invalid_price"),
+                F.when(url.isNull() | (url == ""), "missing_url").when(external(url, rule) | blocked(url), "external_url").when(shape, "invalid_product_url"),
+                code(~automotive(rule), "non_automotive"),
+                code(F.length("description") > LONGEST_DESCRIPTION, "noisy_description"),
+                code(~sellable(rule, number), "not_sellable"),
+            )
         )
-    )
+
+    parsed = let(price.normalize_price(F.col("price")), lambda amount: F.struct(clean_text(F.col("product_name")).alias("name"), amount.alias("amount"), price.parse_amount(amount).alias("number")))
+    return let(parsed, codes)
 
 
 def annotate(products: DataFrame, rule: SiteRule | None = None) -> DataFrame:
-    return products.withColumn("quality_warnings", warnings(rule))
+    """``products`` with their warnings.
+
+    These come out of a generator of one entry: no later filter is pushed below it, where it
+    would compute them again.
+    """
+    once = F.explode_outer(F.array(warnings(rule))).alias("quality_warnings")
+    names = products.columns if "quality_warnings" in products.columns else [*products.columns, "quality_warnings"]
+    return products.select(*(once if c == "quality_warnings" else F.col(c) for c in names))
 
 
 def gate(products: DataFrame, rule: SiteRule | None = None) -> DataFrame:
@@ -140,7 +158,7 @@ def gate(products: DataFrame, rule: SiteRule | None = None) -> DataFrame:
 
 def warning_counts(products: DataFrame) -> DataFrame:
     """(warning, n): in how many records each code stands."""
-    return products.select(F.explode("quality_warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+    return products.select(F.explode_outer("quality_warnings").alias("warning")).where("warning is not null").groupBy("warning").agg(F.count("*").alias("n"))
 
 
 def placeholder_image(image: Column) -> Column:
@@ -150,3 +168,43 @@ def placeholder_image(image: Column) -> Column:
 def valid_image(image: Column) -> Column:
     """An http address of a picture that is no placeholder."""
     return urls.is_http(image) & ~placeholder_image(image) & F.coalesce(urls.path_of(image).rlike("\\.(?:jpe?g|png|webp|gif|avif)$"), F.lit(False))
+
+
+# Texts of controls, addresses of sorted or filtered lists, and what pages say that stand before the real one.
+CONTROL_TEXT = "^(?:ordenar por|total productos(?:\\s+\\d+)?|mostrar(?:\\s+\\d+)?|ver mas|ver mas productos|filtros?|resultados|categoria(?:s)?|pagina(?:\\s+\\d+)?)$|^\\d+\\s+productos?\\s+mas$|^productos?\\s+mas$|^\\d+\\s+mas$"
+CONTROL_URL = "sort(?:_|-)?by|orderby|filter|filters|pagination|page-\\d+"
+CHALLENGE_TEXT = "cloudflare|access denied|forbidden|captcha|verify you are human|just a moment|security check|anti bot|robot"
+DETAIL_SIGNS = "comprar|agregar al carrito|consultar|en stock|agotado|sin stock|disponible|iva inc|producto|repuesto|articulo|ficha"
+
+
+def control(name: Column, card_text: Column, url: Column) -> Column:
+    """Whether a card is a control of the page (sorting, paging, a filter) and no product."""
+    return F.coalesce(fold(name).rlike(CONTROL_TEXT) | fold(card_text).rlike(CONTROL_TEXT) | F.lower(url).rlike(CONTROL_URL), F.lit(False))
+
+
+def challenge(body: Column) -> Column:
+    """Whether a page only asks its reader to prove something."""
+    return fold(clean_text(body)).rlike(CHALLENGE_TEXT)
+
+
+def likely_detail(url: Column, title: Column, amount: Column, page_text: Column, rule: SiteRule, product_links: Column | None = None, is_listing: Column | None = None) -> Column:
+    """Whether a page is one product's: its address fits, or it has a title and a price or words of one.
+
+    A page that has marks of a listing, or more than one link to products, is none.
+    """
+    one = (F.coalesce(product_links, F.lit(0)) <= 1) if product_links is not None else F.lit(True)
+    listing = F.coalesce(is_listing, F.lit(False)) if is_listing is not None else F.lit(False)
+    signs = title.isNotNull() & (amount.isNotNull() | fold(page_text).rlike(DETAIL_SIGNS))
+    return one & ~listing & (any_match(url, rule.product_patterns) | F.coalesce(signs, F.lit(False)))
+
+
+def stock_state(explicit: Column, classes: Column, text: Column, has_button: Column) -> Column:
+    """Availability by what is stated, else by class and text, else by a button to buy; null if nothing says."""
+    words = fold(F.concat_ws(" ", text, F.array_join(classes, " ")))
+    in_class = lambda c: F.contains(F.array_join(classes, " "), F.lit(c))
+    return (
+        F.when(F.lower(explicit).contains("outofstock"), "out_of_stock")
+        .when(F.lower(explicit).contains("instock"), "in_stock")
+        .when(in_class("outofstock") | words.rlike("agotado") | (words.rlike("leer mas") & ~has_button), "out_of_stock")
+        .when(in_class("instock") | has_button | words.rlike("anadir al carrito|\\d+\\s+disponibles?"), "in_stock")
+    )

@@ -53,7 +53,10 @@ def run(listings: DataFrame, details: DataFrame, rule: SiteRule, mode: str = "au
     order = links.groupBy("url").agg(F.min(F.struct("listing_url", "page", "position")).alias("place"))
     wanted = details.withColumn("url", urls.catalog_url(F.col("url"))).join(order.select("url"), "url", "left_semi")
     records = profiles.extract_pages(platform, wanted)
-    placed = conform(records.drop("card", "place").join(order, "url").withColumn(ORDER, F.xxhash64("place").bitwiseAND(2**40 - 1)).drop("place", "url"))
+    # The order of arrival: a page's first place in the listings, then the record's place on it.
+    on_page = F.coalesce(*(F.col(c).cast("int") for c in ("card", "place") if c in records.columns), F.lit(0)).alias("on_page")
+    named = records.select("*", on_page).drop("card", "place").join(order, "url")
+    placed = conform(named.withColumn(ORDER, F.struct("place.listing_url", "place.page", "place.position", "on_page")).drop("place", "on_page", "url"))
     extracted = write_table(placed, "run-products")
     products, duplicates = dedupe.normalize_catalog(extracted, "UYU")
     valid = write_table(dedupe.merge_products(quality.gate(products, rule)), "run-valid")

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog
+from . import catalog, sites
 
 FLAGSHIP = "inventory_page"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(catalog.QUERIES)
+    return dict(sites.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalog.SQL)
+    return dict(sites.SQL)

@@ -1,14 +1,15 @@
-"""Stored pages as a table of elements, and records from elements by selectors.
+"""Stored pages as arrays of elements, and records from elements by selectors.
 
-Parsing is the one step in Python: it turns a page into rows (an element's number, the
-number of its last descendant, tag, id, classes, attributes, text). Cards, fields and their
-fallbacks then are filters, joins on the page and aggregates.
+Parsing is the one step in Python: it turns a page into one row with its text and its
+elements (number, number of the last descendant, parent, tag, id, classes, attributes, and
+which part of the page's text is the element's). Selectors, cards, fields and their fallbacks
+then are functions of these arrays: a page is read where it lies, nothing is shuffled or
+joined, and pages that are stored twice or have no address do not mix.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,130 +17,213 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import price, urls
-from ..functions.text import clean_text
+from ..functions.text import clean_text, let
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose text is longer than this carry none; cards and fields are shorter.
-LONGEST_TEXT = 3000
-NODES = "url string, node int, last int, parent int, depth int, tag string, id string, classes array<string>, attributes map<string,string>, text string, raw string"
+NODE = "struct<node:int,last:int,parent:int,depth:int,tag:string,id:string,classes:array<string>,attributes:map<string,string>,begin:int,size:int,raw:string>"
+PAGE = f"struct<text:string,nodes:array<{NODE}>>"
+#: The parsed page beside a page's own columns.
+PARSED = "_page"
 
 
 class _Elements(HTMLParser):
+    """Elements in page order; each one's text is the part of the page's text between its tags."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.stack: list[int] = []
+        self.words: list[str] = []
+        self.size = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         values = {k: v or "" for k, v in attrs}
         at = len(self.rows)
-        self.rows.append({"node": at, "last": at, "parent": self.stack[-1] if self.stack else -1, "depth": len(self.stack), "tag": tag, "id": values.get("id"), "classes": values.get("class", "").split(), "attributes": values, "parts": [], "size": 0})
+        self.rows.append({"node": at, "last": at, "parent": self.stack[-1] if self.stack else -1, "depth": len(self.stack), "tag": tag, "id": values.get("id"), "classes": values.get("class", "").split(), "attributes": list(values.items()), "begin": self.size, "size": 0, "raw": None})
         if tag not in VOID:
             self.stack.append(at)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.stack.pop()
+            self._close(self.stack.pop())
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.rows[self.stack[i]]["tag"] == tag:
+                for at in self.stack[i:]:
+                    self._close(at)
                 del self.stack[i:]
                 return
 
+    def _close(self, at: int) -> None:
+        row = self.rows[at]
+        row["last"], row["size"] = len(self.rows) - 1, self.size - row["begin"]
+
     def handle_data(self, data: str) -> None:
-        if not self.stack:
+        own = self.rows[self.stack[-1]] if self.stack else None
+        if own and own["tag"] in ("script", "style"):
+            own["raw"] = (own["raw"] or "") + data
             return
-        own = self.rows[self.stack[-1]]
-        if own["tag"] in ("script", "style"):
-            own["parts"].append(data)
-            return
-        for i in self.stack:
-            row = self.rows[i]
-            if row["size"] <= LONGEST_TEXT:
-                row["parts"].append(data)
-                row["size"] += len(data)
+        for word in data.split():
+            self.words.append(word)
+            self.size += len(word) + 1
+
+    def close(self) -> None:
+        super().close()
+        for at in self.stack:
+            self._close(at)
+        self.stack.clear()
 
 
-def _elements(page: str) -> list[dict]:
+def _parsed(page: str | None) -> dict:
     parser = _Elements()
-    parser.feed(page)
+    parser.feed(page or "")
     parser.close()
-    for row in reversed(parser.rows):
-        if row["parent"] >= 0:
-            up = parser.rows[row["parent"]]
-            up["last"] = max(up["last"], row["last"])
-    return parser.rows
+    return {"text": "".join(w + " " for w in parser.words), "nodes": parser.rows}
 
 
-def elements(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The elements of each page in page order; null and empty pages have none. Scripts carry their source in ``raw``."""
+_NODE_TYPE = pa.struct([("node", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string())), ("begin", pa.int32()), ("size", pa.int32()), ("raw", pa.string())])
+_PAGE_TYPE = pa.struct([("text", pa.string()), ("nodes", pa.list_(_NODE_TYPE))])
+
+
+def parse(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with the parsed page; null and empty pages have no elements."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
-        names = [x.strip().split(" ")[0] for x in re.sub(r"<[^>]*>", "", NODES).split(", ")]
-        for batch in batches:
-            for u, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                rows = _elements(page or "")
-                if not rows:
-                    continue
-                code = [r["tag"] in ("script", "style") for r in rows]
-                text = [None if c or r["size"] > LONGEST_TEXT else " ".join(" ".join(r["parts"]).split()) for r, c in zip(rows, code, strict=True)]
-                columns = [[u] * len(rows), *([r[k] for r in rows] for k in ("node", "last", "parent", "depth", "tag", "id", "classes")), [list(r["attributes"].items()) for r in rows], text, ["".join(r["parts"]) if c else None for r, c in zip(rows, code, strict=True)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    @F.arrow_udf(returnType=PAGE)
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([_parsed(x) for x in column.to_pylist()], _PAGE_TYPE)
 
-    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, NODES)
+    return pages.withColumn(PARSED, run(F.col(html)))
+
+
+def nodes() -> Column:
+    return F.col(f"{PARSED}.nodes")
+
+
+def text_of(node: Column) -> Column:
+    """The text of an element, white space collapsed; null if it has none. Scripts and styles have no text."""
+    return F.nullif(F.rtrim(F.substr(F.col(f"{PARSED}.text"), node["begin"] + 1, node["size"])), F.lit(""))
+
+
+def attribute(node: Column, name: str) -> Column:
+    return clean_text(F.try_element_at(node["attributes"], F.lit(name)))
 
 
 _PART = re.compile(r"([.#])([\w-]+)|\[([\w:-]+)(?:([*^$]?=)[\"']?([^\]\"']*)[\"']?)?\]")
 
 
-def matches(selector: str) -> Column:
-    """A predicate on elements: ``tag``, ``.class``, ``#id``, ``[name]``, ``[name=v]``, ``[name*=v]``, ``[name^=v]``, ``[name$=v]``, joined, or several after commas."""
-    found = F.lit(False)
-    for one in selector.split(","):
-        one = one.strip()
-        tag = re.match(r"[\w*-]*", one)[0]
-        test = F.lit(True) if tag in ("", "*") else F.col("tag") == tag
-        for mark, value, name, how, text in _PART.findall(one):
-            held = F.try_element_at("attributes", F.lit(name)) if name else None
-            if mark == ".":
-                test = test & F.array_contains("classes", value)
-            elif mark == "#":
-                test = test & F.coalesce(F.col("id") == value, F.lit(False))
-            elif not how:
-                test = test & held.isNotNull()
-            else:
-                test = test & F.coalesce({"=": held == text, "*=": held.contains(text), "^=": held.startswith(text), "$=": held.endswith(text)}[how], F.lit(False))
-        found = found | test
-    return found
-
-
-def pick(cards: DataFrame, nodes: DataFrame, fields: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """(url, card, one column per field): of each field's (selector, attribute or ``text``) the first that finds something inside the card.
-
-    ``cards`` are elements. A card meets the elements of its page only.
-    """
-    wanted = [F.when(matches(s), F.struct(F.lit(name).alias("field"), F.lit(place).alias("place"), (F.col("text") if a == "text" else F.try_element_at("attributes", F.lit(a))).alias("value"))) for name, ways in fields.items() for place, (s, a) in enumerate(ways)]
-    found = nodes.select("url", "node", F.explode(F.array_compact(F.array(*wanted))).alias("f")).where(clean_text(F.col("f.value")).isNotNull())
-    boxes = cards.select("url", F.col("node").alias("card"), F.col("last").alias("card_last"))
-    inside = found.join(boxes, "url").where(F.col("node").between(F.col("card"), F.col("card_last")))
-    first = lambda name: F.min_by(clean_text(F.col("f.value")), F.when(F.col("f.field") == name, F.struct("f.place", "node"))).alias(name)
-    values = inside.groupBy("url", "card").agg(*(first(n) for n in fields))
-    return boxes.drop("card_last").join(values, ["url", "card"], "left")
+def matches(selector: str, node: Column) -> Column:
+    """A predicate on an element: ``tag``, ``.class``, ``#id``, ``[name]``, ``[name=v]``, ``[name*=v]``, ``[name^=v]``, ``[name$=v]``, joined."""
+    tag = re.match(r"[\w*-]*", selector)[0]
+    test = F.lit(True) if tag in ("", "*") else node["tag"] == tag
+    for mark, value, name, how, text in _PART.findall(selector):
+        held = F.try_element_at(node["attributes"], F.lit(name)) if name else None
+        if mark == ".":
+            test = test & F.array_contains(node["classes"], value)
+        elif mark == "#":
+            test = test & F.coalesce(node["id"] == value, F.lit(False))
+        elif not how:
+            test = test & held.isNotNull()
+        else:
+            test = test & F.coalesce({"=": held == text, "*=": held.contains(text), "^=": held.startswith(text), "$=": held.endswith(text)}[how], F.lit(False))
+    return test
+
+
+def inside(node: Column, box: Column) -> Column:
+    return node["node"].between(box["node"], box["last"])
+
+
+def _one(selector: str, of: Column) -> Column:
+    """Elements that a selector without commas finds; each further part lies inside what the parts before found."""
+    part, _, rest = selector.strip().partition(" ")
+    found = F.filter(of, lambda n: matches(part, n))
+    return _deeper(rest.strip(), of, found) if rest else found
+
+
+def _deeper(selector: str, of: Column, outer: Column) -> Column:
+    part, _, rest = selector.partition(" ")
+    found = let(outer, lambda boxes: F.filter(of, lambda n: matches(part, n) & F.exists(boxes, lambda o: (o["node"] < n["node"]) & inside(n, o))))
+    return _deeper(rest.strip(), of, found) if rest else found
+
+
+def select(selector: str, of: Column | None = None) -> Column:
+    """The page's elements that any of the selectors (after commas) finds, in page order."""
+    of = nodes() if of is None else of
+    each = [_one(x, of) for x in selector.split(",")]
+    if len(each) == 1:
+        return each[0]
+    places = F.array_sort(F.array_distinct(F.concat(*(F.transform(x, lambda n: n["node"]) for x in each))))
+    return F.transform(places, lambda i: F.get(of, i))
+
+
+#: A field's ways in turn: (selector, attribute or ``text``).
+Ways = list[tuple[str, str]]
+
+
+def values(selector: str, what: str) -> Column:
+    """(node, value) of the elements that have a value."""
+    value = lambda n: text_of(n) if what == "text" else attribute(n, what)
+    return F.filter(F.transform(select(selector), lambda n: F.struct(n["node"].alias("node"), value(n).alias("value"))), lambda x: x["value"].isNotNull())
+
+
+class Fields:
+    """Columns of the values that fields can have on a page, and what a card gets of them."""
+
+    def __init__(self, fields: dict[str, Ways], lists: dict[str, Ways] | None = None, amounts: tuple[str, ...] = ()) -> None:
+        """Of ``amounts`` a way's first value counts only if it has a number."""
+        self.amounts = amounts
+        self.ways = {name: [f"_{name}_{i}" for i in range(len(ways))] for name, ways in {**fields, **(lists or {})}.items()}
+        self.lists = set(lists or {})
+        self.columns = [values(s, what).alias(c) for name, ways in {**fields, **(lists or {})}.items() for c, (s, what) in zip(self.ways[name], ways, strict=True)]
+
+    def of(self, box: Column) -> list[Column]:
+        """One column per field: the first way's first value inside the box; for lists, all distinct values of all ways."""
+        held = lambda c: F.filter(c, lambda x: inside(x, box))
+        one = lambda c: F.get(held(c), F.lit(0))["value"]
+        amount = lambda c: let(one(c), lambda x: F.when(price.normalize_price(x).isNotNull(), x))
+        first = lambda names, name: F.coalesce(*((amount if name in self.amounts else one)(c) for c in names))
+        every = lambda names: F.array_distinct(F.transform(F.concat(*(held(c) for c in names)), lambda x: x["value"]))
+        return [(every(names) if name in self.lists else first(names, name)).alias(name) for name, names in self.ways.items()]
+
+
+#: Steps that ``climbed`` goes up, and the longest text of a card that it looks for.
+CLIMB, LONGEST_CARD = 5, 1500
+
+
+def climbed(anchor: Column) -> Column:
+    """The number of the card around a link: of the five elements above it the nearest whose text has a price and is short; else the one above."""
+    above = lambda i: F.when(i >= 0, F.get(nodes(), i)["parent"])
+
+    def chain(i: Column, steps: int, found: list[Column]) -> Column:
+        found = [*found, i]
+        return let(above(i), lambda up: chain(up, steps - 1, found)) if steps > 1 else choose(found)
+
+    def choose(found: list[Column]) -> Column:
+        fits = lambda n: (n["size"] <= LONGEST_CARD) & price.normalize_price(text_of(n)).isNotNull()
+        near = F.filter(F.array(*found), lambda i: (i >= 0) & let(F.get(nodes(), i), fits))
+        return F.coalesce(F.get(near, F.lit(0)), F.when(found[0] >= 0, found[0]), anchor["node"])
+
+    return let(anchor["parent"], lambda i: chain(i, CLIMB, []))
+
+
+def elements(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The elements of each page as rows in page order, with the page's row number. Scripts carry their source in ``raw``."""
+    parsed = parse(pages.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html")))
+    each = F.transform(nodes(), lambda n: F.struct(*(n[c].alias(c) for c in ("node", "last", "parent", "depth", "tag", "id", "classes", "attributes")), F.when(~n["tag"].isin("script", "style"), F.coalesce(text_of(n), F.lit(""))).alias("text"), n["raw"].alias("raw")))
+    return parsed.select("page", "url", F.inline(each))
 
 
 #: Fallbacks for listing cards and for detail pages.
-CARD_FIELDS = {
+CARD_FIELDS: dict[str, Ways] = {
     "link": [("a[href]", "href")],
     "product_name": [("h2", "text"), ("h3", "text"), (".title", "text"), ("[class*=name]", "text"), ("a[title]", "title"), ("a", "text")],
-    "price_text": [(".price", "text"), ("[class*=price]", "text"), ("[class*=precio]", "text")],
+    "price_text": [(".price", "text"), ("[class*=price]", "text"), ("[class*=precio]", "text"), ("p", "text"), ("div", "text")],
     "image": [("img[data-src]", "data-src"), ("img[src]", "src")],
     "state_text": [("[class*=stock]", "text"), ("button", "text"), ("[class*=agotado]", "text")],
     "sku": [("[class*=sku]", "text"), ("[data-codprod]", "data-codprod")],
 }
-DETAIL_FIELDS = {
+DETAIL_FIELDS: dict[str, Ways] = {
     "product_name": [("h1", "text"), ("[itemprop=name]", "text"), ("meta[property=og:title]", "content"), ("title", "text")],
     "price_text": [("[itemprop=price]", "content"), ("[itemprop=price]", "text"), (".price", "text"), ("[class*=price]", "text"), ("[class*=precio]", "text")],
     "image": [("meta[property=og:image]", "content"), ("main img", "src"), ("img[src]", "src")],
@@ -147,62 +231,91 @@ DETAIL_FIELDS = {
     "sku": [(".sku", "text"), ("[itemprop=sku]", "text"), ("[class*=sku]", "text"), ("[class*=codigo]", "text")],
     "state_text": [("[class*=stock]", "text"), ("form button", "text")],
 }
+# What a missing page says.
+MISSING_PAGE = "404|page not found|not found|pagina no encontrada|no se ha podido encontrar"
+
+
+def _records(page: Column, link: Column, state: Column, fields: list[str]) -> list[Column]:
+    """The columns of a product record, of the fields found for a card."""
+    amount = F.col("price_text")
+    have = lambda c: F.col(c) if c in fields else F.lit(None).cast("string")
+    return [
+        F.col("product_name"),
+        price.normalize_price(amount).alias("price"),
+        price.infer_currency(F.lit(None).cast("string"), amount).alias("currency"),
+        have("sku").alias("sku"),
+        state.alias("availability"),
+        link.alias("source_url"),
+        urls.catalog_url(urls.resolve_url(page, F.col("image"))).alias("image_url"),
+        *(F.col(c) for c in fields if c not in ("link", "product_name", "price_text", "image", "state_text", "sku")),
+        page.alias("page_url"),
+        F.col("card"),
+    ]
 
 
-def _records(found: DataFrame, page: Column, state: Column) -> DataFrame:
-    return found.select(
-        "product_name",
-        price.normalize_price(F.col("price_text")).alias("price"),
-        price.infer_currency(F.lit(None).cast("string"), F.col("price_text")).alias("currency"),
-        "sku",
-        state.alias("availability"),
-        page.alias("source_url"),
-        urls.catalog_url(urls.resolve_url(F.col("url"), F.col("image"))).alias("image_url"),
-        *(c for c in ("description",) if c in found.columns),
-        F.col("url").alias("page_url"),
-        "card",
-    )
+def cards(pages: DataFrame, boxes: Column, fields: Fields, *more: str) -> DataFrame:
+    """A row per box (an element) of each parsed page: url, ``card`` (its number), ``card_classes``, ``card_text``, the ``fields``, and ``more`` columns of pages."""
+    found = pages.select("url", *more, PARSED, boxes.alias("_boxes"), *fields.columns)
+    # Sizes and texts come out with the box, so that pages are not copied to each card.
+    each = F.transform("_boxes", lambda b: F.struct(b["node"].alias("card"), b["classes"].alias("card_classes"), F.coalesce(text_of(b), F.lit("")).alias("card_text"), *fields.of(b)))
+    return found.select("url", *more, F.inline(each))
 
 
-def listing_products(pages: DataFrame, card_selector: str, fields: dict[str, list[tuple[str, str]]] | None = None, needs_price: bool = True) -> DataFrame:
+def known_state(text: Column) -> Column:
+    """What a text says of availability; null if nothing."""
+    from ..operators.quality import availability
+
+    return F.nullif(availability(text), F.lit("unknown"))
+
+
+def listing_products(pages: DataFrame, card_selector: str, fields: dict[str, Ways] | None = None, needs_price: bool = True) -> DataFrame:
     """A record per card with an address and a name (and a price where it is needed)."""
     from ..operators.quality import availability
 
-    nodes = elements(pages)
-    found = pick(nodes.where(matches(card_selector)), nodes, CARD_FIELDS | (fields or {}))
-    out = _records(found, urls.catalog_url(urls.resolve_url(F.col("url"), F.col("link"))), F.when(F.col("state_text").isNotNull(), availability(F.col("state_text"))))
+    ways = Fields(CARD_FIELDS | (fields or {}))
+    found = cards(parse(pages), select(card_selector), ways)
+    link = urls.catalog_url(urls.resolve_url(F.col("url"), F.col("link")))
+    out = found.select(*_records(F.col("url"), link, F.when(F.col("state_text").isNotNull(), availability(F.col("state_text"))), list(ways.ways)))
     kept = out.where(F.col("product_name").isNotNull() & F.col("source_url").isNotNull())
     return kept.where(F.col("price").isNotNull()) if needs_price else kept
 
 
-def detail_products(pages: DataFrame, fields: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+def whole_page() -> Column:
+    """The page as one box, whether or not one element holds all of it."""
+    return F.array(F.struct(F.lit(0).alias("node"), F.lit(2**31 - 1).alias("last"), F.array().cast("array<string>").alias("classes"), F.lit(0).alias("begin"), F.length(F.col(f"{PARSED}.text")).alias("size")))
+
+
+def detail_products(pages: DataFrame, fields: dict[str, Ways] | None = None) -> DataFrame:
     """A record per page with a name; pages that say they do not exist give none."""
     from ..operators.quality import availability
 
-    nodes = elements(pages)
-    found = pick(nodes.where("node = 0"), nodes, DETAIL_FIELDS | (fields or {}))
-    out = _records(found, urls.catalog_url(F.col("url")), availability(F.concat_ws(" ", "state_text", "description")))
+    ways = Fields(DETAIL_FIELDS | (fields or {}))
+    found = cards(parse(pages), whole_page(), ways)
+    state = availability(F.concat_ws(" ", "state_text", "description"))
+    out = found.select(*_records(F.col("url"), urls.catalog_url(F.col("url")), state, list(ways.ways)))
     return out.where(F.col("product_name").isNotNull() & ~F.lower("product_name").rlike("\\b404\\b|pagina no encontrada|página no encontrada|page not found"))
 
 
+def embedded_json(nodes: DataFrame, kind: str = "application/ld+json") -> DataFrame:
+    """(url, node, body): the JSON scripts of pages, of their elements."""
+    return nodes.where((F.col("tag") == "script") & (F.try_element_at("attributes", F.lit("type")) == kind)).select("url", "node", F.col("raw").alias("body"))
+
+
 def label_values(nodes: DataFrame) -> DataFrame:
-    """(url, values map): the pairs of definition lists and two-cell table rows of each page; the first value of a label wins."""
-    labels = nodes.where(F.col("tag").isin("dt", "th")).select("url", "node", "parent", F.regexp_replace("text", ":\\s*$", "").alias("label"))
-    values = nodes.where(F.col("tag").isin("dd", "td")).select("url", F.col("node").alias("value_node"), "parent", F.col("text").alias("value"))
-    after = labels.join(values, ["url", "parent"]).where("value_node > node").groupBy("url", "node", "label").agg(F.min_by("value", "value_node").alias("value"))
-    first = after.where((F.col("label") != "") & (F.col("value") != "")).groupBy("url", "label").agg(F.min_by("value", "node").alias("value"))
-    return first.groupBy("url").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("values"))
+    """(url, values map): the pairs of definition lists and two-cell table rows of each page, of their elements; the first value of a label wins."""
+    cells = nodes.where(F.col("tag").isin("dt", "th", "dd", "td")).groupBy("page", "url").agg(F.array_sort(F.collect_list(F.struct("node", "parent", "tag", "text"))).alias("cells"))
+    after = lambda n: F.filter("cells", lambda v: v["tag"].isin("dd", "td") & (v["parent"] == n["parent"]) & (v["node"] > n["node"]))
+    pair = lambda n: F.struct(F.regexp_replace(n["text"], ":\\s*$", "").alias("label"), F.get(after(n), F.lit(0))["text"].alias("value"))
+    pairs = F.transform(F.filter("cells", lambda n: n["tag"].isin("dt", "th")), pair)
+    known = F.filter(pairs, lambda p: (p["label"] != "") & (F.coalesce(p["value"], F.lit("")) != ""))
+    first = let(known, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, F.lit(1), i), lambda q: q["label"] == p["label"])))
+    return cells.select("url", F.map_from_entries(first).alias("values")).where(F.size("values") > 0)
 
 
 def brand_seeds(pages: DataFrame, link_pattern: str) -> DataFrame:
     """(url, seed, label, place): links or options whose address fits, each address once, with the first label that is known."""
-    nodes = elements(pages).where(F.col("tag").isin("a", "option"))
+    found = elements(pages).where(F.col("tag").isin("a", "option"))
     target = urls.catalog_url(urls.resolve_url(F.col("url"), F.coalesce(F.try_element_at("attributes", F.lit("href")), F.try_element_at("attributes", F.lit("value")))))
-    found = nodes.withColumn("seed", target).where(F.col("seed").rlike(link_pattern))
+    seeds = found.withColumn("seed", target).where(F.col("seed").rlike(link_pattern))
     label = clean_text(F.col("text"))
-    return found.groupBy("url", "seed").agg(F.min_by(label, F.when(label.isNotNull(), F.col("node"))).alias("label"), F.min("node").alias("place"))
-
-
-def embedded_json(nodes: DataFrame, kind: str = "application/ld+json") -> DataFrame:
-    """(url, node, body): the JSON scripts of pages."""
-    return nodes.where((F.col("tag") == "script") & (F.try_element_at("attributes", F.lit("type")) == kind)).select("url", "node", F.col("raw").alias("body"))
+    return seeds.groupBy("url", "seed").agg(F.min_by(label, F.when(label.isNotNull(), F.col("node"))).alias("label"), F.min("node").alias("place"))
