@@ -1,16 +1,16 @@
 """Near-duplicates by 64-bit SimHash fingerprints, compared exactly in tiles.
 
-Fingerprints are grouped first, so copies are one row. Distinct fingerprints are cut into
-tiles of one population count each; two fingerprints within the radius have counts that
-differ by the radius at most, so all other pairs of tiles are skipped. A pair of tiles is
-compared with numpy exclusive-or and bit counts, after a second cut into small tiles by the
-counts of their quarters, and returns a forest of its links, never all pairs of a group.
+Fingerprints are grouped first, so copies are one row. Distinct fingerprints are packed into
+tiles of one population count each, a row a tile; two fingerprints within the radius have
+counts that differ by the radius at most, so all other pairs of tiles are skipped. A pair of
+tiles is compared with numpy exclusive-or and bit counts, after a second cut into small tiles
+by the counts of their quarters, and returns a forest of its links, never all pairs of a group.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint zero,
 which is linked as any other; a row of null doc_id is compared, and its component is the
 smallest id known; repeated rows share a component; very long texts are hashed whole; an
-empty table gives no rows; other columns are ignored by ``near_duplicates`` and kept by
-``representatives`` and ``verified_representatives``. The latter takes fingerprints of a wide
+empty table gives no rows; other columns, whatever their names, are ignored by
+``near_duplicates`` and kept by ``representatives`` and ``verified_representatives``. The latter takes fingerprints of a wide
 radius as candidates only and links two texts if their shingle sets are similar enough; texts
 without words have equal sets.
 """
@@ -18,27 +18,34 @@ without words have equal sets.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .support import ROW_ID, arrow_map, stored_rows, texts, with_row_id, write_table
+from .support import ROW_ID, arrow_map, drop_tables, known_rows, texts, unpacked, with_row_id, write_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower case for A-Z only.
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: A tile of one population count has a share of all fingerprints within these bounds; so each meets some 45 others up
-#: to 64 million fingerprints, and what is shuffled grows with their number. Small tiles are cut inside of tiles.
-SHARE, TILE, SMALL = 64, (2_048, 1_000_000), 256
+#: Fingerprints of a tile, about, at any size of input: those of one population count are dealt by hash into as many
+#: tiles as they need. Inside of tiles, small tiles are compared, so many at a time that the cells fit a core's cache.
+TILE, SMALL, AT_A_TIME = 262_144, 256, 16
+#: Tasks that the pairs of tiles are dealt to.
+MOST_TASKS = 10_000
 #: Candidates within WIDE bits are linked if their shingle sets share SIMILAR (a fraction) of their union.
 WIDE, SIMILAR = 14, (4, 5)
-#: Share of all texts in a tile of candidates, which meets nearly all others; candidates of a text in the first round, and their growth.
-WIDE_SHARE, ALLOWANCE, MORE = 16, 4, 8
+#: Tiles of candidates hold so many population counts each, as a wide radius makes a tile meet nearly all others.
+WIDE_BAND, WIDE_PARTS = 8, 2
+#: A set's bitmap: each member flips one of 256 bits. Two bitmaps differ in no more bits than the sets in members.
+BITS = ("b0", "b1", "b2", "b3")
+#: Candidates of a text in the first round, and their growth.
+ALLOWANCE, MORE = 4, 8
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> bytes:
@@ -67,15 +74,20 @@ def majority(data: bytes) -> int:
     return int.from_bytes(np.packbits(2 * bits > total).tobytes(), "big")
 
 
+def _with(wanted: DataFrame, more: str) -> StructType:
+    """The schema of (__row_id, doc_id) of ``wanted`` and more longs."""
+    return StructType([*wanted.select(ROW_ID, "doc_id").schema.fields, *(StructField(x.split()[0], LongType()) for x in more.split(", "))])
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(__row_id, doc_id, fp) of every row of ``docs``, in a table of the shared folder; fp is the fingerprint as a signed long."""
+    """(__row_id, doc_id, fp) of every row of ``docs`` (__row_id, doc_id, text), in a table of the shared folder; fp is the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fps = np.array([fingerprint(x, words, seed) for x in texts(batch)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(ROW_ID), batch.column("doc_id"), pa.array(fps)], names=[ROW_ID, "doc_id", "fp"])
 
-    wanted = with_row_id(docs).select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return write_table(arrow_map(wanted, run, f"{ROW_ID} bigint, doc_id bigint, fp bigint"), "fingerprints")
+    wanted = docs.select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return write_table(arrow_map(wanted, run, _with(wanted, "fp bigint")), "fingerprints")
 
 
 class Forest:
@@ -123,11 +135,11 @@ def _near(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np
         near = np.flatnonzero(gap <= radius)
         near = near[near >= i] if same else near
         rows = a[i * SMALL : (i + 1) * SMALL]
-        for part in np.array_split(near, -(-len(near) // 64)) if len(near) else ():
+        for part in np.array_split(near, -(-len(near) // AT_A_TIME)) if len(near) else ():
             at = (part[:, None] * SMALL + np.arange(SMALL)).reshape(-1)
             at = at[at < len(b)]
-            x, y = np.nonzero(np.bitwise_count(rows[:, None] ^ b[at][None, :]) <= radius)
-            x, y = x + i * SMALL, at[y]
+            found = np.flatnonzero(np.bitwise_count(rows[:, None] ^ b[at][None, :]) <= radius)
+            x, y = found // len(at) + i * SMALL, at[found % len(at)]
             if same:
                 x, y = x[x < y], y[x < y]
             yield x, y
@@ -157,7 +169,10 @@ def _least_of_each(high: np.ndarray, low: np.ndarray, most: int) -> tuple[np.nda
 def tile_candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """(a, b, withheld): of each node, its ``most`` least partners of smaller key within the radius that have another label and may be similar.
 
-    ``a`` and ``b`` (None: one tile) hold key, fp, n (the set's size) and label.
+    ``a`` and ``b`` (None: one tile) hold key, fp, n (the set's size), bits and label. Sets
+    are similar if they differ in at most a share of their sizes' sum (a ninth for 4 of 5), and
+    their bitmaps differ in no more bits than they in members: so this drops no similar pair,
+    and few others stay, however dense a group of texts is.
     """
     sort = lambda t: {k: v[np.lexsort(_quarters(t["fp"]).T)] for k, v in t.items()}
     fa, fb = a["fp"], None if b is None else b["fp"]
@@ -166,7 +181,9 @@ def tile_candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, r
     high, low, size, withheld = [], [], 0, False
     for x, y in _near(fa, fb, radius):
         less, more = np.minimum(a["n"][x], b["n"][y]), np.maximum(a["n"][x], b["n"][y])
-        good = (a["label"][x] != b["label"][y]) & (SIMILAR[1] * less >= SIMILAR[0] * more)
+        good = np.flatnonzero((a["label"][x] != b["label"][y]) & (SIMILAR[1] * less >= SIMILAR[0] * more))
+        apart = np.bitwise_count(a["bits"][x[good]] ^ b["bits"][y[good]]).sum(axis=1, dtype=np.int64)
+        good = good[(SIMILAR[1] + SIMILAR[0]) * apart <= (SIMILAR[1] - SIMILAR[0]) * (less + more)[good]]
         u, v = a["key"][x[good]], b["key"][y[good]]
         high.append(np.maximum(u, v))
         low.append(np.minimum(u, v))
@@ -180,54 +197,68 @@ def tile_candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, r
     return h, w, withheld or cut
 
 
-def _tile_pairs(distinct: DataFrame, radius: int, tile: int | None = None, share: int = SHARE, bounds: tuple[int, int] = TILE) -> DataFrame:
-    """``distinct`` (fp and others) once for each pair of tiles (t, u) that its tile is in; ``second`` if it is u."""
-    names = distinct.columns
-    tiled = distinct.withColumn("ones", F.bit_count("fp").cast("int"))
-    counts = {x["ones"]: x["n"] for x in tiled.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    tile = tile or min(max(sum(counts.values()) // share, bounds[0]), bounds[1])
-    parts = [max(1, -(-counts.get(k, 0) // tile)) for k in range(65)]
+def _compared(distinct: DataFrame, radius: int, tile: int, band: int, least: int, compare: Callable[[pa.StructArray, pa.StructArray | None], dict[str, np.ndarray]], schema: str, empty: dict[str, np.ndarray]) -> DataFrame:
+    """What ``compare`` returns for each pair of tiles of ``distinct`` (fp and others) that may hold links; None: a tile with itself.
+
+    A tile is one row, packed before the pairs are made: pairs, and the bytes that are
+    shuffled, are counted in tiles. It holds ``band`` population counts, and is one of at
+    least ``least`` of these. The pair (t, u) has one task; tiles are numbered by population
+    count, so a tile meets a range of numbers.
+    """
+    tiled = distinct.withColumn("of_band", F.floor(F.bit_count("fp") / band).cast("int"))
+    counts = {x["of_band"]: x["n"] for x in tiled.groupBy("of_band").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    bands = 64 // band + 1
+    parts = [max(least, -(-counts[k] // tile)) if k in counts else 0 for k in range(bands)]
     first = np.cumsum([0, *parts]).tolist()
-    # Tile t meets the tiles after it up to the last one of count + radius: the pair (t, u) has one task.
-    tile_of = F.element_at(F.array(*map(F.lit, first[:65])), F.col("ones") + 1) + F.pmod(F.xxhash64("fp"), F.element_at(F.array(*map(F.lit, parts)), F.col("ones") + 1)).cast("int")
-    ones_to = lambda k: F.element_at(F.array(*map(F.lit, [first[max(0, min(65, x + k))] for x in range(66)])), F.col("ones") + 1)
-    placed = tiled.withColumn("tile", tile_of)
-    others = F.sequence(ones_to(-radius), ones_to(radius + 1) - 1)
-    pairs = placed.select(*names, "tile", F.explode(others).alias("other"))
-    return pairs.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).alias("second"), *names)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("of_band") + 1)
+    number = of(first[:-1]) + F.pmod(F.xxhash64("fp"), of([max(1, x) for x in parts])).cast("int")
+    packed = write_table(tiled.groupBy(number.alias("tile"), "of_band").agg(F.collect_list(F.struct(*distinct.columns)).alias("members")), "tiles")
+    # The bands whose counts are within the radius of one of this band's counts.
+    low = [first[max(0, (k * band - radius) // band)] for k in range(bands)]
+    high = [first[min(bands, (k * band + band - 1 + radius) // band + 1)] for k in range(bands)]
+    met = packed.select("tile", F.explode(F.sequence(of(low), of(high) - 1)).alias("other"), "members")
+    pairs = met.select(F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).alias("second"), "members")
+    n_pairs = sum(n * (high[k] - first[k]) for k, n in enumerate(parts))
+
+    def run(group: pa.Table) -> pa.Table:
+        sides = {second: members.values for second, members in zip(group.column("second").to_pylist(), group.column("members"), strict=True)}
+        same = group.column("t")[0].as_py() == group.column("u")[0].as_py()
+        a, b = sides.get(False), sides.get(True)
+        found = compare(a, None if same else b) if a is not None and (same or b is not None) else empty
+        return pa.table(found)
+
+    return pairs.repartition(max(1, min(n_pairs, MOST_TASKS)), "t", "u").groupBy("t", "u").applyInArrow(run, schema)
 
 
-def links(distinct: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
+def _fps(members: pa.StructArray) -> np.ndarray:
+    return members.field("fp").to_numpy().view(np.uint64)
+
+
+def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """(a, b): edges that connect what the links of ``distinct`` (fp) connect."""
 
-    def run(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy().view(np.uint64)
-        second = group.column("second").to_numpy()
-        same = group.column("t")[0].as_py() == group.column("u")[0].as_py()
-        a, b = (fps, None) if same else (fps[~second], fps[second])
-        found = list(tile_links(a, b, radius)) if len(a) and (same or len(b)) else []
+    def compare(a: pa.StructArray, b: pa.StructArray | None) -> dict[str, np.ndarray]:
+        found = list(tile_links(_fps(a), None if b is None else _fps(b), radius))
         x = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"a": x[:, 0], "b": x[:, 1]})
+        return {"a": x[:, 0], "b": x[:, 1]}
 
-    return _tile_pairs(distinct, radius, tile).groupBy("t", "u").applyInArrow(run, "a bigint, b bigint")
+    none = np.zeros(0, np.int64)
+    return _compared(distinct, radius, tile, 1, 1, compare, "a bigint, b bigint", {"a": none, "b": none})
 
 
-def candidates(nodes: DataFrame, radius: int, most: int) -> DataFrame:
-    """(a, b, withheld): pairs of ``nodes`` (key, fp, n, label) that ``tile_candidates`` finds."""
+def candidates(nodes: DataFrame, radius: int, most: int, tile: int = TILE) -> DataFrame:
+    """(a, b, withheld): pairs of ``nodes`` (key, fp, n, bits, label) that ``tile_candidates`` finds."""
 
-    def run(group: pa.Table) -> pa.Table:
-        columns = {x: group.column(x).to_numpy() for x in ("key", "fp", "n", "label")}
-        columns["fp"] = columns["fp"].view(np.uint64)
-        second = group.column("second").to_numpy()
-        same = group.column("t")[0].as_py() == group.column("u")[0].as_py()
-        a, b = (columns, None) if same else ({k: v[~second] for k, v in columns.items()}, {k: v[second] for k, v in columns.items()})
-        if len(a["fp"]) and (same or len(b["fp"])):
-            high, low, withheld = tile_candidates(a, b, radius, most)
-        else:
-            high, low, withheld = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-        return pa.table({"a": high, "b": low, "withheld": np.full(len(high), withheld)})
+    def columns(members: pa.StructArray) -> dict[str, np.ndarray]:
+        bits = np.stack([members.field(x).to_numpy() for x in BITS], axis=1).view(np.uint64)
+        return {x: members.field(x).to_numpy() for x in ("key", "n", "label")} | {"fp": _fps(members), "bits": bits}
 
-    return _tile_pairs(nodes, radius, share=WIDE_SHARE, bounds=(1, TILE[1])).groupBy("t", "u").applyInArrow(run, "a bigint, b bigint, withheld boolean")
+    def compare(a: pa.StructArray, b: pa.StructArray | None) -> dict[str, np.ndarray]:
+        high, low, withheld = tile_candidates(columns(a), None if b is None else columns(b), radius, most)
+        return {"a": high, "b": low, "withheld": np.full(len(high), withheld)}
+
+    none = np.zeros(0, np.int64)
+    return _compared(nodes, radius, tile, WIDE_BAND, WIDE_PARTS, compare, "a bigint, b bigint, withheld boolean", {"a": none, "b": none, "withheld": none.astype(bool)})
 
 
 def classes(rows: DataFrame, radius: int) -> DataFrame:
@@ -241,38 +272,54 @@ def classes(rows: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): __row_id, doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links."""
-    rows = fingerprints(docs, words, seed)
+    rows = fingerprints(with_row_id(docs), words, seed)
     joined = rows.join(classes(rows, radius), "fp")
     return joined.select(ROW_ID, "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates: of the smallest doc_id, the first row that has it."""
-    stored = stored_rows(docs)
-    rows = fingerprints(stored, words, seed)
-    joined = rows.join(classes(rows, radius), "fp")
-    # Rows of null doc_id come last; a component of such rows alone is known by its fingerprints only, and each one stays.
-    own = joined.select(ROW_ID, "component_id", "doc_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed"))
-    kept = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "unnamed").agg(F.min(ROW_ID).alias(ROW_ID))
-    return stored.join(kept.select(ROW_ID), ROW_ID, "left_semi").select(*docs.columns)
+def _kept(rows: DataFrame, joined: DataFrame, unnamed: str, columns: list[str]) -> DataFrame:
+    """Of ``rows``, those that ``joined`` (__row_id, doc_id, component_id) says to be the first of their component's smallest doc_id.
+
+    Rows of null doc_id come last; a component of such rows alone is known by ``unnamed`` only, and each one of those stays.
+    """
+    own = joined.select(ROW_ID, "component_id", "doc_id", F.when(F.col("component_id").isNull(), F.col(unnamed)).alias("unnamed"))
+    first = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "unnamed").agg(F.min(ROW_ID).alias(ROW_ID))
+    # The rows that go are fewer than those that stay; a table, so that its size is known when the join with all texts is planned.
+    gone = write_table(joined.select(ROW_ID).join(first.select(ROW_ID), ROW_ID, "left_anti"), "near-copies")
+    return unpacked(rows.join(gone, ROW_ID, "left_anti"), columns)
+
+
+def representatives(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, row: Column | None = None) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: of the smallest doc_id, the first row that has it; ``row`` as in ``known_rows``."""
+    known = known_rows(docs, row)
+    rows = fingerprints(known.select(ROW_ID, "input.doc_id", "input.text"), words, seed)
+    return _kept(known, rows.join(classes(rows, radius), "fp"), "fp", docs.columns)
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """Per row of ``docs`` (__row_id, doc_id, text): its fingerprint, the key and size of its shingle set; in a table of the shared folder."""
+    """Per row of ``docs`` (__row_id, doc_id, text): its fingerprint, the key, size and bitmap of its shingle set; in a table of the shared folder."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps, keys, sizes = [], [], []
+        fps, keys, sizes, bits = [], [], [], []
         for text in texts(batch):
             data = shingle_hashes(text, words, seed)
             distinct = np.unique(np.frombuffer(data, np.int64))
             fps.append(majority(data))
             keys.append(xxhash.xxh64_intdigest(distinct.tobytes(), seed))
             sizes.append(len(distinct))
+            bits.append(bitmap(distinct))
         columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, keys)] + [pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(ROW_ID), batch.column("doc_id"), *columns], names=[ROW_ID, "doc_id", "fp", "key", "n"])
+        columns += [pa.array(x) for x in np.array(bits, np.int64).reshape(-1, len(BITS)).T.copy()]
+        yield pa.RecordBatch.from_arrays([batch.column(ROW_ID), batch.column("doc_id"), *columns], names=[ROW_ID, "doc_id", "fp", "key", "n", *BITS])
 
     wanted = docs.select(ROW_ID, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return write_table(arrow_map(wanted, run, f"{ROW_ID} bigint, doc_id bigint, fp bigint, key bigint, n bigint"), "shingle-sets")
+    return write_table(arrow_map(wanted, run, _with(wanted, ", ".join(f"{x} bigint" for x in ("fp", "key", "n", *BITS)))), "shingle-sets")
+
+
+def bitmap(distinct: np.ndarray) -> np.ndarray:
+    """256 bits as four longs: a set's member flips the bit that the last byte of its hash names."""
+    flips = np.bincount(distinct.view(np.uint8)[::8], minlength=256) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
 def similar(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, seed: int) -> DataFrame:
@@ -283,46 +330,48 @@ def similar(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, see
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     ends = edges.select(F.col("a").alias("key")).union(edges.select(F.col("b").alias("key"))).distinct()
-    wanted = nodes.join(ends, "key", "left_semi").select("key", F.col("row").alias(ROW_ID))
+    wanted = write_table(nodes.join(ends, "key", "left_semi").select("key", F.col("row").alias(ROW_ID)), "ends")
     sets = write_table(arrow_map(docs.select(ROW_ID, "text").join(wanted, ROW_ID).select("key", "text"), run, "key bigint, shingles array<bigint>"), "shingles")
     joined = edges.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return joined.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    found = joined.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    checked = write_table(found, "similar")
+    drop_tables(wanted, sets)
+    return checked
 
 
 def verified_classes(docs: DataFrame, nodes: DataFrame, words: int, radius: int, seed: int) -> DataFrame:
-    """(key, component) of ``nodes`` (key, fp, n, row): connected by candidate pairs whose sets are similar.
+    """(key, component) of ``nodes`` (key, fp, n, bits, row): connected by candidate pairs whose sets are similar.
 
     A round checks a bounded number of candidates for each text. If it left any out, another
     round, of a higher bound, looks at the candidates that are not connected yet. So a dense
     group costs few pairs a text, and no candidate pair of two components is left unchecked.
     """
-    labelled, edges, most = nodes.withColumn("component", F.col("key")), None, ALLOWANCE
+    labels = nodes.select("key", "fp", "n", *BITS, F.col("key").alias("label"))
+    edges, most = None, ALLOWANCE
     while True:
-        found = write_table(candidates(labelled.select("key", "fp", "n", F.col("component").alias("label")), radius, most), "candidates")
+        found = write_table(candidates(labels, radius, most), "candidates")
         ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("b")))
         state = ranked.agg(F.count("*").alias("n"), F.max(F.col("withheld") | (F.col("place") > most)).alias("withheld")).first()
         if not state["n"]:
-            return labelled.select("key", "component")
-        checked = write_table(similar(docs, nodes, ranked.where(F.col("place") <= most).select("a", "b"), words, seed), "similar")
+            return labels.select("key", F.col("label").alias("component"))
+        checked = similar(docs, nodes, ranked.where(F.col("place") <= most).select("a", "b"), words, seed)
+        drop_tables(found)
         edges = checked if edges is None else edges.union(checked)
         of = components(edges)
-        labelled = write_table(nodes.join(of, nodes["key"] == of["node"], "left").select(*nodes.columns, F.coalesce("component", "key").alias("component")), "labelled")
+        labels = write_table(nodes.join(of, nodes["key"] == of["node"], "left").select("key", "fp", "n", *BITS, F.coalesce("component", "key").alias("label")), "labels")
         if not state["withheld"]:
-            return labelled.select("key", "component")
+            return labels.select("key", F.col("label").alias("component"))
         most *= MORE
 
 
-def verified_representatives(docs: DataFrame, words: int = 5, radius: int = WIDE, seed: int = 42) -> DataFrame:
-    """One row of ``docs`` for each group connected by similar shingle sets: of the smallest doc_id, the first row that has it."""
-    stored = stored_rows(docs)
-    rows = shingle_sets(stored, words, seed)
-    nodes = write_table(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(ROW_ID).alias("row"), F.min("doc_id").alias("first")), "distinct-sets")
-    of = verified_classes(stored, nodes.drop("first"), words, radius, seed)
+def verified_representatives(docs: DataFrame, words: int = 5, radius: int = WIDE, seed: int = 42, row: Column | None = None) -> DataFrame:
+    """One row of ``docs`` for each group connected by similar shingle sets: of the smallest doc_id, the first row that has it; ``row`` as in ``known_rows``."""
+    known = known_rows(docs, row)
+    read = known.select(ROW_ID, "input.doc_id", "input.text")
+    rows = shingle_sets(read, words, seed)
+    nodes = write_table(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in BITS), F.min(ROW_ID).alias("row"), F.min("doc_id").alias("first")), "distinct-sets")
+    of = verified_classes(read, nodes.drop("first"), words, radius, seed)
     placed = write_table(nodes.select("key", "first").join(of, "key"), "components-of-sets")
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    joined = rows.join(placed.join(least, "component").select("key", "component_id"), "key")
-    # As in representatives: in a group of null doc_ids alone, each distinct set stays.
-    own = joined.select(ROW_ID, "component_id", "doc_id", F.when(F.col("component_id").isNull(), F.col("key")).alias("unnamed"))
-    kept = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "unnamed").agg(F.min(ROW_ID).alias(ROW_ID))
-    return stored.join(kept.select(ROW_ID), ROW_ID, "left_semi").select(*docs.columns)
+    return _kept(known, rows.join(placed.join(least, "component").select("key", "component_id"), "key"), "key", docs.columns)
