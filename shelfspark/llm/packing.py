@@ -8,8 +8,9 @@ is a table of at most ``capacity`` rows at any size of corpus; pieces find their
 their rank within their length, in parallel.
 
 Defined results: a null text counts as empty and gives one piece, the end token; documents
-over the capacity are cut, all others stay whole; repeated rows are packed each; an empty
-table gives no rows; other columns are ignored.
+over the capacity are cut, all others stay whole; very long texts are encoded whole; of
+combinations of one total the search's first is taken; repeated rows, null or equal ids are
+packed each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .support import arrow_map, slices, texts, write_table
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Composed, caseless-safe characters: for texts of these alone, lower case and white space here are the library's.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
-#: Words with known ids that a worker keeps; it forgets them all beyond that.
-KNOWN_WORDS = 1_000_000
+#: Bytes of words and their ids that a worker keeps, beside some 150 a word; it forgets them all beyond that.
+KNOWN_BYTES, A_WORD = 200_000_000, 150
 CAPACITY = 2048
 END = 0
 
@@ -50,6 +51,11 @@ class Encoder:
         ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.ends = ends
         self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.size += sum(map(len, words)) + sum(map(len, ids)) + A_WORD * len(words)
 
     def _learn(self, words: set[str]) -> None:
         """White-space separated words, each cut into pre-tokens; every pre-token's ids end with a word-end piece."""
@@ -57,23 +63,25 @@ class Encoder:
         new = [w for w in {x for parts in cut.values() for x in parts} if w not in self.known]
         for start in range(0, len(new), 2000):
             part = new[start : start + 2000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(part):  # the joined text was cut otherwise
-                self.known.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
+                self._keep(part, [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)])
                 continue
             data = ids.tobytes()
-            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
-        self.known.update((w, b"".join(map(self.known.__getitem__, parts))) for w, parts in cut.items())
+            self._keep(part, [data[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)])
+        whole = [w for w, parts in cut.items() if len(parts) != 1 or parts[0] != w]
+        self._keep(whole, [b"".join(map(self.known.__getitem__, cut[w])) for w in whole])
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > KNOWN_WORDS:
+        if self.size > KNOWN_BYTES:
             self.known.clear()
+            self.size = 0
         plain = [PLAIN.fullmatch(x) is not None and not self.special.search(x) for x in rows]
         split = [x.lower().split() if p else [] for x, p in zip(rows, plain, strict=True)]
         self._learn(set(chain.from_iterable(split)) - self.known.keys())
-        rest = iter(self.library.encode_batch([x for x, p in zip(rows, plain, strict=True) if not p], add_special_tokens=False))
+        rest = iter(self.library.encode_batch_fast([x for x, p in zip(rows, plain, strict=True) if not p], add_special_tokens=False))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) if p else np.array(next(rest).ids, "<u4").tobytes() for s, p in zip(split, plain, strict=True)]
 
@@ -90,12 +98,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each row of ``docs`` (doc_id, text), ids ending with the end token."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found, own = texts(batch), batch.column("doc_id").to_pylist()
+        found, own = texts(batch), batch.column("doc_id")
+        step, stop = 4 * capacity, END.to_bytes(4, "little")
         for start, end in slices([len(x) for x in found], 1_000_000):
-            ids, step, stop = encoder(path).encode(found[start:end]), 4 * capacity, END.to_bytes(4, "little")
-            rows = [(doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)) for doc, x in zip(own[start:end], ids, strict=True) for whole in [x + stop] for k in range(0, len(whole), step) for part in [whole[k : k + step]]]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            whole = [x + stop for x in encoder(path).encode(found[start:end])]
+            parts = [x[k : k + step] for x in whole for k in range(0, len(x), step)]
+            n = np.array([-(-len(x) // step) for x in whole])
+            piece = np.arange(len(parts)) - np.repeat(np.cumsum(n) - n, n)
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            docs_of = own.slice(start, end - start).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            columns = [docs_of, pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(lengths), pa.array(np.fromiter(map(zlib.crc32, parts), np.int64, len(parts)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
 
     return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, PIECES)
 

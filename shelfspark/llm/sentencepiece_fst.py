@@ -14,8 +14,9 @@ No piece has a space mark after another character, so the composition falls apar
 word begins; each distinct word's path is found once and kept.
 
 Defined results: a null text counts as empty and has no pieces; control pieces' names inside
-texts are ordinary text; very long texts are encoded whole; repeated rows are encoded each;
-an empty table gives no rows; other columns are ignored. Decoding gives back the text, except
+texts are ordinary text; very long texts are encoded whole; of pairs of equal score the leftmost
+merges first; repeated rows, null or equal ids are encoded each; an empty table gives no rows;
+other columns, whatever their names, are ignored. Decoding gives back the text, except
 that U+2581 comes back as a space.
 """
 
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from .support import arrow_map, slices, texts
 
 SPACE = "▁"
-#: Words and pairs of pieces that a worker keeps; it forgets them all beyond that.
-KNOWN_WORDS, KNOWN_PAIRS = 400_000, 1_000_000
+#: Bytes of words with their ids (and some 150 a word) and pairs of pieces that a worker keeps; it forgets them all beyond that.
+KNOWN_BYTES, A_WORD, KNOWN_PAIRS = 100_000_000, 150, 1_000_000
 WORD = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -92,6 +93,7 @@ class Transducer:
         self.piece = {i: x for x, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.size = 0
         #: The arcs of the piece transducer as a tree of characters; a node's piece is under the empty key. Pieces that merging cannot make have no arc.
         self.arcs: dict = {}
         for x, i in self.ids.items():
@@ -169,13 +171,15 @@ class Transducer:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
-        if len(self.known) > KNOWN_WORDS:
+        if self.size > KNOWN_BYTES:
             self.known.clear()
+            self.size = 0
         if len(self.pairs) > KNOWN_PAIRS:
             self.pairs.clear()
         words, known = WORD.findall(self.prefix + text.replace(" ", SPACE)), self.known
         for w in set(words).difference(known):
-            known[w] = self._word(w)
+            ids = known[w] = self._word(w)
+            self.size += len(w) + len(ids) + A_WORD
         return b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:

@@ -14,6 +14,8 @@ from ..shared import drop_tables, write_table
 __all__ = ["ROW_ID", "arrow_map", "drop_tables", "known_rows", "place_in_file", "slices", "texts", "unpacked", "with_row_id", "write_table"]
 
 ROW_ID = "__row_id"
+#: Rows of an Arrow batch at most: a worker holds a batch as it comes, as Python strings, and as it goes.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
@@ -48,7 +50,13 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """``mapInArrow`` with a function of one batch.
+
+    Rows are texts here, so the session's batches are set to ``BATCH_ROWS`` rows at most.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
