@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import ROW_ID, known_rows, write_table
+from .support import ROW_ID, drop_tables, known_rows, write_table
 
 #: Lines of a window (a repeated run of so many shares a fingerprint), lines of a digest, words of a long line.
 WINDOW, GRAM, LONG = 3, 2, 50
@@ -88,10 +88,13 @@ def _alike(a: Column, b: Column) -> Column:
 def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long: int = LONG) -> DataFrame:
     """Each run of lines that an earlier place has too: (__row_id, from_line, to_line) in lines of the text, around one fingerprint."""
     found = write_table(places(docs, window, gram, long), "line-places")
-    # A table of its own, so that a join with a very common fingerprint can be split.
+    # Tables of their own: their sizes are known when joins are planned, and a join with a very common fingerprint can be split.
+    shared = write_table(found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-fingerprints")
+    several = write_table(found.join(shared, "fingerprint", "left_semi"), "line-places")
+    drop_tables(found, shared)
     place = F.struct("doc", F.col(ROW_ID).alias("row"), "line", "before", "after")
-    first = write_table(found.groupBy("fingerprint").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "first"), "line-firsts")
-    joined = found.join(first, "fingerprint")
+    first = write_table(several.groupBy("fingerprint").agg(F.min(place).alias("first")), "line-firsts")
+    joined = several.join(first, "fingerprint")
     other = F.col("first.row") != F.col(ROW_ID)
     later = joined.where(other | (F.col("first.line") + F.col("n_lines") <= F.col("line")))
     known = F.size("before")
