@@ -157,44 +157,55 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tup
                 yield int(in_a[u]), int(in_b[v])
 
 
-def _least_of_each(high: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The ``most`` least partners of each node, and whether there were more."""
+def _least_of_each(high: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` least partners of each node, and the nodes that had more."""
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
     starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(high) else np.zeros(0, np.int64)
     rank = np.arange(len(high)) - np.repeat(starts, np.diff(np.r_[starts, len(high)]))
-    return high[rank < most], low[rank < most], bool((rank >= most).any())
+    return high[rank < most], low[rank < most], np.unique(high[rank >= most])
 
 
-def tile_candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, withheld): of each node, its ``most`` least partners of smaller key within the radius that have another label and may be similar.
+def tile_candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, withheld): of each open node, its ``most`` least partners of smaller key within the radius that have another label and may be similar, and whether it had more.
 
-    ``a`` and ``b`` (None: one tile) hold key, fp, n (the set's size), bits and label. Sets
+    ``a`` and ``b`` (None: one tile) hold key, fp, n (the set's size), bits, label and open. Sets
     are similar if they differ in at most a share of their sizes' sum (a ninth for 4 of 5), and
     their bitmaps differ in no more bits than they in members: so this drops no similar pair,
-    and few others stay, however dense a group of texts is.
+    and few others stay, however dense a group of texts is. Pairs of nodes that are not open
+    are not compared.
     """
-    sort = lambda t: {k: v[np.lexsort(_quarters(t["fp"]).T)] for k, v in t.items()}
-    fa, fb = a["fp"], None if b is None else b["fp"]
-    a = sort(a)
-    b = a if b is None else sort(b)
-    high, low, size, withheld = [], [], 0, False
-    for x, y in _near(fa, fb, radius):
-        less, more = np.minimum(a["n"][x], b["n"][y]), np.maximum(a["n"][x], b["n"][y])
-        good = np.flatnonzero((a["label"][x] != b["label"][y]) & (SIMILAR[1] * less >= SIMILAR[0] * more))
-        apart = np.bitwise_count(a["bits"][x[good]] ^ b["bits"][y[good]]).sum(axis=1, dtype=np.int64)
-        good = good[(SIMILAR[1] + SIMILAR[0]) * apart <= (SIMILAR[1] - SIMILAR[0]) * (less + more)[good]]
-        u, v = a["key"][x[good]], b["key"][y[good]]
-        high.append(np.maximum(u, v))
-        low.append(np.minimum(u, v))
-        size += len(u)
-        if size > 2_000_000:
-            h, w, cut = _least_of_each(np.concatenate(high), np.concatenate(low), most)
-            high, low, size, withheld = [h], [w], 0, withheld or cut
-    if not high:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    h, w, cut = _least_of_each(np.concatenate(high), np.concatenate(low), most)
-    return h, w, withheld or cut
+    take = lambda t, m: {k: v[m] for k, v in t.items()}
+    sort = lambda t: take(t, np.lexsort(_quarters(t["fp"]).T))
+    a_open, a_done = take(a, a["open"]), take(a, ~a["open"])
+    if b is None:
+        sides = [(a_open, None), (a_open, a_done)]
+    else:
+        b_open = take(b, b["open"])
+        sides = [(a_open, b_open), (a_open, take(b, ~b["open"])), (a_done, b_open)]
+    none = np.zeros(0, np.int64)
+    high, low, more, size = [none], [none], [none], 0
+    for one, other in sides:
+        if not len(one["fp"]) or (other is not None and not len(other["fp"])):
+            continue
+        p = sort(one)
+        q = p if other is None else sort(other)
+        for x, y in _near(one["fp"], None if other is None else other["fp"], radius):
+            less, greater = np.minimum(p["n"][x], q["n"][y]), np.maximum(p["n"][x], q["n"][y])
+            first = p["key"][x] > q["key"][y]
+            its_open = np.where(first, p["open"][x], q["open"][y])
+            good = np.flatnonzero(its_open & (p["label"][x] != q["label"][y]) & (SIMILAR[1] * less >= SIMILAR[0] * greater))
+            apart = np.bitwise_count(p["bits"][x[good]] ^ q["bits"][y[good]]).sum(axis=1, dtype=np.int64)
+            good = good[(SIMILAR[1] + SIMILAR[0]) * apart <= (SIMILAR[1] - SIMILAR[0]) * (less + greater)[good]]
+            u, v = p["key"][x[good]], q["key"][y[good]]
+            high.append(np.maximum(u, v))
+            low.append(np.minimum(u, v))
+            size += len(u)
+            if size > 500_000:
+                h, w, held = _least_of_each(np.concatenate(high), np.concatenate(low), most)
+                high, low, more, size = [h], [w], [*more, held], 0
+    h, w, held = _least_of_each(np.concatenate(high), np.concatenate(low), most)
+    return h, w, np.isin(h, np.concatenate([*more, held]))
 
 
 def _compared(distinct: DataFrame, radius: int, tile: int, band: int, least: int, compare: Callable[[pa.StructArray, pa.StructArray | None], dict[str, np.ndarray]], schema: str, empty: dict[str, np.ndarray]) -> DataFrame:
@@ -247,15 +258,16 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, radius: int, most: int, tile: int = TILE) -> DataFrame:
-    """(a, b, withheld): pairs of ``nodes`` (key, fp, n, bits, label) that ``tile_candidates`` finds."""
+    """(a, b, withheld): pairs of ``nodes`` (key, fp, n, bits, label, open) that ``tile_candidates`` finds."""
 
     def columns(members: pa.StructArray) -> dict[str, np.ndarray]:
         bits = np.stack([members.field(x).to_numpy() for x in BITS], axis=1).view(np.uint64)
-        return {x: members.field(x).to_numpy() for x in ("key", "n", "label")} | {"fp": _fps(members), "bits": bits}
+        still_open = members.field("open").to_numpy(zero_copy_only=False)
+        return {x: members.field(x).to_numpy() for x in ("key", "n", "label")} | {"fp": _fps(members), "bits": bits, "open": still_open}
 
     def compare(a: pa.StructArray, b: pa.StructArray | None) -> dict[str, np.ndarray]:
         high, low, withheld = tile_candidates(columns(a), None if b is None else columns(b), radius, most)
-        return {"a": high, "b": low, "withheld": np.full(len(high), withheld)}
+        return {"a": high, "b": low, "withheld": withheld}
 
     none = np.zeros(0, np.int64)
     return _compared(nodes, radius, tile, WIDE_BAND, WIDE_PARTS, compare, "a bigint, b bigint, withheld boolean", {"a": none, "b": none, "withheld": none.astype(bool)})
@@ -343,24 +355,28 @@ def similar(docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, see
 def verified_classes(docs: DataFrame, nodes: DataFrame, words: int, radius: int, seed: int) -> DataFrame:
     """(key, component) of ``nodes`` (key, fp, n, bits, row): connected by candidate pairs whose sets are similar.
 
-    A round checks a bounded number of candidates for each text. If it left any out, another
-    round, of a higher bound, looks at the candidates that are not connected yet. So a dense
-    group costs few pairs a text, and no candidate pair of two components is left unchecked.
+    A round checks a bounded number of candidates for each text. Another round, of a higher
+    bound, looks at the texts that had more, and at their candidates that are not connected to
+    them yet. So a dense group costs few pairs a text, and no candidate pair of two components
+    is left unchecked.
     """
-    labels = nodes.select("key", "fp", "n", *BITS, F.col("key").alias("label"))
+    labels = nodes.select("key", "fp", "n", *BITS, F.col("key").alias("label"), F.lit(True).alias("open"))
     edges, most = None, ALLOWANCE
     while True:
         found = write_table(candidates(labels, radius, most), "candidates")
         ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("b")))
-        state = ranked.agg(F.count("*").alias("n"), F.max(F.col("withheld") | (F.col("place") > most)).alias("withheld")).first()
+        more = F.col("withheld") | (F.col("place") > most)
+        state = ranked.agg(F.count("*").alias("n"), F.coalesce(F.max(more), F.lit(False)).alias("more")).first()
         if not state["n"]:
             return labels.select("key", F.col("label").alias("component"))
         checked = similar(docs, nodes, ranked.where(F.col("place") <= most).select("a", "b"), words, seed)
-        drop_tables(found)
         edges = checked if edges is None else edges.union(checked)
         of = components(edges)
-        labels = write_table(nodes.join(of, nodes["key"] == of["node"], "left").select("key", "fp", "n", *BITS, F.coalesce("component", "key").alias("label")), "labels")
-        if not state["withheld"]:
+        still_open = ranked.where(more).select(F.col("a").alias("key"), F.lit(True).alias("open")).distinct()
+        joined = nodes.join(of, nodes["key"] == of["node"], "left").join(still_open, "key", "left")
+        labels = write_table(joined.select("key", "fp", "n", *BITS, F.coalesce("component", "key").alias("label"), F.coalesce("open", F.lit(False)).alias("open")), "labels")
+        drop_tables(found)
+        if not state["more"]:
             return labels.select("key", F.col("label").alias("component"))
         most *= MORE
 
