@@ -1,4 +1,11 @@
-"""A training-data pipeline: quality rules, line dedup, near-dedup, secret scans, packing."""
+"""A training-data pipeline: quality rules, line dedup, near-dedup, secret scans, packing.
+
+Each stage takes ``docs`` as they are read from files, so that a row's file and place there
+name it in every read. Defined results, of every stage: a null text counts as empty (quality
+rules reject it, the others leave it null); an empty table gives no rows; repeated rows and
+rows of null doc_id are judged each; other columns, whatever their names, are kept, but for the
+last stage, which returns the pieces.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import line_dedup, packing, quality, secrets, simhash
-from shelfspark.llm.support import write_table
+from shelfspark.llm.support import place_in_file, write_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines, and long lines, that an earlier place has too are deleted; a document stays even if it becomes empty."""
-    return line_dedup.delete_repeats(docs, long_line=line_dedup.LONG_LINE)
+    return line_dedup.delete_repeats(docs, row=place_in_file())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group connected by five-word shingle sets of similarity 0.8 or more stays."""
-    return simhash.verified_representatives(docs, words=5)
+    return simhash.verified_representatives(docs, words=5, row=place_in_file())
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
