@@ -20,9 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .support import arrow_map, drop_tables, unpacked, write_table
+from .support import arrow_map, drop_tables, texts, write_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -57,27 +56,24 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measured(docs: DataFrame, host: Column, whole: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): its id, host, measures, ``base_failed``, and if ``whole`` all its columns as ``input``."""
-    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns) if whole else ["text"]).alias("input")
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), host.cast("string").alias("host"), given)
-    kept = wanted if whole else wanted.drop("input")
-    names = kept.columns
+def document_stats(docs: DataFrame, host: Column) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): its id, host, measures and ``base_failed``, in a table of the shared folder."""
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), host.cast("string").alias("host"), "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [measures(x or "") for x in batch.column("input").field("text").to_pylist()]
-        columns = [batch.column(x) for x in names] + [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(STATS))]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, *STATS])
+        rows = [measures(x) for x in texts(batch)]
+        columns = [batch.column(x) for x in ("doc_id", "host")] + [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(STATS))]
+        failed = pa.array([fails(x) for x in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*columns, failed], names=["doc_id", "host", *STATS, "base_failed"])
 
-    stats = arrow_map(wanted, run, StructType([*kept.schema.fields, *(StructField(x, LongType()) for x in STATS)]))
-    short = F.col("n_words") < MIN_WORDS
-    repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    return stats.withColumn("base_failed", short | repeats)
+    stats = arrow_map(wanted, run, "doc_id bigint, host string, " + ", ".join(f"{x} bigint" for x in STATS) + ", base_failed boolean")
+    return write_table(stats, "quality-stats")
 
 
-def document_stats(docs: DataFrame, host: Column) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): its id, host, measures and ``base_failed``, in a table of the shared folder."""
-    return write_table(_measured(docs, host), "quality-stats")
+def fails(measured: tuple[int, int, int, int, int]) -> bool:
+    """Whether a document's own rules reject it."""
+    words, _, _, _, repeated = measured
+    return words < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * words
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -106,25 +102,28 @@ def host_verdicts(stats: DataFrame) -> DataFrame:
     return hosts.withColumn("host_rate", mean).withColumn("host_rejected", mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (total + 1)) > HOST_LIMIT)
 
 
-def _judged(stats: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``stats`` with its host's verdict; hosts are few beside documents, and the join is left to adaptive execution."""
-    hosts = verdicts.select(F.col("host").alias("of_host"), "host_rate", "host_rejected")
-    joined = stats.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("of_host")
-
-
 def assess(docs: DataFrame, host: Column) -> DataFrame:
     """Per row of ``docs``: measures, ``base_failed``, its host's shrunk rate, and ``kept``."""
     stats = document_stats(docs, host)
-    return _judged(stats, host_verdicts(stats))
+    # Hosts are few beside documents; the join is left to adaptive execution.
+    hosts = host_verdicts(stats).select(F.col("host").alias("of_host"), "host_rate", "host_rejected")
+    judged = stats.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("of_host")
 
 
 def keep(docs: DataFrame, host: Column) -> DataFrame:
     """The rows of ``docs`` that neither their own rules nor their host's verdict reject.
 
-    Rows are measured again beside their verdict instead of being stored or shuffled for it.
+    Texts are measured again where they lie instead of being stored or shuffled for their
+    verdicts; only the rejected hosts, if there are any, are joined.
     """
     stats = document_stats(docs, host)
-    verdicts = write_table(host_verdicts(stats), "quality-hosts")
+    rejected = write_table(host_verdicts(stats).where("host_rejected").select(F.struct("host").alias("of_host")), "rejected-hosts")
     drop_tables(stats)
-    return unpacked(_judged(_measured(docs, host, whole=True).where("not base_failed"), verdicts).where("kept"), docs.columns)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array([not fails(measures(x)) for x in texts(batch)], pa.bool_()))
+
+    good = arrow_map(docs.where(F.length("text") > 0), run, docs.schema)
+    # A struct of a null host is a key like any other.
+    return good.join(rejected, F.struct(host.cast("string").alias("host")) == rejected["of_host"], "left_anti")
