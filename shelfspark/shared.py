@@ -38,7 +38,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     recomputing, and row ids made before the write stay as they are.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table
