@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, sites
+from . import sites
 
 FLAGSHIP = "inventory_page"
 
