@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from shelfspark.llm import html_extraction, licenses, line_dedup, queries, secrets, sentencepiece_fst, simhash, token_counts
-from shelfspark.llm.html_pages import labelled_page
+from shelfspark.llm.html_pages import Page, labelled_page
 
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -193,14 +193,18 @@ def test_pages(spark, sf_dir, tmp_path):
 
 
 def test_labeller_on_held_out_pages():
-    model, right, total, whole = html_extraction.trained(), 0, 0, 0
+    """Of all blocks 99.5 % are right; pages whose names tell what they hold, which all were before there were other styles, are right as a whole in 95 of 100."""
+    model, right, total, whole = html_extraction.trained(), 0, 0, []
     for seed in range(500_000, 500_200):
-        page, labels = labelled_page(seed)
-        found = html_extraction.blocks(page)
+        page = Page(seed)
+        markup, labels = page.whole()
+        found = html_extraction.blocks(markup)
         assert len(found) == len(labels)
         keep = html_extraction.label_pages(model, [found])[0]
-        right, total, whole = right + int((keep == np.array(labels, bool)).sum()), total + len(labels), whole + bool((keep == np.array(labels, bool)).all())
-    assert right >= 0.995 * total and whole >= 190
+        right, total = right + int((keep == np.array(labels, bool)).sum()), total + len(labels)
+        if page.style == "named":
+            whole.append(bool((keep == np.array(labels, bool)).all()))
+    assert right >= 0.995 * total and len(whole) > 80 and sum(whole) >= 0.95 * len(whole)
 
 
 def test_labels_do_not_depend_on_the_batch():
