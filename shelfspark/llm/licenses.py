@@ -171,7 +171,8 @@ def ngrams(words: Column) -> Column:
 def corpus_prose(docs: DataFrame) -> DataFrame:
     """(paragraph): of ``PROSE_LINES`` documents at most (the least hash of each share of hashes) one line that has no word of licences."""
     hashed = docs.select("text", F.xxhash64("text").alias("hash")).where("text is not null")
-    chosen = hashed.groupBy(F.pmod("hash", F.lit(PROSE_LINES)).alias("share")).agg(F.min("hash").alias("hash")).select("hash")
+    # A table of a row a share: its size is known when the join is planned, and lines are cut for the chosen documents only.
+    chosen = write_table(hashed.groupBy(F.pmod("hash", F.lit(PROSE_LINES)).alias("share")).agg(F.min("hash").alias("hash")).select("hash"), "licence-prose")
     lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= LONGEST_PROSE) & x.rlike(r"\p{L}") & ~x.rlike(LICENCE_WORD))
     least = F.array_min(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), x.alias("line"))))["line"]
     return hashed.join(chosen, "hash", "left_semi").select(least.alias("paragraph")).where("paragraph is not null").distinct()
