@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, licenses, line_dedup, media, packing, quality, secrets, sentencepiece_fst, simhash, token_counts
+from . import divergence, html_extraction, licenses, line_dedup, media, packing, quality, secrets, sentencepiece_fst, simhash, token_counts, topk
 from .support import place_in_file
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -73,6 +73,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop(simhash.ROW_ID)
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_media_columns,
         op9_html_extraction,
         op10_simhash_near_dedup,
+        op12_exact_top_k,
+        op13_source_divergence,
     )
 }
 
@@ -176,4 +187,39 @@ joined AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <
 SELECT page_id, url, text, length(text) AS n_chars FROM joined
 """
 
-SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_license_scans": LICENSE_SQL, "op6_quality_rules": QUALITY_SQL, "op9_html_extraction": PAGES_SQL}
+#: All products of queries and rows.
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scores)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+#: Every kept term of every group, with zero where the group lacks it.
+DIVERGENCE_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+terms AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS c FROM terms GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.total FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT lang, source, sum(c) AS n FROM cells GROUP BY ALL),
+p AS (
+  SELECT c.lang, c.source, c.term, c.c, 1 + (1000000000::HUGEINT * (c.c + 2)) // (s.n + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (c.total + 2)) // (l.n + 2 * l.v) AS q
+  FROM cells c JOIN sums s ON s.lang = c.lang AND s.source = c.source JOIN langs l ON l.lang = c.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_license_scans": LICENSE_SQL, "op6_quality_rules": QUALITY_SQL, "op9_html_extraction": PAGES_SQL, "op12_exact_top_k": TOP_K_SQL, "op13_source_divergence": DIVERGENCE_SQL}
