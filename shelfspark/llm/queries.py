@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, html_extraction, licenses, line_dedup, media, packing, quality, secrets, sentencepiece_fst, simhash, token_counts, topk
+from . import divergence, html_extraction, licenses, line_dedup, media, packing, phrases, quality, secrets, sentencepiece_fst, simhash, token_counts, topk
 from .support import place_in_file
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -73,6 +73,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop(simhash.ROW_ID)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
     return found.withColumnRenamed("id", "vec_id")
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_media_columns,
         op9_html_extraction,
         op10_simhash_near_dedup,
+        op11_phrase_collocations,
         op12_exact_top_k,
         op13_source_divergence,
     )
@@ -187,6 +192,29 @@ joined AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <
 SELECT page_id, url, text, length(text) AS n_chars FROM joined
 """
 
+#: Counts of all phrases, their cuts, and what longer phrases cover.
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, j, l.f AS l, r.f AS r, 2000000::HUGEINT * c.a // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
+cut AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, a AS longer, unnest(flatten([[array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS phrase FROM c WHERE k > 2),
+covered AS (SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL),
+ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank, c.phrase, a, l, r, n, score::BIGINT AS score
+  FROM c JOIN cut ON cut.lang = c.lang AND cut.phrase = c.phrase JOIN n ON n.lang = c.lang LEFT JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase
+  WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
 #: All products of queries and rows.
 TOP_K_SQL = """
 WITH v AS (
@@ -222,4 +250,4 @@ ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number()
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_license_scans": LICENSE_SQL, "op6_quality_rules": QUALITY_SQL, "op9_html_extraction": PAGES_SQL, "op12_exact_top_k": TOP_K_SQL, "op13_source_divergence": DIVERGENCE_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op5_license_scans": LICENSE_SQL, "op6_quality_rules": QUALITY_SQL, "op9_html_extraction": PAGES_SQL, "op11_phrase_collocations": PHRASES_SQL, "op12_exact_top_k": TOP_K_SQL, "op13_source_divergence": DIVERGENCE_SQL}
