@@ -49,7 +49,7 @@ WORDS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 12, 1 << 26
 #: Entries of an array that travel in one row, and arrays that are summed at once.
 CHUNK, FAN = 1 << 16, 16
 #: Bytes of text whose words are one row, and entries that a task holds before it gives them on.
-ROW_BYTES, HELD = 1 << 20, 400_000
+ROW_BYTES, HELD = 1 << 19, 200_000
 #: Parts over which the first phrases of a language are found before they are ranked together.
 PARTS = 64
 #: No word, no candidate, or the end of a piece.
@@ -180,23 +180,19 @@ def hashed(docs: DataFrame, attempt: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        known: dict[str, dict[bytes, int]] = {}
         held = 0
         for batch in batches:
             for lang in sorted(set(batch.column("lang").to_pylist())):
-                rows = batch.filter(pc.equal(batch.column("lang"), lang)).column("text").to_pylist()
-                for start, end in slices([len(x) for x in rows], ROW_BYTES):
-                    words = [w for text in rows[start:end] for w in (*_words(text), END)]
-                    own, seed = known.setdefault(lang, {END: 0}), word_seed(lang, attempt)
+                rows, seed = batch.filter(pc.equal(batch.column("lang"), lang)).column("text"), word_seed(lang, attempt)
+                for start, end in slices(pc.binary_length(rows).to_pylist(), ROW_BYTES):
+                    words = [w for text in rows.slice(start, end - start).to_pylist() for w in (*_words(text), END)]
+                    key = {w: xxhash.xxh64_intdigest(w, seed) for w in set(words)}
+                    key[END] = 0
+                    yield _batch(DATA, lang=[lang], data=[np.fromiter(map(key.__getitem__, words), np.uint64, len(words)).tobytes()])
                     n = counts.setdefault(lang, Counter())
-                    before = len(n)
+                    held -= len(n)
                     n.update(words)
-                    held += len(n) - before
-                    if len(own) > HELD:
-                        own.clear()
-                        own[END] = 0
-                    own.update((w, xxhash.xxh64_intdigest(w, seed)) for w in set(words).difference(own))
-                    yield _batch(DATA, lang=[lang], data=[np.fromiter(map(own.__getitem__, words), np.uint64, len(words)).tobytes()])
+                    held += len(n)
                     if held > HELD:
                         yield from given(counts)
                         held = 0
