@@ -115,9 +115,31 @@ def redact(text: Column, names: tuple[str, ...] = ("password", "passwd", "token"
     return F.regexp_replace(out, f"(?i)\\b([\\w.-]*(?:{keys})[\\w.-]*=)[^&\\s;#]+", "$1[REDACTED]")
 
 
+#: Names of characters that markup uses for its own signs, and for a space.
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_NUMBERED = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(reference: Column) -> Column:
+    """The character of a numbered reference; the reference itself if there is none."""
+    number = F.substring(reference, 3, 8)
+    digits = F.replace(number, F.lit(";"), F.lit(""))
+    code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).cast("bigint")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")).otherwise(reference)
+
+
+def decode_entities(text: Column) -> Column:
+    """Named (markup's own, and the space) and numbered character references, each decoded once."""
+    # An ampersand that is itself written as a reference begins no other one: these come last.
+    amp = "(?i)&(?:amp|#0*38|#x0*26);"
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMBERED), F.lit(0))), lambda x: ~x.rlike(amp))
+    out = F.aggregate(found, text, lambda acc, x: F.replace(acc, x, _character(x)))
+    for name, sign in ENTITIES.items():
+        out = F.regexp_replace(out, f"(?i)&{name};", sign)
+    return F.regexp_replace(out, amp, "&")
+
+
 def strip_tags(html: Column) -> Column:
-    """Text of a small piece of markup: tags go, the five basic entities and spaces are decoded."""
-    text = F.regexp_replace(html, "(?s)<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return clean_text(text)
+    """Text of a small piece of markup: tags go, references are decoded."""
+    return clean_text(decode_entities(F.regexp_replace(html, "(?s)<[^>]*>", " ")))

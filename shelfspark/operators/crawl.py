@@ -1,4 +1,4 @@
-"""Discovery over stored pages: links, first sightings by listing, budgets, and reach through the link graph."""
+"""Discovery over stored pages: links, first sightings by listing, pagination, and reach through the link graph."""
 
 from __future__ import annotations
 
@@ -46,26 +46,6 @@ def page_progress(seen: DataFrame, listing: str, page: str) -> DataFrame:
     return seen.groupBy(listing, page).agg(F.count("*").alias("product_count"), F.count_if("new_in_listing").alias("new_in_listing"))
 
 
-def budget(progress: DataFrame, listing: str, page: str, max_pages: int | None = None, max_products: int | None = None, url: str | None = None) -> DataFrame:
-    """Pages up to the one that ends a listing's walk, with the products found so far and the reason it ended.
-
-    The walk ends after a page without new products, when the budget of products is full,
-    before a page whose address (``url``, where it is given) the listing had before, at the most
-    pages allowed, or at the end of the catalog.
-    """
-    order = Window.partitionBy(listing).orderBy(page)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = progress.withColumns({"so_far": F.sum("new_in_listing").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(order), "_last": F.lead(page).over(order).isNull()})
-    again = F.lit(False)
-    if url:
-        rows = rows.withColumn("_seen", F.row_number().over(Window.partitionBy(listing, url).orderBy(page)) > 1).withColumn("_again", F.lead("_seen").over(order))
-        again = F.coalesce("_again", F.lit(False))
-    full = F.col("so_far") >= max_products if max_products else F.lit(False)
-    reason = F.when(F.col("new_in_listing") == 0, "no_progress").when(full, "max_products").when(again, "repeated_page").when(F.col("_n") >= max_pages if max_pages else F.lit(False), "max_pages").when(F.col("_last"), "catalog_end")
-    ended = rows.withColumn("reason", reason)
-    return ended.withColumn("_over", F.coalesce(F.max(F.col("reason").isNotNull()).over(before), F.lit(False))).where(~F.col("_over")).drop("_n", "_last", "_over", "_seen", "_again")
-
-
 def reachable(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int | None = None) -> DataFrame:
     """(node, depth): what can be reached over ``edges`` (src, dst) in so many steps, each at its least depth.
 
@@ -98,13 +78,6 @@ def link_score(url: Column, label: Column, rule: SiteRule) -> Column:
     )
 
 
-def sitemap_urls(sitemaps: DataFrame, body: str = "body") -> DataFrame:
-    """(url, place, is_index): the addresses of sitemaps; those of an index are sitemaps themselves."""
-    index = F.col(body).rlike("(?i)<sitemapindex")
-    place = F.posexplode(F.regexp_extract_all(F.col(body), F.lit("(?is)<loc>\\s*(?:<!\\[CDATA\\[)?\\s*([^<\\]\\s]+)"), F.lit(1))).alias("place", "loc")
-    return sitemaps.select(index.alias("is_index"), place).select(F.replace("loc", F.lit("&amp;"), F.lit("&")).alias("url"), "place", "is_index")
-
-
 #: Links to the next page where a site has no other mark for them.
 NEXT_LINK = "a[rel=next], link[rel=next], .next a[href], a.next[href]"
 

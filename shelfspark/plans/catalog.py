@@ -349,14 +349,6 @@ def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.page_progress(crawl.first_seen(found, "host", "page_id", "href", "position"), "host", "page_id")
 
 
-@query(f"""WITH {_LINKS_SQL}, p AS (SELECT host, page_id, count(*) FILTER (fresh) AS new FROM seen GROUP BY host, page_id),
-r AS (SELECT *, sum(new) OVER w AS so_far, row_number() OVER w AS n, lead(page_id) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY host ORDER BY page_id)),
-e AS (SELECT *, CASE WHEN new = 0 THEN 'no_progress' WHEN so_far >= 30 THEN 'max_products' WHEN n >= 6 THEN 'max_pages' WHEN last THEN 'catalog_end' END AS reason FROM r)
-SELECT host, page_id, so_far::BIGINT AS so_far, reason FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.host = e.host AND f.n < e.n AND f.reason IS NOT NULL)""")
-def crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.budget(_progress(spark, sf_dir), "host", "page_id", 6, 30).select("host", "page_id", "so_far", "reason")
-
-
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT >= 50")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("bigint")

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sites
+from . import discovery, sites
 
 FLAGSHIP = "inventory_page"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(sites.QUERIES)
+    return {**sites.QUERIES, **discovery.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sites.SQL)
+    return {**sites.SQL, **discovery.SQL}

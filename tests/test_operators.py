@@ -270,8 +270,6 @@ def test_crawl(spark):
     assert one(spark, crawl.same_host(F.col("u"), "north.example"), u="https://api.north.example/x") is True
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], "src string, dst string")
     assert {(r.node, r.depth) for r in crawl.reachable(spark.createDataFrame([("a",)], "node string"), edges, 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
-    maps = spark.createDataFrame([("<sitemapindex><loc>https://a.example/s.xml</loc></sitemapindex>",), ("<urlset><url><loc> https://a.example/p?a=1&amp;b=2 </loc></url></urlset>",)], "body string")
-    assert {(r.url, r.is_index) for r in crawl.sitemap_urls(maps).collect()} == {("https://a.example/s.xml", True), ("https://a.example/p?a=1&b=2", False)}
     assert RULES.without_sites(pages, "url", "North-Parts, x").count() == 0 and pages.where(RULES.admitted(F.col("url"))).count() == 1
     assert [r.url for r in crawl.prioritize(spark.createDataFrame([("https://a/x", 0), ("https://a/product/1", 1)], "url string, o int"), "url", "o", RULE).collect()] == ["https://a/product/1", "https://a/x"]
     assert one(spark, crawl.link_score(F.col("u"), F.lit("Ver"), RULE), u="https://a.example/product/1") == 128

@@ -129,14 +129,6 @@ def test_pagination(spark):
     assert [r.x for r in rows.select(crawl.next_by_parameter(F.col("u"), F.col("n"), max_pages=5).alias("x")).collect()] == ["https://p.example/l?page=2", "https://p.example/l?a=1&page=3", "https://p.example/l?page=4&b=2", None]
 
 
-def test_a_walk_ends_before_a_page_it_had(spark):
-    rows = [("A", 1, "u1", 3), ("A", 2, "u2", 2), ("A", 3, "u1", 1), ("A", 4, "u4", 1), ("B", 1, "u1", 1), ("B", 2, "u2", 1)]
-    df = spark.createDataFrame(rows, "listing string, page int, url string, new_in_listing long")
-    got = crawl.budget(df, "listing", "page", url="url")
-    assert found(got, "listing", "page", "reason") == [("A", 1, None), ("A", 2, "repeated_page"), ("B", 1, None), ("B", 2, "catalog_end")]
-    assert got.columns == [*df.columns, "so_far", "reason"] and crawl.budget(df, "listing", "page").count() == 6
-
-
 def test_site_prices(spark):
     df = spark.createDataFrame([("$U 1.290",), ("1.290,50",), ("12,5",), ("1290",), ("12.50",), ("US$ 2.716",), ("1,290.50",), ("gratis",), (None,)], "p string")
     got = df.select(price.dotted_price(F.col("p")).alias("a"), price.portal_price(F.col("p")).alias("b")).collect()
