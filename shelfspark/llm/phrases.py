@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ WORDS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 12, 1 << 26
 CHUNK, FAN = 1 << 16, 16
 #: Bytes of text whose words are one row, and entries that a task holds before it gives them on.
 ROW_BYTES, HELD = 1 << 19, 200_000
+#: Keys that a task holds before it gives them on, and a chunk of keys for so many words a key of a hash.
+MOST_KEYS, WORDS_A_CHUNK = 2_000_000, 16
 #: Parts over which the first phrases of a language are found before they are ranked together.
 PARTS = 64
 #: No word, no candidate, or the end of a piece.
@@ -144,23 +146,32 @@ def _arrays(kind: int, array: np.ndarray, first: int = 0) -> Iterator[pa.RecordB
             yield _batch(kind, chunk=[first + c // CHUNK], part=[part], data=[zlib.compress(own.tobytes(), 1)])
 
 
-def _total(rows: DataFrame, kind: int, parts: int, dtype: str, most: int | None = None) -> DataFrame:
-    """(chunk, data): the sum of the arrays of all tasks by chunk, in a tree of nodes of ``FAN``; entries stop at ``most``."""
+def _joined(rows: DataFrame, parts: int, join: Callable[[list[bytes]], bytes]) -> DataFrame:
+    """(chunk, data): what ``join`` makes of the data of all tasks by chunk, in a tree of nodes of ``FAN``."""
 
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), dtype).astype(np.int64) for x in group.column("data").to_pylist())
-        total = (total if most is None else np.minimum(total, most)).astype(dtype)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    def node(key: tuple, group: pa.Table) -> pa.Table:
+        data = [zlib.decompress(x) for x in group.column("data").to_pylist()]
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([zlib.compress(join(data), 1)], pa.binary())})
 
-    summed = rows.where(F.col("kind") == kind).select("chunk", "part", "data")
+    joined = rows.select("chunk", "part", "data")
     while True:
-        node = F.expr(f"part div {FAN}") if parts > FAN else F.lit(0).cast("bigint")
-        summed = summed.withColumn("part", node).groupBy("chunk", "part").applyInArrow(add, "chunk bigint, part bigint, data binary")
+        part = F.expr(f"part div {FAN}") if parts > FAN else F.lit(0).cast("bigint")
+        joined = joined.withColumn("part", part).groupBy("chunk", "part").applyInArrow(node, "chunk bigint, part bigint, data binary")
         if parts <= FAN:
-            return summed.select("chunk", "data")
+            return joined.select("chunk", "data")
         parts = -(-parts // FAN)
 
 
+def _total(rows: DataFrame, kind: int, parts: int, dtype: str, most: int | None = None) -> DataFrame:
+    """(chunk, data): the sum of the arrays of all tasks by chunk; entries stop at ``most``."""
+
+    def add(data: list[bytes]) -> bytes:
+        total = sum(np.frombuffer(x, dtype).astype(np.int64) for x in data)
+        return (total if most is None else np.minimum(total, most)).astype(dtype).tobytes()
+
+    return _joined(rows.where(F.col("kind") == kind), parts, add)
+
+
 def word_seed(lang: str, attempt: int) -> int:
     """Spark's xxhash64 of columns starts each with the hash of the one before."""
     return xxhash.xxh64_intdigest(f"{attempt}:{lang}".encode(), 42)
@@ -361,8 +372,11 @@ def _without_found(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.append_column("found", pa.nulls(batch.num_rows, pa.binary()))
 
 
-def candidates(rows: DataFrame, level: int, buckets: int, least: int) -> DataFrame:
-    """(key): distinct pairs of neighbouring slots in ``rows`` whose bucket is frequent, in a table."""
+def candidates(rows: DataFrame, level: int, buckets: int, least: int, chunks: int) -> DataFrame:
+    """(key): distinct pairs of neighbouring slots in ``rows`` whose bucket is frequent, in a table.
+
+    Tasks give sorted keys in ``chunks`` by hash, which are united in a tree.
+    """
     spark, kinds = rows.sparkSession, "uint8" if least < 256 else "uint32"
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,16 +384,21 @@ def candidates(rows: DataFrame, level: int, buckets: int, least: int) -> DataFra
             bits = [np.packbits(np.frombuffer(zlib.decompress(x), kinds) >= least, bitorder="little").tobytes() for x in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(bits, pa.binary())], names=["chunk", "data"])
 
+    parts = rows.rdd.getNumPartitions()
     bits = np.zeros(-(-buckets // 8), np.uint8)
-    for x in _total(rows, BUCKETS, rows.rdd.getNumPartitions(), kinds, least).mapInArrow(heavy, "chunk bigint, data binary").collect():  # a bit a bucket
+    for x in _total(rows, BUCKETS, parts, kinds, least).mapInArrow(heavy, "chunk bigint, data binary").collect():  # a bit a bucket
         bits[x["chunk"] * CHUNK // 8 :][: len(x["data"])] = np.frombuffer(x["data"], np.uint8)
     sent = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
 
-        def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["key"])
+        def given() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(found))
+            of = mixed(keys, 3_000) % np.uint64(chunks)
+            for c in np.unique(of):
+                own = zlib.compress(keys[of == c].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([own], pa.binary())], names=["chunk", "part", "data"])
 
         for batch in batches:
             for data in batch.column("data").to_pylist():
@@ -389,17 +408,25 @@ def candidates(rows: DataFrame, level: int, buckets: int, least: int) -> DataFra
                 own = np.unique(keys[(sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
                 found.append(own)
                 size += len(own)
-                if size > HELD:
+                if size > MOST_KEYS:
                     found = [np.unique(np.concatenate(found))]
                     size = len(found[0])
-                    if size > HELD // 2:
-                        yield given()
+                    if size > MOST_KEYS // 2:
+                        yield from given()
                         found, size = [], 0
-        if found:
-            yield given()
+        if size:
+            yield from given()
+
+    def unite(data: list[bytes]) -> bytes:
+        return np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in data])).tobytes()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(zlib.decompress(data), np.int64))], names=["key"])
 
-    data = rows.where(F.col("kind") == DATA).select("data")
-    return write_table(data.mapInArrow(run, "key bigint").distinct(), f"keys-{level}")
+    packed = rows.where(F.col("kind") == DATA).select("data").mapInArrow(run, "chunk bigint, part bigint, data binary")
+    return write_table(_joined(packed, parts, unite).mapInArrow(unpacked, "key bigint"), f"keys-{level}")
 
 
 def levels(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int = SHARD, hashes: int = ROUND, words_a_bucket: int = WORDS_A_BUCKET) -> tuple[DataFrame, list[DataFrame]]:
@@ -429,7 +456,7 @@ def levels(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int =
             found.append(counted[0] if len(counted) == 1 else write_table(_union(counted), f"candidates-{level}"))
         drop_tables(made, keys)
         if level < words:
-            keys = candidates(rows, level + 1, buckets, least)
+            keys = candidates(rows, level + 1, buckets, least, 1 + total // (WORDS_A_CHUNK * shard))
     drop_tables(rows)
     return every, found
 
