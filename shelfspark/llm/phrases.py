@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .support import drop_tables, slices, write_table
+from .support import batches_of, drop_tables, slices, write_table
 
 #: A phrase is a candidate if it occurs so often; its words at most; a longer phrase that covers this share of it (in hundredths) drops it.
 LEAST, WORDS, COVERED = 30, 4, 80
@@ -50,6 +50,8 @@ WORDS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 12, 1 << 26
 CHUNK, FAN = 1 << 16, 16
 #: Bytes of text whose words are one row, and entries that a task holds before it gives them on.
 ROW_BYTES, HELD = 1 << 19, 200_000
+#: Documents, and rows, of an Arrow batch.
+DOCUMENTS, ROWS = 2_000, 16
 #: Keys that a task holds before it gives them on, and a chunk of keys for so many words a key of a hash.
 MOST_KEYS, WORDS_A_CHUNK = 2_000_000, 16
 #: Parts over which the first phrases of a language are found before they are ranked together.
@@ -217,7 +219,8 @@ def hashed(docs: DataFrame, attempt: int) -> DataFrame:
         counts.clear()
 
     read = docs.select(F.lit(0).alias("kind"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return write_table(read.mapInArrow(run, PASSED), "hashed-words")
+    with batches_of(docs.sparkSession, DOCUMENTS):
+        return write_table(read.mapInArrow(run, PASSED), "hashed-words")
 
 
 def first_level(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -290,7 +293,11 @@ def rounds(made: DataFrame, sizes: list[int], hashes: int) -> Iterator[tuple[int
         yield len(sizes), {i: first[i] for i in some}, {x["shard"]: [bytes(y) for y in x["parts"]] for x in held}
 
 
-def _keys(data: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _buffers(column: pa.Array) -> Iterator[pa.Buffer | None]:
+    return (x.as_buffer() if x.is_valid else None for x in column)
+
+
+def _keys(data: bytes | pa.Buffer, level: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place of a row of the level before: its key at this level, and whether it has one."""
     if level == 1:
         keys = np.frombuffer(data, np.uint64)
@@ -322,7 +329,7 @@ def advance(rows: DataFrame, level: int, made: DataFrame, sizes: list[int], hash
             counts = np.zeros(slots.size if level > 1 else 0, np.int64)
             next_pairs = np.zeros(buckets if ends and not last else 0, kinds)
             for batch in batches:
-                for lang, data, found in zip(*(batch.column(x).to_pylist() for x in ("lang", "data", "found")), strict=True):
+                for lang, data, found in zip(batch.column("lang").to_pylist(), *(_buffers(batch.column(x)) for x in ("data", "found")), strict=True):
                     keys, some = _keys(data, level)
                     own = np.full(len(keys), NONE) if found is None else np.frombuffer(found, np.uint32).copy()
                     new = slots.find(keys[some])
@@ -330,7 +337,7 @@ def advance(rows: DataFrame, level: int, made: DataFrame, sizes: list[int], hash
                     if level > 1:
                         counts += np.bincount(new[new != NONE].astype(np.int64) - slots.start, minlength=len(counts))
                     if not ends:
-                        yield _carried(lang, data, own)
+                        yield _carried(lang, data.to_pybytes(), own)
                     elif not last and (own != NONE).any():
                         pairs, some = _keys(own.tobytes(), level + 1)
                         if some.any():
@@ -342,7 +349,8 @@ def advance(rows: DataFrame, level: int, made: DataFrame, sizes: list[int], hash
 
         before = rows
         parts = before.rdd.getNumPartitions()
-        rows = write_table(before.where(F.col("kind") == DATA).select("lang", "data", "found").mapInArrow(run, f"{PASSED}, found binary"), f"level-{level}")
+        with batches_of(spark, ROWS):
+            rows = write_table(before.where(F.col("kind") == DATA).select("lang", "data", "found").mapInArrow(run, f"{PASSED}, found binary"), f"level-{level}")
         if turn:
             drop_tables(before)
         if level > 1:
@@ -401,7 +409,7 @@ def candidates(rows: DataFrame, level: int, buckets: int, least: int, chunks: in
                 yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([own], pa.binary())], names=["chunk", "part", "data"])
 
         for batch in batches:
-            for data in batch.column("data").to_pylist():
+            for data in _buffers(batch.column("data")):
                 keys, some = _keys(data, level)
                 keys = keys[some]
                 at = _bucket(keys, buckets)
@@ -426,7 +434,8 @@ def candidates(rows: DataFrame, level: int, buckets: int, least: int, chunks: in
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(zlib.decompress(data), np.int64))], names=["key"])
 
     packed = rows.where(F.col("kind") == DATA).select("data").mapInArrow(run, "chunk bigint, part bigint, data binary")
-    return write_table(_joined(packed, parts, unite).mapInArrow(unpacked, "key bigint"), f"keys-{level}")
+    with batches_of(spark, ROWS):
+        return write_table(_joined(packed, parts, unite).mapInArrow(unpacked, "key bigint"), f"keys-{level}")
 
 
 def levels(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int = SHARD, hashes: int = ROUND, words_a_bucket: int = WORDS_A_BUCKET) -> tuple[DataFrame, list[DataFrame]]:

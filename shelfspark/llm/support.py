@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import drop_tables, write_table
 
-__all__ = ["ROW_ID", "arrow_map", "drop_tables", "known_rows", "place_in_file", "slices", "texts", "unpacked", "with_row_id", "write_table"]
+__all__ = ["ROW_ID", "arrow_map", "batches_of", "drop_tables", "known_rows", "place_in_file", "slices", "texts", "unpacked", "with_row_id", "write_table"]
 
 ROW_ID = "__row_id"
 #: Rows of an Arrow batch at most: a worker holds a batch as it comes, as Python strings, and as it goes.
@@ -65,6 +66,17 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most, for what is run inside; the session's setting is as it was afterwards."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings, null as the empty string."""
     return [x or "" for x in batch.column(name).to_pylist()]
