@@ -17,7 +17,7 @@ from ..operators import audit, brands, crawl, dedupe, inventory, jobs, quality
 from ..schema import ORDER, conform
 from ..shared import new_folder
 from ..sources import html
-from ..streaming import progress
+from ..streaming import crawl_state, progress, state_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -405,17 +405,33 @@ def _stream(spark: SparkSession, sf_dir: str, schema: object) -> DataFrame:
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = new_folder(spark, "latest")
-    events = _stream(spark, sf_dir, table(spark, sf_dir, "events").schema)
-    last: list[int] = []
-    merge = progress.keep_latest(f"{out}/state", ["user_id", "event_type"], ["ts", "event_id"])
-
-    def step(batch: DataFrame, number: int) -> None:
-        merge(batch, number)
-        last[:] = [number]
-
-    progress.drain(events, f"{out}/checkpoint", step, "update")
-    return spark.read.parquet(f"{out}/state/version={last[0]}").select("user_id", "event_type", "event_id")
+    out, keys, order = new_folder(spark, "latest"), ["user_id", "event_type"], ["ts", "event_id"]
+    schema = table(spark, sf_dir, "events").schema
+    progress.drain(_stream(spark, sf_dir, schema), f"{out}/checkpoint", state_log.state_log(f"{out}/state", keys, order), "update")
+    return state_log.read_log(spark, f"{out}/state", schema.simpleString(), keys, order).select("user_id", "event_type", "event_id")
+
+
+@query("""WITH e AS (
+  SELECT 'l' || (user_id % 40) AS listing, event_id AS page, (props->>'$.k')::BIGINT AS k, list_filter(['k' || ((props->>'$.k')::BIGINT % 50), 'v' || (user_id % 90), 'u' || (event_id % 13), 'u' || (event_id % 26)], lambda x: x <> 'u7') AS keys FROM events),
+p AS (SELECT * FROM e WHERE k % 29 <> 3),
+fresh AS (SELECT listing, count(DISTINCT key) AS fresh, count(*) AS named FROM (SELECT listing, unnest(keys) AS key FROM p) GROUP BY listing),
+pages AS (SELECT listing, count(*) AS pages, 4 * count(*) AS products, sum(4 - len(keys))::BIGINT AS without_key FROM p GROUP BY listing),
+failed AS (SELECT listing, count(*) AS n, 'HTTP ' || arg_min(k, page) AS failed FROM e WHERE k % 29 = 3 GROUP BY listing)
+SELECT listing, coalesce(pages, 0) AS pages, coalesce(products, 0) AS products, coalesce(fresh, 0) AS fresh, coalesce(named - fresh, 0)::BIGINT AS duplicates, (coalesce(without_key, 0) + coalesce(n, 0))::BIGINT AS errors, failed
+FROM (SELECT DISTINCT listing FROM e) LEFT JOIN pages USING (listing) LEFT JOIN fresh USING (listing) LEFT JOIN failed USING (listing)""")
+def resumed_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what a crawl did: it stops after two thirds, and the rest comes with a third that it had already."""
+    out = new_folder(spark, "crawl")
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    named = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    keys = F.transform(F.array(named("k", F.col("k") % 50), named("v", F.col("user_id") % 90), named("u", F.col("event_id") % 13), named("u", F.col("event_id") % 26)), lambda x: F.nullif(x, F.lit("u7")))
+    bad = F.col("k") % 29 == 3
+    at = F.timestamp_seconds("event_id")
+    events = e.select("event_id", named("l", F.col("user_id") % 40).alias("listing"), F.col("event_id").cast("int").alias("page"), F.when(bad, "failed").otherwise("page").alias("kind"), F.when(~bad, keys).alias("keys"), F.when(bad, named("HTTP ", F.col("k"))).alias("message"), at.alias("at"))
+    for run, some in enumerate(("event_id % 3 < 2", "event_id % 3 > 0")):
+        events.where(some).drop("event_id").write.parquet(f"{out}/events/run={run}")
+        crawl_state.run(spark.readStream.schema(crawl_state.EVENTS).option("recursiveFileLookup", "true").parquet(f"{out}/events"), out)
+    return crawl_state.listings(spark, f"{out}/log").select("listing", "pages", "products", "fresh", "duplicates", "errors", "failed")
 
 
 @query(f"WITH {PRODUCTS} SELECT list_contains(list(price IS NOT NULL), true) AS price, false AS currency, true AS sku FROM products")

@@ -32,18 +32,7 @@ def drain(stream: DataFrame, checkpoint: str, sink: str | Callable[[DataFrame, i
     return query
 
 
-def keep_latest(folder: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``drain``: each batch's latest states merged with the version of the batch before, written as the next version.
-
-    A batch that runs again writes its version again, so a failure in between does no harm.
-    """
-    from ..operators.jobs import latest
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            before = batch.sparkSession.read.parquet(f"{folder}/version={number - 1}")
-            rows = before.unionByName(batch)
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return merge
+def follow(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every_ms: int = 1000, mode: str = "update") -> StreamingQuery:
+    """Runs a stream on and on, looking for what is new so often (from 200 ms to 10 s); the caller stops it."""
+    every = max(200, min(every_ms, 10_000))
+    return stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(processingTime=f"{every} milliseconds").foreachBatch(sink).start()

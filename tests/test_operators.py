@@ -10,7 +10,7 @@ from shelfspark.operators import audit, brands, crawl, dedupe, inventory, jobs,
 from shelfspark.operators.rules import RuleBook, SiteRule
 from shelfspark.schema import ORDER, conform
 from shelfspark.sources import feeds, html, tables
-from shelfspark.streaming import progress
+from shelfspark.streaming import progress, state_log
 
 RULE = SiteRule("north-parts", ("www.north.example",), product_patterns=("/product/",), category_patterns=("/category/",), exclude_patterns=("/blog/",))
 RULES = RuleBook((RULE, SiteRule("south", ("south.example", "tienda.south.example"), label="South")))
@@ -348,11 +348,18 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
     src, state = str(tmp_path / "in"), str(tmp_path / "state")
     spark.createDataFrame([("j", "a", 1, at(0)), ("j", "a", 2, at(1)), ("j", "b", 1, at(1))], schema).write.parquet(src)
-    merge = progress.keep_latest(state, ["job", "site"], ["ts"])
+    merge = state_log.state_log(state, ["job", "site"], ["ts"])
     progress.drain(progress.read_events(spark, src, schema), str(tmp_path / "c1"), merge, "update")
     spark.createDataFrame([("j", "b", 9, at(5)), ("k", "a", 1, at(2))], schema).write.mode("append").parquet(src)
     progress.drain(progress.read_events(spark, src, schema), str(tmp_path / "c1"), merge, "update")
-    assert sorted((r.job, r.site, r.n) for r in spark.read.parquet(f"{state}/version=1").collect()) == [("j", "a", 2), ("j", "b", 9), ("k", "a", 1)]
+    assert sorted((r.job, r.site, r.n) for r in state_log.read_log(spark, state, schema, ["job", "site"], ["ts"]).collect()) == [("j", "a", 2), ("j", "b", 9), ("k", "a", 1)]
+    late = spark.createDataFrame([("j", "b", 7, at(3))], schema)
+    merge(late, 2)
+    assert {(r.job, r.site, r.n) for r in state_log.read_log(spark, state, schema, ["job", "site"], ["ts"]).collect()} == {("j", "a", 2), ("j", "b", 9), ("k", "a", 1)}
+    query = progress.follow(progress.read_events(spark, src, schema), str(tmp_path / "c4"), merge, 1)
+    query.processAllAvailable()
+    assert query.isActive
+    query.stop()
     out = str(tmp_path / "distinct")
     progress.drain(progress.distinct_events(progress.read_events(spark, src, schema), ["job", "site"], "ts"), str(tmp_path / "c2"), out)
     assert spark.read.parquet(out).count() == 3
