@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..sources import html
+from ..sources import selectors
 from .rules import SiteRule, any_match
 
 LINK = "(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"']+)[\"']"
@@ -84,9 +84,8 @@ NEXT_LINK = "a[rel=next], link[rel=next], .next a[href], a.next[href]"
 
 def next_link(pages: DataFrame, selector: str = NEXT_LINK) -> DataFrame:
     """(url, next_url): the address that a page's link to the next one gives; null if it has none."""
-    link = F.get(html.select(selector), F.lit(0))
-    found = html.parse(pages.select("url", "html")).select("url", html.attribute(link, "href").alias("href"))
-    return found.select("url", urls.catalog_url(urls.resolve_url(F.col("url"), F.col("href"))).alias("next_url"))
+    found = selectors.find(pages.select("url", "html"), {"links": (selector, {"href": "href"})})
+    return found.select("url", urls.catalog_url(urls.resolve_url(F.col("url"), F.get("_found.links", F.lit(0))["href"])).alias("next_url"))
 
 
 def next_by_parameter(url: Column, page: Column, parameter: str = "page", max_pages: int | None = None) -> Column:
@@ -100,10 +99,11 @@ def next_by_parameter(url: Column, page: Column, parameter: str = "page", max_pa
 
 def page_summary(pages: DataFrame, links: str = "ul.pagination a[href]", current: str = "ul.pagination li.active span", number: str = "data-ci-pagination-page") -> DataFrame:
     """(url, current_page, next_url, last_url) of listing pages by their pagination: the link marked as next, else the least page after the current one."""
-    parsed = html.parse(pages.select("url", "html"))
-    one = lambda n: F.struct(n["node"].alias("node"), html.attribute(n, "href").alias("href"), F.lower(F.coalesce(html.attribute(n, "rel"), F.lit(""))).alias("rel"), html.attribute(n, number).try_cast("int").alias("page"), html.text_of(n).alias("label"))
-    now = html.text_of(F.get(html.select(current), F.lit(0)))
-    found = parsed.select("url", F.transform(html.select(links), one).alias("links"), F.regexp_extract(now, "([0-9]+)", 1).try_cast("int").alias("current_page"))
+    wanted = {"links": (links, {"href": "href", "rel": "rel", "number": number, "label": "text"}), "current": (current, {"label": "text"})}
+    parsed = selectors.find(pages.select("url", "html"), wanted)
+    one = lambda n: F.struct(n["node"].alias("node"), n["href"].alias("href"), F.lower(F.coalesce(n["rel"], F.lit(""))).alias("rel"), n["number"].try_cast("int").alias("page"), n["label"].alias("label"))
+    now = F.get("_found.current", F.lit(0))["label"]
+    found = parsed.select("url", F.transform("_found.links", one).alias("links"), F.regexp_extract(now, "([0-9]+)", 1).try_cast("int").alias("current_page"))
     last = lambda test: F.get(F.reverse(F.filter("links", test)), F.lit(0))["href"]
     after = F.array_min(F.transform(F.filter("links", lambda x: x["page"] > F.col("current_page")), lambda x: F.struct(x["page"].alias("page"), x["node"].alias("node"), x["href"].alias("href"))))["href"]
     absolute = lambda c: urls.catalog_url(urls.resolve_url(F.col("url"), F.col(c)))
@@ -113,6 +113,7 @@ def page_summary(pages: DataFrame, links: str = "ul.pagination a[href]", current
 
 def declared_pages(pages: DataFrame, list_selector: str = ".aListProductos", of_page: str = "data-tot", of_all: str = "data-totabs") -> DataFrame:
     """(url, page_items, total_results, n_pages) as a listing's attributes declare them; pages without them give no row."""
-    box = F.get(F.filter(html.select(list_selector), lambda n: html.attribute(n, of_page).isNotNull() & html.attribute(n, of_all).isNotNull()), F.lit(0))
-    found = html.parse(pages.select("url", "html")).select("url", html.attribute(box, of_page).try_cast("bigint").alias("page_items"), html.attribute(box, of_all).try_cast("bigint").alias("total_results"))
+    lists = selectors.find(pages.select("url", "html"), {"lists": (list_selector, {"items": of_page, "all": of_all})})
+    box = F.get(F.filter("_found.lists", lambda n: n["items"].isNotNull() & n["all"].isNotNull()), F.lit(0))
+    found = lists.select("url", box["items"].try_cast("bigint").alias("page_items"), box["all"].try_cast("bigint").alias("total_results"))
     return found.where("page_items is not null and total_results is not null").withColumn("n_pages", F.ceil(F.col("total_results") / F.when(F.col("page_items") > 0, F.col("page_items"))).cast("bigint"))

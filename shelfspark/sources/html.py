@@ -1,10 +1,11 @@
-"""Stored pages as arrays of elements, and records from elements by selectors.
-
-Parsing is the one step in Python: it turns a page into one row with its text and its
-elements (number, number of the last descendant, parent, tag, id, classes, attributes, and
-which part of the page's text is the element's). Selectors, cards, fields and their fallbacks
-then are functions of these arrays: a page is read where it lies, nothing is shuffled or
-joined, and pages that are stored twice or have no address do not mix.
+"""Stored pages as arrays of elements, and records from pages by selectors.
+
+Parsing is the one step in Python. Records of cards and details take values that selectors
+find in that same pass (``selectors``). Where elements themselves are wanted, a page becomes
+one row with its text and its elements (number, number of the last descendant, parent, tag,
+id, classes, attributes, and which part of the page's text is the element's), and selectors
+are functions of these arrays. Either way a page is read where it lies, nothing is shuffled
+or joined, and pages that are stored twice or have no address do not mix.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import price, urls
 from ..functions.text import clean_text, let
+from .selectors import VOID, Boxes, Request, Ways, cards
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NODE = "struct<node:int,last:int,parent:int,depth:int,tag:string,id:string,classes:array<string>,attributes:map<string,string>,begin:int,size:int,raw:string>"
 PAGE = f"struct<text:string,nodes:array<{NODE}>>"
 #: The parsed page beside a page's own columns.
@@ -157,56 +158,6 @@ def select(selector: str, of: Column | None = None) -> Column:
     return F.transform(places, lambda i: F.get(of, i))
 
 
-#: A field's ways in turn: (selector, attribute or ``text``).
-Ways = list[tuple[str, str]]
-
-
-def values(selector: str, what: str) -> Column:
-    """(node, value) of the elements that have a value."""
-    value = lambda n: text_of(n) if what == "text" else attribute(n, what)
-    return F.filter(F.transform(select(selector), lambda n: F.struct(n["node"].alias("node"), value(n).alias("value"))), lambda x: x["value"].isNotNull())
-
-
-class Fields:
-    """Columns of the values that fields can have on a page, and what a card gets of them."""
-
-    def __init__(self, fields: dict[str, Ways], lists: dict[str, Ways] | None = None, amounts: tuple[str, ...] = ()) -> None:
-        """Of ``amounts`` a way's first value counts only if it has a number."""
-        self.amounts = amounts
-        self.ways = {name: [f"_{name}_{i}" for i in range(len(ways))] for name, ways in {**fields, **(lists or {})}.items()}
-        self.lists = set(lists or {})
-        self.columns = [values(s, what).alias(c) for name, ways in {**fields, **(lists or {})}.items() for c, (s, what) in zip(self.ways[name], ways, strict=True)]
-
-    def of(self, box: Column) -> list[Column]:
-        """One column per field: the first way's first value inside the box; for lists, all distinct values of all ways."""
-        held = lambda c: F.filter(c, lambda x: inside(x, box))
-        one = lambda c: F.get(held(c), F.lit(0))["value"]
-        amount = lambda c: let(one(c), lambda x: F.when(price.normalize_price(x).isNotNull(), x))
-        first = lambda names, name: F.coalesce(*((amount if name in self.amounts else one)(c) for c in names))
-        every = lambda names: F.array_distinct(F.transform(F.concat(*(held(c) for c in names)), lambda x: x["value"]))
-        return [(every(names) if name in self.lists else first(names, name)).alias(name) for name, names in self.ways.items()]
-
-
-#: Steps that ``climbed`` goes up, and the longest text of a card that it looks for.
-CLIMB, LONGEST_CARD = 5, 1500
-
-
-def climbed(anchor: Column) -> Column:
-    """The number of the card around a link: of the five elements above it the nearest whose text has a price and is short; else the one above."""
-    above = lambda i: F.when(i >= 0, F.get(nodes(), i)["parent"])
-
-    def chain(i: Column, steps: int, found: list[Column]) -> Column:
-        found = [*found, i]
-        return let(above(i), lambda up: chain(up, steps - 1, found)) if steps > 1 else choose(found)
-
-    def choose(found: list[Column]) -> Column:
-        fits = lambda n: (n["size"] <= LONGEST_CARD) & price.normalize_price(text_of(n)).isNotNull()
-        near = F.filter(F.array(*found), lambda i: (i >= 0) & let(F.get(nodes(), i), fits))
-        return F.coalesce(F.get(near, F.lit(0)), F.when(found[0] >= 0, found[0]), anchor["node"])
-
-    return let(anchor["parent"], lambda i: chain(i, CLIMB, []))
-
-
 def elements(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The elements of each page as rows in page order, with the page's row number. Scripts carry their source in ``raw``."""
     parsed = parse(pages.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html")))
@@ -253,14 +204,6 @@ def _records(page: Column, link: Column, state: Column, fields: list[str]) -> li
     ]
 
 
-def cards(pages: DataFrame, boxes: Column, fields: Fields, *more: str) -> DataFrame:
-    """A row per box (an element) of each parsed page: url, ``card`` (its number), ``card_classes``, ``card_text``, the ``fields``, and ``more`` columns of pages."""
-    found = pages.select("url", *more, PARSED, boxes.alias("_boxes"), *fields.columns)
-    # Sizes and texts come out with the box, so that pages are not copied to each card.
-    each = F.transform("_boxes", lambda b: F.struct(b["node"].alias("card"), b["classes"].alias("card_classes"), F.coalesce(text_of(b), F.lit("")).alias("card_text"), *fields.of(b)))
-    return found.select("url", *more, F.inline(each))
-
-
 def known_state(text: Column) -> Column:
     """What a text says of availability; null if nothing."""
     from ..operators.quality import availability
@@ -272,27 +215,22 @@ def listing_products(pages: DataFrame, card_selector: str, fields: dict[str, Way
     """A record per card with an address and a name (and a price where it is needed)."""
     from ..operators.quality import availability
 
-    ways = Fields(CARD_FIELDS | (fields or {}))
-    found = cards(parse(pages), select(card_selector), ways)
+    ways = CARD_FIELDS | (fields or {})
+    found = cards(pages, Request(Boxes(card_selector), ways))
     link = urls.catalog_url(urls.resolve_url(F.col("url"), F.col("link")))
-    out = found.select(*_records(F.col("url"), link, F.when(F.col("state_text").isNotNull(), availability(F.col("state_text"))), list(ways.ways)))
+    out = found.select(*_records(F.col("url"), link, F.when(F.col("state_text").isNotNull(), availability(F.col("state_text"))), list(ways)))
     kept = out.where(F.col("product_name").isNotNull() & F.col("source_url").isNotNull())
     return kept.where(F.col("price").isNotNull()) if needs_price else kept
 
 
-def whole_page() -> Column:
-    """The page as one box, whether or not one element holds all of it."""
-    return F.array(F.struct(F.lit(0).alias("node"), F.lit(2**31 - 1).alias("last"), F.array().cast("array<string>").alias("classes"), F.lit(0).alias("begin"), F.length(F.col(f"{PARSED}.text")).alias("size")))
-
-
 def detail_products(pages: DataFrame, fields: dict[str, Ways] | None = None) -> DataFrame:
     """A record per page with a name; pages that say they do not exist give none."""
     from ..operators.quality import availability
 
-    ways = Fields(DETAIL_FIELDS | (fields or {}))
-    found = cards(parse(pages), whole_page(), ways)
+    ways = DETAIL_FIELDS | (fields or {})
+    found = cards(pages, Request(Boxes(), ways))
     state = availability(F.concat_ws(" ", "state_text", "description"))
-    out = found.select(*_records(F.col("url"), urls.catalog_url(F.col("url")), state, list(ways.ways)))
+    out = found.select(*_records(F.col("url"), urls.catalog_url(F.col("url")), state, list(ways)))
     return out.where(F.col("product_name").isNotNull() & ~F.lower("product_name").rlike("\\b404\\b|pagina no encontrada|página no encontrada|page not found"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import price, urls
 from ..functions.text import brand_from_text, clean_text, fold
-from . import feeds, html
-from .html import Ways
+from . import feeds, html, selectors
+from .selectors import Boxes, Request, Ways
 
 # Amounts with a currency inside of texts, and the label before a code.
 PRICED = "(?i)((?:US\\$|\\$U|\\$|UYU|USD)\\s*[0-9]{1,3}(?:[.,][0-9]{3})*(?:[.,][0-9]{1,2})?)"
@@ -241,21 +241,8 @@ def _by_contract(found: DataFrame, contract: Contract, link: Column) -> DataFram
 def listing_records(profile: Profile, pages: DataFrame) -> DataFrame:
     """Records of the cards of listing pages (url, html) that keep the profile's contract; a link that a page has twice counts once."""
     contract = profile.listing
-    ways = html.Fields(contract.fields, contract.lists, ("price_text",))
-    boxes = html.select(profile.cards)
-    if contract.holds:
-        parts = html.select(", ".join(contract.holds))
-        boxes = F.filter(boxes, lambda b: F.exists(parts, lambda n: html.inside(n, b)))
-    parsed = html.parse(pages)
-    if contract.link_above:
-        # The anchor around a card is the last one that begins before it and ends behind it.
-        anchors = html.select("a[href]")
-        above = lambda b: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(anchors, lambda a: (a["node"] < b["node"]) & html.inside(b, a)), lambda a: html.attribute(a, "href"))), -1)
-        parsed = parsed.withColumn("_above", F.transform(boxes, lambda b: F.struct(b["node"].alias("node"), above(b).alias("href"))))
-        found = html.cards(parsed, boxes, ways, "_above")
-        found = found.withColumn("link", F.coalesce("link", F.get(F.filter("_above", lambda x: x["node"] == F.col("card")), F.lit(0))["href"]))
-    else:
-        found = html.cards(parsed, boxes, ways)
+    boxes = Boxes(profile.cards, contract.holds, link_above=contract.link_above)
+    found = selectors.cards(pages, Request(boxes, contract.fields, contract.lists, ("price_text",)))
     out = _by_contract(found, contract, urls.catalog_url(urls.resolve_url(F.col("url"), F.col("link"))))
     return out.groupBy("page_url", "source_url").agg(F.min_by(F.struct(*out.columns), "card").alias("r")).select("r.*")
 
@@ -263,17 +250,15 @@ def listing_records(profile: Profile, pages: DataFrame) -> DataFrame:
 def detail_records(profile: Profile, pages: DataFrame) -> DataFrame:
     """A record of each page (url, html) that keeps the profile's contract."""
     contract = profile.detail
-    found = html.cards(html.parse(pages), html.whole_page(), html.Fields(contract.fields, contract.lists, ("price_text",)))
+    found = selectors.cards(pages, Request(Boxes(), contract.fields, contract.lists, ("price_text",)))
     return _by_contract(found, contract, urls.catalog_url(F.col("url")))
 
 
 def anchored_records(pages: DataFrame, link_pattern: str) -> DataFrame:
     """Records of listing pages without known cards: a link that fits, and the card that is climbed to from it."""
-    ways = html.Fields({**html.CARD_FIELDS, "price_text": ANY_PRICE}, amounts=("price_text",))
-    anchors = F.filter(html.select("a[href]"), lambda a: html.attribute(a, "href").rlike(link_pattern))
-    boxes = F.transform(F.array_distinct(F.transform(anchors, html.climbed)), lambda i: F.get(html.nodes(), i))
+    found = selectors.cards(pages, Request(Boxes(climb=link_pattern), {**html.CARD_FIELDS, "price_text": ANY_PRICE}, amounts=("price_text",)))
     contract = Contract({}, needs_price=False, price_in_text=True)
-    out = _by_contract(html.cards(html.parse(pages), boxes, ways), contract, urls.catalog_url(urls.resolve_url(F.col("url"), F.col("link"))))
+    out = _by_contract(found, contract, urls.catalog_url(urls.resolve_url(F.col("url"), F.col("link"))))
     return out.groupBy("page_url", "source_url").agg(F.min_by(F.struct(*out.columns), "card").alias("r")).select("r.*")
 
 
