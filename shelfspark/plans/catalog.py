@@ -449,4 +449,5 @@ def job_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT doc_id, lower(line) AS key, min(pos) AS first, arg_max(line, pos) AS line FROM c WHERE line <> '' GROUP BY 1, 2) SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY first)) AS merged FROM k GROUP BY doc_id""")
 def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = arrays.merge_lower(F.split("text", "\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(merged, "\n").cast("binary")).alias("merged")).where("merged is not null")
+    # Nulls go by a generator: a filter would merge each list once more.
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(F.array(F.md5(F.array_join(merged, "\n").cast("binary"))))).alias("merged"))

@@ -95,7 +95,7 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
     def run(column: pa.Array) -> pa.Array:
         return pa.array([_parsed(x) for x in column.to_pylist()], _PAGE_TYPE)
 
-    return pages.withColumn(PARSED, run(F.col(html)))
+    return pages.withColumn(PARSED, run.asNondeterministic()(F.col(html)))
 
 
 def nodes() -> Column:

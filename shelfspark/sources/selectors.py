@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -44,16 +44,22 @@ class Selectors:
                     need = 1 << (n - 1) if k else 0
                     self.by_tag.setdefault("" if tag in ("", "*") else tag, []).append((_PART.findall(part), need, 1 << n, i if k == len(parts) - 1 else None))
                     n += 1
+        #: What an element without attributes can match: parts without tests.
+        self.bare = [x for x in self.by_tag.get("", ()) if not x[0]]
 
     def match(self, tag: str, values: dict[str, str], classes: list[str], above: int) -> tuple[int, list[int]]:
         """The parts that the element matches, as bits, and the selectors that it is found by; ``above``: what its ancestors match."""
         bits, found = 0, []
-        for parts in (self.by_tag.get(tag, ()), self.by_tag.get("", ())):
+        for parts in (self.by_tag.get(tag, ()), self.by_tag.get("", ()) if values else self.bare):
             for tests, need, own, selector in parts:
-                if above & need == need and all(_holds(t, values, classes) for t in tests):
-                    bits |= own
-                    if selector is not None and selector not in found:
-                        found.append(selector)
+                if above & need == need:
+                    for test in tests:
+                        if not _holds(test, values, classes):
+                            break
+                    else:
+                        bits |= own
+                        if selector is not None and selector not in found:
+                            found.append(selector)
         return bits, found
 
 
@@ -145,12 +151,13 @@ class Walk(HTMLParser):
         return up if up >= 0 else anchor
 
 
-def _run(pages: DataFrame, html: str, column: str, kind: pa.DataType, schema: str, one: object) -> DataFrame:
+def _run(pages: DataFrame, html: str, column: str, kind: pa.DataType, schema: str, one: Callable[[str], object]) -> DataFrame:
     @F.arrow_udf(returnType=schema)
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([one(x or "") for x in texts.to_pylist()], kind)
 
-    return pages.withColumn(column, run(F.col(html)))
+    # Filters on what comes out would read each page once more: what is said to vary is not copied into them.
+    return pages.withColumn(column, run.asNondeterministic()(F.col(html)))
 
 
 def find(pages: DataFrame, wanted: dict[str, tuple[str, dict[str, str]]], html: str = "html") -> DataFrame:
