@@ -80,6 +80,7 @@ class Walk(HTMLParser):
         self.selectors = selectors
         self.found: list[list[int]] = [[] for _ in range(count)]
         self.values: dict[int, dict[str, str]] = {}
+        self.tags: dict[int, str] = {}
         self.last: list[int] = []
         self.parent: list[int] = []
         self.spans: list[tuple[int, int]] = []
