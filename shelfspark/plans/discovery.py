@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import walks
+from ..operators import categories, walks
 from ..operators.rules import SiteRule
+from ..sources import embedded
 from .catalog import _LINKS_SQL, QUERIES, SQL, _progress, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -106,3 +107,42 @@ def sitemap_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.range(1).select(F.posexplode(walks.sitemap_seeds(F.lit("https://shop.example/x"))).alias("place", "url"))
     documents, products = walks.sitemap_walk(seeds, sitemaps, SHOP, SITEMAP_LIMIT)
     return products.select(F.lit("product").alias("kind"), "url", "number", F.lit(None).cast("bigint").alias("product_count")).unionAll(documents.select(F.lit("document"), "url", "number", "product_count"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, 'P' || p_partkey AS code, p_partkey % 5 <> 0 AS usable, p_partkey % 7 = 0 AS pictured, p_partkey % 3 <> 0 AS varied, p_name, p_brand, p_type FROM part)
+SELECT 'https://s.example/p/' || k AS url, code AS sku, CASE WHEN usable THEN p_name END AS product_name, (CASE WHEN usable AND pictured AND NOT varied THEN k % 100 ELSE 1000 + k % 100 END)::VARCHAR AS price, 'USD' AS currency, p_type AS category, CASE WHEN usable THEN p_brand END AS brand,
+  CASE WHEN k % 2 = 0 THEN 'in_stock' ELSE 'out_of_stock' END AS availability,
+  concat_ws(',', CASE WHEN k % 4 = 1 THEN 'https://s.example/m/' || k || '.png' END, CASE WHEN varied THEN 'https://cdn.example/v/' || k || '.jpg' END, CASE WHEN usable AND pictured THEN 'https://s.example/a/' || k || '.png' END, 'https://s.example/p/g' || k || '.gif', 'https://s.example/g/' || k || '-1.webp') AS images
+FROM p""")
+def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with two objects, in either order, of which sometimes one is another product's, and galleries beside those of other products."""
+    k = F.col("p_partkey")
+    name = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    code = name("P", k)
+    one = F.to_json(F.struct(F.struct(F.when(k % 5 == 0, "X").otherwise(code).alias("codigo"), F.col("p_name").alias("nombre"), F.col("p_brand").alias("marca"), F.when(k % 7 == 0, name("/a/", k, ".png")).alias("img")).alias("producto"), (k % 100).alias("precioMonto")))
+    other = F.to_json(F.struct(F.struct(code.alias("codigo"), F.col("p_type").alias("categoria")).alias("producto"), F.when(k % 3 != 0, F.struct(code.alias("codigo"), name("//cdn.example/v/", k, ".jpg").alias("img"))).alias("variantes"), (1000 + k % 100).alias("precioMonto"), F.struct(F.lit("USD").alias("cod")).alias("moneda"), (k % 2 == 0).alias("tieneStock")))
+    script = lambda x: name("<script>var p = {a: 1}; show(", x, ");</script>")
+    meta = F.when(k % 4 == 1, name('<meta property="og:image" content="/m/', k, '.png">')).otherwise(F.lit('<meta property="og:image" content="/m/logo.png">'))
+    gallery = name('<div class="galeriaProducto"><img src="/g/', k, '-1.webp"><img data-src="g', k, '.gif"><img src="/banner.jpg"></div><section class="productosRelacionados"><div class="imagenes"><img src="/other/', k, '.jpg"></div></section>')
+    first, second = F.when(k % 2 == 0, script(one)).otherwise(script(other)), F.when(k % 2 == 0, script(other)).otherwise(script(one))
+    pages = table(spark, sf_dir, "part").select(name("https://s.example/p/", k).alias("url"), code.alias("code"), F.concat(meta, first, gallery, second).alias("html"))
+    return embedded.embedded_records(pages, F.col("code")).select("url", "sku", "product_name", "price", "currency", "category", "brand", "availability", F.array_join("image_urls", ",").alias("images"))
+
+
+@query("""WITH RECURSIVE nodes AS (
+  SELECT 'r' || r_regionkey AS key, NULL AS parent, r_name AS label FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
+  UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 97 = 5 THEN 'c' || (c_custkey + 1) WHEN c_custkey % 97 = 6 THEN 'c' || (c_custkey - 1) WHEN c_custkey % 6 = 0 THEN 'n' || c_nationkey WHEN c_custkey % 101 = 1 THEN 'missing' ELSE 'c' || (c_custkey - 1) END, c_mktsegment FROM customer),
+tree AS (
+  SELECT key, 0 AS depth, label AS path FROM nodes WHERE parent IS NULL OR parent NOT IN (SELECT key FROM nodes)
+  UNION ALL SELECT n.key, depth + 1, path || '/' || label FROM tree JOIN nodes n ON n.parent = tree.key)
+SELECT key, depth, path FROM nodes LEFT JOIN tree USING (key)""")
+def category_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and chains of customers as categories; some chains run in circles, some hang from what is not there."""
+    region, nation, customer = (table(spark, sf_dir, x) for x in ("region", "nation", "customer"))
+    name = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    c = F.col("c_custkey")
+    parent = F.when(c % 97 == 5, name("c", c + 1)).when(c % 97 == 6, name("c", c - 1)).when(c % 6 == 0, name("n", F.col("c_nationkey"))).when(c % 101 == 1, "missing").otherwise(name("c", c - 1))
+    nodes = region.select(name("r", F.col("r_regionkey")).alias("key"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
+    nodes = nodes.unionAll(nation.select(name("n", F.col("n_nationkey")), name("r", F.col("n_regionkey")), "n_name")).unionAll(customer.select(name("c", c), parent, "c_mktsegment"))
+    return categories.tree(nodes).select("key", "depth", F.array_join("path", "/").alias("path"))
