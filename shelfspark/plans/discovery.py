@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import categories, walks
+from ..operators import categories, refresh, walks
 from ..operators.rules import SiteRule
+from ..schema import ORDER
+from ..shared import write_table
 from ..sources import embedded
-from .catalog import _LINKS_SQL, QUERIES, SQL, _progress, query, table
+from .catalog import _LINKS_SQL, PRODUCTS, QUERIES, SQL, _progress, products, query, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -146,3 +148,22 @@ def category_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = region.select(name("r", F.col("r_regionkey")).alias("key"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
     nodes = nodes.unionAll(nation.select(name("n", F.col("n_nationkey")), name("r", F.col("n_regionkey")), "n_name")).unionAll(customer.select(name("c", c), parent, "c_mktsegment"))
     return categories.tree(nodes).select("key", "depth", F.array_join("path", "/").alias("path"))
+
+
+@query(f"""WITH {PRODUCTS}, s AS (SELECT id, image_url AS old, CASE WHEN id % 5 = 0 THEN NULL ELSE CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'https://img.example/placeholder.png' WHEN 2 THEN image_url ELSE 'https://img.example/n/' || id || '.jpg' END END AS new, id % 5 = 0 AS error FROM products WHERE id % 4 = 0),
+j AS (SELECT *, coalesce(regexp_matches(old, 'logo|placeholder'), false) AS invalid, new IS NOT NULL AND NOT regexp_matches(new, 'logo|placeholder') AS valid, id % 7 = 2 AS same FROM s),
+runs AS (SELECT *, n AS run, CASE WHEN n = 3 AND valid THEN false ELSE invalid END AS invalid_now, valid AND NOT same AND n < 3 AS would FROM j, (VALUES (1), (2), (3)) AS t(n))
+SELECT run, count(*) AS total_candidates, count(*) FILTER (invalid_now) AS current_invalid, count(*) FILTER (valid) AS new_valid, count(*) FILTER (NOT valid AND NOT error) AS without_valid,
+  count(*) FILTER (would) AS would_update, count(*) FILTER (would AND run = 2) AS updated, count(*) FILTER (error) AS errors FROM runs GROUP BY run""")
+def image_backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run, a run that is applied, and another one, which changes nothing."""
+    stock = products(spark, sf_dir).drop(ORDER).withColumn("search_text", F.lit(""))
+    k = F.col("id")
+    image = F.when(k % 7 == 1, "https://img.example/placeholder.png").when(k % 7 == 2, F.col("image_url")).when(k % 7 != 0, F.concat(F.lit("https://img.example/n/"), k.cast("string"), F.lit(".jpg")))
+    found = stock.where("id % 5 <> 0").select("source_url", image.alias("image_url"), F.when(~(k % 7).isin(0, 2), F.array(image)).alias("image_urls"))
+    at, under = F.lit(2000).cast("bigint"), ("https://www.shop",)
+    dry = refresh.backfill_images(stock, found, under, at)
+    applied = write_table(refresh.backfill_images(stock, found, under, at, apply=True), "backfilled")
+    again = refresh.backfill_images(applied.drop("reason", "changed", "previous_invalid", "new_valid"), found, under, at, apply=True)
+    runs = [refresh.backfill_summary(x, i == 2).withColumn("run", F.lit(i)) for i, x in enumerate((dry, applied, again), 1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
