@@ -61,6 +61,11 @@ def list_text(values: Column) -> Column:
     return F.array_join(values, " ")
 
 
+def rows_of(**columns: Column) -> Column:
+    """A generator of rows from arrays side by side; a shorter one gives nulls."""
+    return F.inline(F.arrays_zip(*(c.alias(n) for n, c in columns.items())))
+
+
 def patch_json(document: Column, schema: str, changes: dict[str, Column | None]) -> Column:
     """A JSON text with some fields set, or dropped where the change is None; ``schema`` lists all its fields."""
     value = F.from_json(document, schema)

@@ -101,6 +101,16 @@ def page_with_total(inventory: DataFrame, filters: Filters = Filters(), limit: f
     return page(inventory, filters, n, skip, links, rules), total, skip + min(n, max(0, total - skip)) < total
 
 
+def count_by_site(inventory: DataFrame, site: str) -> int:
+    """Rows whose site is exactly this text."""
+    return inventory.where(F.col("site") == site).count()
+
+
+def fill_search_text(inventory: DataFrame) -> DataFrame:
+    """Rows without a search text get one, as a migration of older snapshots does."""
+    return inventory.withColumn("search_text", F.when(F.coalesce("search_text", F.lit("")) == "", product_search_text()).otherwise(F.col("search_text")))
+
+
 def site_stats(inventory: DataFrame, houses: DataFrame) -> DataFrame:
     """(host, label, n) by count and host; the label is a house's (``houses``: host, label), else the host."""
     counts = inventory.groupBy(urls.inventory_host(F.col("site")).alias("host")).agg(F.count("*").alias("n"))

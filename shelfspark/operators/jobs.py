@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,8 +35,32 @@ def next_job(jobs: DataFrame) -> DataFrame:
 
 
 def runs_page(runs: DataFrame, limit: int | None = None) -> DataFrame:
-    """The newest runs, 20 if not said otherwise, 100 at most."""
-    return runs.orderBy(F.desc("requested_at"), "id").limit(max(1, min(limit or 20, 100)))
+    """The newest runs, 20 if not said otherwise, 100 at most, with ``results_count`` where they have a ``summary``."""
+    rows = runs.orderBy(F.desc("requested_at"), "id").limit(max(1, min(20 if limit is None else limit, 100)))
+    return rows.withColumn("results_count", array_length(F.col("summary"), "results")) if "summary" in runs.columns else rows
+
+
+def array_length(document: Column, name: str) -> Column:
+    """The length of a list in a JSON text; 0 if it is no list."""
+    return F.coalesce(F.json_array_length(F.get_json_object(document, f"$.{name}")), F.lit(0))
+
+
+def site_trace(document: Column) -> Column:
+    """What a run's document (crawl, extract, products, merged) says of a site, as counts."""
+    part = lambda name: F.get_json_object(document, f"$.{name}")
+    return F.struct(
+        F.coalesce(F.get_json_object(document, "$.crawl.discoveryMethod"), F.lit("unknown")).alias("discovery_method"), array_length(part("crawl"), "pages").alias("pages_discovered"), array_length(part("crawl"), "discoveredUrls").alias("urls_discovered"),
+        array_length(part("extract"), "pages").alias("pages_processed"), array_length(part("extract"), "urls").alias("urls_requested"), array_length(document, "products").alias("raw_products"), array_length(document, "merged").alias("merged_products"),
+    )
+
+
+def site_rows(runs: DataFrame) -> DataFrame:
+    """(run_id, site, status, payload) of runs' summaries (id, summary: JSON with results); of a site that a run has twice the last counts."""
+    each = F.from_json(F.get_json_object("summary", "$.results"), "array<string>")
+    rows = runs.select(F.col("id").alias("run_id"), F.posexplode(each).alias("place", "payload"))
+    text = lambda name: F.coalesce(F.get_json_object("payload", f"$.{name}"), F.lit("unknown"))
+    named = rows.select("run_id", "place", text("site").alias("site"), text("status").alias("status"), "payload")
+    return named.groupBy("run_id", "site").agg(F.max_by(F.struct("status", "payload"), "place").alias("r")).select("run_id", "site", "r.*")
 
 
 def run_sites(sites: DataFrame, run_id: str) -> DataFrame:

@@ -34,6 +34,10 @@ class SiteRule:
     def name(self) -> str:
         return self.label or " ".join(p[:1].upper() + p[1:] for p in self.id.replace("_", "-").split("-") if p)
 
+    def limits(self, max_pages: int | None = None, max_products: int | None = None) -> tuple[int, int]:
+        """What a run of the site is limited to: what is asked for, else the site's own ``page_limits``."""
+        return self.page_limits[0] if max_pages is None else max_pages, self.page_limits[1] if max_products is None else max_products
+
     def aliases(self) -> set[str]:
         return {"".join(c for c in x.lower() if c.isalnum()) for x in (self.id, self.name, *self.hosts)}
 

@@ -54,9 +54,11 @@ def discover(listings: DataFrame, rule: SiteRule, max_pages: int | None = None,
 
 
 def run(listings: DataFrame, details: DataFrame, rule: SiteRule, mode: str = "audit", platform: str = "generic", stored: DataFrame | None = None, run_at: Column | None = None, max_pages: int | None = None, max_products: int | None = None) -> CatalogRun:
-    """Steps up to ``mode``; ``details`` (url, html) are the stored product pages, ``stored`` the inventory that a run extends."""
+    """Steps up to ``mode``; ``details`` (url, html) are the stored product pages, ``stored`` the inventory that a run extends. A run keeps to the site's limits where none are given."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
+    if mode == "run":
+        max_pages, max_products = rule.limits(max_pages, max_products)
     pages, links = discover(listings, rule, max_pages, max_products)
     pages, links = write_table(pages, "run-pages"), write_table(links, "run-links")
     if mode == "discover":

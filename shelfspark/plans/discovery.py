@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import categories, refresh, walks
 from ..operators.rules import SiteRule
 from ..schema import ORDER
 from ..shared import write_table
-from ..sources import embedded
+from ..sources import embedded, json_trees
 from .catalog import _LINKS_SQL, PRODUCTS, QUERIES, SQL, _progress, products, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -167,3 +168,29 @@ def image_backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = refresh.backfill_images(applied.drop("reason", "changed", "previous_invalid", "new_valid"), found, under, at, apply=True)
     runs = [refresh.backfill_summary(x, i == 2).withColumn("run", F.lit(i)) for i, x in enumerate((dry, applied, again), 1)]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, upper(p_name) AS title, upper(p_type) AS kind FROM part),
+c AS (SELECT k, title, unnest([title, title || ' ' || (1990 + k % 30), CASE WHEN k % 3 = 0 THEN title || ' con rejilla corsa' ELSE 'Comprar' END, 'MARCA ' || title || ' X Y Z', kind || ' HB20 2001-2004']) AS name, unnest([0, 1, 2, 3, 4]) AS i FROM p),
+s AS (SELECT k, name, i - CASE WHEN i > 2 AND k % 3 <> 0 THEN 1 ELSE 0 END AS place, lower(name) AS t, lower(title) AS b, i FROM c WHERE name <> 'Comprar'),
+scored AS (SELECT k, name, place, 100 - place + CASE WHEN t = b THEN 30 ELSE 0 END + CASE WHEN length(t) > length(b) AND starts_with(t, b) THEN 140 ELSE 0 END + CASE WHEN length(t) > length(b) AND contains(t, b) THEN 90 ELSE 0 END
+  + 8 * least(12, len(list_filter(string_split(t, ' '), lambda w: w <> '' AND NOT list_contains(string_split(b, ' '), w)))) + CASE WHEN i IN (1, 4) THEN 55 ELSE 0 END + CASE WHEN i = 2 THEN 45 + 35 ELSE 0 END + CASE WHEN i = 4 THEN 35 ELSE 0 END
+  + CASE WHEN i <> 2 THEN 10 ELSE 0 END - CASE WHEN i = 3 THEN 200 ELSE 0 END AS score FROM s)
+SELECT k, arg_max(name, (score, -place)) AS name FROM scored GROUP BY k""")
+def best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, title = F.col("p_partkey"), F.upper("p_name")
+    space = lambda *parts: F.concat_ws(" ", *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    texts = F.array(title, space(title, 1990 + k % 30), F.when(k % 3 == 0, space(title, "con rejilla corsa")).otherwise("Comprar"), space("MARCA", title, "X Y Z - Yokomitsu"), space(F.upper("p_type"), "HB20 2001-2004"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), names.best_name(texts, title).alias("name"))
+
+
+@query("""SELECT n_nationkey AS id, max(greatest(n, 7 + n_nationkey % 3))::BIGINT AS count, sum(n)::BIGINT AS members FROM (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation) GROUP BY n_nationkey""")
+def json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of nations as nested JSON that announces how many there are, in texts and numbers."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    own = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list(F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_custkey").alias("key")).alias("inner"))).alias("items"))
+    items = F.coalesce("items", F.array().cast(own.schema["items"].dataType))
+    body = F.to_json(F.struct(F.struct(F.concat(F.size(items).cast("string"), F.lit(" in all")).alias("totalRegistros"), F.struct((7 + F.col("n_nationkey") % 3).alias("recordsShown"), F.lit("none").alias("filtered")).alias("page")).alias("meta"), items.alias("items")))
+    found = write_table(json_trees.entries(nation.join(own, "n_nationkey", "left").select("n_nationkey", body.alias("body")), "n_nationkey"), "json-entries")
+    members = found.where("key = 'name'").groupBy("id").agg(F.count("*").alias("members"))
+    return json_trees.announced_count(found).join(members, "id", "left").select("id", F.col("count").cast("bigint").alias("count"), F.coalesce("members", F.lit(0)).alias("members"))

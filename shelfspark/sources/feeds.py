@@ -101,12 +101,14 @@ def harvested_products(feeds: DataFrame) -> DataFrame:
 
 def linked_data_products(scripts: DataFrame) -> DataFrame:
     """Records of the objects of type Product in JSON-LD scripts (``scripts``: url, body), at any depth; the first offer counts."""
+    # The type is a text, or a list of texts.
     kind = F.get_json_object("object", "$.@type")
+    is_product = (F.lower(kind) == "product") | F.exists(F.coalesce(F.from_json(kind, "array<string>"), F.array().cast("array<string>")), lambda x: F.lower(x) == "product")
     first = lambda one, many: F.coalesce(_text(many), _text(one))
     amount = F.coalesce(first("offers.price", "offers[0].price"), _text("offers[0].priceSpecification[0].price", "offers.priceSpecification[0].price", "offers.priceSpecification.price", "price"))
     state = F.lower(F.coalesce(first("offers.availability", "offers[0].availability"), F.lit("")))
     image = F.coalesce(_text("image[0]"), _text("image"))
-    out = json_objects(scripts).where(kind == "Product").select(
+    out = json_objects(scripts).where(is_product).select(
         "url", "place", _text("name").alias("product_name"), price.normalize_price(amount).alias("price"), price.infer_currency(first("offers.priceCurrency", "offers[0].priceCurrency"), amount).alias("currency"),
         _text("brand.name", "brand").alias("brand"), _text("sku").alias("sku"), _text("description").alias("description"), urls.resolve_url(F.col("url"), image).alias("image_url"),
         F.coalesce(urls.resolve_url(F.col("url"), _text("url")), F.col("url")).alias("source_url"), F.when(F.contains(state, F.lit("instock")), "in_stock").when(F.contains(state, F.lit("outofstock")), "out_of_stock").alias("availability"),

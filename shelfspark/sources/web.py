@@ -5,8 +5,11 @@
 
 Options: ``urls`` (a JSON list), ``timeout`` in seconds, ``attempts``, ``delay`` between the
 requests of a host in seconds, ``page_parameter`` and ``max_pages`` to follow a feed page by
-page, and ``page_size``: a page of fewer items ends its feed.
+page, and ``page_size``: a page of fewer items ends its feed. A feed that ``max_pages`` cuts
+has a last row with the error ``max_pages`` and the address that it would have asked next.
 A page that cannot be had is a row with an error; it fails no task.
+
+``fetch_pending`` reads a table of addresses instead, in runs that go on where others ended.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from urllib.error import HTTPError
 from urllib.parse import urlencode, urlsplit
 from urllib.request import HTTPRedirectHandler, Request, build_opener
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "url string, final_url string, status int, headers map<string,string>, body string, error string"
@@ -108,6 +114,10 @@ class WebReader(DataSourceReader):
                 if row[5] or (get("page_parameter") and _items(row[4]) < max(size, 1)):
                     break
                 time.sleep(float(get("delay", "0")))
+            else:
+                if name := get("page_parameter"):
+                    following = int(get("max_pages", "100")) + 1
+                    yield f"{url}{'&' if '?' in url else '?'}{urlencode({name: following})}", None, None, {}, None, "max_pages"
 
 
 class WebPages(DataSource):
@@ -120,3 +130,58 @@ class WebPages(DataSource):
 
     def reader(self, schema: object) -> WebReader:
         return WebReader(self.options)
+
+
+def fetch_all(addresses: DataFrame, global_limit: int = 8, per_host: int = 2, delay: float = 0.0, attempts: int = 3, timeout: float = 45.0) -> DataFrame:
+    """The pages of ``addresses`` (url), each once: at most ``global_limit`` requests at a time, and ``per_host`` of a host.
+
+    A host's addresses are dealt to ``per_host`` lanes by hash, and lanes to ``global_limit``
+    partitions, which ask one address after the other; the least time between two requests of a
+    lane is ``delay`` seconds. A large host is no single task unless ``per_host`` is one.
+    """
+    lanes, width = max(1, min(per_host, 20)), max(1, min(global_limit, 100))
+    host = F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]+)", 1))
+    lane = F.struct(host, F.pmod(F.xxhash64("url"), F.lit(lanes)).alias("lane"))
+    dealt = addresses.select("url").where("url is not null").distinct().withColumn("lane", F.xxhash64(lane))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, float] = {}
+        for batch in batches:
+            for url, lane in zip(batch.column("url").to_pylist(), batch.column("lane").to_pylist(), strict=True):
+                if delay and lane in last:
+                    time.sleep(max(0.0, last[lane] + delay - time.monotonic()))
+                last[lane] = time.monotonic()
+                row = fetch(url, timeout, max(1, min(attempts, 11)))
+                columns = [[x] for x in (*row[:3], list(row[3].items()), *row[4:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], names=["url", "final_url", "status", "headers", "body", "error"])
+
+    return dealt.repartition(width, "lane").mapInArrow(run, SCHEMA)
+
+
+_KINDS = [pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
+
+
+def completed(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages that runs into ``folder`` have had."""
+    return _rows(spark, folder).where("error is null")
+
+
+def failed(spark: SparkSession, folder: str) -> DataFrame:
+    """(url, error) of addresses that no run has had, with the message of one that tried."""
+    return _rows(spark, folder).where("error is not null").join(completed(spark, folder).select("url"), "url", "left_anti").groupBy("url").agg(F.max("error").alias("error"))
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(SCHEMA).parquet(folder) if there else spark.createDataFrame([], SCHEMA)
+
+
+def fetch_pending(addresses: DataFrame, folder: str, **options: float) -> int:
+    """Adds to ``folder`` the pages of ``addresses`` that no run has had yet (those that failed are asked again); how many were asked."""
+    done = completed(addresses.sparkSession, folder).select("url")
+    pending = addresses.select("url").where("url is not null").distinct().join(done, "url", "left_anti")
+    n = pending.count()
+    if n:
+        fetch_all(pending, **options).write.mode("append").parquet(folder)
+    return n
