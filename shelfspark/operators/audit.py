@@ -43,13 +43,17 @@ def duplicate_skus(products: DataFrame) -> DataFrame:
     return duplicate_counts(products, F.lower(F.trim("sku")))
 
 
-def possible_duplicates(products: DataFrame) -> DataFrame:
-    """(key, n, urls): groups of one name, brand and image under several records; distinct addresses are aggregated before they are listed."""
+def possible_duplicates(products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): (key, n, n_urls) of one name, brand and image under several records, and (key, url, n) of their addresses.
+
+    A default image may put very many records into one group, so that its addresses are rows, not a list.
+    """
     name, image = F.nullif(fold(F.col("product_name")), F.lit("")), urls.canonical_url(F.col("image_url"))
     brand = F.coalesce(F.nullif(fold(F.col("brand")), F.lit("")), F.lit("no-brand"))
     keyed = products.where(name.isNotNull() & image.isNotNull()).select(F.concat_ws("|", name, brand, image).alias("key"), urls.canonical_url(F.col("source_url")).alias("url"))
     by_url = keyed.groupBy("key", "url").agg(F.count("*").alias("n"))
-    return by_url.groupBy("key").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("url")).alias("urls")).where("n > 1")
+    groups = by_url.groupBy("key").agg(F.sum("n").alias("n"), F.count("url").alias("n_urls")).where("n > 1")
+    return groups, by_url.where("url is not null").join(groups.select("key"), "key", "left_semi")
 
 
 def completeness(products: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.text import clean_text, fold, let, padded, plain, plain_key
-from ..schema import ORDER
 
 OTHER = "otros"
 # Ids and labels of brands; other aliases than these two.
@@ -112,7 +111,7 @@ def prefer_listing_brand(products: DataFrame, listings: DataFrame) -> DataFrame:
     """Adds the brand of the listing on which a product was found (``listings``: listing_url, listing_brand)."""
     joined = products.join(listings, "listing_url", "left")
     merged = F.concat(F.coalesce("compatible_brands", F.array().cast("array<string>")), F.array_compact(F.array("listing_brand")))
-    return joined.withColumn("compatible_brands", arrays.merge_brands(merged)).drop("listing_brand").orderBy(ORDER)
+    return joined.withColumn("compatible_brands", arrays.merge_brands(merged)).drop("listing_brand")
 
 
 def lexicon_matches(text: Column, names: list[str], extra: dict[str, str] | None = None) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, urls
 from ..functions.text import clean_text, fold
 from ..schema import ORDER
 from ..shared import write_table
+from .ordered import previous
 
 
 def product_key() -> Column:
@@ -74,9 +75,12 @@ def merge_products(products: DataFrame) -> DataFrame:
 
 
 def merge_by_address(base: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Two lists of records, the second one's values before the first one's; only the address is a key."""
-    shift = F.lit(2**40)
-    both = base.unionByName(incoming.withColumn(ORDER, F.col(ORDER) + shift))
+    """Two lists of records, the second one's values before the first one's; only the address is a key.
+
+    The order of what comes out is (side, the record's own), whatever that is.
+    """
+    side = lambda df, n: df.withColumn(ORDER, F.struct(F.lit(n).alias("side"), F.col(ORDER).alias("own")))
+    both = side(base, 0).unionByName(side(incoming, 1))
     return merge_records(both, F.nullif(F.lower(F.trim("source_url")), F.lit("")), dict.fromkeys(MERGED_LISTS, lambda x: F.lower(x)))
 
 
@@ -87,10 +91,9 @@ def normalize_catalog(products: DataFrame, currency: str | None = None) -> tuple
     out = merged.withColumn("source_url", F.coalesce(urls.catalog_url(F.col("source_url")), F.col("source_url")))
     if currency:
         out = out.withColumn("currency", F.coalesce("currency", F.lit(currency)))
-    order = Window.partitionBy("_key").orderBy(ORDER)
     reason = F.when(F.col("_key").startswith("sku:"), "sku").otherwise("canonical_url")
-    again = keyed.withColumn("duplicate_of", F.lag("source_url").over(order)).withColumn("_place", F.row_number().over(order)).where("_place > 1")
-    return out, again.select(F.col("source_url").alias("url"), "duplicate_of", reason.alias("reason"))
+    again = previous(keyed.select("_key", ORDER, "source_url"), "_key", [ORDER], "source_url").where("not is_first")
+    return out, again.select(F.col("source_url").alias("url"), F.col("previous").alias("duplicate_of"), reason.alias("reason"))
 
 
 def validate(products: DataFrame, valid: DataFrame) -> DataFrame:

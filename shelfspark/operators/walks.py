@@ -1,40 +1,21 @@
 """Walks over a site's stored pages: one budget for all its listings, and sitemaps from their index down.
 
-Both need numbers along an order that no key splits (all pages of a site). ``running_totals``
-gives them without one task for a site: rows are dealt by ranges of the order, each range has
-its own sums, and a range begins with what the ranges before it sum up to.
+Both need numbers along an order that no key splits (all pages of a site), which ``ordered``
+gives without one task for a site.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions import urls
 from ..shared import drop_tables, write_table
+from .ordered import running_totals
 from .rules import SiteRule, any_match
 
-_RANGE, _COUNT, _PLACE = "__range", "__count", "__place"
-
-
-def running_totals(rows: DataFrame, group: str, order: list[str], sums: list[str]) -> DataFrame:
-    """``rows`` with ``number`` (from 1 in its group along ``order``) and, for each of ``sums``, ``before_<name>``: the sum of the group's rows before.
-
-    A range of the order is one task's rows; the sums that are ordered by group are one row a
-    range. The ranges are a table of the shared folder, so that a range stays what it was.
-    """
-    taken = write_table(rows.repartitionByRange(group, *order).withColumn(_RANGE, F.spark_partition_id()), "ranges")
-    own = Window.partitionBy(group, _RANGE).orderBy(*order)
-    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
-    start = Window.partitionBy(group).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    by_range = taken.groupBy(group, _RANGE).agg(F.count("*").alias(_COUNT), *(F.sum(x).alias(f"__sum_{x}") for x in sums))
-    held = [_COUNT, *(f"__sum_{x}" for x in sums)]
-    starts = by_range.select(F.col(group).alias("__group"), F.col(_RANGE).alias("__of"), *(zero(F.sum(x).over(start)).alias(x) for x in held))
-    joined = taken.join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col(_RANGE) == F.col("__of")))
-    totals = {"number": F.col(_COUNT) + F.row_number().over(own), **{f"before_{x}": F.col(f"__sum_{x}") + zero(F.sum(x).over(earlier)) for x in sums}}
-    return joined.withColumns(totals).drop("__group", "__of", _RANGE, *held)
+_PLACE = "__place"
 
 
 def walk(pages: DataFrame, max_pages: int | None = None, max_products: int | None = None) -> DataFrame:

@@ -317,7 +317,9 @@ def duplicate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PRODUCTS} SELECT lower(product_name) || '|no-brand|' || {canonical_sql('image_url')} AS key, count(*) AS n, array_to_string(list_sort(list(DISTINCT {canonical_sql('source_url')}) FILTER (source_url IS NOT NULL)), ' ') AS urls
 FROM products WHERE image_url IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def possible_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.possible_duplicates(products(spark, sf_dir).withColumn("brand", F.lit(None).cast("string"))).select("key", "n", F.coalesce(F.nullif(F.array_join("urls", " "), F.lit("")), F.lit(None)).alias("urls"))
+    groups, members = audit.possible_duplicates(products(spark, sf_dir).withColumn("brand", F.lit(None).cast("string")))
+    listed = members.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("url")), " ").alias("urls"))
+    return groups.join(listed, "key", "left").select("key", "n", "urls")
 
 
 @query(f"""WITH {PRODUCTS} SELECT count(*) AS records, count(price) AS with_price, count(sku) AS with_sku, count(*) FILTER (id % 3 = 0) AS image_real, count(*) FILTER (image_url IS NULL) AS image_missing, count(*) FILTER (id % 3 = 1) AS image_rejected FROM products""")

@@ -57,7 +57,7 @@ def test_entries_of_json(spark):
     assert found.where("id in ('broken', 'null', 'scalar')").count() == 0
     assert [(r.id, int(r["count"])) for r in json_trees.announced_count(found).collect()] == [("u", 1204)]
     assert {r.key: (r.n, r.ids) for r in json_trees.keys(found).where("key in ('a', 'b')").collect()} == {"a": (2, 2), "b": (1, 1)}
-    assert "total_rows" in json_trees.shape(feeds.where("id <> 'scalar'")).first()["shape"]
+    assert "total_rows" in json_trees.shape(feeds.where("url <> 'scalar'")).first()["shape"]
 
 
 def test_runs(spark):

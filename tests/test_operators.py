@@ -334,6 +334,31 @@ def test_listing_and_detail_pages(spark):
     assert [(r.seed, r.label) for r in seeds.orderBy("place").collect()] == [("https://a.example/marca/fiat", "Fiat"), ("https://a.example/marca/kia", "Kia")]
 
 
+def test_two_lists_by_address(spark):
+    """Orders that are structs, as whole runs write them, and plain ones."""
+    rows = lambda *r: records(spark, [dict(x) for x in r])
+    base = rows({"source_url": "https://a.example/1", "price": "1", "sku": "S"}, {"source_url": "https://a.example/2", "price": "5"}, {"product_name": "bare"})
+    incoming = rows({"source_url": "HTTPS://A.example/1 ", "price": "2"}, {"source_url": "https://a.example/3", "price": "7"})
+    for change in (lambda df: df, lambda df: df.withColumn(ORDER, F.struct(F.lit("l").alias("listing"), F.col(ORDER).alias("n")))):
+        got = dedupe.merge_by_address(change(base), change(incoming)).orderBy(ORDER).collect()
+        assert [(r.price, r.sku) for r in got] == [("2", "S"), ("5", None), ("7", None)]
+
+
+def test_brand_of_the_listing(spark):
+    products = conform(spark.createDataFrame([("l1", ["Otros"]), ("l1", ["Ford"]), ("l2", None), ("none", ["Kia"])], "listing_url string, compatible_brands array<string>"))
+    listings = spark.createDataFrame([("l1", "Fiat"), ("l2", "BMW")], "listing_url string, listing_brand string")
+    got = sorted((r.listing_url, r.compatible_brands) for r in brands.prefer_listing_brand(products, listings).collect())
+    assert got == [("l1", ["Fiat"]), ("l1", ["Ford", "Fiat"]), ("l2", ["BMW"]), ("none", ["Kia"])]
+
+
+def test_groups_of_possible_duplicates(spark):
+    image = "https://i.example/default.jpg"
+    df = records(spark, [{"product_name": "A", "image_url": image, "source_url": f"https://a.example/{i % 3}"} for i in range(5)] + [{"product_name": "á", "image_url": image}, {"product_name": "B", "image_url": image}, {"product_name": "A", "brand": "x", "image_url": image}, {"product_name": "A"}])
+    groups, members = audit.possible_duplicates(df)
+    assert [(r.n, r.n_urls) for r in groups.collect()] == [(6, 3)]
+    assert sorted((r.url[-1], r.n) for r in members.collect()) == [("0", 2), ("1", 2), ("2", 1)]
+
+
 def test_tables(spark, tmp_path):
     df = records(spark, [{"product_name": "A"}]).withColumn("site", F.lit("https://www.a.example/l"))
     tables.archive(df, str(tmp_path / "archive"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text
-from shelfspark.operators import walks
+from shelfspark.operators import ordered, walks
 from shelfspark.operators.rules import SiteRule
 
 PAGES = "site string, place int, listing string, page int, url string, next_url string, new_in_listing int"
@@ -96,7 +96,7 @@ def test_running_totals_of_one_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, o int, v int").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {(r.g, r.o): (r.number, r.before_v) for r in walks.running_totals(df, "g", ["o"], ["v"]).collect()}
+        got = {(r.g, r.o): (r.number, r.before_v) for r in ordered.running_totals(df, "g", ["o"], ["v"]).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want, before = {}, 0
@@ -106,6 +106,18 @@ def test_running_totals_of_one_hot_group(spark):
     assert got == want | {(None, 1): (1, 0), (None, 2): (2, 4), ("x", 1): (1, 0)}
 
 
+def test_previous_rows_of_one_hot_group(spark):
+    rows = [("hot", i * 7 % 3001, None if i % 10 == 3 else f"v{i}") for i in range(3001)] + [("x", 1, "a"), (None, 2, "c"), (None, 1, "b")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.o): (r.is_first, r.previous) for r in ordered.previous(spark.createDataFrame(rows, "g string, o int, v string").repartition(8), "g", ["o"], "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = sorted(r for r in rows if r[0] == "hot")
+    want = {(g, o): (i == 0, hot[i - 1][2] if i else None) for i, (g, o, _) in enumerate(hot)}
+    assert got == want | {("x", 1): (True, None), (None, 1): (True, None), (None, 2): (False, "b")}
+
+
 def plain_sitemaps(seeds, stored, limit):
     import re
     from urllib.parse import urljoin
