@@ -5,8 +5,8 @@ the five row filters, and a hash of the lowest frequencies of a two-dimensional
 transform, itself a binary column. ``store`` writes the images; ``read`` takes what is stored.
 
 Defined results: a null text counts as empty; an empty text gives a payload of one row of
-spaces; equal texts give equal files and features; very long texts make tall images, up to
-``LIMIT`` bytes; a frequency equal to the median is no bit; repeated rows, null or equal ids
+spaces; equal texts give equal files and features; very long texts make tall images of
+any height; a frequency equal to the median is no bit; repeated rows, null or equal ids
 give repeated results; an empty table gives no rows; other columns, whatever their names, are
 ignored. A file that is cut anywhere, fails a checksum or holds more or less than its header
 says is a ``ValueError``.
@@ -29,7 +29,7 @@ from .support import arrow_map, write_table
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, CHANNELS = 64, 3
 ROW_BYTES = WIDTH * CHANNELS
-#: Bytes of an image's samples that are read at most: a guard against files that unpack to anything.
+#: Bytes of an image's samples that ``decode_png`` reads if not told otherwise: a guard against files that unpack to anything. ``read`` has none.
 LIMIT = 1 << 30
 #: Sides of the reduced grey image and of the block of low frequencies.
 SMALL, LOW = 32, 8
@@ -109,8 +109,8 @@ def _by_diagonals(kinds: np.ndarray, residues: np.ndarray) -> np.ndarray:
     return out[1:, 1:].astype(np.uint8)
 
 
-def decode_png(png: bytes) -> np.ndarray:
-    """The samples of an 8-bit grey or RGB PNG without interlacing, as (height, width, channels)."""
+def decode_png(png: bytes, most: int | None = LIMIT) -> np.ndarray:
+    """The samples of an 8-bit grey or RGB PNG without interlacing, as (height, width, channels), of at most so many bytes (None: any)."""
     head, data = b"", []
     for kind, body in _chunks(png):
         if kind == b"IHDR":
@@ -127,9 +127,10 @@ def decode_png(png: bytes) -> np.ndarray:
     if depth != 8 or color not in (0, 2) or interlace:
         raise ValueError("only 8-bit grey and RGB images without interlacing are read")
     step = {0: 1, 2: 3}[color]
-    if not 0 < height * (1 + width * step) <= LIMIT:
+    size = height * (1 + width * step)
+    if not size or most is not None and size > most:
         raise ValueError("the image is empty or too large")
-    raw = _unpacked(b"".join(data), height * (1 + width * step)).reshape(height, 1 + width * step)
+    raw = _unpacked(b"".join(data), size).reshape(height, 1 + width * step)
     kinds = raw[:, 0]
     if (kinds > 4).any():
         raise ValueError("unknown row filter")
@@ -200,7 +201,8 @@ def read(stored: DataFrame) -> DataFrame:
     """Per row of ``stored``: digests of the stored file and of the payload read back from it, and the image's hash."""
 
     def row(doc_id: int | None, n: int, png: bytes) -> tuple:
-        samples = decode_png(png)
+        # Own files are as large as the texts that they hold; only others' are guarded.
+        samples = decode_png(png, None)
         back, found = samples.tobytes(), cosine_hash(samples)
         return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(png), hashlib.sha256(png).hexdigest(), found.hex(), found
 

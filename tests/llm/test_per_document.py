@@ -202,6 +202,15 @@ def test_hosts_are_shrunk(spark):
     assert 0.1 < got["small"].host_rate < 1.0
 
 
+def test_only_foreign_images_have_a_limit(monkeypatch):
+    payload = b"x" * media.ROW_BYTES * 5
+    png = media.encode_png(payload)
+    with pytest.raises(ValueError):
+        media.decode_png(png, 100)
+    monkeypatch.setattr(media, "LIMIT", 100)
+    assert media.decode_png(png, None).tobytes() == payload
+
+
 def with_body(png, body):
     start = png.index(b"IDAT") - 4
     return png[:start] + media._chunk(b"IDAT", body) + media._chunk(b"IEND", b"")
