@@ -7,8 +7,8 @@ as context, whether it belongs to the article. It is trained on the driver on ``
 invented pages; its weights (some 100 kB at any size of input) go to the tasks.
 
 Defined results: a null or empty page, or one without article, has an empty text; very long
-pages are read whole, in windows of bounded size that overlap by ``CONTEXT`` blocks, so that a
-block far from a page's other end does not see it; a block at the limit of both classes is
+pages are read whole, in chunks of bounded size, each direction of the network going on from the
+state that it had at the end of the chunk before, so that every block sees all of its page; a block at the limit of both classes is
 kept out; repeated rows, null or equal ids are extracted each; an empty table gives no rows;
 other columns, whatever their names, are ignored. Scripts, styles, comments, drawings, frames,
 templates and the contents of form fields are no text; formulas and what objects and pages
@@ -39,11 +39,12 @@ PATH, WORDS, COUNTS = 256, 128, 9
 INPUT = PATH + WORDS + COUNTS
 #: Training pages that have to have a name for it to be known.
 KNOWN_NAME = 8
-#: Cells of a padded batch of blocks; bounds a task's memory. Blocks on either side that a window of a longer page sees too.
-BATCH_BLOCKS, CONTEXT = 12_000, 200
+#: Cells of a padded batch of blocks, and blocks of a chunk of a longer page; bounds a task's memory.
+BATCH_BLOCKS = 12_000
 
+#: Quotes hold a value after an equals sign only; one that nothing closes, or that stands elsewhere, is a character as any other.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[!?][^>]*>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
 #: Elements without text of their own, up to the closing tag; one that nobody closes, or that closes itself, is passed over alone.
@@ -182,9 +183,9 @@ class Labeller:
             out[i, PATH + WORDS :] = (np.log1p(n) / 5, b.linked / size, b.text.count(".") / n, (begin + i) / total, 1.0, n < 4, b.text[-1] in ".!?", "©" in b.text or "opyright" in b.text, digits / size)
         return out
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """States of one direction; x is (time, page, input), already in that direction's order."""
-        h = c = np.zeros((x.shape[1], self.h), np.float32)
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None, keep: bool = True) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """States of one direction, and the last one; x is (time, page, input), already in that direction's order. ``state`` is where it begins."""
+        h, c = state or (np.zeros((x.shape[1], self.h), np.float32),) * 2
         drive = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
         out, kept = np.empty((*x.shape[:2], self.h), np.float32), []
         for t in range(len(x)):
@@ -196,15 +197,29 @@ class Labeller:
             tc = np.tanh(c)
             h = m * (o * tc) + (1 - m) * h
             out[t] = h
-            kept.append((i, f, o, g, tc, m, *before))
-        return out, kept
+            if keep:
+                kept.append((i, f, o, g, tc, m, *before))
+        return out, kept, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        forward, kf = self._run("f", x, mask)
-        backward, kb = self._run("b", x[::-1], mask[::-1])
+        forward, kf, _ = self._run("f", x, mask)
+        backward, kb, _ = self._run("b", x[::-1], mask[::-1])
         both = np.concatenate([forward, backward[::-1]], axis=2)
         return both @ self.p["V"] + self.p["v"], (both, kf, kb)
 
+    def logits_of_long(self, page: list[Block], chunk: int) -> np.ndarray:
+        """``logits`` of one page of any length: each direction goes on from one chunk's last state to the next chunk, so no block sees less."""
+        n = len(page)
+        out = np.full(n, self.p["v"][0], np.float32)
+        for d, weights, starts in (("f", self.p["V"][: self.h], range(0, n, chunk)), ("b", self.p["V"][self.h :], reversed(range(0, n, chunk)))):
+            state = None
+            for start in starts:
+                x = self.vectors(page[start : start + chunk], start, n)[:, None, :]
+                turn = slice(None, None, 1 if d == "f" else -1)
+                states, _, state = self._run(d, x[turn], np.ones((len(x), 1), np.float32), state, False)
+                out[start : start + len(x)] += (states[:, 0] @ weights)[turn]
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         z, (both, kf, kb) = self.logits(x, mask)
         d = (_sigmoid(z) - y) * mask / mask.sum()
@@ -266,28 +281,24 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Labeller:
     return labeller
 
 
-def _windows(n: int) -> list[tuple[int, int, int, int]]:
-    """(from, to, first, last): windows of a page of ``n`` blocks, and the blocks that each one decides."""
-    if n <= BATCH_BLOCKS:
-        return [(0, n, 0, n)]
-    step = BATCH_BLOCKS - 2 * CONTEXT
-    return [(max(0, k - CONTEXT), min(n, k + step + CONTEXT), k, min(n, k + step)) for k in range(0, n, step)]
-
-
 def label_pages(labeller: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
-    """Whether each block of each page is the article's; windows of like lengths share a batch."""
+    """Whether each block of each page is the article's; pages of like lengths share a batch, a page of more blocks than a batch goes by itself."""
     out = [np.zeros(len(p), bool) for p in pages]
-    windows = sorted(((i, *w) for i, p in enumerate(pages) if p for w in _windows(len(p))), key=lambda w: w[2] - w[1])
+    order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
     start = 0
-    while start < len(windows):
+    while start < len(order):
+        if len(pages[order[start]]) > BATCH_BLOCKS:
+            out[order[start]] = labeller.logits_of_long(pages[order[start]], BATCH_BLOCKS) > 0
+            start += 1
+            continue
         end = start + 1
-        while end < len(windows) and (windows[end][2] - windows[end][1]) * (end + 1 - start) <= BATCH_BLOCKS:
+        while end < len(order) and len(pages[order[end]]) * (end + 1 - start) <= BATCH_BLOCKS:
             end += 1
-        own = windows[start:end]
-        x, mask, _ = padded([(labeller.vectors(pages[i][a:b], a, len(pages[i])), np.zeros(b - a)) for i, a, b, _, _ in own])
+        own = order[start:end]
+        x, mask, _ = padded([(labeller.vectors(pages[i]), np.zeros(len(pages[i]))) for i in own])
         z, _ = labeller.logits(x, mask)
-        for k, (i, a, _, first, last) in enumerate(own):
-            out[i][first:last] = z[first - a : last - a, k] > 0
+        for k, i in enumerate(own):
+            out[i] = z[: len(pages[i]), k] > 0
         start = end
     return out
 

@@ -42,15 +42,24 @@ def test_elements_that_have_no_text_end_where_they_do():
     assert texts("<svg>" * 300 + "<p>x</p>") == ["x"] and texts("<!-- never closed <p>x</p>") == []
 
 
-def test_a_page_of_very_many_blocks_is_labelled_in_windows(monkeypatch):
+def test_a_page_of_very_many_blocks_is_labelled_as_a_whole(monkeypatch):
+    """In chunks of 7 or 700 blocks, whose directions go on from state to state, every block has the value that it has in one batch."""
     model = html_extraction.trained()
     page = html_extraction.blocks("<html><body><nav><a href='/'>Home</a></nav><article><h1>Title of it</h1>" + "".join(f"<p>{BODY[i % 3]} Part {i}.</p>" for i in range(2_000)) + "</article><footer><p>© 2024 All rights reserved</p></footer></body></html>")
     whole = html_extraction.label_pages(model, [page])[0]
+    z = model.logits(model.vectors(page)[:, None, :], np.ones((len(page), 1), np.float32))[0][:, 0]
+    for chunk in (7, 700):
+        assert np.allclose(model.logits_of_long(page, chunk), z, atol=1e-3)
     monkeypatch.setattr(html_extraction, "BATCH_BLOCKS", 700)
-    parts = html_extraction.label_pages(model, [page, page[:10]])
-    assert (parts[0] == whole).mean() > 0.999 and len(parts[0]) == len(page)
-    windows = html_extraction._windows(2_500)
-    assert [w[2] for w in windows[1:]] == [w[3] for w in windows[:-1]] and windows[-1][3] == 2_500 and all(b - a <= 700 for a, b, _, _ in windows)
+    parts = html_extraction.label_pages(model, [page, [], page[:10]])
+    assert (parts[0] == whole).all() and len(parts[1]) == 0 and len(parts[2]) == 10
+
+
+def test_quotes_that_do_not_pair_end_with_their_tag():
+    assert texts('<p title="a>hello</p><p>more</p>') == ["hello", "more"]
+    assert texts("<p>one <a href=don't>two</a> it's</p><p>three's</p>") == ["one two it's", "three's"]
+    assert texts('<p data-x="1"">four</p><p title="a > b" x=\'c > d\'>five</p>') == ["four", "five"]
+    assert texts("<p " + 'a="1" ' * 5_000 + "<b>end</b>") == ["<p " + 'a="1" ' * 4_999 + 'a="1" end']
 
 
 MIT = """MIT License
