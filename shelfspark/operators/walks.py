@@ -6,7 +6,7 @@ gives without one task for a site.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
@@ -144,3 +144,50 @@ def sitemap_walk(seeds: DataFrame, sitemaps: DataFrame, rule: SiteRule, limit: i
     counted = visited.join(is_sitemap, "url").join(own, "number", "left").select("url", "number", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1).alias("all"))
     documents = running_totals(counted.withColumnRenamed("number", "visit"), "all", ["visit"], ["n"])
     return documents.select("url", F.col("visit").alias("number"), (F.col("before_n") + F.col("n")).alias("product_count")), products
+
+
+def series(answers: DataFrame, max_items: int | None = None, attempts: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(pages, items) of listings that are asked page by page until nothing new comes.
+
+    ``answers`` is (series, page, attempt, blank, keys): what each page gave, the keys of its
+    records in order. An empty answer is asked once more, up to ``attempts``; the first page
+    counts whatever it gives. Later ones end the series, and do not count, if they are missing
+    or empty, have no record, or none that is new in the series; a series is full at
+    ``max_items`` records. pages: (series, page, n, new, so_far); items: (series, page, place, key).
+    """
+    tried = answers.where(F.col("attempt") <= attempts)
+    best = F.min_by(F.struct("blank", "keys"), F.struct(F.col("blank"), "attempt"))
+    asked = tried.groupBy("series", "page").agg(best.alias("a")).select("series", "page", F.col("a.blank").alias("blank"), F.when(~F.col("a.blank"), F.col("a.keys")).alias("keys"))
+    asked = write_table(asked, "series-pages")
+    found = asked.select("series", "page", F.posexplode("keys").alias("place", "key")).where("key is not null")
+    firsts = found.groupBy("series", "key").agg(F.min(F.struct("page", "place")).alias("at")).select("series", "key", "at.page", "at.place")
+    new = firsts.groupBy("series", "page").agg(F.count("*").alias("new"))
+    all_ = found.groupBy("series", "page").agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    counted = asked.select("series", "page", "blank").join(all_, ["series", "page"], "left").join(new, ["series", "page"], "left").select("series", "page", "blank", zero("n"), zero("new"))
+    rows = running_totals(counted, "series", ["page"], ["new"])
+    first = counted.groupBy("series").agg(F.min("page").alias("first_page")).withColumnRenamed("series", "_series")
+    rows = rows.join(first, F.col("series").eqNullSafe(F.col("_series"))).drop("_series")
+    later = F.col("page") > F.col("first_page")
+    stops = later & (F.col("blank") | (F.col("n") == 0) | (F.col("new") == 0) | (F.col("page") - F.col("first_page") + 1 != F.col("number")))
+    if max_items is not None:
+        stops = stops | later & (F.col("before_new") >= max_items)
+    judged = write_table(rows.withColumn("stops", stops), "series-judged")
+    ends = judged.where("stops").groupBy("series").agg(F.min("page").alias("end")).withColumnRenamed("series", "_series")
+    kept = judged.join(ends, F.col("series").eqNullSafe(F.col("_series")), "left").where(F.col("end").isNull() | (F.col("page") < F.col("end")))
+    so_far = F.col("before_new") + F.col("new")
+    pages = kept.select("series", "page", "n", "new", (so_far if max_items is None else F.least(so_far, F.lit(max_items))).alias("so_far"), "before_new")
+    items = firsts.join(pages.select(F.col("series").alias("_series"), F.col("page").alias("_page"), "before_new"), _all_alike(["series", "page"]))
+    if max_items is not None:
+        nth = F.row_number().over(Window.partitionBy("series", "page").orderBy("place"))
+        items = items.withColumn("nth", nth + F.col("before_new")).where(F.col("nth") <= max_items)
+    return pages.drop("before_new"), items.select("series", "page", "place", "key")
+
+
+def full_listing(url: Column, total: Column, parameter: str) -> Column:
+    """The address of a listing with all its results on one page: ``parameter`` set to their number; the address itself if that is not known."""
+    setting = F.concat(F.lit(f"{parameter}="), total.cast("string"))
+    there = url.rlike(f"[?&]{parameter}=")
+    joint = F.when(F.contains(url, F.lit("?")), "&").otherwise("?")
+    changed = F.when(there, F.regexp_replace(url, f"(?<=[?&]){parameter}=[^&#]*", setting)).otherwise(F.concat(url, joint, setting))
+    return F.when(total.isNotNull(), changed).otherwise(url)

@@ -10,7 +10,7 @@ from ..operators import categories, refresh, walks
 from ..operators.rules import SiteRule
 from ..schema import ORDER
 from ..shared import write_table
-from ..sources import embedded, json_trees
+from ..sources import embedded, json_trees, portal
 from .catalog import _LINKS_SQL, PRODUCTS, QUERIES, SQL, _progress, products, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -194,3 +194,41 @@ def json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = write_table(json_trees.entries(nation.join(own, "n_nationkey", "left").select("n_nationkey", body.alias("body")), "n_nationkey"), "json-entries")
     members = found.where("key = 'name'").groupBy("id").agg(F.count("*").alias("members"))
     return json_trees.announced_count(found).join(members, "id", "left").select("id", F.col("count").cast("bigint").alias("count"), F.coalesce("members", F.lit(0)).alias("members"))
+
+
+@query("""WITH p AS (
+  SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, event_id % 23 = 0 AND event_id % 46 <> 0 AS blank,
+    CASE WHEN event_id % 31 = 7 THEN [] ELSE ['k' || ((props->>'$.k')::BIGINT % 30), 'u' || (event_id % 50), 'k' || ((props->>'$.k')::BIGINT % 30)] END AS keys FROM events),
+f AS (SELECT series, page, blank, CASE WHEN blank THEN [] ELSE keys END AS keys FROM p),
+firsts AS (SELECT series, key, min(page) AS page FROM (SELECT series, page, unnest(keys) AS key FROM f) GROUP BY series, key),
+n AS (SELECT f.series, f.page, f.blank, len(f.keys) AS n, (SELECT count(*) FROM firsts x WHERE x.series = f.series AND x.page = f.page) AS new FROM f),
+r AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY page) AS so_far FROM n),
+e AS (SELECT series, min(page) AS last FROM r WHERE page > 1 AND (blank OR n = 0 OR new = 0 OR so_far - new >= 40) GROUP BY series)
+SELECT series, page::INTEGER AS page, n::BIGINT AS n, new::BIGINT AS new, least(so_far, 40)::BIGINT AS so_far FROM r LEFT JOIN e USING (series) WHERE last IS NULL OR page < last""")
+def series_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as pages of a series; some answers are empty, some of these not when asked again."""
+    k = F.get_json_object("props", "$.k").cast("bigint") % 30
+    e = table(spark, sf_dir, "events").withColumn("page", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    name = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    keys = F.when(F.col("event_id") % 31 == 7, F.array().cast("array<string>")).otherwise(F.array(name("k", k), name("u", F.col("event_id") % 50), name("k", k)))
+    first = e.select(F.col("user_id").alias("series"), "page", F.lit(1).alias("attempt"), (F.col("event_id") % 23 == 0).alias("blank"), keys.alias("keys"))
+    again = e.where("event_id % 23 = 0").select(F.col("user_id").alias("series"), "page", F.lit(2).alias("attempt"), (F.col("event_id") % 46 != 0).alias("blank"), keys.alias("keys"))
+    return walks.series(first.unionAll(again), 40)[0]
+
+
+@query("""SELECT 'https://p.example/list/' || (p_partkey // 20) AS page_url, 'https://p.example/v2/producto-detalle/m/' || p_partkey || '/x' AS source_url, CASE WHEN p_partkey % 2 = 0 THEN 'D' || p_partkey ELSE 'YK-' || p_partkey END AS sku,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE upper(p_name) || ' ' || p_partkey END AS product_name, (floor(p_retailprice)::BIGINT)::VARCHAR AS price, CASE WHEN p_partkey % 3 = 0 THEN 'USD' ELSE 'UYU' END AS currency, p_brand AS brand, p_type AS model,
+  'https://p.example/i/' || p_partkey || '.jpg' AS image_url FROM part""")
+def portal_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages of twenty cards, marked on even pages and known by their links alone on odd ones."""
+    k = F.col("p_partkey")
+    name = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    mark = F.when(k % 2 == 0, name(' data-codprod="D', k, '"')).otherwise(F.lit(' data-codprod=""'))
+    title = F.when(k % 5 == 0, F.lit("<h3>Ver detalle</h3>")).otherwise(name("<h3>", F.upper("p_name"), " ", k, "</h3>"))
+    amount = name('<p class="precio">', F.when(k % 3 == 0, "US$ ").otherwise("$ "), F.floor("p_retailprice").cast("bigint"), "</p>")
+    card = name("<li", mark, '><a href="/v2/producto-detalle/m/', k, '/x"><img src="/i/', k, '.jpg"></a>', title, amount, "<p>SKU: YK-", k, " Marca: ", F.col("p_brand"), " Modelo: ", F.col("p_type"), "</p></li>")
+    shown = table(spark, sf_dir, "part").select(F.expr("p_partkey div 20").alias("n"), F.struct(k, card.alias("card")).alias("c"))
+    pages = shown.groupBy("n").agg(F.sort_array(F.collect_list("c")).alias("cards"))
+    html = name("<html><body><nav><a href='/'>Inicio</a></nav><ul>", F.array_join(F.transform("cards", lambda c: c["card"]), ""), "</ul></body></html>")
+    found = portal.listing_records(pages.select(name("https://p.example/list/", F.col("n")).alias("url"), html.alias("html")))
+    return found.select("page_url", "source_url", "sku", F.when(~F.col("product_name").isin("X"), F.col("product_name")).alias("product_name"), "price", "currency", "brand", F.get("compatible_models", F.lit(0)).alias("model"), "image_url")

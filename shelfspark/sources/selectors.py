@@ -26,7 +26,7 @@ _TESTS = {"=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": s
 CLIMB, LONGEST_CARD = 5, 1500
 _DIGIT = re.compile("[0-9]")
 
-#: A field's ways in turn: (selector, attribute or ``text``).
+#: A field's ways in turn: (selector, attribute, ``text``, or ``leaves`` for the texts of the innermost elements).
 Ways = list[tuple[str, str]]
 
 
@@ -139,6 +139,14 @@ class Walk(HTMLParser):
         held = self.values[at].get(what)
         return _SPACES.sub(" ", held).strip(" ") or None if held is not None else None
 
+    def leaves(self, found: list[int]) -> list[int]:
+        """The elements without elements inside that these are or hold, each once, in page order."""
+        out, done = [], -1
+        for at in found:
+            out += [i for i in range(max(at, done + 1), self.last[at] + 1) if self.last[i] == i]
+            done = max(done, self.last[at])
+        return out
+
     def climbed(self, anchor: int) -> int:
         """The card around a link: of the elements above it the nearest whose text is short and has a number; else the one above."""
         up, at = self.parent[anchor], self.parent[anchor]
@@ -186,6 +194,9 @@ class Boxes:
     climb: str = ""
     #: An anchor around the box is its link where no way gives one.
     link_above: bool = False
+    #: Boxes are what this makes of the walk and of what it found of ``parts``, a list a selector.
+    choose: Callable[[Walk, list[list[int]]], list[int]] | None = None
+    parts: tuple[str, ...] = ()
 
 
 @dataclass
@@ -199,8 +210,9 @@ class Request:
 
     def __post_init__(self) -> None:
         every = {**self.fields, **self.lists}
-        self.asked = [self.boxes.selector, ", ".join(self.boxes.holds), "a[href]", *(s for ways in every.values() for s, _ in ways)]
-        places = iter(range(3, len(self.asked)))
+        self.first = 3 + len(self.boxes.parts)
+        self.asked = [self.boxes.selector, ", ".join(self.boxes.holds), "a[href]", *self.boxes.parts, *(s for ways in every.values() for s, _ in ways)]
+        places = iter(range(self.first, len(self.asked)))
         self.ways = {name: [(next(places), what) for _, what in ways] for name, ways in every.items()}
         self.selectors = Selectors([x if x or i > 2 else "[-]" for i, x in enumerate(self.asked)])
 
@@ -208,11 +220,14 @@ class Request:
         walk = Walk(self.selectors, len(self.asked), page)
         held = {}
         for name, ways in self.ways.items():
-            each = [[(at, v) for at in walk.found[i] if (v := walk.value(at, what)) is not None] for i, what in ways]
+            places = ((walk.leaves(walk.found[i]), "text") if what == "leaves" else (walk.found[i], what) for i, what in ways)
+            each = [[(at, v) for at in found if (v := walk.value(at, what)) is not None] for found, what in places]
             held[name] = [([at for at, _ in x], [v for _, v in x]) for x in each]
         return [self._entry(walk, box, held) for box in self._boxes(walk)]
 
     def _boxes(self, walk: Walk) -> Iterator[int]:
+        if self.boxes.choose:
+            return iter(self.boxes.choose(walk, walk.found[3 : self.first]))
         if self.boxes.climb:
             fits = re.compile(self.boxes.climb)
             return iter(dict.fromkeys(walk.climbed(at) for at in walk.found[2] if fits.search(walk.value(at, "href") or "")))

@@ -140,7 +140,7 @@ def track(events: DataFrame, silent_ms: int = 0, parts: int = PARTS) -> DataFram
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
     """(listing, pages, products, fresh, duplicates, errors, failed, finished, last_at, stalled) of a crawl's log."""
-    states = read_log(spark, folder, STATES, ["listing", "part"], ["last_at"])
+    states = read_log(spark, folder, STATES, ["listing", "part"], [])
     sums = [F.sum(c).alias(c) for c in ("pages", "products", "fresh", "duplicates", "errors")]
     failed = F.min(F.when(F.col("failed").isNotNull(), F.struct(F.col("failed_at").isNull(), "failed_at", "failed")))["failed"].alias("failed")
     quiet = (F.bool_and(F.col("stalled")) & ~F.bool_or("finished")).alias("stalled")
@@ -153,7 +153,7 @@ def run(events: DataFrame, folder: str, silent_ms: int = 0, parts: int = PARTS,
     before = conf.get(name)
     conf.set(name, STORE)
     try:
-        log = state_log(f"{folder}/log", ["listing", "part"], ["last_at"], compact)
+        log = state_log(f"{folder}/log", ["listing", "part"], [], compact)
         writer = track(events, silent_ms, parts).writeStream.foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint")
         query = writer.outputMode("update").trigger(availableNow=True).start()
         query.awaitTermination()

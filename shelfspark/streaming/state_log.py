@@ -16,15 +16,16 @@ COMPACT = 20
 def state_log(folder: str, keys: list[str], order: list[str], compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
     """For a stream's batches: each writes what it changed, as rows of its number; every ``compact`` batches all of them are put together.
 
-    A batch that runs again writes its rows again. Batches that are put together are deleted
+    A key's row is the last in ``order``, of equal ones the latest batch's; without an order, a batch
+    has one row a key. A batch that runs again writes its rows again. Batches that are put together are deleted
     only after the next one has begun, so a failure in between loses nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/batch={number:09d}")
+        (latest(batch, keys, order) if order else batch).write.mode("overwrite").parquet(f"{folder}/batch={number:09d}")
         if number % compact == compact - 1:
-            merged = latest(_numbered(spark, folder, batch.schema.simpleString(), number), keys, ["_batch", *order]).drop("_batch")
+            merged = latest(_numbered(spark, folder, batch.schema.simpleString(), number), keys, [*order, "_batch"]).drop("_batch")
             merged.write.mode("overwrite").parquet(f"{folder}/base={number:09d}")
         elif number % compact == 0:
             _forget(spark, folder, number - 1)
@@ -65,6 +66,6 @@ def _forget(spark: SparkSession, folder: str, number: int) -> None:
 
 def read_log(spark: SparkSession, folder: str, schema: str, keys: list[str], order: list[str]) -> DataFrame:
     """The latest row of each key of a log."""
-    return latest(_numbered(spark, folder, schema), keys, ["_batch", *order]).drop("_batch")
+    return latest(_numbered(spark, folder, schema), keys, [*order, "_batch"]).drop("_batch")
 
 

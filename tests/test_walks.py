@@ -160,3 +160,50 @@ def test_references_are_decoded_once(spark):
     cases = {"a &amp;lt; b": "a &lt; b", "&#38;lt;&#x26;#65;": "&lt;&#65;", "&#65;&#x1F600;&#233;": "A\U0001f600é", "&lt;&GT;&quot;&apos;&nbsp;.": "<>\"' .", "&#0;&#55296;&#9999999;&x;": "&#0;&#55296;&#9999999;&x;", "": "", "&amp;amp;": "&amp;"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.d for r in df.select("t", text.decode_entities(F.col("t")).alias("d")).collect()} == cases
+
+
+def plain_series(rows, max_items):
+    pages, items = [], []
+    for name in sorted({r[0] for r in rows}):
+        own = {}
+        for _, page, attempt, blank, keys in sorted(r for r in rows if r[0] == name and r[2] <= 2):
+            if page not in own or own[page][0] and not blank:
+                own[page] = (blank, [] if blank else [k for k in keys or [] if k is not None])
+        first = page = min(own)
+        got = []
+        while page in own:
+            blank, keys = own[page]
+            fresh = [k for k in dict.fromkeys(keys) if k not in got]
+            if page > first and (blank or not keys or not fresh or max_items is not None and len(got) >= max_items):
+                break
+            took = fresh if max_items is None else fresh[: max_items - len(got)]
+            got += took
+            pages.append((name, page, len(keys), len(fresh), len(got)))
+            items += [(name, page, k) for k in took]
+            page += 1
+    return sorted(pages), sorted(items)
+
+
+@pytest.mark.parametrize("max_items", [None, 1, 9])
+def test_series(spark, max_items):
+    of = random.Random(11)
+    rows = []
+    for s in range(30):
+        for page in range(1, of.randrange(2, 9)):
+            if of.random() < 0.08 and page > 1:
+                continue
+            blank = of.random() < 0.15
+            rows.append((f"s{s}", page, 1, blank, None if blank else [None if of.random() < 0.1 else f"k{of.randrange(25)}" for _ in range(of.randrange(5))]))
+            if blank:
+                again = of.random() < 0.3
+                rows.append((f"s{s}", page, 2, again, None if again else [f"k{of.randrange(40)}", f"k{of.randrange(40)}"]))
+                rows.append((f"s{s}", page, 3, False, ["late"]))
+    pages, items = walks.series(spark.createDataFrame(rows, "series string, page int, attempt int, blank boolean, keys array<string>"), max_items)
+    want = plain_series(rows, max_items)
+    assert sorted(tuple(r) for r in pages.collect()) == want[0]
+    assert sorted((r.series, r.page, r.key) for r in items.collect()) == want[1]
+
+
+def test_full_listings(spark):
+    df = spark.createDataFrame([("https://a.example/b", 7), ("https://a.example/b?x=1&paginacion=24#y", 437), ("https://a.example/b?x=1", None)], "u string, n int")
+    assert [r.x for r in df.select(walks.full_listing(F.col("u"), F.col("n"), "paginacion").alias("x")).collect()] == ["https://a.example/b?paginacion=7", "https://a.example/b?x=1&paginacion=437#y", "https://a.example/b?x=1"]
