@@ -59,8 +59,9 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """White-space separated words, each cut into pre-tokens; every pre-token's ids end with a word-end piece."""
-        cut = {w: PATTERN.findall(w) for w in words}
-        new = [w for w in {x for parts in cut.values() for x in parts} if w not in self.known]
+        # Letters alone are one pre-token, as the pattern has it.
+        cut = {w: PATTERN.findall(w) for w in words if not w.isalpha()}
+        new = list({x for parts in cut.values() for x in parts if x not in self.known}.union(filter(str.isalpha, words)))
         for start in range(0, len(new), 2000):
             part = new[start : start + 2000]
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
