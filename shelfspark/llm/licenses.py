@@ -33,7 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import ROW_ID, known_rows, write_table
+from .support import ROW_ID, RowName, known_rows, write_table
 
 #: Training examples (a third as many are held out), distinct n-grams kept, and the precision asked for on the held-out ones.
 EXAMPLES, VOCABULARY, PRECISION = 2_400, 6_000, 0.995
@@ -285,7 +285,7 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     return model.predict(paragraphs(docs))
 
 
-def documents(docs: DataFrame, classifier: Classifier | None = None, row: Column | None = None) -> DataFrame:
+def documents(docs: DataFrame, classifier: Classifier | None = None, row: RowName | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): paragraphs, confirmed licence paragraphs, their families and places; ``row`` as in ``known_rows``."""
     stored = known_rows(docs.select("doc_id", "text"), row).select(ROW_ID, F.col("input.doc_id").cast("bigint").alias("doc_id"), F.col("input.text").alias("text"))
     found = write_table(scan(stored, classifier).where("confirmed").drop("paragraph"), "licence-paragraphs")

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import ROW_ID, drop_tables, known_rows, write_table
+from .support import ROW_ID, RowName, drop_tables, known_rows, write_table
 
 #: Lines of a window (a repeated run of so many shares a fingerprint), lines of a digest, words of a long line.
 WINDOW, GRAM, LONG = 3, 2, 50
@@ -112,7 +112,7 @@ def runs(found: DataFrame) -> DataFrame:
     return each.groupBy(ROW_ID).agg(F.array_sort(F.collect_list(F.struct("from_line", "to_line"))).alias("runs"))
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long: int = LONG, row: Column | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long: int = LONG, row: RowName | None = None) -> DataFrame:
     """``docs`` as ``input``, with ``runs`` (null if none), and the ``kept`` text; ``row`` as in ``known_rows``."""
     rows = known_rows(docs, row)
     # A table of its own, so that its size is known when the join with all texts is planned.
@@ -126,7 +126,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long: i
     return joined.withColumn("kept", F.when(F.col("runs").isNull(), F.col("input.text")).otherwise(F.array_join(kept, "\n")))
 
 
-def delete_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long: int = LONG, row: Column | None = None) -> DataFrame:
+def delete_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long: int = LONG, row: RowName | None = None) -> DataFrame:
     """``docs`` without the lines that an earlier place repeats."""
     done = deduplicate(docs, window, gram, long, row)
     return done.select(*(F.col("kept").alias("text") if c == "text" else F.col("input")[c].alias(c) for c in docs.columns))

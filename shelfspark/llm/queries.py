@@ -31,7 +31,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.deduplicate(table(spark, sf_dir, "documents"), row=place_in_file())
+    done = line_dedup.deduplicate(table(spark, sf_dir, "documents"), row=place_in_file)
     deleted = F.aggregate(F.coalesce("runs", F.array().cast(done.schema["runs"].dataType)), F.lit(0), lambda a, r: a + r["to_line"] - r["from_line"])
     text = F.coalesce("kept", F.lit(""))
     return done.select(
@@ -49,7 +49,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.documents(table(spark, sf_dir, "documents"), row=place_in_file()).drop("least_probability")
+    return licenses.documents(table(spark, sf_dir, "documents"), row=place_in_file).drop("least_probability")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

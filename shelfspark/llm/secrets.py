@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .support import ROW_ID, arrow_map, write_table
+from .support import ROW_ID, arrow_map, quoted, write_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -67,7 +67,7 @@ SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
 
 def _candidates(docs: DataFrame, repository: Column, owner: Column, whole: bool = False) -> DataFrame:
     """Per row: a new id, the spans with hashed values, and if ``whole`` all columns of ``docs`` as ``input``; in a table of the shared folder."""
-    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns) if whole else ["text"]).alias("input")
+    given = F.struct(*map(quoted, docs.columns) if whole else ["text"]).alias("input")
     wanted = docs.select(F.monotonically_increasing_id().alias(ROW_ID), F.col("doc_id").cast("bigint").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), given)
     kept = wanted if whole else wanted.drop("input")
     names, kind = kept.columns, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.string())]))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .support import ROW_ID, arrow_map, drop_tables, known_rows, texts, unpacked, with_row_id, write_table
+from .support import ROW_ID, RowName, arrow_map, drop_tables, known_rows, texts, unpacked, with_row_id, write_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower case for A-Z only.
@@ -301,7 +301,7 @@ def _kept(rows: DataFrame, joined: DataFrame, unnamed: str, columns: list[str])
     return unpacked(rows.join(gone, ROW_ID, "left_anti"), columns)
 
 
-def representatives(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, row: Column | None = None) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, row: RowName | None = None) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: of the smallest doc_id, the first row that has it; ``row`` as in ``known_rows``."""
     known = known_rows(docs, row)
     rows = fingerprints(known.select(ROW_ID, "input.doc_id", "input.text"), words, seed)
@@ -381,7 +381,7 @@ def verified_classes(docs: DataFrame, nodes: DataFrame, words: int, radius: int,
         most *= MORE
 
 
-def verified_representatives(docs: DataFrame, words: int = 5, radius: int = WIDE, seed: int = 42, row: Column | None = None) -> DataFrame:
+def verified_representatives(docs: DataFrame, words: int = 5, radius: int = WIDE, seed: int = 42, row: RowName | None = None) -> DataFrame:
     """One row of ``docs`` for each group connected by similar shingle sets: of the smallest doc_id, the first row that has it; ``row`` as in ``known_rows``."""
     known = known_rows(docs, row)
     read = known.select(ROW_ID, "input.doc_id", "input.text")

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import drop_tables, write_table
 
-__all__ = ["ROW_ID", "arrow_map", "batches_of", "drop_tables", "known_rows", "place_in_file", "slices", "texts", "unpacked", "with_row_id", "write_table"]
+__all__ = ["ROW_ID", "RowName", "arrow_map", "batches_of", "drop_tables", "known_rows", "place_in_file", "quoted", "slices", "texts", "unpacked", "with_row_id", "write_table"]
 
 ROW_ID = "__row_id"
 #: Rows of an Arrow batch at most: a worker holds a batch as it comes, as Python strings, and as it goes.
@@ -28,26 +29,45 @@ def with_row_id(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def place_in_file() -> Column:
-    """Names each row of a table that is read straight from files by its file and its place there, alike in every read."""
-    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+def quoted(name: str) -> Column:
+    """A column by its very name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def known_rows(docs: DataFrame, row: Column | None = None) -> DataFrame:
+#: Names the rows of a table, alike in every read; None where it cannot.
+RowName = Callable[[DataFrame], Column | None]
+
+
+def place_in_file(docs: DataFrame) -> Column | None:
+    """Names each row of a table that is read straight from Parquet files by its file and its place there; None for other tables.
+
+    The files' own column counts, also where the table has one of that name.
+    """
+    try:
+        places = docs.metadataColumn("_metadata")
+        named = F.struct(F.xxhash64(places["file_path"]).alias("file"), places["row_index"].alias("at"))
+        docs.select(named)
+    except AnalysisException:
+        return None
+    return named
+
+
+def known_rows(docs: DataFrame, row: RowName | None = None) -> DataFrame:
     """(__row_id, input), with the same ids in every read; ``input`` has all columns of ``docs``.
 
-    ``row`` names each row, as ``place_in_file`` does for tables of files. Without it the rows
-    are numbered and stored in a table of the shared folder first.
+    ``row`` names each row, as ``place_in_file`` does for tables of files. Where there is no such
+    name the rows are numbered and stored in a table of the shared folder first.
     """
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("input")
-    if row is not None:
-        return docs.select(row.alias(ROW_ID), whole)
+    whole = F.struct(*(quoted(c) for c in docs.columns)).alias("input")
+    name = row(docs) if row else None
+    if name is not None:
+        return docs.select(name.alias(ROW_ID), whole)
     return write_table(docs.select(F.monotonically_increasing_id().alias(ROW_ID), whole), "rows")
 
 
 def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``known_rows`` as they came."""
-    return rows.select(*(F.col("input")[c].alias(c) for c in columns))
+    return rows.select(*(F.col("input").getField(c).alias(c) for c in columns))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -59,11 +79,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     if int(conf.get(BATCH_SETTING)) > BATCH_ROWS:
         conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
+    names = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from fn(batch)
+            yield from fn(batch.rename_columns(names))
 
-    return df.mapInArrow(run, schema)
+    # Names with dots or backticks do not get through mapInArrow.
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
 @contextmanager

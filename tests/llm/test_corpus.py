@@ -333,6 +333,31 @@ def plain_hex(rows):
         yield f"{sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64)):016x}"
 
 
+@pytest.mark.parametrize("kind", ["files", "selected", "memory"])
+def test_columns_of_any_name(spark, docs, tmp_path, kind):
+    """Columns named as the files' own, with marks and dots in their names, and tables that are not read from files."""
+    from shelfspark.llm import quality, support
+
+    given = docs.select("*", F.lit(1).alias("_metadata"), F.lit("b").alias("a`b"), F.lit("y").alias("x.y"), F.lit(None).cast("int").alias("input"))
+    path = str(tmp_path / "documents.parquet")
+    given.repartition(3).write.parquet(path)
+    odd = {"files": lambda: spark.read.parquet(path), "selected": lambda: spark.read.parquet(path).where("doc_id >= 0"), "memory": lambda: spark.createDataFrame(given.collect(), given.schema)}[kind]()
+    place = support.place_in_file
+    assert (place(odd) is None) == (kind == "memory")
+    plain, owner = spark.read.parquet(path).select(*docs.columns), (F.concat_ws("/", "source", "lang"), F.col("source"))
+    for run in (
+        lambda d: line_dedup.delete_repeats(d, row=place),
+        lambda d: simhash.verified_representatives(d, row=place),
+        lambda d: secrets.redact(d, *owner),
+        lambda d: quality.keep(d, F.col("source")),
+    ):
+        got = run(odd)
+        assert got.columns == odd.columns
+        assert Counter(tuple(r[c] for c in docs.columns) for r in got.collect()) == Counter(map(tuple, run(plain).collect()))
+    done = line_dedup.deduplicate(odd, row=place)
+    assert done.count() == odd.count() and done.where("input.`x.y` <> 'y' or input.`a``b` <> 'b' or input._metadata <> 1").count() == 0
+
+
 @pytest.fixture(scope="module")
 def many_files(spark, docs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("files") / "documents.parquet")
@@ -347,10 +372,10 @@ def test_rows_keep_their_ids_when_a_later_read_is_split_otherwise(spark, many_fi
 
     model = licenses.Classifier(spark) if name.startswith("licenses") else None
     run = {
-        "line_dedup by place": lambda d: line_dedup.delete_repeats(d, row=support.place_in_file()),
-        "simhash by place": lambda d: simhash.representatives(d, row=support.place_in_file()),
-        "verified by place": lambda d: simhash.verified_representatives(d, row=support.place_in_file()),
-        "licenses by place": lambda d: licenses.documents(d, model, row=support.place_in_file()),
+        "line_dedup by place": lambda d: line_dedup.delete_repeats(d, row=support.place_in_file),
+        "simhash by place": lambda d: simhash.representatives(d, row=support.place_in_file),
+        "verified by place": lambda d: simhash.verified_representatives(d, row=support.place_in_file),
+        "licenses by place": lambda d: licenses.documents(d, model, row=support.place_in_file),
         "tokens": lambda d: token_counts.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json")),
         "line_dedup": lambda d: line_dedup.delete_repeats(d),
         "quality": lambda d: quality.keep(d, F.col("source")),
