@@ -24,12 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines, and long lines, that an earlier place has too are deleted; a document stays even if it becomes empty."""
-    return line_dedup.delete_repeats(docs, row=place_in_file())
+    return line_dedup.delete_repeats(docs, row=place_in_file)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group connected by five-word shingle sets of similarity 0.8 or more stays."""
-    return simhash.verified_representatives(docs, words=5, row=place_in_file())
+    return simhash.verified_representatives(docs, words=5, row=place_in_file)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
