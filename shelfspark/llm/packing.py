@@ -18,7 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,25 @@ from .support import arrow_map, slices, texts, write_table
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Composed, caseless-safe characters: for texts of these alone, lower case and white space here are the library's.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
-#: Bytes of words and their ids that a worker keeps, beside some 150 a word; it forgets them all beyond that.
-KNOWN_BYTES, A_WORD = 200_000_000, 150
+#: Bytes of words and their ids that a worker keeps, with some 150 a word, and as many of older ones: words that come
+#: again go on from those, all others are forgotten when the next ones are older.
+KNOWN_BYTES, A_WORD = 50_000_000, 150
 CAPACITY = 2048
 END = 0
 
 
+#: What ``PLAIN`` has of Latin-1.
+_PLAIN_BYTES = bytes(c for c in range(256) if PLAIN.fullmatch(chr(c)))
+
+
+def _is_plain(text: str) -> bool:
+    """Whether ``PLAIN`` is all of the text; Latin-1 is told without the pattern."""
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return PLAIN.fullmatch(text) is not None
+
+
 class Encoder:
     """Ids of whole texts, through the library for each new word and from memory for the others."""
 
@@ -51,6 +64,7 @@ class Encoder:
         ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.ends = ends
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.size = 0
 
     def _keep(self, words: list[str], ids: list[bytes]) -> None:
@@ -60,6 +74,9 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         """White-space separated words, each cut into pre-tokens; every pre-token's ids end with a word-end piece."""
         # Letters alone are one pre-token, as the pattern has it.
+        again = list(filter(self.older.__contains__, words))
+        self._keep(again, [self.older[w] for w in again])
+        words.difference_update(again)
         cut = {w: PATTERN.findall(w) for w in words if not w.isalpha()}
         new = list({x for parts in cut.values() for x in parts if x not in self.known}.union(filter(str.isalpha, words)))
         for start in range(0, len(new), 2000):
@@ -77,11 +94,11 @@ class Encoder:
     def encode(self, rows: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.size > KNOWN_BYTES:
-            self.known.clear()
-            self.size = 0
-        plain = [PLAIN.fullmatch(x) is not None and not self.special.search(x) for x in rows]
+            self.older, self.known, self.size = self.known, {}, 0
+        plain = [_is_plain(x) and not self.special.search(x) for x in rows]
         split = [x.lower().split() if p else [] for x, p in zip(rows, plain, strict=True)]
-        self._learn(set(chain.from_iterable(split)) - self.known.keys())
+        # Not a difference with the keys, which would go through all that is known.
+        self._learn(set(filterfalse(self.known.__contains__, set(chain.from_iterable(split)))))
         rest = iter(self.library.encode_batch_fast([x for x, p in zip(rows, plain, strict=True) if not p], add_special_tokens=False))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) if p else np.array(next(rest).ids, "<u4").tobytes() for s, p in zip(split, plain, strict=True)]
