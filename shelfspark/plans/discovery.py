@@ -10,7 +10,7 @@ from ..operators import categories, refresh, walks
 from ..operators.rules import SiteRule
 from ..schema import ORDER
 from ..shared import write_table
-from ..sources import embedded, json_trees, portal
+from ..sources import embedded, json_trees, portal, rendered
 from .catalog import _LINKS_SQL, PRODUCTS, QUERIES, SQL, _progress, products, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -232,3 +232,17 @@ def portal_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = name("<html><body><nav><a href='/'>Inicio</a></nav><ul>", F.array_join(F.transform("cards", lambda c: c["card"]), ""), "</ul></body></html>")
     found = portal.listing_records(pages.select(name("https://p.example/list/", F.col("n")).alias("url"), html.alias("html")))
     return found.select("page_url", "source_url", "sku", F.when(~F.col("product_name").isin("X"), F.col("product_name")).alias("product_name"), "price", "currency", "brand", F.get("compatible_models", F.lit(0)).alias("model"), "image_url")
+
+
+@query("""SELECT 'https://r.example/p/' || p_partkey AS source_url, p_name || ' n' || p_partkey AS product_name, (p_size * 7)::VARCHAR AS price, 'UYU' AS currency, p_brand AS marca, CASE WHEN p_partkey % 4 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS availability FROM part
+UNION ALL SELECT 'https://r.example/p/' || p_partkey || '/rel', p_type || ' m' || p_partkey, p_size::VARCHAR, 'USD', NULL, NULL FROM part""")
+def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a heading, an amount and a table, with the card of another product behind a link."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    state = F.when(k % 4 == 0, "Agotado").otherwise("En stock")
+    whole = text("<main><h1>", F.col("p_name"), " n", k, "</h1><p>$ ", size * 7, "</p><table><tr><th>Marca</th><td>", F.col("p_brand"), "</td></tr></table><p>", state, "</p></main>")
+    card = text('<div class="card"><a href="/p/', k, '/rel">', F.col("p_type"), " m", k, "</a> US$ ", size, "</div>")
+    pages = table(spark, sf_dir, "part").select(text("https://r.example/p/", k).alias("url"), text("<body>", whole, card, '<a href="/contacto">Contacto</a></body>').alias("html"))
+    found = rendered.rendered_records(pages)
+    return found.select("source_url", "product_name", "price", "currency", F.try_element_at("attributes", F.lit("Marca")).alias("marca"), "availability")
