@@ -33,9 +33,8 @@ from .support import arrow_map, slices, texts, write_table
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Composed, caseless-safe characters: for texts of these alone, lower case and white space here are the library's.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
-#: Bytes of words and their ids that a worker keeps, with some 150 a word, and as many of older ones: words that come
-#: again go on from those, all others are forgotten when the next ones are older.
-KNOWN_BYTES, A_WORD = 50_000_000, 150
+#: Bytes of words and their ids that a worker keeps, with some 200 a word; beyond that it forgets those that have not come again.
+KNOWN_BYTES, A_WORD = 100_000_000, 200
 CAPACITY = 2048
 END = 0
 
@@ -64,19 +63,19 @@ class Encoder:
         ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.ends = ends
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Words since it last forgot any, and words that have come in several slices.
+        self.recent: set[str] = set()
+        self.again: set[str] = set()
         self.size = 0
 
     def _keep(self, words: list[str], ids: list[bytes]) -> None:
         self.known.update(zip(words, ids, strict=True))
+        self.recent.update(words)
         self.size += sum(map(len, words)) + sum(map(len, ids)) + A_WORD * len(words)
 
     def _learn(self, words: set[str]) -> None:
         """White-space separated words, each cut into pre-tokens; every pre-token's ids end with a word-end piece."""
         # Letters alone are one pre-token, as the pattern has it.
-        again = list(filter(self.older.__contains__, words))
-        self._keep(again, [self.older[w] for w in again])
-        words.difference_update(again)
         cut = {w: PATTERN.findall(w) for w in words if not w.isalpha()}
         new = list({x for parts in cut.values() for x in parts if x not in self.known}.union(filter(str.isalpha, words)))
         for start in range(0, len(new), 2000):
@@ -91,14 +90,25 @@ class Encoder:
         whole = [w for w, parts in cut.items() if len(parts) != 1 or parts[0] != w]
         self._keep(whole, [b"".join(map(self.known.__getitem__, cut[w])) for w in whole])
 
+    def _forget(self) -> None:
+        """Only words that have come again stay; none, if these are too many by themselves."""
+        kept = {w: self.known[w] for w in self.again if w in self.known}
+        self.known, self.recent, self.size = {}, set(), 0
+        self._keep(list(kept), list(kept.values()))
+        if self.size > KNOWN_BYTES // 2:
+            self.known, self.again, self.size = {}, set(), 0
+        self.recent.clear()
+
     def encode(self, rows: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.size > KNOWN_BYTES:
-            self.older, self.known, self.size = self.known, {}, 0
+            self._forget()
         plain = [_is_plain(x) and not self.special.search(x) for x in rows]
         split = [x.lower().split() if p else [] for x, p in zip(rows, plain, strict=True)]
+        words = set(chain.from_iterable(split))
+        self.again.update(filter(self.recent.__contains__, words))
         # Not a difference with the keys, which would go through all that is known.
-        self._learn(set(filterfalse(self.known.__contains__, set(chain.from_iterable(split)))))
+        self._learn(set(filterfalse(self.known.__contains__, words)))
         rest = iter(self.library.encode_batch_fast([x for x, p in zip(rows, plain, strict=True) if not p], add_special_tokens=False))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) if p else np.array(next(rest).ids, "<u4").tobytes() for s, p in zip(split, plain, strict=True)]

@@ -206,13 +206,17 @@ def test_words_that_come_again_are_kept(monkeypatch):
     """With room for a few words only: ids are the library's, whatever was forgotten or kept."""
     path = public_tokenizers.path("word_bpe_49k.json")
     library, of = Tokenizer.from_file(path), random.Random(8)
-    monkeypatch.setattr(packing, "KNOWN_BYTES", 2_000)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 12_000)
     own = packing.Encoder(path)
     words = ["the", "The", "mill's", "naïve", "x1y2", "ŝtrange", "don't", "\x0b", "日本", "e.g.", "ǅ", "\xad", *(f"w{chr(97 + i)}{chr(97 + i // 5)}" for i in range(60))]
     for _ in range(30):
         rows = [" ".join(of.choice(words) for _ in range(of.randrange(12))) for _ in range(4)]
         assert own.encode(rows) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in rows]
-    assert own.older and own.size < 10_000
+    own._forget()
+    assert own.known and own.again and own.size < 20_000
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 100)
+    own._forget()
+    assert not own.known and not own.again
     for text in ("", "plain é\t\n", "\x0b", "\x85", "\xa0\xad", "ſ", "š ı", "日"):
         assert packing._is_plain(text) == (packing.PLAIN.fullmatch(text) is not None)
 
