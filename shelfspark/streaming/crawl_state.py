@@ -5,160 +5,114 @@ it (null where a product has none), ``failed`` with a message, and ``finished``.
 come again, in any order and in any batch; each page, each failure and each key of a page
 counts once.
 
-State is kept by listing and part of it, so that a listing of very many pages is no single
-task: pages and failures are dealt by page, keys by key. What a batch changes is added to a
-log of states; views sum the latest ones of a listing's parts. A listing that is silent for
-longer than allowed is reported as stalled by a timer, until it has events again.
-
-``run`` keeps state in the store that transformWithState needs; sessions that start ``track``
-themselves set ``spark.sql.streaming.stateStore.providerClass`` to ``STORE``.
+What has counted is the state of ``dropDuplicates``, one entry a page, failure, key, and key of
+a page, dealt by all of these, so that a listing of very many pages is no single task. What a
+batch counts for the first time is added to a log of sums. A second, small stream keeps when a
+listing's events were and came last; one that is silent for longer than allowed, while others go
+on, is stalled until it has events again.
+
+``run`` keeps state in a store outside of the heap; sessions that start ``counted`` themselves
+set ``STORE``.
 """
 
 from __future__ import annotations
 
-import datetime
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 
 from ..functions import text
+from .progress import drain
 from .state_log import COMPACT, read_log, state_log
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore."
+#: Counting a store's rows would look up each key once more.
+STORE = {f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STATE}rocksdb.trackTotalNumberOfRows": "false"}
 EVENTS = "listing string, page int, kind string, keys array<string>, message string, at timestamp"
-EPOCH = datetime.datetime(1970, 1, 1)
-#: Parts of a listing's state.
+#: Files of a batch's sums.
 PARTS = 16
 #: Characters of a failure's message that are kept.
 MESSAGE = 160
-COUNTERS = "pages long, products long, fresh long, duplicates long, errors long, failed_at timestamp, failed string, finished boolean, last_at timestamp"
-STATES = f"listing string, part int, {COUNTERS}, stalled boolean"
+SUMS = ("pages", "products", "fresh", "duplicates", "errors")
+COUNTERS = "listing string, pages bigint, products bigint, fresh bigint, duplicates bigint, errors bigint, failed struct<undated:boolean,at:timestamp,message:string>"
+TIMES = "listing string, finished boolean, last_at timestamp, arrived timestamp, silent_ms bigint"
+#: What is one and the same thing of a crawl.
+IDENTITY = ["listing", "kind", "page", "key", "failed_at"]
 
 
-def dealt(events: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(listing, part, kind, page, key, n, extra, without_key, message, at): one row an event, and one for each distinct key of a page."""
+def dealt(events: DataFrame) -> DataFrame:
+    """(listing, kind, page, key, failed_at, n, extra, without_key, message): a row a page or failure, and for each distinct key of a page one (``pair``) with and one (``key``) without the page."""
     keys = F.coalesce("keys", F.array().cast("array<string>"))
     named = F.filter(keys, lambda k: k.isNotNull())
-    distinct = F.array_distinct(named)
-    counts = F.struct(F.size(keys).alias("n"), (F.size(named) - F.size(distinct)).alias("extra"), (F.size(keys) - F.size(named)).alias("without_key"))
-    none = F.lit(None).cast("string").alias("key")
-    own = F.array(F.struct(F.col("kind").alias("kind"), none, counts.alias("counts")))
-    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("extra"), F.lit(0).alias("without_key"))
-    each = F.transform(distinct, lambda k: F.struct(F.lit("key").alias("kind"), k.alias("key"), nothing.alias("counts")))
-    rows = F.concat(own, F.when(F.col("kind") == "page", each).otherwise(F.slice(each, 1, 0)))
-    flat = events.select(F.coalesce("listing", F.lit("")).alias("listing"), F.col("page").cast("int").alias("page"), "message", "at", F.explode(rows).alias("r"))
-    part = F.pmod(F.when(F.col("r.kind") == "key", F.xxhash64("r.key")).otherwise(F.xxhash64("page")), F.lit(parts)).cast("int")
+    failed, paged = F.col("kind") == "failed", F.col("kind") == "page"
     redacted = F.substring(text.redact(F.coalesce("message", F.lit(""))), 1, MESSAGE)
-    return flat.select("listing", part.alias("part"), "r.kind", "page", "r.key", "r.counts.*", redacted.alias("message"), "at")
-
-
-class CrawlState(StatefulProcessor):
-    """Counters of one part of a listing, with the pages, keys and failures that they count."""
-
-    def __init__(self, silent_ms: int) -> None:
-        self.silent_ms = silent_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counters = handle.getValueState("counters", COUNTERS)
-        self.done = handle.getMapState("done", "what string", "at timestamp")
-        self.keys = handle.getMapState("keys", "key string", "page int")
-
-    def _once(self, what: str, at: pd.Timestamp | None) -> bool:
-        if self.done.containsKey((what,)):
-            return False
-        self.done.updateValue((what,), (at,))
-        return True
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in COUNTERS.split(", ")]
-        held = self.counters.get() if self.counters.exists() else None
-        now = dict(zip(names, held, strict=True)) if held else dict.fromkeys(names, 0) | {"failed_at": None, "failed": None, "finished": False, "last_at": None}
-        arrived = 0
-        for batch in rows:
-            if self.silent_ms:
-                arrived = max(arrived, int(batch["arrived"].max().timestamp() * 1000))
-            for r in batch.itertuples(index=False):
-                page, at = None if pd.isna(r.page) else int(r.page), None if pd.isna(r.at) else r.at.to_pydatetime()
-                self._take(r, page, at, now)
-                if at is not None and (now["last_at"] is None or at > now["last_at"]):
-                    now["last_at"] = at
-        self.counters.update(tuple(now.values()))
-        if self.silent_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if not now["finished"]:
-                self.handle.registerTimer(arrived + self.silent_ms)
-        yield self._row(key, now, False)
-
-    def _take(self, r: object, page: int | None, at: object, now: dict) -> None:
-        if r.kind == "page":
-            if self._once(f"page {page}", at):
-                now["pages"] += 1
-                now["products"] += int(r.n)
-                now["duplicates"] += int(r.extra)
-                now["errors"] += int(r.without_key)
-        elif r.kind == "failed":
-            if self._once(f"failed {page} {at}", at):
-                now["errors"] += 1
-                rank = lambda when, what: (when is None, when or EPOCH, what)
-                if now["failed"] is None or rank(at, r.message) < rank(now["failed_at"], now["failed"]):
-                    now["failed_at"], now["failed"] = at, r.message
-        elif r.kind == "finished":
-            now["finished"] = True
-        elif not self.keys.containsKey((r.key,)):
-            self.keys.updateValue((r.key,), (page,))
-            now["fresh"] += 1
-        elif self.keys.getValue((r.key,))[0] != page and self._once(f"key {page} {r.key}", at):
-            now["duplicates"] += 1
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        if self.counters.exists():
-            names = [x.split()[0] for x in COUNTERS.split(", ")]
-            yield self._row(key, dict(zip(names, self.counters.get(), strict=True)), True)
-
-    @staticmethod
-    def _row(key: tuple, now: dict, stalled: bool) -> pd.DataFrame:
-        return pd.DataFrame({"listing": [key[0]], "part": [key[1]], **{k: [v] for k, v in now.items()}, "stalled": [stalled]})
-
-    def close(self) -> None:
-        pass
-
-
-def track(events: DataFrame, silent_ms: int = 0, parts: int = PARTS) -> DataFrame:
-    """The state of each part of a listing that a batch changes, of a stream of ``events``; ``silent_ms``: how long a listing may be silent (0: for ever)."""
-    rows = dealt(events, parts)
-    if silent_ms:
-        # Timers go by the time of batches, which no event is late for; they expire in a later batch.
-        rows = rows.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds")
-    return rows.groupBy("listing", "part").transformWithStateInPandas(CrawlState(silent_ms), STATES, "Update", "EventTime" if silent_ms else "None")
+    own = events.where(failed | paged).select(
+        F.coalesce("listing", F.lit("")).alias("listing"), "kind", F.col("page").cast("int").alias("page"), F.when(failed, F.col("at")).alias("failed_at"), F.when(failed, redacted).alias("message"),
+        F.size(keys).alias("all"), F.size(named).alias("named"), F.when(paged, F.array_distinct(named)).otherwise(F.array().cast("array<string>")).alias("keys"),
+    )
+    none, zero = F.lit(None), F.lit(0)
+    first = F.struct("kind", "page", none.cast("string").alias("key"), "failed_at", F.col("all").alias("n"), (F.col("named") - F.size("keys")).alias("extra"), (F.col("all") - F.col("named")).alias("without_key"), "message")
+
+    def each(kind: str, page: Column) -> Column:
+        entry = lambda k: F.struct(F.lit(kind).alias("kind"), page.alias("page"), k.alias("key"), none.cast("timestamp").alias("failed_at"), zero.alias("n"), zero.alias("extra"), zero.alias("without_key"), none.cast("string").alias("message"))
+        return F.transform("keys", entry)
+
+    return own.select("listing", F.inline(F.concat(F.array(first), each("pair", F.col("page")), each("key", none.cast("int")))))
+
+
+def counted(events: DataFrame) -> DataFrame:
+    """Of a stream of ``events`` what counts for the first time."""
+    return dealt(events).dropDuplicates(IDENTITY)
+
+
+def sums(rows: DataFrame) -> DataFrame:
+    """``COUNTERS`` of each listing, of rows that count."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    page = lambda c: F.coalesce(F.sum(F.when(F.col("kind") == "page", F.col(c))), F.lit(0))
+    failure = F.struct(F.col("failed_at").isNull().alias("undated"), F.col("failed_at").alias("at"), "message")
+    first = F.min(F.when(F.col("kind") == "failed", failure)).alias("failed")
+    return rows.groupBy("listing").agg(of("page").alias("pages"), page("n").alias("products"), of("key").alias("fresh"), (page("extra") + of("pair") - of("key")).alias("duplicates"), (page("without_key") + of("failed")).alias("errors"), first)
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """Batches' sums as one row a listing."""
+    return rows.groupBy("listing").agg(*(F.sum(c).alias(c) for c in SUMS), F.min("failed").alias("failed"))
+
+
+def times(events: DataFrame, silent_ms: int = 0) -> DataFrame:
+    """``TIMES`` of each listing that a batch has events of; ``arrived``: when the last batch that had some began."""
+    arrived = events.withColumn("arrived", F.current_timestamp()).groupBy(F.coalesce("listing", F.lit("")).alias("listing"))
+    found = arrived.agg(F.coalesce(F.bool_or(F.col("kind") == "finished"), F.lit(False)).alias("finished"), F.max("at").alias("last_at"), F.max("arrived").alias("arrived"))
+    return found.withColumn("silent_ms", F.lit(silent_ms).cast("bigint"))
 
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
     """(listing, pages, products, fresh, duplicates, errors, failed, finished, last_at, stalled) of a crawl's log."""
-    states = read_log(spark, folder, STATES, ["listing", "part"], [])
-    sums = [F.sum(c).alias(c) for c in ("pages", "products", "fresh", "duplicates", "errors")]
-    failed = F.min(F.when(F.col("failed").isNotNull(), F.struct(F.col("failed_at").isNull(), "failed_at", "failed")))["failed"].alias("failed")
-    quiet = (F.bool_and(F.col("stalled")) & ~F.bool_or("finished")).alias("stalled")
-    return states.groupBy("listing").agg(*sums, failed, F.bool_or("finished").alias("finished"), F.max("last_at").alias("last_at"), quiet)
+    held = read_log(spark, f"{folder}/times", TIMES, ["listing"], [])
+    now = held.agg(F.max("arrived").alias("now"))
+    silent = F.unix_millis("now") - F.unix_millis("arrived") >= F.col("silent_ms")
+    states = held.crossJoin(F.broadcast(now)).select("listing", "finished", "last_at", ((F.col("silent_ms") > 0) & silent & ~F.col("finished")).alias("stalled"))
+    found = read_log(spark, folder, COUNTERS, ["listing"], [], _added)
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in SUMS]
+    return states.join(found, "listing", "left").select("listing", *zero, F.col("failed.message").alias("failed"), "finished", "last_at", "stalled")
 
 
 def run(events: DataFrame, folder: str, silent_ms: int = 0, parts: int = PARTS, compact: int = COMPACT) -> StreamingQuery:
-    """Takes all events that are there into the state in ``folder`` and stops; the next run goes on with what has come since."""
-    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, STORE)
+    """Takes all events that are there into the state in ``folder`` and stops; the next run goes on with what has come since. ``silent_ms``: how long a listing may be silent (0: for ever)."""
+    conf = events.sparkSession.conf
+    before = {name: conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        conf.set(name, value)
     try:
-        log = state_log(f"{folder}/log", ["listing", "part"], [], compact)
-        writer = track(events, silent_ms, parts).writeStream.foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint")
-        query = writer.outputMode("update").trigger(availableNow=True).start()
-        query.awaitTermination()
+        add, keep = state_log(f"{folder}/log", ["listing"], [], compact, _added), state_log(f"{folder}/log/times", ["listing"], [], compact)
+        query = drain(counted(events), f"{folder}/checkpoint", lambda batch, number: add(sums(batch).coalesce(parts), number))
+        drain(times(events, silent_ms), f"{folder}/times", keep, "update")
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
     return query
 
 

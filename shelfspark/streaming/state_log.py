@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from ..operators.jobs import latest
 
+Merge = Callable[[DataFrame], DataFrame]
 #: Batches of a log after which their latest states are put together.
 COMPACT = 20
 
 
-def state_log(folder: str, keys: list[str], order: list[str], compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
+def state_log(folder: str, keys: list[str], order: list[str], compact: int = COMPACT, merge: Merge | None = None) -> Callable[[DataFrame, int], None]:
     """For a stream's batches: each writes what it changed, as rows of its number; every ``compact`` batches all of them are put together.
 
     A key's row is the last in ``order``, of equal ones the latest batch's; without an order, a batch
-    has one row a key. A batch that runs again writes its rows again. Batches that are put together are deleted
+    has one row a key. ``merge`` makes one row a key of all batches' rows where they are not states but add up. A batch that runs again writes its rows again. Batches that are put together are deleted
     only after the next one has begun, so a failure in between loses nothing.
     """
 
@@ -25,7 +26,7 @@ def state_log(folder: str, keys: list[str], order: list[str], compact: int = COM
         spark = batch.sparkSession
         (latest(batch, keys, order) if order else batch).write.mode("overwrite").parquet(f"{folder}/batch={number:09d}")
         if number % compact == compact - 1:
-            merged = latest(_numbered(spark, folder, batch.schema.simpleString(), number), keys, [*order, "_batch"]).drop("_batch")
+            merged = _one(_numbered(spark, folder, batch.schema.simpleString(), number), keys, order, merge)
             merged.write.mode("overwrite").parquet(f"{folder}/base={number:09d}")
         elif number % compact == 0:
             _forget(spark, folder, number - 1)
@@ -64,8 +65,12 @@ def _forget(spark: SparkSession, folder: str, number: int) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read_log(spark: SparkSession, folder: str, schema: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The latest row of each key of a log."""
-    return latest(_numbered(spark, folder, schema), keys, [*order, "_batch"]).drop("_batch")
+def _one(rows: DataFrame, keys: list[str], order: list[str], merge: Merge | None) -> DataFrame:
+    return merge(rows.drop("_batch")) if merge else latest(rows, keys, [*order, "_batch"]).drop("_batch")
+
+
+def read_log(spark: SparkSession, folder: str, schema: str, keys: list[str], order: list[str], merge: Merge | None = None) -> DataFrame:
+    """The latest row of each key of a log, or what ``merge`` makes of its rows."""
+    return _one(_numbered(spark, folder, schema), keys, order, merge)
 
 

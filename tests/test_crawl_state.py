@@ -99,3 +99,22 @@ def test_messages_are_cut_and_hold_no_secrets(spark):
     events = spark.createDataFrame([(None, None, "failed", None, "password=abc " + "x" * 400, None)], crawl_state.EVENTS)
     row = crawl_state.dealt(events).first()
     assert row.listing == "" and len(row.message) == crawl_state.MESSAGE and "abc" not in row.message
+
+
+def test_counting_stays_out_of_python(spark, tmp_path):
+    """State is Spark's own, dealt by what counts: no row is given to Python, and no listing is a task."""
+    spark.createDataFrame([], crawl_state.EVENTS).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(crawl_state.EVENTS).parquet(str(tmp_path / "events"))
+    plan = crawl_state.counted(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan and "InPandas" not in plan
+
+
+def test_times_of_events_that_come_again(spark, tmp_path):
+    """A page that comes again later counts once, but the listing was seen later."""
+    source, folder = str(tmp_path / "events"), str(tmp_path / "state")
+    later = T0 + datetime.timedelta(hours=1)
+    for at, keys in ((T0, ["x"]), (later, ["x", "y"])):
+        spark.createDataFrame([("a", 1, "page", keys, None, at)], crawl_state.EVENTS).coalesce(1).write.mode("append").parquet(source)
+        crawl_state.run(spark.readStream.schema(crawl_state.EVENTS).parquet(source), folder)
+    row = crawl_state.listings(spark, f"{folder}/log").first()
+    assert (row.pages, row.products, row.fresh, row.duplicates, row.errors, row.last_at, row.stalled) == (1, 1, 2, 0, 0, later, False)
