@@ -9,7 +9,7 @@ from ..functions import names
 from ..operators import categories, refresh, walks
 from ..operators.rules import SiteRule
 from ..schema import ORDER
-from ..shared import write_table
+from ..shared import spread, write_table
 from ..sources import embedded, json_trees, portal, rendered
 from .catalog import _LINKS_SQL, PRODUCTS, QUERIES, SQL, _progress, products, query, table
 
@@ -128,7 +128,7 @@ def embedded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.when(k % 4 == 1, name('<meta property="og:image" content="/m/', k, '.png">')).otherwise(F.lit('<meta property="og:image" content="/m/logo.png">'))
     gallery = name('<div class="galeriaProducto"><img src="/g/', k, '-1.webp"><img data-src="g', k, '.gif"><img src="/banner.jpg"></div><section class="productosRelacionados"><div class="imagenes"><img src="/other/', k, '.jpg"></div></section>')
     first, second = F.when(k % 2 == 0, script(one)).otherwise(script(other)), F.when(k % 2 == 0, script(other)).otherwise(script(one))
-    pages = table(spark, sf_dir, "part").select(name("https://s.example/p/", k).alias("url"), code.alias("code"), F.concat(meta, first, gallery, second).alias("html"))
+    pages = spread(table(spark, sf_dir, "part"), "p_partkey").select(name("https://s.example/p/", k).alias("url"), code.alias("code"), F.concat(meta, first, gallery, second).alias("html"))
     return embedded.embedded_records(pages, F.col("code")).select("url", "sku", "product_name", "price", "currency", "category", "brand", "availability", F.array_join("image_urls", ",").alias("images"))
 
 
@@ -181,7 +181,7 @@ def best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, title = F.col("p_partkey"), F.upper("p_name")
     space = lambda *parts: F.concat_ws(" ", *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
     texts = F.array(title, space(title, 1990 + k % 30), F.when(k % 3 == 0, space(title, "con rejilla corsa")).otherwise("Comprar"), space("MARCA", title, "X Y Z - Yokomitsu"), space(F.upper("p_type"), "HB20 2001-2004"))
-    return table(spark, sf_dir, "part").select(k.alias("k"), names.best_name(texts, title).alias("name"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("k"), names.best_name(texts, title).alias("name"))
 
 
 @query("""SELECT n_nationkey AS id, max(greatest(n, 7 + n_nationkey % 3))::BIGINT AS count, sum(n)::BIGINT AS members FROM (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation) GROUP BY n_nationkey""")
@@ -228,7 +228,7 @@ def portal_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = name('<p class="precio">', F.when(k % 3 == 0, "US$ ").otherwise("$ "), F.floor("p_retailprice").cast("bigint"), "</p>")
     card = name("<li", mark, '><a href="/v2/producto-detalle/m/', k, '/x"><img src="/i/', k, '.jpg"></a>', title, amount, "<p>SKU: YK-", k, " Marca: ", F.col("p_brand"), " Modelo: ", F.col("p_type"), "</p></li>")
     shown = table(spark, sf_dir, "part").select(F.expr("p_partkey div 20").alias("n"), F.struct(k, card.alias("card")).alias("c"))
-    pages = shown.groupBy("n").agg(F.sort_array(F.collect_list("c")).alias("cards"))
+    pages = spread(shown, "n").groupBy("n").agg(F.sort_array(F.collect_list("c")).alias("cards"))
     html = name("<html><body><nav><a href='/'>Inicio</a></nav><ul>", F.array_join(F.transform("cards", lambda c: c["card"]), ""), "</ul></body></html>")
     found = portal.listing_records(pages.select(name("https://p.example/list/", F.col("n")).alias("url"), html.alias("html")))
     return found.select("page_url", "source_url", "sku", F.when(~F.col("product_name").isin("X"), F.col("product_name")).alias("product_name"), "price", "currency", "brand", F.get("compatible_models", F.lit(0)).alias("model"), "image_url")
@@ -243,6 +243,6 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(k % 4 == 0, "Agotado").otherwise("En stock")
     whole = text("<main><h1>", F.col("p_name"), " n", k, "</h1><p>$ ", size * 7, "</p><table><tr><th>Marca</th><td>", F.col("p_brand"), "</td></tr></table><p>", state, "</p></main>")
     card = text('<div class="card"><a href="/p/', k, '/rel">', F.col("p_type"), " m", k, "</a> US$ ", size, "</div>")
-    pages = table(spark, sf_dir, "part").select(text("https://r.example/p/", k).alias("url"), text("<body>", whole, card, '<a href="/contacto">Contacto</a></body>').alias("html"))
+    pages = spread(table(spark, sf_dir, "part"), "p_partkey").select(text("https://r.example/p/", k).alias("url"), text("<body>", whole, card, '<a href="/contacto">Contacto</a></body>').alias("html"))
     found = rendered.rendered_records(pages)
     return found.select("source_url", "product_name", "price", "currency", F.try_element_at("attributes", F.lit("Marca")).alias("marca"), "availability")

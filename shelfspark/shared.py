@@ -28,6 +28,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Parts that ``spread`` makes for each core.
+PARTS_A_CORE = 4
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt by columns to tasks for all cores.
+
+    Tasks are cut by bytes. Where each of many short rows costs a lot (patterns, pages), a table of
+    few bytes would be a single task; what is dealt by a number of parts stays that many.
+    """
+    spark = rows.sparkSession
+    parts = max(PARTS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *by)
+
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
