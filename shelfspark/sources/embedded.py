@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, decode_entities, let
-from .selectors import Selectors, Walk
+from .selectors import Selectors, Walk, of_pages
 
 # Names of fields, and of parts of pages, that these shops use; what an image's address holds, and what it must not.
 PRODUCT, FIELDS, VARIANTS = "producto", ("precioMonto", "moneda", "carac", "tieneStock"), ("variantes", "variante", "variaciones")
@@ -121,11 +121,7 @@ CANDIDATES = "array<struct<" + ",".join(f"{n}:{t}" for n, t, _ in _KINDS) + ">>"
 
 
 def _found(texts: Column) -> Column:
-    @F.arrow_udf(returnType=CANDIDATES)
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([products_in([t or "" for t in x or []]) for x in column.to_pylist()], pa.list_(pa.struct([(n, k) for n, _, k in _KINDS])))
-
-    return run.asNondeterministic()(texts)
+    return of_pages(texts, pa.list_(pa.struct([(n, k) for n, _, k in _KINDS])), CANDIDATES, lambda x: products_in([t or "" for t in x or []]))
 
 
 def product_scripts(html: Column) -> Column:
@@ -264,16 +260,12 @@ def shown_images(html: Column) -> Column:
     asked = [*CONTAINERS, *SHOWN, *META]
     selectors = Selectors(asked)
 
-    def one(page: str) -> dict:
-        walk = _Gallery(selectors, len(asked) + 1, page)
+    def one(page: str | None) -> dict:
+        walk = _Gallery(selectors, len(asked) + 1, page or "")
         meta = [walk.values[found[0]].get("content") for found in walk.found[len(CONTAINERS) + len(SHOWN) : -1] if found]
         return {"meta": [x for x in meta if x], "shown": _shown(walk)}
 
-    @F.arrow_udf(returnType="struct<meta:array<string>,shown:array<string>>")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([one(x or "") for x in column.to_pylist()], pa.struct([("meta", pa.list_(pa.string())), ("shown", pa.list_(pa.string()))]))
-
-    return run.asNondeterministic()(html)
+    return of_pages(html, pa.struct([("meta", pa.list_(pa.string())), ("shown", pa.list_(pa.string()))]), "struct<meta:array<string>,shown:array<string>>", one)
 
 
 def product_images(pages: DataFrame, sku: Column | None = None, linked: Column | None = None) -> DataFrame:

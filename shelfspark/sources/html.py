@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import price, urls
 from ..functions.text import clean_text, let
-from .selectors import VOID, Boxes, Request, Ways, cards
+from .selectors import VOID, Boxes, Request, Ways, cards, of_pages
 
 NODE = "struct<node:int,last:int,parent:int,depth:int,tag:string,id:string,classes:array<string>,attributes:map<string,string>,begin:int,size:int,raw:string>"
 PAGE = f"struct<text:string,nodes:array<{NODE}>>"
@@ -90,12 +90,7 @@ _PAGE_TYPE = pa.struct([("text", pa.string()), ("nodes", pa.list_(_NODE_TYPE))])
 
 def parse(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with the parsed page; null and empty pages have no elements."""
-
-    @F.arrow_udf(returnType=PAGE)
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([_parsed(x) for x in column.to_pylist()], _PAGE_TYPE)
-
-    return pages.withColumn(PARSED, run.asNondeterministic()(F.col(html)))
+    return pages.withColumn(PARSED, of_pages(F.col(html), _PAGE_TYPE, PAGE, _parsed))
 
 
 def nodes() -> Column:
@@ -184,6 +179,8 @@ DETAIL_FIELDS: dict[str, Ways] = {
 }
 # What a missing page says.
 MISSING_PAGE = "404|page not found|not found|pagina no encontrada|no se ha podido encontrar"
+# What a missing page has as its name; the number alone may be part of a telephone number or a code.
+MISSING_NAME = "(?:^\\W*|\\berror\\W*)404\\b|\\b404\\W+(?:error|not found|no)\\b|pagina no encontrada|página no encontrada|page not found"
 
 
 def _records(page: Column, link: Column, state: Column, fields: list[str]) -> list[Column]:
@@ -231,7 +228,7 @@ def detail_products(pages: DataFrame, fields: dict[str, Ways] | None = None) ->
     found = cards(pages, Request(Boxes(), ways))
     state = availability(F.concat_ws(" ", "state_text", "description"))
     out = found.select(*_records(F.col("url"), urls.catalog_url(F.col("url")), state, list(ways)))
-    return out.where(F.col("product_name").isNotNull() & ~F.lower("product_name").rlike("\\b404\\b|pagina no encontrada|página no encontrada|page not found"))
+    return out.where(F.col("product_name").isNotNull() & ~F.lower("product_name").rlike(MISSING_NAME))
 
 
 def embedded_json(nodes: DataFrame, kind: str = "application/ld+json") -> DataFrame:

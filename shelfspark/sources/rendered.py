@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import price, urls
 from ..functions.text import clean_text
 from . import feeds
-from .selectors import Selectors, Walk
+from .selectors import Selectors, Walk, of_pages
 
 # Amounts, links and names that are no products', brands, sentences on shipping, and the longest text of a card.
 PRICED = re.compile(r"(?:US\$|\$|UYU|USD)\s*[0-9.,]+|[0-9]{1,3}(?:[.,][0-9]{3})*(?:[.,][0-9]{2})\s*(?:US\$|\$|UYU|USD)?", re.I)
@@ -140,15 +140,11 @@ def _last_of_kind(walk: Walk, at: int) -> bool:
 def _found(html: Column) -> Column:
     selectors = Selectors(ASKED)
 
-    def one(text: str) -> list[dict]:
-        page = _Page(Walk(selectors, len(ASKED), text))
+    def one(text: str | None) -> list[dict]:
+        page = _Page(Walk(selectors, len(ASKED), text or ""))
         return [{"place": i, **x} for i, x in enumerate([*_cards(page), *_whole(page)])]
 
-    @F.arrow_udf(returnType=_SCHEMA)
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([one(x or "") for x in column.to_pylist()], _KIND)
-
-    return run.asNondeterministic()(html)
+    return of_pages(html, _KIND, _SCHEMA, one)
 
 
 def rendered_records(pages: DataFrame) -> DataFrame:
