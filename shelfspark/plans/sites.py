@@ -12,6 +12,7 @@ from ..functions import price, urls
 from ..operators import audit, crawl, dedupe, inventory, quality
 from ..operators.rules import RuleBook, SiteRule
 from ..schema import ORDER, conform
+from ..shared import spread
 from ..sources import compatibility, profiles
 from .catalog import PRODUCTS, QUERIES, SQL, products, query, table
 
@@ -22,7 +23,7 @@ CARDS_A_PAGE = 20
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(k.alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"), F.floor(F.round(F.col("p_retailprice") * 100) / 100).cast("bigint").cast("string").alias("amount"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"), F.floor(F.round(F.col("p_retailprice") * 100) / 100).cast("bigint").cast("string").alias("amount"))
 
 
 def _text(template: str) -> Column:
@@ -34,7 +35,7 @@ def _text(template: str) -> Column:
 def _listings(parts: DataFrame, card: Column) -> DataFrame:
     """(url, html): cards in order, so many a page."""
     shown = parts.select(F.expr(f"k div {CARDS_A_PAGE}").alias("n"), F.struct("k", card.alias("card")).alias("c"))
-    pages = shown.groupBy("n").agg(F.array_sort(F.collect_list("c")).alias("cards"))
+    pages = spread(shown, "n").groupBy("n").agg(F.array_sort(F.collect_list("c")).alias("cards"))
     body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
     return pages.select(F.concat(F.lit("https://www.s.example/list/"), F.col("n").cast("string")).alias("url"), F.concat(F.lit("<html><body><nav><a href='/'>Inicio</a></nav>"), body, F.lit("</body></html>")).alias("html"))
 
@@ -99,7 +100,7 @@ def compatibility_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'https://l.example/' || listing || '?page=' || page AS url, page::INT AS current_page, CASE WHEN page < pages THEN 'https://l.example/' || listing || '?page=' || (page + 1) END AS next_url, 'https://l.example/' || listing || '?page=' || pages AS last_url FROM p""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("listing")).agg(F.count("*").alias("pages"))
-    shown = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
+    shown = spread(counted, "listing").select("*", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
     link = lambda n, label: F.concat(F.lit('<a data-ci-pagination-page="'), n.cast("string"), F.lit('" href="?page='), n.cast("string"), F.lit('">'), label, F.lit("</a>"))
     links = F.array_join(F.transform(F.sequence(F.lit(1), F.col("pages")), lambda n: link(n, n.cast("string"))), "")
     page = F.concat(F.lit('<ul class="pagination"><li class="active"><span>'), F.col("page").cast("string"), F.lit("</span></li>"), links, link(F.col("pages"), F.lit("»")), F.lit("</ul>"))
