@@ -85,17 +85,18 @@ def tree(nodes: DataFrame) -> DataFrame:
     Each round joins every node with what is known of the one that it hangs from, which doubles
     how far it sees: a tree of depth d takes log2(d) rounds, first without labels to find who
     sees a root, then with the labels of these alone. A node whose parent is not there is a
-    root. Rounds are tables, so a parent of very many nodes is a skewed join that can be split.
+    root. Rounds are tables, so a parent of very many nodes is a skewed join that can be split; both
+    sides are as many as the nodes, so neither is ever broadcast, however few bytes its file has.
     """
     known = nodes.select(F.col("key").alias("parent")).distinct().withColumn("known", F.lit(True))
-    start = write_table(nodes.join(known, "parent", "left").select("key", F.when(F.col("known"), F.col("parent")).alias("up"), "label"), "tree-nodes")
+    start = write_table(nodes.join(known.hint("merge"), "parent", "left").select("key", F.when(F.col("known"), F.col("parent")).alias("up"), "label"), "tree-nodes")
     most = max(1, start.count()).bit_length() + 1
     seen = _climbed(start.select("key", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), most, {"depth": lambda own, above: own + above})
     rooted = seen.where("up is null").select("key", "depth")
-    own = start.join(rooted.select("key"), "key", "left_semi").select("key", "up", F.array("label").alias("path"), F.col("key").alias("root"))
+    own = start.join(rooted.select("key").hint("merge"), "key", "left_semi").select("key", "up", F.array("label").alias("path"), F.col("key").alias("root"))
     paths = _climbed(own, most, {"path": lambda own, above: F.concat(above, own), "root": lambda own, above: above})
-    found = rooted.join(paths.drop("up"), "key").select("key", F.col("depth").cast("int").alias("depth"), "root", "path")
-    none = start.join(rooted, "key", "left_anti").select("key", *(F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:]))
+    found = rooted.join(paths.drop("up").hint("merge"), "key").select("key", F.col("depth").cast("int").alias("depth"), "root", "path")
+    none = start.join(rooted.hint("merge"), "key", "left_anti").select("key", *(F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:]))
     return found.unionAll(none)
 
 
@@ -106,7 +107,7 @@ def _climbed(state: DataFrame, rounds: int, joined: dict[str, Callable[[Column,
         if state.where("up is not null").isEmpty():
             break
         above = state.select(*(F.col(c).alias(f"_{c}") for c in state.columns))
-        seen = state.where("up is not null").join(above, F.col("up") == F.col("_key")).select("key", F.col("_up").alias("up"), *(f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in joined.items()))
+        seen = state.where("up is not null").join(above.hint("merge"), F.col("up") == F.col("_key")).select("key", F.col("_up").alias("up"), *(f(F.col(c), F.col(f"_{c}")).alias(c) for c, f in joined.items()))
         before, state = state, write_table(state.where("up is null").unionAll(seen), "tree")
         drop_tables(before)
     return state
