@@ -11,7 +11,6 @@ or joined, and pages that are stored twice or have no address do not mix.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import price, urls
 from ..functions.text import clean_text, let
-from .selectors import VOID, Boxes, Request, Ways, cards, of_pages
+from .selectors import VOID, Boxes, Request, Tags, Ways, cards, of_pages
 
 NODE = "struct<node:int,last:int,parent:int,depth:int,tag:string,id:string,classes:array<string>,attributes:map<string,string>,begin:int,size:int,raw:string>"
 PAGE = f"struct<text:string,nodes:array<{NODE}>>"
@@ -27,7 +26,7 @@ PAGE = f"struct<text:string,nodes:array<{NODE}>>"
 PARSED = "_page"
 
 
-class _Elements(HTMLParser):
+class _Elements(Tags):
     """Elements in page order; each one's text is the part of the page's text between its tags."""
 
     def __init__(self) -> None:

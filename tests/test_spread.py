@@ -1,5 +1,8 @@
 """Work is dealt to all cores, pages are Python's objects a few at a time, and large tables are not broadcast."""
 
+import random
+from html.parser import HTMLParser
+
 import pyarrow as pa
 import pytest
 
@@ -47,3 +50,46 @@ def test_references_of_page_details(spark, tmp_path):
     """The query's SQL knows three references; any other is text."""
     spark.createDataFrame([(1, "u", "<h1>a = &quot;b &lt;i&gt; &amp;lt; c&amp</h1>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert registry.queries()["page_details"](spark, str(tmp_path)).first().product_name == "a = &quot;b <i> &lt; c&amp"
+
+
+class _Seen:
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.seen = []
+
+    def handle_starttag(self, tag, attrs):
+        self.seen.append((tag, attrs))
+
+    def handle_startendtag(self, tag, attrs):
+        self.seen.append((tag, attrs, "/"))
+
+    def handle_endtag(self, tag):
+        self.seen.append(tag)
+
+    def handle_data(self, data):
+        self.seen.append(("", data))
+
+
+def test_plain_tags_are_read_as_the_standard_parser_reads_them():
+    class Ours(_Seen, selectors.Tags):
+        pass
+
+    class Standard(_Seen, HTMLParser):
+        pass
+
+    of = random.Random(5)
+    parts = ["<", ">", "/", '"', "'", "=", " ", "\n", "&amp;", "&lt", "a", "b", "É", "-", "!--", "<a ", "</a>", '<a href="x">', '<p class="c d" ID="7">', "<br/>", "<B>", '<i x="1" x="2">', '<i t="a>b<c">', '<i t="&amp;">', "<script>", "</script>", "<style >", "</style>", "<title>", "</title>", "<textarea>", "</textarea>", "<td\t>", "</p >", '<p a="1"b="2">', "<p a=1>", '<p a="">', "<p a>", "</"]
+    for _ in range(20_000):
+        page = "".join(of.choice(parts) for _ in range(of.randrange(1, 14)))
+        both = []
+        for kind in (Ours, Standard):
+            parser = kind()
+            parser.feed(page)
+            parser.close()
+            both.append(parser.seen)
+        assert both[0] == both[1], page
+
+
+def test_plain_tags_are_not_taken_apart_twice(monkeypatch):
+    monkeypatch.setattr(HTMLParser, "check_for_whole_start_tag", None)
+    assert len(selectors.Walk(selectors.Selectors(["a[href]"]), 1, '<ul class="x"><li><a href="/a">b</a></li></ul>').found[0]) == 1
