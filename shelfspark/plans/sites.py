@@ -100,10 +100,11 @@ def compatibility_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'https://l.example/' || listing || '?page=' || page AS url, page::INT AS current_page, CASE WHEN page < pages THEN 'https://l.example/' || listing || '?page=' || (page + 1) END AS next_url, 'https://l.example/' || listing || '?page=' || pages AS last_url FROM p""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("listing")).agg(F.count("*").alias("pages"))
-    shown = spread(counted, "listing").select("*", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
     link = lambda n, label: F.concat(F.lit('<a data-ci-pagination-page="'), n.cast("string"), F.lit('" href="?page='), n.cast("string"), F.lit('">'), label, F.lit("</a>"))
-    links = F.array_join(F.transform(F.sequence(F.lit(1), F.col("pages")), lambda n: link(n, n.cast("string"))), "")
-    page = F.concat(F.lit('<ul class="pagination"><li class="active"><span>'), F.col("page").cast("string"), F.lit("</span></li>"), links, link(F.col("pages"), F.lit("»")), F.lit("</ul>"))
+    links = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.col("pages")), lambda n: link(n, n.cast("string"))), ""), link(F.col("pages"), F.lit("»")), F.lit("</ul>"))
+    # A listing's links are the same on all of its pages: they are made before these are.
+    shown = spread(counted, "listing").select("*", links.alias("links")).select("listing", "links", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
+    page = F.concat(F.lit('<ul class="pagination"><li class="active"><span>'), F.col("page").cast("string"), F.lit("</span></li>"), F.col("links"))
     return crawl.page_summary(shown.select(F.concat(F.lit("https://l.example/"), F.col("listing").cast("string"), F.lit("?page="), F.col("page").cast("string")).alias("url"), page.alias("html")))
 
 
