@@ -15,17 +15,19 @@ packed each; an empty table gives no rows; other columns, whatever their names,
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, filterfalse
+from itertools import compress, filterfalse, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .support import arrow_map, slices, texts, write_table
 
@@ -38,6 +40,10 @@ KNOWN_BYTES, A_WORD = 100_000_000, 200
 CAPACITY = 2048
 END = 0
 
+#: All characters that ``PLAIN`` has, and the pattern for words of these, which also gives the spaces between words.
+PLAIN_CHARACTERS = [c for c in map(chr, range(0x180)) if PLAIN.fullmatch(c)]
+PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{0}{1}\x20]+|\x20".format(*("".join(c for c in PLAIN_CHARACTERS if regex.match(x, c)) for x in (r"\p{L}", r"\p{N}"))))
+
 
 #: What ``PLAIN`` has of Latin-1.
 _PLAIN_BYTES = bytes(c for c in range(256) if PLAIN.fullmatch(chr(c)))
@@ -52,7 +58,7 @@ def _is_plain(text: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts, through the library for each new word and from memory for the others."""
+    """Ids of whole texts: a slice's words are numbered, distinct ones come from memory or, if new, from the library, and numbers become ids again."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -62,56 +68,92 @@ class Encoder:
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.ends = ends
+        # The same model on pre-tokens between spaces: no pattern, no normaliser, bytes as its characters already.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): in_bytes.pre_tokenize_str(c)[0][0] for c in PLAIN_CHARACTERS if not c.isascii()}
         self.known: dict[str, bytes] = {}
-        #: Words since it last forgot any, and words that have come in several slices.
-        self.recent: set[str] = set()
+        #: Words that have come in several slices.
         self.again: set[str] = set()
         self.size = 0
 
     def _keep(self, words: list[str], ids: list[bytes]) -> None:
         self.known.update(zip(words, ids, strict=True))
-        self.recent.update(words)
         self.size += sum(map(len, words)) + sum(map(len, ids)) + A_WORD * len(words)
 
-    def _learn(self, words: set[str]) -> None:
-        """White-space separated words, each cut into pre-tokens; every pre-token's ids end with a word-end piece."""
+    def _learn(self, words: list[str]) -> None:
+        """White-space separated words of plain texts, each cut into pre-tokens; every pre-token's ids end with a word-end piece."""
         # Letters alone are one pre-token, as the pattern has it.
-        cut = {w: PATTERN.findall(w) for w in words if not w.isalpha()}
-        new = list({x for parts in cut.values() for x in parts if x not in self.known}.union(filter(str.isalpha, words)))
-        for start in range(0, len(new), 2000):
-            part = new[start : start + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) != len(part):  # the joined text was cut otherwise
-                self._keep(part, [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)])
+        cut = [w for w in words if not w.isalpha()]
+        tokens = PLAIN_PARTS.findall(" ".join(cut))
+        new = set(filterfalse(self.known.__contains__, tokens)).union(filter(str.isalpha, words)) - {" "}
+        other = list(filterfalse(str.isascii, new))
+        self._encode_parts(list(filter(str.isascii, new)), {})
+        self._encode_parts(other, self.letters)
+        # A word's ids lie between those of the spaces around it.
+        ids = list(map(self.known.get, tokens, repeat(b"")))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        at = ends[np.fromiter(map(" ".__eq__, tokens), bool, len(tokens))].tolist()
+        data = b"".join(ids)
+        whole = {w: data[i:j] for w, i, j in zip(cut, [0, *at], [*at, len(data)], strict=False) if w not in self.known}
+        self._keep(list(whole), list(whole.values()))
+
+    def _encode_parts(self, new: list[str], letters: dict[int, str]) -> None:
+        """Pre-tokens, once ``letters`` has turned them into the model's characters."""
+        for start in range(0, len(new), 5000):
+            part = new[start : start + 5000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part).translate(letters) if letters else " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(part):  # a piece of the model is missing
+                self._keep(part, list(self._by_library(part)))
                 continue
             data = ids.tobytes()
-            self._keep(part, [data[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)])
-        whole = [w for w, parts in cut.items() if len(parts) != 1 or parts[0] != w]
-        self._keep(whole, [b"".join(map(self.known.__getitem__, cut[w])) for w in whole])
+            self._keep(part, [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)])
 
     def _forget(self) -> None:
         """Only words that have come again stay; none, if these are too many by themselves."""
         kept = {w: self.known[w] for w in self.again if w in self.known}
-        self.known, self.recent, self.size = {}, set(), 0
+        self.known, self.size = {}, 0
         self._keep(list(kept), list(kept.values()))
         if self.size > KNOWN_BYTES // 2:
             self.known, self.again, self.size = {}, set(), 0
-        self.recent.clear()
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.size > KNOWN_BYTES:
             self._forget()
         plain = [_is_plain(x) and not self.special.search(x) for x in rows]
-        split = [x.lower().split() if p else [] for x, p in zip(rows, plain, strict=True)]
-        words = set(chain.from_iterable(split))
-        self.again.update(filter(self.recent.__contains__, words))
-        # Not a difference with the keys, which would go through all that is known.
-        self._learn(set(filterfalse(self.known.__contains__, words)))
-        rest = iter(self.library.encode_batch_fast([x for x, p in zip(rows, plain, strict=True) if not p], add_special_tokens=False))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) if p else np.array(next(rest).ids, "<u4").tobytes() for s, p in zip(split, plain, strict=True)]
+        # A plain text's white space is ASCII; at its ends there are empty words, which have no ids.
+        split = pc.ascii_split_whitespace(pa.array([x.lower() for x, p in zip(rows, plain, strict=True) if p], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
+        self.again.update(compress(words, ids))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for start in range(0, len(new), 20_000):
+            self._learn([words[i] for i in new[start : start + 20_000]])
+        for i in new:
+            ids[i] = self.known[words[i]]
+        found = iter(_gathered(ids, coded.indices, split.offsets))
+        rest = self._by_library([x for x, p in zip(rows, plain, strict=True) if not p])
+        return [next(found) if p else next(rest) for p in plain]
+
+    def _by_library(self, rows: list[str]) -> Iterator[bytes]:
+        """Few texts at a time, as the library's results have far more than ids."""
+        for start, end in slices([len(x) for x in rows], 1_000_000):
+            for e in self.library.encode_batch_fast(rows[start:end], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+
+def _gathered(ids: list[bytes], indices: pa.Array, offsets: pa.Array) -> list[bytes]:
+    """The ids of texts, whose words are ranges of ``indices``; these are places in ``ids``."""
+    if not ids:
+        return []
+    _, bounds, data = pa.array(ids, pa.large_binary()).take(indices).buffers()
+    at = np.frombuffer(bounds, np.int64)[offsets.to_numpy()].tolist()
+    whole = memoryview(data or b"")
+    return [whole[i:j].tobytes() for i, j in pairwise(at)]
 
 
 @cache
@@ -128,7 +170,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found, own = texts(batch), batch.column("doc_id")
         step, stop = 4 * capacity, END.to_bytes(4, "little")
-        for start, end in slices([len(x) for x in found], 1_000_000):
+        for start, end in slices([len(x) for x in found], 2_000_000):
             whole = [x + stop for x in encoder(path).encode(found[start:end])]
             parts = [x[k : k + step] for x in whole for k in range(0, len(x), step)]
             n = np.array([-(-len(x) // step) for x in whole])

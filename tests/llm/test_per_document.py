@@ -221,6 +221,55 @@ def test_words_that_come_again_are_kept(monkeypatch):
         assert packing._is_plain(text) == (packing.PLAIN.fullmatch(text) is not None)
 
 
+class Counting(dict):
+    """Words in memory, and how often they are looked up."""
+
+    asked = 0
+
+    def get(self, *args):
+        self.asked += 1
+        return super().get(*args)
+
+    def __getitem__(self, word):
+        self.asked += 1
+        return super().__getitem__(word)
+
+    def __contains__(self, word):
+        self.asked += 1
+        return super().__contains__(word)
+
+
+def test_a_word_is_looked_up_once_a_slice_and_new_ones_skip_the_pattern(monkeypatch):
+    """What a slice costs in Python grows with its distinct words; their pre-tokens go straight to the model."""
+    library, own = Tokenizer.from_file(WORD), packing.Encoder(WORD)
+    rows = ["The mill's grûnde, the mill's grûnde?! " * 500, "x1y2 the"]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in rows]
+
+    class Unused:
+        def encode_batch_fast(self, texts, **settings):
+            assert not texts
+            return []
+
+    monkeypatch.setattr(own, "library", Unused())
+    own.known = Counting()
+    assert own.encode(rows) == want
+    first = own.known.asked
+    assert own.encode(rows) == want
+    assert first < 100 and own.known.asked - first < 20
+
+
+def test_words_of_all_plain_characters():
+    """Alone, after a letter, between others and at random, beside texts that are not plain: as the library has them."""
+    library, own, of = Tokenizer.from_file(WORD), packing.Encoder(WORD), random.Random(3)
+    all_of = packing.PLAIN_CHARACTERS
+    assert all(packing.PLAIN.fullmatch(c.lower()) for c in all_of)
+    rows = [*(f(c) for c in all_of for f in ("{}".format, "a{}".format, " .{}'s1 ".format)), "", " ", "\t \n", "日 \x0b", "<|endoftext|> a"]
+    rows += ["".join(of.choices([*all_of, " ", "'", "'ll", "don't"], k=of.randrange(60))) for _ in range(500)]
+    of.shuffle(rows)
+    assert own.encode(rows) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(rows, add_special_tokens=False)]
+    assert own.encode([]) == [] and own.encode(["日"]) == [np.array(library.encode("日", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_only_foreign_images_have_a_limit(monkeypatch):
     payload = b"x" * media.ROW_BYTES * 5
     png = media.encode_png(payload)
