@@ -14,7 +14,13 @@ summed in a tree of ``FAN`` arrays a node. Scores are joined by slot, where each
 own counts and those of its parts.
 
 What goes to all tasks is bounded: ``SHARD`` keys a hash and ``ROUND`` hashes at once (more of
-them take more passes), and a bit for each of at most ``MOST_BUCKETS`` buckets.
+them take more passes), and a bit for each of at most ``MOST_BUCKETS`` buckets. It is given
+free as soon as the tables made with it are written.
+
+What a task holds does not follow the size of its part of the input: a row is about
+``ROW_WORDS`` words, tables of such rows are written in row groups of ``GROUP_BYTES`` and read
+``ROWS`` rows at a time, and no stage has two Python operators, each of which would keep a
+worker of its own beside each core.
 
 Defined results: a null text is empty, a null lang is ``und``; repeated rows count each. An
 empty table gives no rows. Other columns are not read. More than 2^32 - 1 candidates of one
@@ -48,12 +54,14 @@ SHARD, ROUND = 1 << 18, 8
 WORDS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 12, 1 << 26
 #: Entries of an array that travel in one row, and arrays that are summed at once.
 CHUNK, FAN = 1 << 16, 16
-#: Bytes of text whose words are one row, and entries that a task holds before it gives them on.
-ROW_BYTES, HELD = 1 << 19, 200_000
+#: Bytes of text whose words are hashed at once, words of a row (and one piece more), and entries that a task holds before it gives them on.
+SLICE_BYTES, ROW_WORDS, HELD = 1 << 19, 1 << 14, 200_000
 #: Documents, and rows, of an Arrow batch.
-DOCUMENTS, ROWS = 2_000, 16
+DOCUMENTS, ROWS = 1_000, 8
+#: Bytes of a row group of tables whose rows are arrays; after so many rows, at least and at most, the writer looks at its size and at a page's.
+GROUP_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 23, 8, 256
 #: Keys that a task holds before it gives them on, and a chunk of keys for so many words a key of a hash.
-MOST_KEYS, WORDS_A_CHUNK = 2_000_000, 16
+MOST_KEYS, WORDS_A_CHUNK = 1_000_000, 16
 #: Parts over which the first phrases of a language are found before they are ranked together.
 PARTS = 64
 #: No word, no candidate, or the end of a piece.
@@ -148,30 +156,40 @@ def _arrays(kind: int, array: np.ndarray, first: int = 0) -> Iterator[pa.RecordB
             yield _batch(kind, chunk=[first + c // CHUNK], part=[part], data=[zlib.compress(own.tobytes(), 1)])
 
 
-def _joined(rows: DataFrame, parts: int, join: Callable[[list[bytes]], bytes]) -> DataFrame:
-    """(chunk, data): what ``join`` makes of the data of all tasks by chunk, in a tree of nodes of ``FAN``."""
+def _stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df``, whose rows are arrays, as a table of small row groups; it is run in batches of ``ROWS``, or so many rows."""
+    looks = {f"parquet.{x}.size.row.check.{y}": n for x in ("page", "block") for y, n in (("min", LEAST_ROWS), ("max", MOST_ROWS))}
+    with batches_of(df.sparkSession, rows or ROWS):
+        return write_table(df, name, {"parquet.block.size": GROUP_BYTES, **looks})
+
+
+def _joined(rows: DataFrame, parts: int, join: Callable[[Iterator[bytes]], np.ndarray], give: Callable[[int, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What ``give`` makes of each chunk and what ``join`` makes of the data of all tasks for it, in a tree of nodes of ``FAN``."""
+
+    def whole(group: pa.Table) -> np.ndarray:
+        return join(zlib.decompress(x.as_buffer()) for x in group.column("data"))
 
     def node(key: tuple, group: pa.Table) -> pa.Table:
-        data = [zlib.decompress(x) for x in group.column("data").to_pylist()]
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([zlib.compress(join(data), 1)], pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([zlib.compress(whole(group).tobytes(), 1)], pa.binary())})
+
+    def root(key: tuple, group: pa.Table) -> pa.Table:
+        return give(key[0].as_py(), whole(group))
 
     joined = rows.select("chunk", "part", "data")
-    while True:
-        part = F.expr(f"part div {FAN}") if parts > FAN else F.lit(0).cast("bigint")
-        joined = joined.withColumn("part", part).groupBy("chunk", "part").applyInArrow(node, "chunk bigint, part bigint, data binary")
-        if parts <= FAN:
-            return joined.select("chunk", "data")
+    while parts > FAN:
+        joined = joined.withColumn("part", F.expr(f"part div {FAN}")).groupBy("chunk", "part").applyInArrow(node, "chunk bigint, part bigint, data binary")
         parts = -(-parts // FAN)
+    return joined.groupBy("chunk").applyInArrow(root, schema)
 
 
-def _total(rows: DataFrame, kind: int, parts: int, dtype: str, most: int | None = None) -> DataFrame:
-    """(chunk, data): the sum of the arrays of all tasks by chunk; entries stop at ``most``."""
+def _total(rows: DataFrame, kind: int, parts: int, dtype: str, give: Callable[[int, np.ndarray], pa.Table], schema: str, most: int | None = None) -> DataFrame:
+    """What ``give`` makes of each chunk of the sum of the arrays of all tasks; entries stop at ``most``."""
 
-    def add(data: list[bytes]) -> bytes:
+    def add(data: Iterator[bytes]) -> np.ndarray:
         total = sum(np.frombuffer(x, dtype).astype(np.int64) for x in data)
-        return (total if most is None else np.minimum(total, most)).astype(dtype).tobytes()
+        return (total if most is None else np.minimum(total, most)).astype(dtype)
 
-    return _joined(rows.where(F.col("kind") == kind), parts, add)
+    return _joined(rows.where(F.col("kind") == kind), parts, add, give, schema)
 
 
 def word_seed(lang: str, attempt: int) -> int:
@@ -188,6 +206,15 @@ def _words(text: bytes) -> list[bytes]:
     return text.translate(TEXT_BYTES).replace(END, b" . ").split()
 
 
+def _cut(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of words in rows of about ``ROW_WORDS``, each of which ends where a piece does."""
+    ends, start = np.flatnonzero(keys == 0) + 1, 0
+    while start < len(keys):
+        stop = int(ends[min(np.searchsorted(ends, start + ROW_WORDS), len(ends) - 1)])
+        yield keys[start:stop]
+        start = stop
+
+
 def hashed(docs: DataFrame, attempt: int) -> DataFrame:
     """Rows of word hashes (zero ends a piece) by language, and partial counts of words."""
 
@@ -197,11 +224,12 @@ def hashed(docs: DataFrame, attempt: int) -> DataFrame:
         for batch in batches:
             for lang in sorted(set(batch.column("lang").to_pylist())):
                 rows, seed = batch.filter(pc.equal(batch.column("lang"), lang)).column("text"), word_seed(lang, attempt)
-                for start, end in slices(pc.binary_length(rows).to_pylist(), ROW_BYTES):
+                for start, end in slices(pc.binary_length(rows).to_pylist(), SLICE_BYTES):
                     words = [w for text in rows.slice(start, end - start).to_pylist() for w in (*_words(text), END)]
                     key = {w: xxhash.xxh64_intdigest(w, seed) for w in set(words)}
                     key[END] = 0
-                    yield _batch(DATA, lang=[lang], data=[np.fromiter(map(key.__getitem__, words), np.uint64, len(words)).tobytes()])
+                    for row in _cut(np.fromiter(map(key.__getitem__, words), np.uint64, len(words))):
+                        yield _batch(DATA, lang=[lang], data=[row.tobytes()])
                     n = counts.setdefault(lang, Counter())
                     held -= len(n)
                     n.update(words)
@@ -219,8 +247,7 @@ def hashed(docs: DataFrame, attempt: int) -> DataFrame:
         counts.clear()
 
     read = docs.select(F.lit(0).alias("kind"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    with batches_of(docs.sparkSession, DOCUMENTS):
-        return write_table(read.mapInArrow(run, PASSED), "hashed-words")
+    return _stored(read.mapInArrow(run, PASSED), "hashed-words", DOCUMENTS)
 
 
 def first_level(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -311,8 +338,8 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(keys, 2_000) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
-def advance(rows: DataFrame, level: int, made: DataFrame, sizes: list[int], hashes: int, buckets: int, least: int, last: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """The rows of ``level``, and by round its candidates (slot, left, right, f), frequent ones only.
+def advance(rows: DataFrame, level: int, made: DataFrame, sizes: list[int], hashes: int, buckets: int, least: int, last: bool) -> tuple[DataFrame, list[DataFrame], int]:
+    """The rows of ``level``, by round its candidates (slot, left, right, f), frequent ones only, and how many tasks wrote the rows.
 
     Besides the rows (slots of the candidates at each place), the last round's pass counts the
     next level's pairs in buckets. Level 1 has its counts already; the last level needs no rows.
@@ -328,47 +355,50 @@ def advance(rows: DataFrame, level: int, made: DataFrame, sizes: list[int], hash
             slots = Slots(*sent.value)
             counts = np.zeros(slots.size if level > 1 else 0, np.int64)
             next_pairs = np.zeros(buckets if ends and not last else 0, kinds)
-            for batch in batches:
-                for lang, data, found in zip(batch.column("lang").to_pylist(), *(_buffers(batch.column(x)) for x in ("data", "found")), strict=True):
-                    keys, some = _keys(data, level)
+            for batch in batches:  # keys of all its rows are looked up, and pairs counted, together
+                keyed = [_keys(x, level) for x in _buffers(batch.column("data"))]
+                new = slots.find(np.concatenate([keys[some] for keys, some in keyed]))
+                if level > 1:
+                    np.add.at(counts, new[new != NONE].astype(np.int64) - slots.start, 1)
+                next_keys, read = [], 0
+                for lang, data, found, (keys, some) in zip(batch.column("lang").to_pylist(), *(_buffers(batch.column(x)) for x in ("data", "found")), keyed, strict=True):
                     own = np.full(len(keys), NONE) if found is None else np.frombuffer(found, np.uint32).copy()
-                    new = slots.find(keys[some])
-                    own[some] = np.minimum(own[some], new)  # NONE is the greatest
-                    if level > 1:
-                        counts += np.bincount(new[new != NONE].astype(np.int64) - slots.start, minlength=len(counts))
+                    n = np.count_nonzero(some)
+                    own[some] = np.minimum(own[some], new[read : read + n])  # NONE is the greatest
+                    read += n
                     if not ends:
                         yield _carried(lang, data.to_pybytes(), own)
                     elif not last and (own != NONE).any():
                         pairs, some = _keys(own.tobytes(), level + 1)
                         if some.any():
-                            at, n = np.unique(_bucket(pairs[some], buckets), return_counts=True)
-                            next_pairs[at] = np.minimum(next_pairs[at] + n, least)
+                            next_keys.append(pairs[some])
                             yield _carried(lang, own.tobytes(), None)
+                if next_keys:
+                    at, n = np.unique(_bucket(np.concatenate(next_keys), buckets), return_counts=True)
+                    next_pairs[at] = np.minimum(next_pairs[at] + n, least)
             yield from map(_without_found, _arrays(COUNTS, counts))
             yield from map(_without_found, _arrays(BUCKETS, next_pairs))
 
         before = rows
         parts = before.rdd.getNumPartitions()
-        with batches_of(spark, ROWS):
-            rows = write_table(before.where(F.col("kind") == DATA).select("lang", "data", "found").mapInArrow(run, f"{PASSED}, found binary"), f"level-{level}")
+        rows = _stored(before.where(F.col("kind") == DATA).select("lang", "data", "found").mapInArrow(run, f"{PASSED}, found binary"), f"level-{level}")
         if turn:
             drop_tables(before)
         if level > 1:
+            own = Slots(*held)
+            start, keys = own.start, spark.sparkContext.broadcast(own.keys())
 
-            def named(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                slots = Slots(*sent.value)
-                keys = slots.keys()
-                for batch in batches:
-                    for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                        n = np.frombuffer(zlib.decompress(data), np.int64)
-                        at = np.flatnonzero(n >= least) + chunk * CHUNK
-                        own = keys[at]
-                        columns = [slots.start + at, (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.int64), n[at - chunk * CHUNK]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["slot", "left", "right", "f"])
+            def named(chunk: int, n: np.ndarray, start=start, keys=keys) -> pa.Table:
+                at = np.flatnonzero(n >= least) + chunk * CHUNK
+                own = keys.value[at]
+                columns = [start + at, (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.int64), n[at - chunk * CHUNK]]
+                return pa.table([pa.array(x) for x in columns], names=["slot", "left", "right", "f"])
 
-            total = _total(rows, COUNTS, parts, "int64")
-            counted.append(write_table(total.mapInArrow(named, "slot bigint, left bigint, right bigint, f bigint"), f"candidates-{level}"))
-    return rows, counted
+            with batches_of(spark, ROWS):
+                counted.append(write_table(_total(rows, COUNTS, parts, "int64", named, "slot bigint, left bigint, right bigint, f bigint"), f"candidates-{level}"))
+            keys.destroy()
+        sent.destroy()
+    return rows, counted, parts
 
 
 def _carried(lang: str, data: bytes, found: np.ndarray | None) -> pa.RecordBatch:
@@ -380,22 +410,20 @@ def _without_found(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.append_column("found", pa.nulls(batch.num_rows, pa.binary()))
 
 
-def candidates(rows: DataFrame, level: int, buckets: int, least: int, chunks: int) -> DataFrame:
-    """(key): distinct pairs of neighbouring slots in ``rows`` whose bucket is frequent, in a table.
+def candidates(rows: DataFrame, counted_by: int, level: int, buckets: int, least: int, chunks: int) -> DataFrame:
+    """(key): distinct pairs of neighbouring slots in ``rows``, which so many tasks counted, whose bucket is frequent, in a table.
 
     Tasks give sorted keys in ``chunks`` by hash, which are united in a tree.
     """
     spark, kinds = rows.sparkSession, "uint8" if least < 256 else "uint32"
 
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(np.frombuffer(zlib.decompress(x), kinds) >= least, bitorder="little").tobytes() for x in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(bits, pa.binary())], names=["chunk", "data"])
+    def heavy(chunk: int, n: np.ndarray) -> pa.Table:
+        return pa.table({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())})
 
-    parts = rows.rdd.getNumPartitions()
     bits = np.zeros(-(-buckets // 8), np.uint8)
-    for x in _total(rows, BUCKETS, parts, kinds, least).mapInArrow(heavy, "chunk bigint, data binary").collect():  # a bit a bucket
-        bits[x["chunk"] * CHUNK // 8 :][: len(x["data"])] = np.frombuffer(x["data"], np.uint8)
+    with batches_of(spark, ROWS):
+        for x in _total(rows, BUCKETS, counted_by, kinds, heavy, "chunk bigint, data binary", least).collect():  # a bit a bucket
+            bits[x["chunk"] * CHUNK // 8 :][: len(x["data"])] = np.frombuffer(x["data"], np.uint8)
     sent = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,33 +437,31 @@ def candidates(rows: DataFrame, level: int, buckets: int, least: int, chunks: in
                 yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([own], pa.binary())], names=["chunk", "part", "data"])
 
         for batch in batches:
-            for data in _buffers(batch.column("data")):
-                keys, some = _keys(data, level)
-                keys = keys[some]
-                at = _bucket(keys, buckets)
-                own = np.unique(keys[(sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
-                found.append(own)
-                size += len(own)
-                if size > MOST_KEYS:
-                    found = [np.unique(np.concatenate(found))]
-                    size = len(found[0])
-                    if size > MOST_KEYS // 2:
-                        yield from given()
-                        found, size = [], 0
+            keys = np.concatenate([keys[some] for keys, some in (_keys(x, level) for x in _buffers(batch.column("data")))])
+            at = _bucket(keys, buckets)
+            own = np.unique(keys[(sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
+            found.append(own)
+            size += len(own)
+            if size > MOST_KEYS:
+                found = [np.unique(np.concatenate(found))]
+                size = len(found[0])
+                if size > MOST_KEYS // 2:
+                    yield from given()
+                    found, size = [], 0
         if size:
             yield from given()
 
-    def unite(data: list[bytes]) -> bytes:
-        return np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in data])).tobytes()
+    def unite(data: Iterator[bytes]) -> np.ndarray:
+        return np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in data]))
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(zlib.decompress(data), np.int64))], names=["key"])
+    def unpacked(chunk: int, keys: np.ndarray) -> pa.Table:
+        return pa.table({"key": pa.array(keys.view(np.int64))})
 
     packed = rows.where(F.col("kind") == DATA).select("data").mapInArrow(run, "chunk bigint, part bigint, data binary")
     with batches_of(spark, ROWS):
-        return write_table(_joined(packed, parts, unite).mapInArrow(unpacked, "key bigint"), f"keys-{level}")
+        made = write_table(_joined(packed, rows.rdd.getNumPartitions(), unite, unpacked, "key bigint"), f"keys-{level}")
+    sent.destroy()
+    return made
 
 
 def levels(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int = SHARD, hashes: int = ROUND, words_a_bucket: int = WORDS_A_BUCKET) -> tuple[DataFrame, list[DataFrame]]:
@@ -448,7 +474,7 @@ def levels(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int =
     for level in range(1, words + 1):
         made, sizes = build(keys, shard)
         before = rows
-        rows, counted = advance(before, level, made, sizes, hashes, buckets, least, level == words)
+        rows, counted, parts = advance(before, level, made, sizes, hashes, buckets, least, level == words)
         drop_tables(before)
         if level == 1:
             first = np.append(0, np.cumsum(sizes)).tolist()
@@ -465,7 +491,7 @@ def levels(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int =
             found.append(counted[0] if len(counted) == 1 else write_table(_union(counted), f"candidates-{level}"))
         drop_tables(made, keys)
         if level < words:
-            keys = candidates(rows, level + 1, buckets, least, 1 + total // (WORDS_A_CHUNK * shard))
+            keys = candidates(rows, parts, level + 1, buckets, least, 1 + total // (WORDS_A_CHUNK * shard))
     drop_tables(rows)
     return every, found
 

@@ -18,6 +18,8 @@ __all__ = ["ROW_ID", "RowName", "arrow_map", "batches_of", "drop_tables", "known
 ROW_ID = "__row_id"
 #: Rows of an Arrow batch at most: a worker holds a batch as it comes, as Python strings, and as it goes.
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+#: Rows that are decoded at once from a Parquet file.
+READ_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
@@ -91,13 +93,15 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows at most, for what is run inside; the session's setting is as it was afterwards."""
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(rows, int(before))))
+    """Batches of Arrow and of Parquet's reader of so many rows at most, for what is run inside; the session's settings are as they were afterwards."""
+    before = {x: spark.conf.get(x) for x in (BATCH_SETTING, READ_SETTING)}
+    for x, most in before.items():
+        spark.conf.set(x, str(min(rows, int(most)) if int(most) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(BATCH_SETTING, before)
+        for x, most in before.items():
+            spark.conf.set(x, most)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -46,14 +46,14 @@ def spread(rows: DataFrame, *by: str) -> DataFrame:
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again.
+def write_table(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it again; ``options`` are the writer's.
 
     This cuts the lineage: what follows survives the loss of any executor without
     recomputing, and row ids made before the write stay as they are.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table

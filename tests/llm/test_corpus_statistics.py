@@ -1,12 +1,15 @@
 """Phrase collocations, exact top-k and source divergence against plain code."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
+from urllib.parse import unquote, urlparse
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from shelfspark.llm import divergence, phrases, queries, topk
@@ -131,6 +134,43 @@ def test_words_that_share_a_hash(spark, monkeypatch):
     assert set(tried) == {0, 1}
 
 
+def test_rows_and_row_groups_of_phrases_are_bounded(spark, monkeypatch):
+    """What tasks hold of long texts: a row is a part of a text that ends with a piece, and a file has several row groups."""
+    monkeypatch.setattr(phrases, "GROUP_BYTES", 1 << 20, raising=False)
+    of = random.Random(8)
+    texts = ["".join(f"w{of.randrange(5_000)}{of.choice([' ', ' ', ' ', ', '])}" for _ in range(50_000)) for _ in range(30)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(1)
+    table = phrases.hashed(docs, 0)
+    rows = [np.frombuffer(r.data, np.uint64) for r in table.where("kind = 0").select("data").collect()]
+    assert max(map(len, rows)) < 20_000 and all(r[-1] == 0 for r in rows)
+    assert sum(int((r != 0).sum()) for r in rows) == 30 * 50_000
+    groups = [file.metadata.row_group(i) for file in map(pq.ParquetFile, (unquote(urlparse(f).path) for f in table.inputFiles())) for i in range(file.metadata.num_row_groups)]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) < 11_000_000  # before they are compressed
+
+
+def test_stages_of_phrases_have_one_python_operator(spark, monkeypatch):
+    """Else each core keeps two Python workers; what went to all tasks is given free."""
+    plans, sent = [], []
+    write, give = phrases.write_table, spark.sparkContext.broadcast
+
+    def told(df, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, *rest)
+
+    def held(value):
+        sent.append(give(value))
+        return sent[-1]
+
+    monkeypatch.setattr(phrases, "write_table", told)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", held)
+    rows = invented(100, 9)
+    got = rows_of(phrases.collocations(documents(spark, rows), 5, 40, shard=8, hashes=2), PHRASE)
+    assert got == plain_phrases([(r[1], r[0]) for r in rows], 5, 40)
+    assert sum("FlatMapGroupsInArrow" in x for x in plans) > 6
+    assert not any(re.search(r"MapInArrow[^\n]*\n(\W*(Project|Filter)[^\n]*\n)*\W*(FlatMapGroups|Map)InArrow", x) for x in plans)
+    assert len(sent) > 6 and not any(os.path.exists(x._path) for x in sent)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 5_000])
 def test_perfect_hash(n):
     of = np.random.default_rng(n)
