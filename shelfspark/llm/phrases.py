@@ -57,11 +57,11 @@ CHUNK, FAN = 1 << 16, 16
 #: Bytes of text whose words are hashed at once, words of a row (and one piece more), and entries that a task holds before it gives them on.
 SLICE_BYTES, ROW_WORDS, HELD = 1 << 19, 1 << 14, 200_000
 #: Documents, and rows, of an Arrow batch.
-DOCUMENTS, ROWS = 1_000, 8
+DOCUMENTS, ROWS = 2_000, 8
 #: Bytes of a row group of tables whose rows are arrays; after so many rows, at least and at most, the writer looks at its size and at a page's.
 GROUP_BYTES, LEAST_ROWS, MOST_ROWS = 1 << 23, 8, 256
 #: Keys that a task holds before it gives them on, and a chunk of keys for so many words a key of a hash.
-MOST_KEYS, WORDS_A_CHUNK = 1_000_000, 16
+MOST_KEYS, WORDS_A_CHUNK = 2_000_000, 16
 #: Parts over which the first phrases of a language are found before they are ranked together.
 PARTS = 64
 #: No word, no candidate, or the end of a piece.
